@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from .chat import op2_chat
+from .langid import op6_language_id
 from .packing import op9_packing
+from .quality import op8_quality
+from .toxicity import op10_toxicity
 from .wavelet import op7_token_shards
 
 QUERIES = {
     "op2_chat": op2_chat,
+    "op6_language_id": op6_language_id,
     "op7_token_shards": op7_token_shards,
+    "op8_quality": op8_quality,
     "op9_packing": op9_packing,
+    "op10_toxicity": op10_toxicity,
 }
 SQL: dict[str, str] = {}
