@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .chat import op2_chat
+from .embed_dedup import op5_embedding_dedup
 from .langid import op6_language_id
+from .near_dedup import op4_near_dedup
 from .packing import op9_packing
 from .quality import op8_quality
 from .toxicity import op10_toxicity
@@ -11,6 +13,8 @@ from .wavelet import op7_token_shards
 
 QUERIES = {
     "op2_chat": op2_chat,
+    "op4_near_dedup": op4_near_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_language_id": op6_language_id,
     "op7_token_shards": op7_token_shards,
     "op8_quality": op8_quality,
