@@ -8,10 +8,12 @@ from .langid import op6_language_id
 from .near_dedup import op4_near_dedup
 from .packing import op9_packing
 from .quality import op8_quality
+from .suffix_dedup import op1_suffix_dedup
 from .toxicity import op10_toxicity
 from .wavelet import op7_token_shards
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat": op2_chat,
     "op4_near_dedup": op4_near_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
