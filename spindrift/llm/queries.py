@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op2_chat
+from .decontaminate import op3_decontamination
 from .embed_dedup import op5_embedding_dedup
 from .langid import op6_language_id
 from .near_dedup import op4_near_dedup
@@ -15,6 +16,7 @@ from .wavelet import op7_token_shards
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_chat": op2_chat,
+    "op3_decontamination": op3_decontamination,
     "op4_near_dedup": op4_near_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_language_id": op6_language_id,
