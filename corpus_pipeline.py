@@ -37,8 +37,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings of 100 bytes are cut out of the later texts; every document stays, maybe with an empty text."""
     cut = suffix_dedup.remove_repeats(docs).select("doc_id", "kept").mapInArrow(_decode, "doc_id long, text string")
-    others = docs.select("doc_id", "lang", "source").dropDuplicates(["doc_id"])
-    joined = cut.join(others, cut.doc_id.eqNullSafe(others.doc_id), "left").drop(others.doc_id)
+    others = docs.select(F.col("doc_id").alias("own_id"), "lang", "source").dropDuplicates(["own_id"])
+    joined = cut.join(others, F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
