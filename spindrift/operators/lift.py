@@ -63,15 +63,15 @@ def topic_lift(df: DataFrame, keys: Sequence[str], words: Column, resid: str = "
     return hits.select(*keys, "word", "n", F.exp(F.col("_m") - F.col("_mid")).alias("mult"))
 
 
-def series(df: DataFrame, keys: Sequence[str], title: str, resid: str = "resid") -> DataFrame:
-    """keys, name, n, median, mult, top: names in brackets, and heads before a bar or colon, that two rows share."""
+def series(df: DataFrame, keys: Sequence[str], title: str, resid: str = "resid", least: int = 2) -> DataFrame:
+    """keys, name, n, median, mult, top: names in brackets, and heads before a bar or colon, of ``least`` rows or more."""
     boxed = F.transform(F.regexp_extract_all(title, F.lit(r"\[([^\]]{1,24})\]")), lambda x: F.concat(F.lit("["), F.trim(x), F.lit("]")))
     head = F.regexp_extract(title, r"^\s*([^|:#\[\]]{2,20}?)\s*[|:]", 1)
     headed = F.when(head != "", F.array(F.concat(F.trim(head), F.lit(" |")))).otherwise(F.array().cast("array<string>"))
     names = df.select(*keys, "id", "views", resid, F.explode(F.array_distinct(F.concat(boxed, headed))).alias("name"))
     names = names.where(F.length(F.regexp_replace("name", "[^A-Za-z가-힣]", "")) >= 2)
     out = names.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"), F.percentile("views", F.lit(0.5)).alias("median"), F.exp(F.percentile(resid, F.lit(0.5))).alias("mult"), F.max_by("id", F.struct("views", "id")).alias("top"))
-    return out.where("n >= 2")
+    return out.where(F.col("n") >= least)
 
 
 def supported(df: DataFrame, keys: Sequence[str], items: Column, share: float, least: int) -> DataFrame:

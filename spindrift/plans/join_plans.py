@@ -193,22 +193,25 @@ def j26(spark, sf_dir):
     return prefixes.join(folders, "owner").groupBy("id").agg(F.max_by("owner", F.length("owner")).alias("owner"))
 
 
+_BANDS = 8
+
+
 @query(
     "j17_hamming_join",
-    """WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS s FROM embeddings), p AS (SELECT vec_id, array_to_string(s, '') AS s FROM b)
-    SELECT a.vec_id AS a, c.vec_id AS b, hamming(a.s, c.s)::BIGINT AS distance FROM p a JOIN p c ON a.vec_id < c.vec_id AND (substr(a.s, 1, 16) = substr(c.s, 1, 16) OR substr(a.s, 17, 16) = substr(c.s, 17, 16) OR substr(a.s, 33, 16) = substr(c.s, 33, 16) OR substr(a.s, 49, 16) = substr(c.s, 49, 16)) AND hamming(a.s, c.s) <= 3""",
+    """WITH b AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS s FROM embeddings)
+    SELECT a.vec_id AS a, c.vec_id AS b, hamming(a.s, c.s)::BIGINT AS distance FROM b a JOIN b c ON a.vec_id < c.vec_id AND hamming(a.s, c.s) <= 7""",
 )
 def j17(spark, sf_dir):
-    """Pairs of 64-bit sign fingerprints at most 3 bits apart; two such fingerprints share one of four 16-bit bands."""
+    """Pairs of 64-bit sign fingerprints at most 7 bits apart; two such fingerprints share one of eight bands of 8 bits."""
     bits = F.transform("embedding", lambda x: F.when(x > 0, F.lit("1")).otherwise("0"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.concat_ws("", bits).alias("s"))
-    bands = rows.select("vec_id", "s", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring("s", 16 * k + 1, 16)) for k in range(4)])).alias("band"))
+    size = 64 // _BANDS
+    bands = rows.select("vec_id", "s", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring("s", size * k + 1, size)) for k in range(_BANDS)])).alias("band"))
     a, b = bands.alias("a"), bands.alias("b")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.col("a.s").alias("x"), F.col("b.s").alias("y"))
-    high = lambda c: F.conv(F.substring(c, 1, 32), 2, 10).cast("long")
-    low = lambda c: F.conv(F.substring(c, 33, 32), 2, 10).cast("long")
-    apart = F.bit_count(high("x").bitwiseXOR(high("y"))) + F.bit_count(low("x").bitwiseXOR(low("y")))
-    return pairs.withColumn("distance", apart.cast("long")).where("distance <= 3").select("a", "b", "distance").distinct()
+    half = lambda c, at: F.conv(F.substring(c, at, 32), 2, 10).cast("long")
+    apart = F.bit_count(half("x", 1).bitwiseXOR(half("y", 1))) + F.bit_count(half("x", 33).bitwiseXOR(half("y", 33)))
+    return pairs.withColumn("distance", apart.cast("long")).where("distance <= 7").select("a", "b", "distance").distinct()
 
 
 @query("e5_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
