@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 from .tokens import BYTE_FILE, _BYTE_CHARS, encoder
 
 START, SEP, END = "<|im_start|>", "\n", "<|im_end|>"
@@ -86,7 +86,7 @@ def format_turns(conversations: DataFrame, *, file: str = BYTE_FILE, trained_rol
             )
 
     c = F.col
-    rows = conversations.select(c("conv_id").cast("long"), c("turn").cast("long"), c("role").cast("string"), c("text").cast("string"))
+    rows = bounded_batches(conversations).select(c("conv_id").cast("long"), c("turn").cast("long"), c("role").cast("string"), c("text").cast("string"))
     return rows.mapInArrow(build, _TURN)
 
 

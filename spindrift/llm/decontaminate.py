@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, text_slices
+from .common import U64, bounded_batches, text_slices
 from .textkit import Words, shingles
 
 K1, B = 1.2, 0.75
@@ -202,7 +202,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
     Null and empty texts hold nothing; repeated rows give repeated pairs; whole texts are searched, without a shuffle.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], _HIT)
     for index in index_parts(benchmark):
 
@@ -228,7 +228,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 clean[[h[0] for h in index.search(piece.column("text").to_pylist())]] = False
                 yield piece.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 from .tokens import BYTE_FILE, encoder
 
 WINDOW = 1024
@@ -122,7 +122,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         if rest:
             yield batch(flush())
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(pack, _PIECE)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, text_slices
+from .common import U64, bounded_batches, mix64, text_slices
 from .textkit import Words, RangeHash
 from .toxicity import held_out, labelled_sample
 
@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_
     """Positives: labelled good, at most ``sample_rows`` labelled rows; unlabelled: ``sample_rows`` of all rows' texts,
     labelled or not, outside the held-out fold (least hash of the id first)."""
     known = _measured(labelled_sample(docs, labels, label, sample_rows))
-    web = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").where(~held_out("id"))
+    web = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").where(~held_out("id"))
     ids = web.select(F.col("id").alias("web_id")).orderBy(F.xxhash64("web_id", F.lit(5)), "web_id").limit(sample_rows).distinct()
     free = _measured(web.join(F.broadcast(ids), web.id == ids.web_id).select("id", "text", F.lit(0).alias("y")))
     width = len(measures(["a"])[0])
@@ -169,7 +169,7 @@ def score_documents(docs: DataFrame, model: BinnedModel) -> DataFrame:
         for piece in text_slices(batches):
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(model.score(piece.column("text").to_pylist()))], names=[*others, "quality_score"])
 
-    return docs.select(*others).mapInArrow(score, schema)
+    return bounded_batches(docs).select(*others).mapInArrow(score, schema)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_signed, mix64, ragged_arange, stage_table, text_slices
+from .common import U64, as_signed, bounded_batches, mix64, ragged_arange, stage_table, text_slices
 from .suffix_array import suffix_arrays
 from .textkit import RangeHash
 
@@ -35,7 +35,7 @@ WINDOW = 100
 GRAM = 50
 SIDE = WINDOW - GRAM
 HOT = 2048
-TASK_ANCHORS = 2_000_000  # a task settles and sends its anchors in blocks of so many
+TASK_ANCHORS = 400_000  # a task settles and sends its anchors in blocks of so many
 LANE_CONTEXTS = 32
 LANE_BATCH = 400_000  # symbols whose suffix arrays are built together
 MIN_LEVEL = 2
@@ -395,7 +395,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     stay whole and are not compared; if rows share an id, a place counts once and removals apply to each of them.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     zipped = rows.mapInArrow(_zip, "doc long, z binary")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = rows.where("doc is not null").select(F.col("doc").alias("id"), "text").mapInArrow(_find_anchors(buckets), _ROW)

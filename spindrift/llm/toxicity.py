@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, text_slices
+from .common import U64, bounded_batches, text_slices
 from .textkit import Words
 
 SAMPLE_ROWS = 8192
@@ -128,7 +128,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows:
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     picked = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.join(F.broadcast(picked), rows.id == picked.label_id).select("id", "text", "y")
 
 
@@ -156,7 +156,7 @@ def score_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
             got = pa.array(model.score(piece.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*piece.columns, got], names=[*others, "toxicity_score"])
 
-    return docs.select(*others).mapInArrow(score, schema)
+    return bounded_batches(docs).select(*others).mapInArrow(score, schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

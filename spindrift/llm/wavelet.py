@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table, text_slices
+from .common import bounded_batches, stage_table, text_slices
 from .tokens import WORD_FILE, encoder
 
 MAGIC = b"WMX1"
@@ -168,7 +168,7 @@ def encode_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         if ids:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(build, _SHARD)
 
