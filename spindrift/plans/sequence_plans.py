@@ -1 +1,197 @@
-"""Sequential operators (filled below)."""
+"""Queries of the sequential operators, the forecast, and a stream."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.numbers import normal_cdf
+from ..operators import forecast, sequential
+from ..operators.relational import newest_n
+from ..sources.tables import DAY, VIDEOS, table, videos
+from ..streaming.history import weekly_counts
+from .channel_plans import recent
+from .model_plans import peers
+from .registry import query
+
+
+@query("w6_peak_picking")
+def w6(spark, sf_dir):
+    """Peaks of a channel's newest 400 events: at least 6 above the median, 5 hours apart, ten at most."""
+    rows = newest_n(videos(spark, sf_dir), ["channel"], [F.desc("pub"), "id"], 400).select("channel", "id", "pub", "views")
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = sequential.pick_peaks(pdf["pub"].tolist(), pdf["views"].tolist(), 5 * DAY / 24, pdf["views"].median() + 6, 10)
+        return pdf.loc[kept, ["channel", "id"]].assign(place=range(1, len(kept) + 1))
+
+    return sequential.per_group(rows, ["channel"], ["pub", "id"], "channel long, id long, place long", pick)
+
+
+@query("o6_diverse_top")
+def o6(spark, sf_dir):
+    """Best five of a channel's newest 400, two of a kind at most.  The cap alone ranks within kinds first."""
+    rows = newest_n(videos(spark, sf_dir), ["channel"], [F.desc("pub"), "id"], 400).drop("place")
+    capped = newest_n(rows, ["channel", "fmt"], [F.desc("views"), "id"], 2).drop("place")
+    return newest_n(capped, ["channel"], [F.desc("views"), "id"], 5).select("channel", "id", "place")
+
+
+@query("j20_slot_matching")
+def j20(spark, sf_dir):
+    """A week's three slots of each channel and what was uploaded then."""
+    week = F.floor(F.col("pub") / (7 * DAY))
+    rows = recent(spark, sf_dir).where("fmt = 'purchase'").withColumn("week", week).select("channel", "week", "id", "pub")
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = int(pdf["week"][0]) * 7 * DAY
+        slots = [start + (2 * d + 1) * DAY + 18 * DAY // 24 for d in range(3)]
+        got = sequential.match_slots(slots, pdf["pub"].tolist())
+        return pd.DataFrame([(pdf["channel"][0], pdf["week"][0], i, pdf["id"][j]) for i, j in got], columns=["channel", "week", "slot", "id"])
+
+    return sequential.per_group(rows, ["channel", "week"], ["pub", "id"], "channel long, week long, slot long, id long", match)
+
+
+@query("j19_box_suppression")
+def j19(spark, sf_dir):
+    """Boxes of an order's lines (a few each), without those that a better one covers."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        boxes = [(q, 100 * d, 20.0, 10.0) for q, d in zip(pdf["l_quantity"], pdf["l_discount"])]
+        kept = sequential.suppress(boxes, pdf["l_extendedprice"].tolist(), 0.3)
+        return pdf.loc[kept, ["l_orderkey", "l_linenumber"]]
+
+    return sequential.per_group(rows, ["l_orderkey"], ["l_linenumber"], "l_orderkey long, l_linenumber int", keep)
+
+
+_TURN = 200  # first characters that a turn is compared by, as the reference role compares short spoken lines
+
+
+@query("j16_retakes")
+def j16(spark, sf_dir):
+    """Turns that repeat one of the five before them, by matching share of 0.7."""
+    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-5, -1)
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.substring("text", 1, _TURN).alias("line"))
+    before = rows.withColumn("before", F.collect_list(F.struct("turn", "line")).over(order)).where(F.size("before") > 0)
+
+    @F.pandas_udf("long")
+    def nearest_alike(line: pd.Series, before: pd.Series) -> pd.Series:
+        def one(s, earlier):
+            return next((r["turn"] for r in reversed(list(earlier)) if sequential.similarity(r["line"], s) >= 0.7), None)
+
+        return pd.Series([one(s, b) for s, b in zip(line, before)], dtype="Int64")
+
+    return before.select("conv_id", "turn", nearest_alike("line", "before").alias("earlier")).where("earlier is not null")
+
+
+@query("j21_line_coalescing")
+def j21(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.substring("text", 1, 60).alias("line"))
+    rows = newest_n(rows, ["conv_id"], ["turn", "line"], 400)
+
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["conv_id", "turn"]].assign(event=sequential.coalesce_lines(pdf["turn"].tolist(), pdf["line"].tolist(), 2.5, 0.8))
+
+    return sequential.per_group(rows, ["conv_id"], ["turn", "line"], "conv_id long, turn long, event long", group)
+
+
+@query("w15_pause_chapters")
+def w15(spark, sf_dir):
+    """Chapters of a channel's newest 400 events: one to three days, cut at the longest pause."""
+    rows = newest_n(videos(spark, sf_dir), ["channel"], [F.desc("pub"), "id"], 400).select("channel", "id", "pub")
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["pub"].tolist()
+        cuts = sequential.cut_at_pauses(at, [t + 60_000_000 for t in at], DAY, 3 * DAY)
+        return pd.DataFrame({"channel": pdf["channel"][0], "chapter": range(1, len(cuts) + 1), "start": [at[i] for i in cuts]})
+
+    return sequential.per_group(rows, ["channel"], ["pub", "id"], "channel long, chapter long, start long", cut)
+
+
+@query("f9_caption_lines")
+def f9(spark, sf_dir):
+    """Line breaks of benchmark items at 40 places, by dynamic programming over each item's words."""
+
+    @F.pandas_udf("array<string>")
+    def lines(text: pd.Series) -> pd.Series:
+        def one(s):
+            words = (s or "").split()
+            cuts = [*sequential.split_lines(words, 40), len(words)]
+            return [" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+        return text.map(one)
+
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(lines("text")).alias("line", "text"))
+    return rows.select("item_id", F.col("line").cast("long").alias("line"), "text")
+
+
+@query("f11_first_fit_tags")
+def f11(spark, sf_dir):
+    """Names of a brand's parts, first fit into 60 characters."""
+    names = table(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("at"))
+    top = newest_n(names, ["p_brand"], ["at"], 200).groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("at", "p_name"))).alias("t"))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
+
+    def add(s, x):
+        need = F.length(x["p_name"]) + F.when(F.size(s["kept"]) > 0, 1).otherwise(0)
+        fits = (s["used"] + need <= 60) & ~F.array_contains(s["kept"], x["p_name"])
+        return F.struct(F.when(fits, s["used"] + need).otherwise(s["used"]).alias("used"), F.when(fits, F.array_append(s["kept"], x["p_name"])).otherwise(s["kept"]).alias("kept"))
+
+    return top.select("p_brand", F.aggregate("t", start, add, lambda s: F.concat_ws(",", s["kept"])).alias("tags"))
+
+
+@query("a22_theil_sen")
+def a22(spark, sf_dir):
+    """Per format, over the channels that are compared (one row each)."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = sequential.theil_sen(pdf["x"], pdf["y"])
+        return pd.DataFrame({"fmt": [pdf["fmt"][0]], "n": [len(pdf)], "intercept": [a], "slope": [b]})
+
+    return sequential.per_group(peers(spark, sf_dir).select("fmt", "x", "y"), ["fmt"], ["x", "y"], "fmt string, n long, intercept double, slope double", fit)
+
+
+@query("a26_reliability")
+def a26(spark, sf_dir):
+    """Mean predicted chance of passing 50 views against the observed share, per format."""
+    rows = videos(spark, sf_dir).where("views > 0")
+    own = rows.groupBy("fmt").agg(F.avg(F.log("views")).alias("m"), F.stddev("views").alias("_"), F.stddev(F.log("views")).alias("s"))
+    both = rows.join(own, "fmt")
+    chance = 1 - normal_cdf((F.log(F.lit(50.0)) - F.col("m")) / F.col("s"))
+    return both.groupBy("fmt").agg(F.avg(chance).alias("predicted"), F.avg((F.col("views") >= 50).cast("double")).alias("observed"))
+
+
+def _calibrated(spark, sf_dir, samples=40):
+    return forecast.bootstrap(peers(spark, sf_dir).where("fmt = 'view'").select("x", "y"), samples)
+
+
+@query("t1_bootstrap")
+def t1(spark, sf_dir):
+    return _calibrated(spark, sf_dir)
+
+
+@query("t4_forecast_bands")
+def t4(spark, sf_dir):
+    return forecast.bands(forecast.simulate(_calibrated(spark, sf_dir), subs=1000.0, rate=2.0, sims=50))
+
+
+@query("t4_milestones")
+def t4_goals(spark, sf_dir):
+    return forecast.milestones(forecast.simulate(_calibrated(spark, sf_dir), subs=1000.0, rate=2.0, sims=50), [1100.0, 1500.0, 3000.0])
+
+
+@query("t5_plan_variants")
+def t5(spark, sf_dir):
+    """Median at the end of the year for each plan; all plans see the same draws."""
+    fits, out = _calibrated(spark, sf_dir, 20), None
+    for name, rate in (("less", 1.0), ("same", 2.0), ("more", 4.0)):
+        end = forecast.simulate(fits, subs=1000.0, rate=rate, sims=50).where(F.col("week") == forecast.WEEKS)
+        row = end.agg(F.percentile("subs", F.lit(0.5)).alias("p50")).select(F.lit(name).alias("plan"), "p50")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("s5_stream_weekly", f"WITH {VIDEOS} SELECT fmt, (pub // 604800000000)::BIGINT AS week, count(*) AS n, round(sum(views), 4) AS total FROM v GROUP BY 1, 2")
+def s5(spark, sf_dir):
+    """The events file as a stream, counted by week and taken up to its end."""
+    return weekly_counts(spark, sf_dir)
