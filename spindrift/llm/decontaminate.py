@@ -4,7 +4,8 @@ Every passage of every training text is a query against the items.  Impacts are
 own total, so a score is the share of the item (rare words weigh most) that the passage holds, and all pairs at or
 above one threshold are retrieved.  A passage can only reach it if it has a word of the item's essential ones (its
 heaviest words, without which the rest stays below); passages without any such word of any item are passed over at
-once.  Hits are verified: shingles of five words of the item's question and of its answer must recur near the passage.
+once.  For all other passages of a batch together, the block maxima of their words are added up per block of items;
+WAND runs in the blocks whose sum reaches the threshold, the others cannot hold a hit.  Hits are verified: shingles of five words of the item's question and of its answer must recur near the passage.
 
 The index goes to every task, so the benchmark is taken in parts of at most ``PART_BYTES``, one pass over the texts each.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, text_slices
+from .common import U64, bounded_batches, ragged_arange, released, text_slices
 from .textkit import Words, shingles
 
 K1, B = 1.2, 0.75
@@ -28,7 +29,7 @@ THRESHOLD = 0.6
 OVERLAP = 0.8  # of all shingles of the item
 PART_OVERLAP = 0.5  # of those of its question, and of its answer
 SHINGLE = 5
-BLOCK_ITEMS = 64
+BLOCK_ITEMS = 8
 LEAST_STRIDE = 32
 PART_BYTES = 16 << 20
 
@@ -85,6 +86,12 @@ class ItemIndex:
         before -= np.repeat(before[np.flatnonzero(np.append(True, np.diff(d[by])))], np.bincount(d, minlength=n)[np.bincount(d, minlength=n) > 0]) if len(d) else 0
         self.essential[np.repeat(np.arange(len(df)), df)[by][before <= 1 - threshold + 1e-9]] = True
         self.lists = [self._list(t) for t in range(len(self.terms))]
+        block = d // BLOCK_ITEMS
+        term = np.repeat(np.arange(len(df)), df)
+        fresh = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (term[1:] != term[:-1]))) if len(d) else np.zeros(0, np.int64)
+        self.block, self.block_most = block[fresh], np.maximum.reduceat(impact, fresh) if len(d) else impact
+        self.block_first = np.searchsorted(term[fresh], np.arange(len(df) + 1))
+        self.n_blocks = len(keep) // BLOCK_ITEMS + 1
         parts = [split_item(items[i][1]) for i in keep]
         self.whole = [_grams(items[i][1]) for i in keep]
         self.question, self.answer = [_grams(q) for q, _ in parts], [_grams(a) for _, a in parts]
@@ -108,10 +115,27 @@ class ItemIndex:
         out[maybe[hit]] = at[hit]
         return out
 
-    def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
-        """All items whose score for these distinct terms is at least the threshold: block-max WAND."""
+    def reachable(self, passage: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) pairs whose block maxima add up to the threshold.  ``passage``: ascending, 0..n-1, with
+        distinct terms each; passages are taken in runs, so that a run's sums stay small."""
+        step = int(np.clip((1 << 17) // self.n_blocks, 1, 4096))
+        cuts = np.searchsorted(passage, np.arange(0, n + step, step))
+        out = []
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+            first = self.block_first[term[a:b]]
+            count = self.block_first[term[a:b] + 1] - first
+            at = np.repeat(first, count) + ragged_arange(count)
+            cell = np.repeat(passage[a:b] - k * step, count) * self.n_blocks + self.block[at]
+            hit = np.flatnonzero(np.bincount(cell, self.block_most[at], step * self.n_blocks) >= self.threshold - 1e-6)
+            out.append(np.stack([hit // self.n_blocks + k * step, hit % self.n_blocks]))
+        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return both[0], both[1]
+
+    def retrieve(self, terms: list[int], lo: int = 0, hi: int = 1 << 62) -> list[tuple[int, float]]:
+        """All items of lo..hi-1 whose score for these distinct terms is at least the threshold: block-max WAND."""
         need = self.threshold - 1e-9
-        cursors = [[0, *self.lists[t]] for t in terms]  # position, items, impacts, greatest, blocks
+        cursors = [[bisect_left(self.lists[t][0], lo), *self.lists[t]] for t in terms]  # position, items, impacts, greatest, blocks
+        cursors = [c for c in cursors if c[0] < len(c[1])]
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[1][c[0]])
@@ -124,6 +148,8 @@ class ItemIndex:
             if pivot < 0:
                 break
             item = cursors[pivot][1][cursors[pivot][0]]
+            if item >= hi:
+                break
             while pivot + 1 < len(cursors) and cursors[pivot + 1][1][cursors[pivot + 1][0]] == item:
                 pivot += 1
             block = item // BLOCK_ITEMS
@@ -166,15 +192,22 @@ class ItemIndex:
         p = (at - begin[words.doc[at]]) // self.stride
         passages = np.unique(np.concatenate([words.doc[at] << 32 | p, (words.doc[at] << 32 | np.maximum(p - 1, 0))]))
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for doc, p in zip((passages >> 32).tolist(), (passages & 0xFFFFFFFF).tolist()):
-            a, stop = int(begin[doc]), int(begin[doc] + words.per_doc[doc])
-            lo, hi = a + p * self.stride, min(a + (p + 2) * self.stride, stop)
-            own = np.unique(term[lo:hi])
-            for item, score in self.retrieve(own[own >= 0].tolist()):
+        doc, p = passages >> 32, passages & 0xFFFFFFFF
+        lo = begin[doc] + p * self.stride
+        size = np.minimum(lo + 2 * self.stride, (begin + words.per_doc)[doc]) - lo
+        own = np.repeat(np.arange(len(doc)), size)
+        there = term[np.repeat(lo, size) + ragged_arange(size)]
+        pair = np.unique((own * len(self.terms) + there)[there >= 0])
+        own, there = pair // max(len(self.terms), 1), pair % max(len(self.terms), 1)
+        cuts = np.searchsorted(own, np.arange(len(doc) + 1))
+        for k, block in zip(*(x.tolist() for x in self.reachable(own, there, len(doc)))):
+            text, lo_k, hi_k = int(doc[k]), int(lo[k]), int(lo[k] + size[k])
+            a, stop = int(begin[text]), int(begin[text] + words.per_doc[text])
+            for item, score in self.retrieve(there[cuts[k] : cuts[k + 1]].tolist(), block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS):
                 reach = int(self.length[item])
-                whole, question, answer = self.verify(item, words.hash[max(a, lo - reach) : min(stop, hi + reach)])
-                if whole >= OVERLAP and min(question, answer) >= PART_OVERLAP and score > best.get((doc, item), (0.0,))[0]:
-                    best[doc, item] = (score, question, answer)
+                whole, question, answer = self.verify(item, words.hash[max(a, lo_k - reach) : min(stop, hi_k + reach)])
+                if whole >= OVERLAP and min(question, answer) >= PART_OVERLAP and score > best.get((text, item), (0.0,))[0]:
+                    best[text, item] = (score, question, answer)
         return [(doc, item, *v) for (doc, item), v in sorted(best.items())]
 
 
@@ -214,7 +247,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*hits), kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        out = out.unionByName(rows.mapInArrow(run, _HIT))
+        out = out.unionByName(rows.mapInArrow(released(run), _HIT))
     return out
 
 
@@ -228,7 +261,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 clean[[h[0] for h in index.search(piece.column("text").to_pylist())]] = False
                 yield piece.filter(pa.array(clean))
 
-        docs = bounded_batches(docs).mapInArrow(run, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(released(run), docs.schema)
     return docs
 
 
