@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import released, stage_table
 
 
 class UnionFind:
@@ -53,7 +53,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
             links.union(a, b)
         n += batch.num_rows
-        if n >= 1_000_000:
+        if n >= 250_000:
             yield _batch(links.edges())
             links, n = UnionFind(), 0
     yield _batch(links.edges())
@@ -72,7 +72,7 @@ def _totals(links: DataFrame) -> tuple:
 def connected_components(links: DataFrame) -> DataFrame:
     """links (a long, b long) -> (node, component): each linked node and the least node it is connected with."""
     rows = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
-    edges = stage_table(rows.mapInArrow(_forest, "a long, b long"), "links")  # a < b: a is the lesser node
+    edges = stage_table(rows.mapInArrow(released(_forest), "a long, b long"), "links")  # a < b: a is the lesser node
     before = _totals(edges)
     while before[0]:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")

@@ -19,7 +19,7 @@ _POWERS = {"n": 0, "up": np.zeros(0, np.uint64), "down": np.zeros(0, np.uint64)}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _POWERS["n"] < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.full(size, U64(base))
             p[0] = 1

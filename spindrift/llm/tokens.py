@@ -27,7 +27,7 @@ _PLAIN = re.compile(rf"[\t\n\r !-~{_LETTER}]*")
 _WORD_RX = re.compile(rf"[{_LETTER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTER}0-9]+")
 _BYTE_RX = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 #: Entries that a worker keeps (some 200 bytes each); beyond that, it starts again.
-_CACHE_LIMIT = 700_000
+_CACHE_LIMIT = 200_000
 
 
 def _byte_chars() -> dict[int, str]:
