@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm import decontaminate, near_dedup, packing, suffix_dedup, toxicity
-from spindrift.llm.common import stage_table
+from spindrift.llm.common import released, stage_table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -36,7 +36,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings of 100 bytes are cut out of the later texts; every document stays, maybe with an empty text."""
-    cut = suffix_dedup.remove_repeats(docs).select("doc_id", "kept").mapInArrow(_decode, "doc_id long, text string")
+    cut = suffix_dedup.remove_repeats(docs).select("doc_id", "kept").mapInArrow(released(_decode), "doc_id long, text string")
     others = docs.select(F.col("doc_id").alias("own_id"), "lang", "source").dropDuplicates(["own_id"])
     joined = cut.join(others, F.col("doc_id").eqNullSafe(F.col("own_id")), "left")
     return joined.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

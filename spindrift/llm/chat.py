@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_slices
+from .common import bounded_batches, released, text_slices
 from .tokens import BYTE_FILE, _BYTE_CHARS, encoder
 
 START, SEP, END = "<|im_start|>", "\n", "<|im_end|>"
@@ -87,7 +87,7 @@ def format_turns(conversations: DataFrame, *, file: str = BYTE_FILE, trained_rol
 
     c = F.col
     rows = bounded_batches(conversations).select(c("conv_id").cast("long"), c("turn").cast("long"), c("role").cast("string"), c("text").cast("string"))
-    return rows.mapInArrow(build, _TURN)
+    return rows.mapInArrow(released(build), _TURN)
 
 
 class Reader:
@@ -151,7 +151,7 @@ def conversation_digests(turns: DataFrame, *, file: str = BYTE_FILE) -> DataFram
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(_DIGEST_NAMES, r)) for r in out])
 
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").mapInArrow(read, _DIGEST)
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted").mapInArrow(released(read), _DIGEST)
 
 
 def op2_chat(spark, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,23 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which at its end gives freed memory back to the system: Python workers outlive their tasks, and an
+    executor has several, whose leftovers would add up."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return task
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches (column ``text``) so that each slice holds about ``limit`` bytes of text, one row at least."""
     for batch in batches:
         if batch.num_rows == 0:

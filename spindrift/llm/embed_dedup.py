@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table
+from .common import released, stage_table
 from .components import UnionFind, connected_components
 
 THRESHOLD = 0.9
@@ -120,7 +120,7 @@ def link_embeddings(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
     rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blocks = -(-rows.count() // BLOCK_ROWS) or 1
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long"))
-    packed = stage_table(dealt.repartition("block").mapInArrow(_pack, "width long, block long, ids binary, vectors binary"), "blocks")
+    packed = stage_table(dealt.repartition("block").mapInArrow(released(_pack), "width long, block long, ids binary, vectors binary"), "blocks")
 
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     tiles = packed.withColumn("other", other).select("width", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ids", "vectors")
@@ -143,7 +143,7 @@ def link_embeddings(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
                 pairs = np.array(forest.edges(), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[pairs[:, 0]]), pa.array(ids[pairs[:, 1]]), pa.array(np.zeros(len(pairs), np.int64))], names=["a", "b", "n"])
 
-    found = stage_table(tiles.repartition("width", "i", "j").sortWithinPartitions("width", "i", "j").mapInArrow(run, "a long, b long, n long"), "tiles")
+    found = stage_table(tiles.repartition("width", "i", "j").sortWithinPartitions("width", "i", "j").mapInArrow(released(run), "a long, b long, n long"), "tiles")
     counts = found.where("n > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     comps = connected_components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "vec_id")
     out = rows.select("vec_id").join(counts, "vec_id", "left").join(comps, "vec_id", "left")

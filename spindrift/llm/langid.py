@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_slices
+from .common import bounded_batches, released, text_slices
 
 DIMS = 1024
 SYMBOLS = 128
@@ -125,7 +125,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", di
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dims), pa.array(np.arange(dims)), pa.array(total)], names=["lang", "i", "v"])
 
     rows = bounded_batches(docs).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    got = rows.mapInArrow(bundle, "lang string, i long, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
+    got = rows.mapInArrow(released(bundle), "lang string, i long, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect()
     langs = sorted({r.lang for r in got})
     profile = np.zeros((len(langs), dims))
     for r in got:
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, langs: list[str], profile: np.ndarray, *, dims: int
                 score, name = np.zeros(piece.num_rows), [UNKNOWN] * piece.num_rows
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(name, pa.string()), pa.array(score)], names=[*others, "lang_pred", "lang_score"])
 
-    return bounded_batches(docs).select(*others).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*others).mapInArrow(released(run), schema)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

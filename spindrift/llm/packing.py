@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_slices
+from .common import bounded_batches, released, text_slices
 from .tokens import BYTE_FILE, encoder
 
 WINDOW = 1024
@@ -123,7 +123,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield batch(flush())
 
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(pack, _PIECE)
+    return rows.mapInArrow(released(pack), _PIECE)
 
 
 def packed_pieces(docs: DataFrame) -> DataFrame:

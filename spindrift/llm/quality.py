@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, mix64, text_slices
+from .common import U64, bounded_batches, mix64, released, text_slices
 from .textkit import Words, RangeHash
 from .toxicity import held_out, labelled_sample
 
@@ -142,7 +142,7 @@ def _measured(rows: DataFrame) -> list:
             x = measures(piece.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("y"), pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
 
-    got = rows.mapInArrow(run, "id long, y int, x binary").collect()
+    got = rows.mapInArrow(released(run), "id long, y int, x binary").collect()
     got.sort(key=lambda r: (r.id if r.id is not None else -1, bytes(r.x)))
     return got
 
@@ -169,7 +169,7 @@ def score_documents(docs: DataFrame, model: BinnedModel) -> DataFrame:
         for piece in text_slices(batches):
             yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(model.score(piece.column("text").to_pylist()))], names=[*others, "quality_score"])
 
-    return bounded_batches(docs).select(*others).mapInArrow(score, schema)
+    return bounded_batches(docs).select(*others).mapInArrow(released(score), schema)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:

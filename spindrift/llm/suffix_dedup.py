@@ -10,7 +10,8 @@ A byte goes if a 100-byte string that covers it also starts earlier (in a smalle
 3. Boundaries.  Anchors with different contexts (where a repeat begins or ends) are settled by suffix arrays over the
    contexts' texts, one text per anchor, built by linear grouping (``suffix_array``).  Ranges of window offsets within
    which contexts differ already in what all the range's windows share are told apart by hash before.
-4. Anchors with more than ``HOT`` different contexts go window by window through a pre-aggregated minimum instead.
+4. Anchors with more than ``HOT`` different contexts go window by window instead: each task settles its own equal
+   windows and sends the first of each, packed by bucket as in 2.
 
 Contexts are told apart by 112 bits of hash (64 of the anchor, 48 of the context).
 """
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_signed, bounded_batches, mix64, ragged_arange, stage_table, text_slices
+from .common import U64, as_signed, bounded_batches, mix64, ragged_arange, released, stage_table, text_slices
 from .suffix_array import suffix_arrays
 from .textkit import RangeHash
 
@@ -35,6 +36,7 @@ WINDOW = 100
 GRAM = 50
 SIDE = WINDOW - GRAM
 HOT = 2048
+HOT_BLOCK = 4_000  # contexts whose windows a task lays out together
 TASK_ANCHORS = 400_000  # a task settles and sends its anchors in blocks of so many
 LANE_CONTEXTS = 32
 LANE_BATCH = 400_000  # symbols whose suffix arrays are built together
@@ -130,6 +132,16 @@ def _unpack(blob: bytes):
     return h, c.view("<u8").ravel(), doc, np.ascontiguousarray(small[8:].T).view("<i8").ravel()
 
 
+def _packed(h: np.ndarray, c: np.ndarray, doc: np.ndarray, span: np.ndarray, first: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The rows ``first`` as one packed record per bucket; a bucket goes by ``h``."""
+    bucket = as_signed(mix64(h[first]) % U64(buckets))
+    turn = np.argsort(bucket, kind="stable")
+    first, bucket = first[turn], bucket[turn]
+    at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+    blobs = [_pack(h[i], c[i], doc[i], span[i]) for i in (first[a:b] for a, b in zip(at[:-1], at[1:]))]
+    return _rows(len(blobs), bucket=bucket[at[:-1]], kind=np.ones(len(blobs), np.int64), blob=blobs)
+
+
 def _find_anchors(buckets: int):
     def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, c, doc, span = (np.concatenate(x) for x in zip(*held))
@@ -137,13 +149,7 @@ def _find_anchors(buckets: int):
         order, _, new = _settle(h, c, doc, span)
         repeat = order[~new]
         yield _removed(*_spans_of(doc[repeat], span[repeat]), buckets)
-        first = order[new]
-        bucket = as_signed(mix64(h[first]) % U64(buckets))
-        turn = np.argsort(bucket, kind="stable")
-        first, bucket = first[turn], bucket[turn]
-        at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-        blobs = [_pack(h[i], c[i], doc[i], span[i]) for i in (first[a:b] for a, b in zip(at[:-1], at[1:]))]
-        yield _rows(len(blobs), bucket=bucket[at[:-1]], kind=np.ones(len(blobs), np.int64), blob=blobs)
+        yield _packed(h, c, doc, span, order[new], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -328,34 +334,51 @@ def _settle_boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
     yield _removed(doc[i], pos[i] - offset, pos[i] - offset + WINDOW, 1)
 
 
-def _windows_of_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of each context, by hash; of equal windows of a task only the first."""
-    got = _contexts_of(batches)
-    if got is None:
-        return
-    h, doc, pos, sides, context = got
-    ranges = RangeHash(np.ascontiguousarray(context).ravel())
-    left, right = sides >> 6, sides & 63
-    least = SIDE - right
-    count = np.maximum(left - least + 1, 0)
-    i = np.repeat(np.arange(len(h)), count)
-    offset = np.repeat(least, count) + ragged_arange(count)
-    base = i * 2 * SIDE
-    w = ranges.of(base + SIDE - offset, base + 2 * SIDE - offset) ^ mix64(offset.astype(np.uint64))
-    start = pos[i] - offset
-    order = np.lexsort((start, doc[i], w, h[i]))
-    new = np.ones(len(order), bool)
-    new[1:] = (w[order][1:] != w[order][:-1]) | (h[i][order][1:] != h[i][order][:-1])
-    again, first = order[~new], order[new]
-    d, s, e = merge_spans(doc[i][again], start[again], start[again] + WINDOW)
-    none = np.zeros(len(d), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (none, none, none, d, s, e)], names=["kind", "h", "w", "doc", "a", "b"])
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (none[:0].repeat(0) if not len(first) else np.ones(len(first), np.int64), h[i][first], as_signed(w[first]), doc[i][first], start[first], start[first] + WINDOW)], names=["kind", "h", "w", "doc", "a", "b"])
+def _windows_of_hot(buckets: int):
+    """Each window of each context, by hash; of equal windows of a task only the first is sent on, in packed records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = _contexts_of(batches)
+        if got is None:
+            return
+        h, doc, pos, sides, context = got
+        for top in range(0, len(h), HOT_BLOCK):
+            part = slice(top, top + HOT_BLOCK)
+            ranges = RangeHash(np.ascontiguousarray(context[part]).ravel())
+            left, least = sides[part] >> 6, SIDE - (sides[part] & 63)
+            count = np.maximum(left - least + 1, 0)
+            i = np.repeat(np.arange(len(left)), count)
+            offset = np.repeat(least, count) + ragged_arange(count)
+            base = i * 2 * SIDE
+            w = ranges.of(base + SIDE - offset, base + 2 * SIDE - offset) ^ mix64(offset.astype(np.uint64))
+            key, low = mix64(h[part][i].astype(np.uint64) ^ mix64(w)), w & ~U64(0xFFFF)
+            owner, start = doc[part][i], pos[part][i] - offset
+            order, _, new = _settle(key, low, owner, start)
+            again = order[~new]
+            yield _removed(owner[again], start[again], start[again] + WINDOW, buckets)
+            yield _packed(key, low, owner, start, order[new], buckets)
+
+    return run
+
+
+def _match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition holds whole buckets of windows: all but the first of equal ones are repeats."""
+    held = []
+    for batch in batches:
+        plain = batch.filter(pa.compute.equal(batch.column("kind"), 0))
+        if plain.num_rows:
+            yield plain
+        held += [_unpack(b) for b in batch.column("blob").to_pylist() if b is not None]
+    if held:
+        h, c, doc, start = (np.concatenate(x) for x in zip(*held))
+        order, _, new = _settle(h, c, doc, start)
+        again = order[~new]
+        yield _removed(doc[again], start[again], start[again] + WINDOW, 1)
 
 
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pack = zstandard.ZstdCompressor(level=3)
-    for piece in text_slices(batches, 4 << 20):
+    for piece in text_slices(batches):
         z = [pack.compress(t.encode("utf-8", "replace")) if t else None for t in piece.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(z, pa.binary())], names=["doc", "z"])
 
@@ -396,21 +419,18 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    zipped = rows.mapInArrow(_zip, "doc long, z binary")
+    zipped = rows.mapInArrow(released(_zip), "doc long, z binary")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = rows.where("doc is not null").select(F.col("doc").alias("id"), "text").mapInArrow(_find_anchors(buckets), _ROW)
-    found = stage_table(sent.repartition("bucket").mapInArrow(_match_anchors, _ROW), "anchors")
+    sent = rows.where("doc is not null").select(F.col("doc").alias("id"), "text").mapInArrow(released(_find_anchors(buckets)), _ROW)
+    found = stage_table(sent.repartition("bucket").mapInArrow(released(_match_anchors), _ROW), "anchors")
 
     marks = found.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "b", "h")).alias("marks"))
-    contexts = stage_table(zipped.join(marks, "doc").mapInArrow(_cut_contexts, _CONTEXT), "contexts")
-    cold = contexts.where("kind = 1").repartition("h").mapInArrow(_settle_boundaries, _ROW).select("doc", "a", "b")
-    windows = stage_table(contexts.where("kind = 2").mapInArrow(_windows_of_hot, "kind long, h long, w long, doc long, a long, b long"), "windows")
-    ones = windows.where("kind = 1")
-    firsts = stage_table(ones.groupBy("h", "w").agg(F.min(F.struct("doc", "a")).alias("first")), "firsts")
-    later = ones.join(firsts, ["h", "w"]).where(F.struct("doc", "a") != F.col("first")).select("doc", "a", "b")
-    spans = found.where("kind = 0").select("doc", "a", "b").unionByName(cold).unionByName(windows.where("kind = 0").select("doc", "a", "b")).unionByName(later)
+    contexts = stage_table(zipped.join(marks, "doc").mapInArrow(released(_cut_contexts), _CONTEXT), "contexts")
+    cold = contexts.where("kind = 1").repartition("h").mapInArrow(released(_settle_boundaries), _ROW).select("doc", "a", "b")
+    hot = contexts.where("kind = 2").mapInArrow(released(_windows_of_hot(buckets)), _ROW).repartition("bucket").mapInArrow(released(_match_windows), _ROW).select("doc", "a", "b")
+    spans = found.where("kind = 0").select("doc", "a", "b").unionByName(cold).unionByName(hot)
     per_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    return zipped.join(per_doc, "doc", "left").mapInArrow(_cut_texts, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    return zipped.join(per_doc, "doc", "left").mapInArrow(released(_cut_texts), "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, text_slices
+from .common import U64, bounded_batches, released, text_slices
 from .textkit import Words
 
 SAMPLE_ROWS = 8192
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_ro
             low = (pair & U64(0xFFFFFFFF)).astype("<u4")
             yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("y"), pa.array([low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["id", "y", "terms"])
 
-    got = labelled_sample(docs, labels, label, sample_rows).mapInArrow(hashed, "id long, y int, terms binary").collect()
+    got = labelled_sample(docs, labels, label, sample_rows).mapInArrow(released(hashed), "id long, y int, terms binary").collect()
     got.sort(key=lambda r: (r.id, bytes(r.terms)))
     return fit([np.frombuffer(r.terms, "<u4") for r in got], np.array([r.y for r in got], float))
 
@@ -156,7 +156,7 @@ def score_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
             got = pa.array(model.score(piece.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*piece.columns, got], names=[*others, "toxicity_score"])
 
-    return bounded_batches(docs).select(*others).mapInArrow(score, schema)
+    return bounded_batches(docs).select(*others).mapInArrow(released(score), schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

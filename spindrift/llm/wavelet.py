@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage_table, text_slices
+from .common import bounded_batches, released, stage_table, text_slices
 from .tokens import WORD_FILE, encoder
 
 MAGIC = b"WMX1"
@@ -170,7 +170,7 @@ def encode_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(build, _SHARD)
+    return rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(released(build), _SHARD)
 
 
 def write_token_shards(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
@@ -211,7 +211,7 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.mapInArrow(released(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_token_shards(spark, sf_dir: str) -> DataFrame:
