@@ -20,15 +20,30 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), F.col("event_type").alias("fmt"), F.col("event_id").alias("id"), F.col("value").alias("views"), pub.alias("pub"))
 
 
-def titles(spark: SparkSession, sf_dir: str, newest: int = 120) -> DataFrame:
-    """channel, id, title, views, pos: the newest documents of each source, with their first lines as titles."""
-    title = F.substring(F.split("text", "\n")[0], 1, 120)
+def titles(spark: SparkSession, sf_dir: str, newest: int | None = None) -> DataFrame:
+    """channel, id, title, views: every document with its whole first line as title; with ``newest`` only so many of each
+    source, and their pos from 0."""
+    title = F.split("text", "\n")[0]
     rows = table(spark, sf_dir, "documents").where("text is not null and n_chars > 0").select(F.col("source").alias("channel"), F.col("doc_id").alias("id"), title.alias("title"), F.col("n_chars").cast("double").alias("views"))
+    if newest is None:
+        return rows
     place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("id")))
     return rows.withColumn("pos", (place - 1).cast("long")).where(F.col("pos") < newest)
 
 
+def newest_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 120 of each source, with whole first lines: what the reference mines its patterns from."""
+    return titles(spark, sf_dir, 120)
+
+
+def cut_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of TITLES: the newest 120 of each source and 120 characters of their first lines."""
+    return newest_titles(spark, sf_dir).withColumn("title", F.substring("title", 1, 120))
+
+
 VIDEOS = """v AS (SELECT user_id AS channel, event_type AS fmt, event_id AS id, value AS views, epoch_us(ts) AS pub,
   row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) - 1 AS pos FROM events)"""
 TITLES = """t AS (SELECT * FROM (SELECT source AS channel, doc_id AS id, substr(split_part(text, chr(10), 1), 1, 120) AS title, n_chars::DOUBLE AS views,
   row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) - 1 AS pos FROM documents WHERE text IS NOT NULL AND n_chars > 0) WHERE pos < 120)"""
+NEWEST_TITLES = TITLES.replace("substr(split_part(text, chr(10), 1), 1, 120)", "split_part(text, chr(10), 1)")
+ALL_TITLES = NEWEST_TITLES.replace(" WHERE pos < 120", "")
