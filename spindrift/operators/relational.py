@@ -19,6 +19,31 @@ def newest_n(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, place:
     return df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col(place) <= n)
 
 
+def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys are equal; ``keys`` once."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(other, on).drop(*[f"_r_{k}" for k in keys])
+
+
+def numbered(df: DataFrame, keys: Sequence[str], time: str, order: Sequence, bucket: int, newest: bool = False, number: str = "number") -> DataFrame:
+    """Place of each row from 1 within its key, in ``order`` (by ``time``, falling if ``newest``): places within time
+    buckets and the rows of the buckets before, so a key with very many rows is dealt over its buckets."""
+    rows = df.withColumn("_b", F.floor(F.col(time) / bucket))
+    before = Window.partitionBy(*keys).orderBy(F.desc("_b") if newest else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    out = joined(rows.withColumn("_own", own), counts, [*keys, "_b"])
+    return out.withColumn(number, F.col("_own") + F.col("_before")).drop("_own", "_before", "_b")
+
+
+def in_blocks(df: DataFrame, number: str, reach: int, size: int = 4096) -> DataFrame:
+    """Rows by ``_block`` of their number, with ``reach`` rows of the neighbouring blocks, which are not ``_mine``: windows
+    of that reach over key and block are right for the rows that are."""
+    at = lambda d: F.floor((F.col(number) + d) / size)
+    return df.withColumn("_block", F.explode(F.sequence(at(-reach), at(reach)))).withColumn("_mine", F.col("_block") == at(0))
+
+
 def best_of(df: DataFrame, keys: Sequence[str], by: Column, columns: Sequence[str]) -> DataFrame:
     """One row per key: ``columns`` of the row where ``by`` is greatest (partial aggregation, no sort)."""
     row = F.max_by(F.struct(*columns), by).alias("_row")

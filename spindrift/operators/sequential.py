@@ -6,7 +6,7 @@ lists, which Spark applies group by group.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
@@ -113,6 +113,19 @@ def cut_at_pauses(starts: Sequence[float], ends: Sequence[float], least: float,
     return cuts
 
 
+def cut_at_gaps(starts: Sequence[float], gaps: Sequence[float], end: float, least: float, most: float) -> list[int]:
+    """As ``cut_at_pauses``, from the pause before each start and the last end; starts that cannot be cut at may be left out."""
+    cuts, last = [0], 0
+    while end - starts[last] > most:
+        a = bisect_left(starts, starts[last] + least, last + 1)
+        b = bisect_right(starts, starts[last] + most, a)
+        if a == b == len(starts):
+            break
+        last = max(range(a, b), key=lambda i: (gaps[i], -i)) if a < b else b
+        cuts.append(last)
+    return cuts
+
+
 def split_lines(words: Sequence[str], width: int) -> list[int]:
     """First word of each line: least sum of squared free places, lines of at most ``width`` (a longer word stands alone)."""
     best = [0.0] + [float("inf")] * len(words)

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import stats
-from ..operators.relational import best_of, newest_n
+from ..operators.relational import best_of, in_blocks, newest_n, numbered
 from ..sources.tables import DAY, VIDEOS, table, videos
-from .registry import query
+from .registry import SQL, query
 
 RECENT = 30
 R = lambda c: F.round(c, 6)
@@ -286,3 +286,40 @@ def o2(spark, sf_dir):
 def j1(spark, sf_dir):
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel"), F.col("c_name").alias("label"))
     return recent(spark, sf_dir, 5).join(names, "channel").select("channel", "pos", "label", "views")
+
+
+# The SQL of w14, w3, w16, w11 and j1 cuts rows.  The same queries without the cut (j1: with RECENT), against SQL without it:
+def _near(spark, sf_dir, reach):
+    return in_blocks(numbered(videos(spark, sf_dir), ["channel", "fmt"], "pub", [F.desc("pub"), "id"], DAY, newest=True), "number", reach)
+
+
+_BLOCK = ["channel", "fmt", "_block"]
+
+
+@query("w14_sequence_numbers_whole", f"WITH {VIDEOS} SELECT channel, id, row_number() OVER (PARTITION BY channel ORDER BY pub, id) AS number FROM v")
+def w14_whole(spark, sf_dir):
+    return numbered(videos(spark, sf_dir), ["channel"], "pub", ["pub", "id"], DAY).select("channel", "id", "number")
+
+
+@query("w3_trailing_minimum_whole", SQL["w3_trailing_minimum"].replace(" WHERE pos < 120", ""))
+def w3_whole(spark, sf_dir):
+    low = F.min("views").over(Window.partitionBy(*_BLOCK).orderBy(F.desc("number")).rowsBetween(-10, -1))
+    return _near(spark, sf_dir, 10).withColumn("rise", R(F.col("views") - low)).where("_mine").select("channel", "fmt", "id", "rise")
+
+
+@query("w16_rolling_median_whole", SQL["w16_rolling_median"].replace(" WHERE pos < 120", ""))
+def w16_whole(spark, sf_dir):
+    mid = F.expr("percentile(views, 0.5) OVER (PARTITION BY channel, fmt, _block ORDER BY number ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
+    return _near(spark, sf_dir, 2).withColumn("spike", R(F.col("views") - mid)).where("_mine").select("channel", "fmt", "id", "spike")
+
+
+@query("w11_moving_average_whole", SQL["w11_moving_average"].replace(" WHERE pos < 120", ""))
+def w11_whole(spark, sf_dir):
+    mean = F.avg("views").over(Window.partitionBy(*_BLOCK).orderBy("number").rowsBetween(-2, 2))
+    return _near(spark, sf_dir, 2).withColumn("smooth", R(mean)).where("_mine").select("channel", "fmt", "id", "smooth")
+
+
+@query("j1_ordered_lookup_whole", SQL["j1_ordered_lookup"].replace("pos < 5", f"pos < {RECENT}"))
+def j1_whole(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel"), F.col("c_name").alias("label"))
+    return recent(spark, sf_dir).join(names, "channel").select("channel", "pos", "label", "views")

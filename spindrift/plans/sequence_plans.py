@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numbers import normal_cdf
 from ..operators import forecast, sequential
-from ..operators.relational import newest_n
+from ..operators.relational import joined, newest_n
 from ..sources.tables import DAY, VIDEOS, table, videos
 from ..streaming.history import weekly_counts
 from .channel_plans import recent
@@ -18,21 +18,30 @@ from .registry import query
 
 @query("w6_peak_picking")
 def w6(spark, sf_dir):
-    """Peaks of a channel's newest 400 events: at least 6 above the median, 5 hours apart, ten at most."""
-    rows = newest_n(videos(spark, sf_dir), ["channel"], [F.desc("pub"), "id"], 400).select("channel", "id", "pub", "views")
+    """Peaks of a channel's events: at least 6 above the median, more than 5 hours apart, ten at most.
+
+    A pick keeps others out of three cells of 5 hours at most, so ten picks come before anything lower than the highest
+    values of 28 cells; what is lower cannot be picked and stays out of the channel's group."""
+    most, apart = 10, 5 * DAY // 24
+    rows = videos(spark, sf_dir).where("views is not null and not isnan(views) and pub is not null").select("channel", "id", "pub", "views", F.floor(F.col("pub") / apart).alias("cell"))
+    cells = rows.groupBy("channel", "cell").agg(F.max("views").alias("high"))
+    full = 3 * (most - 1) + 1
+    bar = newest_n(cells, ["channel"], [F.desc("high")], full).groupBy("channel").agg(F.when(F.count(F.lit(1)) == full, F.min("high")).alias("bar"))
+    above = rows.groupBy("channel").agg((F.percentile("views", F.lit(0.5)) + 6).alias("above"))
+    cells = joined(joined(cells, bar, ["channel"]), above, ["channel"]).withColumn("bar", F.greatest("above", "bar"))
+    rows = joined(rows, cells.where("high >= bar").select("channel", "cell", "bar", "above"), ["channel", "cell"]).where("views >= bar")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = sequential.pick_peaks(pdf["pub"].tolist(), pdf["views"].tolist(), 5 * DAY / 24, pdf["views"].median() + 6, 10)
+        kept = sequential.pick_peaks(pdf["pub"].tolist(), pdf["views"].tolist(), apart, pdf["above"][0], most)
         return pdf.loc[kept, ["channel", "id"]].assign(place=range(1, len(kept) + 1))
 
-    return sequential.per_group(rows, ["channel"], ["pub", "id"], "channel long, id long, place long", pick)
+    return sequential.per_group(rows.select("channel", "id", "pub", "views", "above"), ["channel"], ["pub", "id"], "channel long, id long, place long", pick)
 
 
 @query("o6_diverse_top")
 def o6(spark, sf_dir):
-    """Best five of a channel's newest 400, two of a kind at most.  The cap alone ranks within kinds first."""
-    rows = newest_n(videos(spark, sf_dir), ["channel"], [F.desc("pub"), "id"], 400).drop("place")
-    capped = newest_n(rows, ["channel", "fmt"], [F.desc("views"), "id"], 2).drop("place")
+    """Best five of a channel, two of a kind at most.  The cap alone ranks within kinds first."""
+    capped = newest_n(videos(spark, sf_dir), ["channel", "fmt"], [F.desc("views"), "id"], 2).drop("place")
     return newest_n(capped, ["channel"], [F.desc("views"), "id"], 5).select("channel", "id", "place")
 
 
@@ -87,7 +96,6 @@ def j16(spark, sf_dir):
 @query("j21_line_coalescing")
 def j21(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.substring("text", 1, 60).alias("line"))
-    rows = newest_n(rows, ["conv_id"], ["turn", "line"], 400)
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[["conv_id", "turn"]].assign(event=sequential.coalesce_lines(pdf["turn"].tolist(), pdf["line"].tolist(), 2.5, 0.8))
@@ -97,12 +105,24 @@ def j21(spark, sf_dir):
 
 @query("w15_pause_chapters")
 def w15(spark, sf_dir):
-    """Chapters of a channel's newest 400 events: one to three days, cut at the longest pause."""
-    rows = newest_n(videos(spark, sf_dir), ["channel"], [F.desc("pub"), "id"], 400).select("channel", "id", "pub")
+    """Chapters of a channel's events: one to three days, cut at the longest pause.
+
+    A cut is the longest pause of two days, so longer than all of the three cells of 6 hours before it, or as long as all
+    of the three after it.  Only such events get into the channel's group; pauses are taken cell by cell."""
+    cell, minute = DAY // 4, 60_000_000
+    rows = videos(spark, sf_dir).where("pub is not null").select("channel", "id", "pub", F.floor(F.col("pub") / cell).alias("cell"))
+    in_time = Window.partitionBy("channel").orderBy("cell")
+    ends = rows.groupBy("channel", "cell").agg(F.max("pub").alias("last")).select("channel", "cell", F.lag("last").over(in_time).alias("before"), (F.max("last").over(Window.partitionBy("channel")) + minute).alias("end"))
+    own = F.lag("pub").over(Window.partitionBy("channel", "cell").orderBy("pub", "id"))
+    rows = joined(rows.withColumn("own", own), ends, ["channel", "cell"]).withColumn("gap", F.col("pub") - F.coalesce("own", "before") - minute)
+    longest = rows.groupBy("channel", "cell").agg(F.max("gap").alias("longest"))
+    near = longest.select("channel", "cell", F.max("longest").over(in_time.rangeBetween(-3, -1)).alias("left"), F.max("longest").over(in_time.rangeBetween(1, 3)).alias("right"))
+    may = F.col("gap").isNull() | F.col("left").isNull() | F.col("right").isNull() | (F.col("gap") > F.col("left")) | (F.col("gap") >= F.col("right"))
+    rows = joined(rows, near, ["channel", "cell"]).where(may).select("channel", "id", "pub", "gap", "end")
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         at = pdf["pub"].tolist()
-        cuts = sequential.cut_at_pauses(at, [t + 60_000_000 for t in at], DAY, 3 * DAY)
+        cuts = sequential.cut_at_gaps(at, pdf["gap"].tolist(), int(pdf["end"][0]), DAY, 3 * DAY)
         return pd.DataFrame({"channel": pdf["channel"][0], "chapter": range(1, len(cuts) + 1), "start": [at[i] for i in cuts]})
 
     return sequential.per_group(rows, ["channel"], ["pub", "id"], "channel long, chapter long, start long", cut)
@@ -127,9 +147,11 @@ def f9(spark, sf_dir):
 
 @query("f11_first_fit_tags")
 def f11(spark, sf_dir):
-    """Names of a brand's parts, first fit into 60 characters."""
+    """Names of a brand's parts, first fit into 60 characters.  Once a name does not fit, none of its length fits later, so
+    of each length only the first that fill the 60 characters by themselves can be taken."""
     names = table(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("at"))
-    top = newest_n(names, ["p_brand"], ["at"], 200).groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("at", "p_name"))).alias("t"))
+    names = newest_n(names.withColumn("n", F.length("p_name")), ["p_brand", "n"], ["at"], 61).where("n is null or place = 1 or place * (n + 1) <= 61")
+    top = names.groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("at", "p_name"))).alias("t"))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
 
     def add(s, x):

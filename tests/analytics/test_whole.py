@@ -1,9 +1,17 @@
 """Queries on made-up tables with more rows in a group, and longer texts, than the given tables have."""
 
+import random
+from functools import partial
+from statistics import median
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.plans.catalogue import QUERIES
+from spindrift.operators import sequential
+from spindrift.plans import channel_plans
+from spindrift.plans.catalogue import QUERIES, SQL
+from spindrift.sources.tables import HOUR
 
 
 @pytest.fixture(scope="module")
@@ -29,3 +37,55 @@ def test_mined_titles_are_the_newest_120_whole(spark, long_titles, name):
     rows.write.parquet(f"{home}/documents.parquet")
     got = {r[1]: r.n for r in QUERIES[name](spark, home).collect()}
     assert got["late"] == got["early"] == 60
+
+
+@pytest.fixture(scope="module")
+def busy(spark, tmp_path_factory):
+    """Two channels of 1,500 and 40 events in 60 days with equal times and values among them, and a brand of 500 names."""
+    rng, home, rows = random.Random(3), str(tmp_path_factory.mktemp("busy")), []
+    for channel, n in ((1, 1500), (2, 40)):
+        for i in range(n):
+            at = rng.randrange(60 * 24 * 12) * 5 if rng.random() < 0.7 else rng.choice((100, 900, 20_000)) + rng.randrange(300)
+            rows.append((channel * 10_000 + i, channel, rng.choice(["view", "click", "error"]), float(rng.choice([rng.randrange(90), rng.randrange(20)])), at))
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, at long").withColumn("ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("at") * 60).cast("timestamp_ntz")).drop("at").write.parquet(f"{home}/events.parquet")
+    parts = [(i, "one", f"{i:03d}" + "n" * (58 if i < 400 else rng.randrange(8))) for i in range(500)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_name string").write.parquet(f"{home}/part.parquet")
+    return home, sorted((c, 1_704_067_200_000_000 + a * 60_000_000, i, k, v) for i, c, k, v, a in rows), parts
+
+
+def test_peaks_and_best_of_all_events(spark, busy):
+    home, rows, _ = busy
+    for name, f in (
+        ("w6_peak_picking", lambda r: sequential.pick_peaks([x[1] for x in r], [x[4] for x in r], 5 * HOUR, median(x[4] for x in r) + 6, 10)),
+        ("o6_diverse_top", lambda r: sequential.diverse_top([x[4] for x in r], [x[3] for x in r], 5, 2)),
+    ):
+        got = [[x.id for x in sorted(QUERIES[name](spark, home).where(F.col("channel") == c).collect(), key=lambda x: x.place)] for c in (1, 2)]
+        order = (lambda x: (x[2],)) if name[0] == "o" else (lambda x: (x[1], x[2]))
+        each = [sorted((x for x in rows if x[0] == c), key=order) for c in (1, 2)]
+        assert got == [[r[i][2] for i in f(r)] for r in each]
+
+
+def test_chapters_of_all_events(spark, busy):
+    home, rows, _ = busy
+    got = [[x.start for x in sorted(QUERIES["w15_pause_chapters"](spark, home).where(F.col("channel") == c).collect(), key=lambda x: x.chapter)] for c in (1, 2)]
+    for c, starts in zip((1, 2), got):
+        at = [x[1] for x in rows if x[0] == c]
+        assert starts == [at[i] for i in sequential.cut_at_pauses(at, [t + 60_000_000 for t in at], 24 * HOUR, 72 * HOUR)]
+
+
+def test_first_fit_reaches_late_short_names(spark, busy):
+    home, _, parts = busy
+    assert [r.tags for r in QUERIES["f11_first_fit_tags"](spark, home).collect()] == [",".join(sequential.first_fit([p[2] for p in parts], 60))]
+
+
+def test_numbers_and_smoothing_of_all_events(spark, busy, monkeypatch):
+    home, rows, _ = busy
+    monkeypatch.setattr(channel_plans, "in_blocks", partial(channel_plans.in_blocks, size=64))
+    got = {r.id: r.number for r in QUERIES["w14_sequence_numbers_whole"](spark, home).collect()}
+    assert got == {x[2]: i for c in (1, 2) for i, x in enumerate((x for x in rows if x[0] == c), 1)}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{home}/events.parquet/*.parquet'")
+    for name in ("w3_trailing_minimum_whole", "w16_rolling_median_whole", "w11_moving_average_whole"):
+        want = sorted(con.execute(SQL[name]).fetchall(), key=lambda x: x[2])
+        found = sorted(map(tuple, QUERIES[name](spark, home).collect()), key=lambda x: x[2])
+        assert [x[:3] for x in found] == [x[:3] for x in want] and [x[3] for x in found] == pytest.approx([x[3] for x in want], nan_ok=True)
