@@ -37,11 +37,11 @@ def numbered(df: DataFrame, keys: Sequence[str], time: str, order: Sequence, buc
     return out.withColumn(number, F.col("_own") + F.col("_before")).drop("_own", "_before", "_b")
 
 
-def in_blocks(df: DataFrame, number: str, reach: int, size: int = 4096) -> DataFrame:
-    """Rows by ``_block`` of their number, with ``reach`` rows of the neighbouring blocks, which are not ``_mine``: windows
-    of that reach over key and block are right for the rows that are."""
+def in_blocks(df: DataFrame, number: str, back: int, ahead: int, size: int = 4096) -> DataFrame:
+    """Rows by ``_block`` of their number, with the rows of the neighbouring blocks that lie up to ``back`` before and
+    ``ahead`` after, which are not ``_mine``: windows of that reach over key and block are right for the rows that are."""
     at = lambda d: F.floor((F.col(number) + d) / size)
-    return df.withColumn("_block", F.explode(F.sequence(at(-reach), at(reach)))).withColumn("_mine", F.col("_block") == at(0))
+    return df.withColumn("_block", F.explode(F.sequence(at(-ahead), at(back)))).withColumn("_mine", F.col("_block") == at(0))
 
 
 def best_of(df: DataFrame, keys: Sequence[str], by: Column, columns: Sequence[str]) -> DataFrame:

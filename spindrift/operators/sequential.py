@@ -77,24 +77,43 @@ def iou(a: tuple[float, float, float, float], b: tuple[float, float, float, floa
     return w * h / union if union > 0 else 0.0
 
 
-def similarity(a: str, b: str) -> float:
-    """Matching share of two strings; cheap upper bounds first."""
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by whole columns of bits."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    all_ = (1 << len(a)) - 1
+    left = all_
+    for c in b:
+        hit = left & at.get(c, 0)
+        left = ((left + hit) | (left - hit)) & all_
+    return len(a) - left.bit_count()
+
+
+def alike(a: str, b: str, share: float) -> bool:
+    """Whether the matching share of two whole strings is at least ``share``; upper bounds first: lengths, letters, and
+    the longest common subsequence, as matching blocks are one."""
+    if a == b:
+        return True
     m = SequenceMatcher(None, a, b, autojunk=False)
-    return m.ratio() if m.real_quick_ratio() > 0 and m.quick_ratio() > 0 else 0.0
+    if m.real_quick_ratio() < share or m.quick_ratio() < share or 2 * common(a, b) / (len(a) + len(b)) < share:
+        return False
+    return m.ratio() >= share
 
 
-def coalesce_lines(at: Sequence[float], text: Sequence[str], gap: float, alike: float, window: int = 40) -> list[int]:
-    """Event number of each line: the latest of the last ``window`` events that is near in time and alike, else a new one."""
-    events: list[list] = []
+def coalesce_lines(at: Sequence[float], same: Callable[[int, int], bool], gap: float, window: int = 40) -> list[int]:
+    """Event number of each line: the latest of the last ``window`` events whose last line is near in time and the
+    ``same`` (later line, earlier line), else a new one."""
+    events: list[int] = []
     out: list[int] = []
-    for t, s in zip(at, text):
+    for i, t in enumerate(at):
         for k in range(len(events) - 1, max(-1, len(events) - 1 - window), -1):
-            if t - events[k][0] <= gap and similarity(events[k][1], s) >= alike:
-                events[k] = [t, s]
+            if t - at[events[k]] <= gap and same(i, events[k]):
+                events[k] = i
                 out.append(k)
                 break
         else:
-            events.append([t, s])
+            events.append(i)
             out.append(len(events) - 1)
     return out
 

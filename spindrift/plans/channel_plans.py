@@ -290,7 +290,7 @@ def j1(spark, sf_dir):
 
 # The SQL of w14, w3, w16, w11 and j1 cuts rows.  The same queries without the cut (j1: with RECENT), against SQL without it:
 def _near(spark, sf_dir, reach):
-    return in_blocks(numbered(videos(spark, sf_dir), ["channel", "fmt"], "pub", [F.desc("pub"), "id"], DAY, newest=True), "number", reach)
+    return in_blocks(numbered(videos(spark, sf_dir), ["channel", "fmt"], "pub", [F.desc("pub"), "id"], DAY, newest=True), "number", reach, reach)
 
 
 _BLOCK = ["channel", "fmt", "_block"]

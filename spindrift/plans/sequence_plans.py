@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.numbers import normal_cdf
 from ..operators import forecast, sequential
-from ..operators.relational import joined, newest_n
+from ..operators.relational import in_blocks, joined, newest_n, numbered
 from ..sources.tables import DAY, VIDEOS, table, videos
 from ..streaming.history import weekly_counts
 from .channel_plans import recent
@@ -73,20 +73,22 @@ def j19(spark, sf_dir):
     return sequential.per_group(rows, ["l_orderkey"], ["l_linenumber"], "l_orderkey long, l_linenumber int", keep)
 
 
-_TURN = 200  # first characters that a turn is compared by, as the reference role compares short spoken lines
+def _turns(spark, sf_dir, by, back):
+    """Turns with their number in the conversation, in blocks of ``by`` with those up to ``back`` before."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("text").alias("line"))
+    return in_blocks(numbered(rows, ["conv_id"], "turn", ["turn", "line"], 256), by, back, 0, 256)
 
 
 @query("j16_retakes")
 def j16(spark, sf_dir):
-    """Turns that repeat one of the five before them, by matching share of 0.7."""
-    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-5, -1)
-    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.substring("text", 1, _TURN).alias("line"))
-    before = rows.withColumn("before", F.collect_list(F.struct("turn", "line")).over(order)).where(F.size("before") > 0)
+    """Turns that repeat one of the five before them, by matching share of 0.7 of the whole texts."""
+    order = Window.partitionBy("conv_id", "_block").orderBy("number").rowsBetween(-5, -1)
+    before = _turns(spark, sf_dir, "number", 5).withColumn("before", F.collect_list(F.struct("turn", "line")).over(order)).where("_mine and size(before) > 0")
 
     @F.pandas_udf("long")
     def nearest_alike(line: pd.Series, before: pd.Series) -> pd.Series:
         def one(s, earlier):
-            return next((r["turn"] for r in reversed(list(earlier)) if sequential.similarity(r["line"], s) >= 0.7), None)
+            return next((r["turn"] for r in reversed(list(earlier)) if sequential.alike(r["line"], s, 0.7)), None)
 
         return pd.Series([one(s, b) for s, b in zip(line, before)], dtype="Int64")
 
@@ -95,12 +97,22 @@ def j16(spark, sf_dir):
 
 @query("j21_line_coalescing")
 def j21(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.substring("text", 1, 60).alias("line"))
+    """Turns in events, by matching share of 0.8 of the whole texts.  Texts are compared block by block; a conversation's
+    group gets the numbers of the turns alike only."""
+    order = Window.partitionBy("conv_id", "_block").orderBy("turn").rangeBetween(-2, 0)
+    near = _turns(spark, sf_dir, "turn", 2).withColumn("near", F.collect_list(F.struct("number", "line")).over(order)).where("_mine")
+
+    @F.pandas_udf("array<long>")
+    def those_alike(number: pd.Series, line: pd.Series, near: pd.Series) -> pd.Series:
+        return pd.Series([[r["number"] for r in rs if r["number"] < n and sequential.alike(r["line"], s, 0.8)] for n, s, rs in zip(number, line, near)])
+
+    rows = near.select("conv_id", "turn", "number", those_alike("number", "line", "near").alias("alike"))
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf[["conv_id", "turn"]].assign(event=sequential.coalesce_lines(pdf["turn"].tolist(), pdf["line"].tolist(), 2.5, 0.8))
+        alike = [set(x) for x in pdf["alike"]]
+        return pdf[["conv_id", "turn"]].assign(event=sequential.coalesce_lines(pdf["turn"].tolist(), lambda i, j: j + 1 in alike[i], 2.5))
 
-    return sequential.per_group(rows, ["conv_id"], ["turn", "line"], "conv_id long, turn long, event long", group)
+    return sequential.per_group(rows, ["conv_id"], ["number"], "conv_id long, turn long, event long", group)
 
 
 @query("w15_pause_chapters")

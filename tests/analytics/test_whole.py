@@ -1,11 +1,14 @@
 """Queries on made-up tables with more rows in a group, and longer texts, than the given tables have."""
 
 import random
+from difflib import SequenceMatcher
 from functools import partial
 from statistics import median
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spindrift.operators import sequential
@@ -89,3 +92,36 @@ def test_numbers_and_smoothing_of_all_events(spark, busy, monkeypatch):
         want = sorted(con.execute(SQL[name]).fetchall(), key=lambda x: x[2])
         found = sorted(map(tuple, QUERIES[name](spark, home).collect()), key=lambda x: x[2])
         assert [x[:3] for x in found] == [x[:3] for x in want] and [x[3] for x in found] == pytest.approx([x[3] for x in want], nan_ok=True)
+
+
+def _share(a, b):
+    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=30), st.text("abc", max_size=30))
+def test_alike_is_the_matching_share(a, b):
+    assert all(sequential.alike(a, b, share) == (_share(a, b) >= share) for share in (0.5, 0.7, 0.8, 1.0))
+
+
+def test_turns_are_compared_whole(spark, tmp_path):
+    """Equal openings, equal ends, copies with slips, and a conversation of more turns than a block."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    opening = text(250)
+    turns = {(1, 0): opening + "a" * 500, (1, 1): opening + "b" * 500, (2, 0): text(250) + "end " * 300, (2, 1): text(250) + "end " * 300}
+    recent = [text(40)]
+    for t in range(600):
+        old = rng.choice(recent[-4:])
+        recent.append(rng.choice([old, old[:20] + text(3) + old[23:], text(40)]))
+        turns[3, t] = recent[-1]
+    spark.createDataFrame([(c, t, s) for (c, t), s in turns.items()], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {(c, t): next((u for u in range(t - 1, max(-1, t - 6), -1) if _share(turns[c, u], s) >= 0.7), None) for (c, t), s in turns.items()}
+    got = {(r.conv_id, r.turn): r.earlier for r in QUERIES["j16_retakes"](spark, str(tmp_path)).collect()}
+    assert got == {k: v for k, v in want.items() if v is not None}
+    assert (1, 1) not in got and got[2, 1] == 0
+    got = {(r.conv_id, r.turn): r.event for r in QUERIES["j21_line_coalescing"](spark, str(tmp_path)).collect()}
+    for c in (1, 2, 3):
+        lines = [turns[k] for k in sorted(turns) if k[0] == c]
+        assert [got[c, t] for t in range(len(lines))] == sequential.coalesce_lines(range(len(lines)), lambda i, j: _share(lines[j], lines[i]) >= 0.8, 2.5)  # noqa: B023
+    assert got[1, 1] == 1 and got[2, 1] == 0
