@@ -26,23 +26,22 @@ def fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def bootstrap(peers: DataFrame, samples: int = 100, seed: int = SEED) -> DataFrame:
-    """peers (x, y; a bounded list of comparison channels) -> sample, a, b, tau.  Sample 0 is the peers themselves."""
+    """peers (fmt, x, y; a bounded list of comparison channels) -> fmt, sample, a, b, tau.  Each format is calibrated by
+    itself; sample 0 is its peers themselves."""
     spark = peers.sparkSession
-    packed = peers.agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("p"))
+    packed = peers.groupBy("fmt").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("p"))
 
     def run(frames):
         for pdf in frames:
             out = []
-            for b, p in zip(pdf["sample"], pdf["p"]):
+            for fmt, b, p in zip(pdf["fmt"], pdf["sample"], pdf["p"]):
                 x, y = np.array([r["x"] for r in p]), np.array([r["y"] for r in p])
-                if not len(x):
-                    continue
                 pick = np.random.default_rng([seed, b]).integers(0, len(x), len(x)) if b else np.arange(len(x))
-                out.append((b, *fit_line(x[pick], y[pick])))
-            yield pd.DataFrame(out, columns=["sample", "a", "b", "tau"])
+                out.append((fmt, b, *fit_line(x[pick], y[pick])))
+            yield pd.DataFrame(out, columns=["fmt", "sample", "a", "b", "tau"])
 
-    table = spark.range(samples).withColumnRenamed("id", "sample").withColumn("_one", F.lit(1))
-    return table.join(F.broadcast(packed.withColumn("_one", F.lit(1))), "_one").mapInPandas(run, "sample long, a double, b double, tau double")
+    table = spark.range(samples).withColumnRenamed("id", "sample")
+    return table.crossJoin(F.broadcast(packed)).mapInPandas(run, "fmt string, sample long, a double, b double, tau double")
 
 
 def paths(a: float, b: float, tau: float, sigma: float, *, subs: float, rate: float, conv: float, keep: float, draws: np.ndarray, shift: float) -> np.ndarray:
@@ -62,7 +61,7 @@ def paths(a: float, b: float, tau: float, sigma: float, *, subs: float, rate: fl
 
 
 def simulate(calibration: DataFrame, *, subs: float, rate: float, sigma: float = 0.8, conv: float = 0.002, keep: float = 0.6, sims: int = 200, weeks: int = WEEKS, seed: int = SEED) -> DataFrame:
-    """sample, week (from 1), sim, subs."""
+    """fmt, sample, week (from 1), sim, subs."""
 
     def run(frames):
         for pdf in frames:
@@ -70,18 +69,18 @@ def simulate(calibration: DataFrame, *, subs: float, rate: float, sigma: float =
                 rng = np.random.default_rng([seed, 1, int(r.sample)])
                 shift, draws = rng.normal(), rng.normal(size=(weeks, sims))
                 got = paths(r.a, r.b, r.tau, sigma, subs=subs, rate=rate, conv=conv, keep=keep, draws=draws, shift=shift)
-                yield pd.DataFrame({"sample": int(r.sample), "week": np.repeat(np.arange(1, weeks + 1), sims), "sim": np.tile(np.arange(sims), weeks), "subs": got.ravel()})
+                yield pd.DataFrame({"fmt": r.fmt, "sample": int(r.sample), "week": np.repeat(np.arange(1, weeks + 1), sims), "sim": np.tile(np.arange(sims), weeks), "subs": got.ravel()})
 
-    return calibration.mapInPandas(run, "sample long, week long, sim long, subs double")
+    return calibration.mapInPandas(run, "fmt string, sample long, week long, sim long, subs double")
 
 
 def bands(simulated: DataFrame) -> DataFrame:
-    """week, p10, p50, p90."""
-    return simulated.groupBy("week").agg(*[F.percentile("subs", F.lit(q / 100)).alias(f"p{q}") for q in (10, 50, 90)])
+    """fmt, week, p10, p50, p90."""
+    return simulated.groupBy("fmt", "week").agg(*[F.percentile("subs", F.lit(q / 100)).alias(f"p{q}") for q in (10, 50, 90)])
 
 
 def milestones(simulated: DataFrame, goals: list[float]) -> DataFrame:
-    """goal, week, chance, low, high: share of paths that have reached a goal, and its spread over the samples."""
+    """fmt, goal, week, chance, low, high: share of paths that have reached a goal, and its spread over the samples."""
     goal = F.explode(F.array(*[F.lit(float(g)) for g in goals]))
-    each = simulated.withColumn("goal", goal).groupBy("goal", "week", "sample").agg(F.avg((F.col("subs") >= F.col("goal")).cast("double")).alias("p"))
-    return each.groupBy("goal", "week").agg(F.avg("p").alias("chance"), F.percentile("p", F.lit(0.1)).alias("low"), F.percentile("p", F.lit(0.9)).alias("high"))
+    each = simulated.withColumn("goal", goal).groupBy("fmt", "goal", "week", "sample").agg(F.avg((F.col("subs") >= F.col("goal")).cast("double")).alias("p"))
+    return each.groupBy("fmt", "goal", "week").agg(F.avg("p").alias("chance"), F.percentile("p", F.lit(0.1)).alias("low"), F.percentile("p", F.lit(0.9)).alias("high"))

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spindrift.operators import sequential
+from spindrift.operators import forecast, sequential
 from spindrift.plans import channel_plans
 from spindrift.plans.catalogue import QUERIES, SQL
 from spindrift.sources.tables import HOUR
@@ -125,3 +125,19 @@ def test_turns_are_compared_whole(spark, tmp_path):
         lines = [turns[k] for k in sorted(turns) if k[0] == c]
         assert [got[c, t] for t in range(len(lines))] == sequential.coalesce_lines(range(len(lines)), lambda i, j: _share(lines[j], lines[i]) >= 0.8, 2.5)  # noqa: B023
     assert got[1, 1] == 1 and got[2, 1] == 0
+
+
+def test_forecast_calibrates_every_format_with_100_samples_of_60_paths(spark, monkeypatch):
+    home, paths = "/root/testdata/sf0.001", []
+    simulate = forecast.simulate
+    monkeypatch.setattr(forecast, "simulate", lambda *a, **k: paths.append(k["sims"]) or simulate(*a, **k))
+    formats = {r.fmt: r.n for r in QUERIES["a21_line_fit"](spark, home).collect()}
+    fits = QUERIES["t1_bootstrap"](spark, home).collect()
+    assert len(formats) > 1 and sorted((r.fmt, r.sample) for r in fits) == [(f, b) for f in sorted(formats) for b in range(100)]
+    for r in QUERIES["a21_line_fit"](spark, home).collect():
+        own = next(x for x in fits if x.fmt == r.fmt and x.sample == 0)
+        assert (own.a, own.b, own.tau) == pytest.approx((r.intercept, r.slope, r.tau), abs=1e-5)
+    assert {(r.fmt, r.week) for r in QUERIES["t4_forecast_bands"](spark, home).collect()} == {(f, w) for f in formats for w in range(1, 53)}
+    assert len(QUERIES["t4_milestones"](spark, home).columns) == 6
+    assert {(r.fmt, r.plan) for r in QUERIES["t5_plan_variants"](spark, home).collect()} == {(f, p) for f in formats for p in ("less", "same", "more")}
+    assert paths == [60] * 5
