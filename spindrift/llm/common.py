@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -15,10 +16,13 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a local default only where that is unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``.  Where that is unset, the warehouse serves in local
+    mode only, where driver and executors are one machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stage"
 
 
@@ -30,14 +34,31 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes of an Arrow batch between the JVM and a Python worker: texts may be long, so rows say little.
 BATCH_BYTES = 4 << 20
+_UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40, "p": 1 << 50, "pb": 1 << 50}
+
+
+def size_in_bytes(setting: str) -> int:
+    """A size as Spark writes it (``4194304``, ``64m``, ``1gb``) in bytes; -1 (no bound) is very large."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", setting.lower()).groups()
+    return int(number) * _UNITS[unit] if int(number) > 0 else 1 << 62
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches held to ``BATCH_BYTES`` (a smaller setting stays)."""
+    """``df``, with Arrow batches of at most ``BATCH_BYTES`` required: this sets the session's
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` for all queries that follow, unless it is as small already."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(conf.get(key).rstrip("b")) > BATCH_BYTES:
+    if size_in_bytes(conf.get(key)) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
     return df
 

@@ -1,19 +1,21 @@
-"""Exact removal of repeated 100-byte strings, over all documents.
+"""Exact removal of repeated 100-byte strings, over all documents, by suffix arrays.
 
 A byte goes if a 100-byte string that covers it also starts earlier (in a smaller doc_id, or further left).
 
-1. Anchors.  In every 100-byte window, the 50-byte gram of least hash is its anchor, so equal windows have equal
-   anchors at equal offsets, and grouping by anchor loses no repeat.  A text has about one anchor per 25 bytes.
-2. Contexts.  An anchor with the up to 50 bytes on either side holds every window around it.  Of equal contexts all
-   but the first occurrence are repeated throughout.  Tasks settle equal contexts among their own rows first, so a
-   context in a third of all documents sends one record per task.  Records travel as packed columns per bucket.
-3. Boundaries.  Anchors with different contexts (where a repeat begins or ends) are settled by suffix arrays over the
-   contexts' texts, one text per anchor, built by linear grouping (``suffix_array``).  Ranges of window offsets within
-   which contexts differ already in what all the range's windows share are told apart by hash before.
-4. Anchors with more than ``HOT`` different contexts go window by window instead: each task settles its own equal
-   windows and sends the first of each, packed by bucket as in 2.
-
-Contexts are told apart by 112 bits of hash (64 of the anchor, 48 of the context).
+1. Routing.  In every 100-byte window, the 50-byte gram of least hash (the leftmost, if it recurs) is the window's
+   anchor, so equal windows have equal anchors at equal places.  A run of windows with one anchor is a segment: some
+   26 windows, each text has about one segment per 26 bytes.  Hashes only tell which segments must be compared.
+2. Comparison.  The segments of one anchor are laid end to end, the anchor's 50 bytes as one sign, and their suffix
+   array is built by linear grouping (``suffix_array``).  Windows that are equal stand next to each other in it; of
+   these all but the first in order of documents are repeats.  Texts of more than ``LANE`` segments are cut: what
+   was found repeated throughout leaves, what is left is compared again; if little leaves, windows are told apart
+   by the hash of the bytes that several of them share.
+3. Order of work.  Each task compares its own segments first, so what a third of all documents hold sends one
+   segment per task.  Then places of the others are dealt by anchor to find anchors that several tasks have; bytes
+   of these alone are fetched and compared.  An anchor with more than ``HOT`` segments is compared in groups of so
+   many; the windows that stay are dealt by their own hash, and those that meet another one are compared once more.
+
+Every removal is decided on bytes: segments of one anchor hash but other anchor bytes are told apart.
 """
 
 from __future__ import annotations
@@ -23,12 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_signed, bounded_batches, mix64, ragged_arange, released, stage_table, text_slices
+from .common import U64, as_signed, bounded_batches, mix64, ragged_arange, released, stage_table
 from .suffix_array import suffix_arrays
 from .textkit import RangeHash
 
@@ -36,33 +37,44 @@ WINDOW = 100
 GRAM = 50
 SIDE = WINDOW - GRAM
 HOT = 2048
-HOT_BLOCK = 4_000  # contexts whose windows a task lays out together
-TASK_ANCHORS = 400_000  # a task settles and sends its anchors in blocks of so many
-LANE_CONTEXTS = 32
-LANE_BATCH = 400_000  # symbols whose suffix arrays are built together
-MIN_LEVEL = 2
+SLICE_BYTES = 1 << 19  # texts hashed together
+TASK_BYTES = 8 << 20  # a task compares and sends its segments in blocks of so many bytes of text
+SETTLE_SEGMENTS = 20_000  # segments from other tasks that are compared together
+LANE = 8  # segments of a suffix array
+LANE_BATCH = 600_000  # symbols whose suffix arrays are built together
+NO_ID = (1 << 63) - 1
 
 
-def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
-    f, n = (np.minimum if least else np.maximum), 1
+def _slide(x: np.ndarray, width: int) -> np.ndarray:
+    """Least of each ``width`` entries in a row."""
+    n = 1
     while 2 * n <= width:
-        x = f(x[:-n], x[n:])
+        x = np.minimum(x[:-n], x[n:])
         n *= 2
     rest = width - n
-    return f(x[: len(x) - rest], x[rest:]) if rest else x
-
-
-def anchors(buf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, RangeHash]:
-    """Positions, in texts laid end to end, of the grams that are least in some window of their text."""
-    ranges = RangeHash(buf)
-    if len(buf) < WINDOW:
-        return np.zeros(0, np.int64), ranges
-    g = ranges.all_grams(GRAM)
-    m = _slide(g, SIDE + 1, True)
-    ends = np.repeat(np.cumsum(sizes), sizes)[: len(m)]
-    m[np.arange(len(m)) + WINDOW > ends] = 0
-    pad = np.zeros(SIDE, np.uint64)
-    return np.flatnonzero(_slide(np.concatenate([pad, m, pad]), SIDE + 1, False) == g), ranges
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def segments(buf: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts laid end to end -> of each segment: hash of its anchor, place of the anchor, first and last window."""
+    n = len(buf) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    g = RangeHash(buf).all_grams(GRAM)
+    m = _slide(g, SIDE + 1)
+    valid = np.arange(n) + WINDOW <= np.repeat(np.cumsum(sizes), sizes)[:n]
+    fresh = valid.copy()
+    # the next window has another anchor if its least gram differs, or if this window began with its anchor
+    fresh[1:] &= (m[1:] != m[:-1]) | (g[: n - 1] == m[:-1]) | ~valid[:-1]
+    start = np.flatnonzero(fresh)
+    change = np.append(np.flatnonzero(fresh | ~valid), n)
+    stop = change[np.searchsorted(change, start, side="right")] - 1
+    anchor, least = stop.copy(), m[start]
+    todo = np.flatnonzero(g[anchor] != least)
+    while len(todo):
+        anchor[todo] += 1
+        todo = todo[g[anchor[todo]] != least[todo]]
+    return least, anchor, start, stop
 
 
 def merge_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,356 +93,494 @@ def merge_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[n
     return doc[at], start[at], reach[last] - number[last] * room
 
 
-def _settle(h: np.ndarray, c: np.ndarray, doc: np.ndarray, span: np.ndarray):
-    """Order by (anchor, context, document, position).  Returns that order, and where anchors and contexts begin."""
-    order = np.lexsort((span, doc, c, h))
-    a, b = h[order], c[order]
-    new_h, new_c = np.ones(len(a), bool), np.ones(len(a), bool)
-    new_h[1:] = a[1:] != a[:-1]
-    new_c[1:] = new_h[1:] | (b[1:] != b[:-1])
-    return order, new_h, new_c
+# --- comparison -----------------------------------------------------------------------------------------------------
+
+
+def _heads(key: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+
+
+def same_anchor(buf: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Keys that also tell apart anchors of equal hash and other bytes."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    again = np.flatnonzero(k[1:] == k[:-1])
+    for top in range(0, len(again), 50_000):
+        i = again[top : top + 50_000]
+        a, b = at[order[i]], at[order[i + 1]]
+        if any((buf[a + j] != buf[b + j]).any() for j in range(GRAM)):
+            anchors = [buf[x : x + GRAM].tobytes() for x in at.tolist()]
+            number = {x: i for i, x in enumerate(sorted(set(anchors)))}
+            return mix64(key ^ mix64(np.array([number[x] for x in anchors], np.uint64) + U64(1)))
+    return key
+
+
+def repeated_windows(buf: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, key: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """segments x offsets 0..50: does the window that starts so many bytes before the segment's anchor recur in a
+    segment of equal ``key`` and smaller ``rank``?
+
+    ``at``: place of the anchor in ``buf``.  A segment has the windows of offsets SIDE - right .. left.
+    """
+    found = np.zeros((len(at), SIDE + 1), bool)
+    key = same_anchor(buf, at, key.astype(np.uint64))
+    item = np.lexsort((rank, key))
+    key, lo, hi = key[item], np.zeros(len(item), np.int64), np.full(len(item), SIDE)
+    stuck = np.zeros(len(item), bool)
+    ranges = None
+    while len(item):
+        a, b = np.maximum(lo, SIDE - right[item]), np.minimum(hi, left[item])
+        head = _heads(key)
+        size = np.diff(np.append(head, len(key)))
+        per = np.repeat(size, size)
+        keep = (per > 1) & (a <= b)
+        if not keep.all():
+            item, key, lo, hi, stuck = item[keep], key[keep], lo[keep], hi[keep], stuck[keep]
+            continue
+        nth = ragged_arange(size)
+        part = np.where(stuck, 0, nth // LANE)
+        lane = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
+        _by_suffix_arrays(found, buf, at, item, lane, a, b, rank)
+        big = (per > LANE) & ~stuck
+        item, key, lo, hi, a, b = item[big], key[big], lo[big], hi[big], a[big], b[big]
+        if not len(item):
+            break
+        size = np.diff(np.append(_heads(key), len(key)))
+        sums = np.zeros((len(item), SIDE + 2), np.int16)
+        np.cumsum(found[item], axis=1, out=sums[:, 1:])
+        i = np.arange(len(item))
+        alive = sums[i, b + 1] - sums[i, a] < b - a + 1
+        left_over = np.add.reduceat(alive.astype(np.int64), _heads(key))
+        slow = np.repeat(2 * left_over > size, size)[alive]
+        item, key, lo, hi = item[alive], key[alive], lo[alive], hi[alive]
+        stuck = slow & (lo == hi)
+        halve = slow & (lo < hi)
+        if halve.any():
+            ranges = ranges or RangeHash(buf)
+            pieces = [(item[~halve], key[~halve], lo[~halve], hi[~halve], stuck[~halve])]
+            item, key, lo, hi = item[halve], key[halve], lo[halve], hi[halve]
+            mid = (lo + hi) // 2
+            for x, y in ((lo, mid), (mid + 1, hi)):
+                # what all windows of the half share: x bytes before the anchor, and those after it up to SIDE - y
+                fits = (left[item] >= x) & (right[item] >= SIDE - y)
+                own, x, y = item[fits], x[fits], y[fits]
+                core = ranges.of(at[own] - x, at[own] + GRAM + SIDE - y)
+                pieces.append((own, mix64(key[fits] + x.astype(np.uint64) + U64(7)) ^ core, x, y, np.zeros(len(own), bool)))
+            item, key, lo, hi, stuck = (np.concatenate(x) for x in zip(*pieces))
+        turn = np.lexsort((rank[item], key))
+        item, key, lo, hi, stuck = item[turn], key[turn], lo[turn], hi[turn], stuck[turn]
+    return found
+
+
+def _by_suffix_arrays(found, buf, at, item, lane, a, b, rank) -> None:
+    """One text per lane: each segment as its bytes before the anchor, a sign for the anchor, the bytes after it and a
+    separator.  Windows are the suffixes that start before or at the anchor, by their first 51 symbols."""
+    size = b + 1 + (SIDE - a) + 1
+    lead = _heads(lane)
+    lane_items = np.diff(np.append(lead, len(lane)))
+    lane_symbols = np.add.reduceat(size, lead) + 1
+    turn = np.argsort(lane_symbols, kind="stable")
+    turn = turn[lane_items[turn] > 1]
+    cuts = np.searchsorted(np.cumsum(lane_symbols[turn]), np.arange(LANE_BATCH, int(lane_symbols[turn].sum()) + LANE_BATCH, LANE_BATCH))
+    for lanes in np.split(turn, np.unique(cuts[cuts < len(turn)])):
+        if not len(lanes):
+            continue
+        pick = np.repeat(lead[lanes], lane_items[lanes]) + ragged_arange(lane_items[lanes])
+        ends = np.cumsum(lane_items[lanes])
+        n = size[pick]
+        n[ends - 1] += 1  # the lane's final 0 goes with its last segment
+        begin = np.cumsum(n) - n
+        owner = np.repeat(np.arange(len(pick)), n)
+        j = np.arange(len(owner)) - begin[owner]
+        before, after = b[pick], SIDE - a[pick]
+        text = np.zeros(len(owner), np.int64)
+        head, tail = j < before[owner], (j > before[owner]) & (j <= (before + after)[owner])
+        place = at[item[pick]] - before
+        text[head] = buf[place[owner[head]] + j[head]].astype(np.int64) + 2
+        text[tail] = buf[place[owner[tail]] + j[tail] + GRAM - 1].astype(np.int64) + 2
+        text[begin + before] = 258
+        text[begin + before + 1 + after] = 1
+        sa = suffix_arrays(text, lane_symbols[lanes])
+        own = owner[sa]
+        offset = before[own] - j[sa]
+        window = (offset >= a[pick][own]) & (offset <= before[own])
+        sa, offset, own = sa[window], offset[window], own[window]
+        if not len(sa):
+            continue
+        # neighbours in suffix order, compared sign by sign; the signs of other lanes' windows may be equal, too
+        which = np.repeat(np.arange(len(lanes)), lane_items[lanes])[own]
+        equal = np.flatnonzero(which[1:] == which[:-1])
+        for k in range(SIDE + 1):
+            equal = equal[text[sa[equal] + k] == text[sa[equal + 1] + k]]
+        fresh = np.ones(len(sa), bool)
+        fresh[equal + 1] = False
+        segment = item[pick][own]
+        first = np.flatnonzero(fresh)
+        least = np.repeat(np.minimum.reduceat(rank[segment], first), np.diff(np.append(first, len(sa))))
+        again = rank[segment] > least
+        found[segment[again], offset[again]] = True
+
+
+def _spans_of(found: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Found windows as (segment, start, stop) of runs of neighbouring offsets."""
+    edge = np.diff(np.pad(found, ((0, 0), (1, 1))).view(np.int8), axis=1)
+    i, low = np.nonzero(edge == 1)
+    high = np.nonzero(edge == -1)[1] - 1
+    return i, pos[i] - high, pos[i] - low + WINDOW
 
 
-def _spans_of(doc: np.ndarray, span: np.ndarray):
-    """Whole contexts (those that hold a window) as spans."""
-    pos, left, right = span >> 12, span >> 6 & 63, span & 63
-    keep = left + right >= SIDE
-    return doc[keep], (pos - left)[keep], (pos + GRAM + right)[keep]
+def _hull(found: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segments with windows that were not found, the least left and right that these need)."""
+    offset = np.arange(SIDE + 1)
+    open_ = ~found & (offset >= (SIDE - right)[:, None]) & (offset <= left[:, None])
+    some = np.flatnonzero(open_.any(axis=1))
+    return some, SIDE - open_[some, ::-1].argmax(axis=1), SIDE - open_[some].argmax(axis=1)
 
 
-_ROW = "bucket long, kind long, doc long, a long, b long, h long, blob binary"
-_KEYS = ["bucket", "kind", "doc", "a", "b", "h", "blob"]
+# --- records --------------------------------------------------------------------------------------------------------
+
+#: kind 0: a removed span of ``row`` from ``a`` to ``b``.  1: a segment to be compared: anchor ``h`` at ``a`` of row, sides
+#: ``b``, ``nth`` segment of its anchor.  2: ``h`` has more than HOT.  3: ``blob`` packs places of one bucket.
+_ROW = "bucket long, kind long, id long, row long, a long, b long, h long, nth long, blob binary"
+_KEYS = ["bucket", "kind", "id", "row", "a", "b", "h", "nth", "blob"]
 
 
 def _rows(n: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[k], pa.binary() if k == "blob" else pa.int64()) if k in columns else pa.nulls(n, pa.binary() if k == "blob" else pa.int64()) for k in _KEYS], names=_KEYS)
+    kind = lambda k: pa.binary() if k == "blob" else pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], kind(k)) if k in columns else pa.nulls(n, kind(k)) for k in _KEYS], names=_KEYS)
+
 
+def _removed(row, start, stop, buckets: int) -> pa.RecordBatch:
+    row, start, stop = merge_spans(row, start, stop)
+    return _rows(len(row), bucket=as_signed(mix64(row.astype(np.uint64)) % U64(buckets)), kind=np.zeros(len(row), np.int64), row=row, a=start, b=stop)
 
-def _removed(doc, start, stop, buckets: int) -> pa.RecordBatch:
-    doc, start, stop = merge_spans(doc, start, stop)
-    spread = as_signed(mix64(doc.astype(np.uint64)) % U64(buckets))
-    return _rows(len(doc), bucket=spread, kind=np.zeros(len(doc), np.int64), doc=doc, a=start, b=stop)
 
+def _bytes_of(x: np.ndarray) -> bytes:
+    """Longs by place value: bytes that are much alike stand together."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def _pack(h: np.ndarray, c: np.ndarray, doc: np.ndarray, span: np.ndarray) -> bytes:
-    order = np.lexsort((span, doc))
-    h, c, doc, span = h[order], c[order], doc[order], span[order]
-    step = np.diff(doc, prepend=0).astype("<i8")
-    small = np.concatenate([step.view(np.uint8).reshape(-1, 8).T.ravel(), span.astype("<i8").view(np.uint8).reshape(-1, 8).T.ravel()])
-    packed = zstandard.ZstdCompressor(level=1).compress(small.tobytes())
-    low = (c >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    return len(h).to_bytes(8, "little") + h.astype("<u8").tobytes() + low.tobytes() + packed
+
+def _pack(h: np.ndarray, doc: np.ndarray, row: np.ndarray, span: np.ndarray) -> bytes:
+    order = np.lexsort((span, row))
+    h, doc, row, span = h[order], doc[order], row[order], span[order]
+    small = _bytes_of(np.diff(doc, prepend=0)) + _bytes_of(np.diff(row, prepend=0)) + _bytes_of(span)
+    return len(h).to_bytes(8, "little") + h.astype("<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(small)
 
 
 def _unpack(blob: bytes):
     n = int.from_bytes(blob[:8], "little")
-    h = np.frombuffer(blob, "<u8", n, 8)
-    c = np.zeros((n, 8), np.uint8)
-    c[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 8 + 8 * n).reshape(n, 6)
-    small = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + 14 * n :]), np.uint8).reshape(16, n)
-    doc = np.cumsum(np.ascontiguousarray(small[:8].T).view("<i8").ravel())
-    return h, c.view("<u8").ravel(), doc, np.ascontiguousarray(small[8:].T).view("<i8").ravel()
+    small = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + 8 * n :]), np.uint8).reshape(3, 8, n)
+    doc, row, span = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in small)
+    return np.frombuffer(blob, "<u8", n, 8), np.cumsum(doc), np.cumsum(row), span
 
 
-def _packed(h: np.ndarray, c: np.ndarray, doc: np.ndarray, span: np.ndarray, first: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The rows ``first`` as one packed record per bucket; a bucket goes by ``h``."""
-    bucket = as_signed(mix64(h[first]) % U64(buckets))
+def _packed(h: np.ndarray, doc: np.ndarray, row: np.ndarray, span: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One packed record per bucket; a bucket goes by ``h``."""
+    bucket = as_signed(mix64(h) % U64(buckets))
     turn = np.argsort(bucket, kind="stable")
-    first, bucket = first[turn], bucket[turn]
-    at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-    blobs = [_pack(h[i], c[i], doc[i], span[i]) for i in (first[a:b] for a, b in zip(at[:-1], at[1:]))]
-    return _rows(len(blobs), bucket=bucket[at[:-1]], kind=np.ones(len(blobs), np.int64), blob=blobs)
+    at = np.append(_heads(bucket[turn]), len(h)) if len(h) else np.zeros(1, np.int64)
+    blobs = [_pack(h[i], doc[i], row[i], span[i]) for i in (turn[a:b] for a, b in zip(at[:-1], at[1:]))]
+    return _rows(len(blobs), bucket=bucket[turn][at[:-1]], kind=np.full(len(blobs), 3), blob=blobs)
+
 
+def _rank(doc: np.ndarray, row: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    rank = np.empty(len(doc), np.int64)
+    rank[np.lexsort((pos, row, doc))] = np.arange(len(doc))
+    return rank
 
-def _find_anchors(buckets: int):
-    def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        h, c, doc, span = (np.concatenate(x) for x in zip(*held))
-        c = c & ~U64(0xFFFF)
-        order, _, new = _settle(h, c, doc, span)
-        repeat = order[~new]
-        yield _removed(*_spans_of(doc[repeat], span[repeat]), buckets)
-        yield _packed(h, c, doc, span, order[new], buckets)
+
+def _stage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        z = [pack.compress(t.encode("utf-8", "replace")) if t else None for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("row", "id")), pa.array(z, pa.binary()), batch.column("carried")], names=["row", "id", "z", "carried"])
+
+
+def _find_segments(buckets: int):
+    """Compares a task's own segments; sends repeats, and packed places of the segments that hold other windows."""
+
+    def send(raws: list[bytes], held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        buf = np.frombuffer(b"".join(raws), np.uint8)
+        h, doc, row, pos, left, right, at = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(h, kind="stable")
+        head = _heads(h[order])
+        size = np.diff(np.append(head, len(h)))
+        shared = np.sort(order[np.repeat(size, size) > 1])
+        rest = np.ones(len(h), bool)
+        if len(shared):
+            found = repeated_windows(buf, at[shared], left[shared], right[shared], h[shared], _rank(doc[shared], row[shared], pos[shared]))
+            i, start, stop = _spans_of(found, pos[shared])
+            yield _removed(row[shared][i], start, stop, buckets)
+            some, less_left, less_right = _hull(found, left[shared], right[shared])
+            rest[shared] = False
+            rest[shared[some]], left[shared[some]], right[shared[some]] = True, less_left, less_right
+        yield _packed(h[rest], doc[rest], row[rest], (pos << 12 | left << 6 | right)[rest], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for piece in text_slices(batches, 1 << 19):
-            raw = [t.encode("utf-8", "replace") if t else b"" for t in piece.column("text").to_pylist()]
-            sizes = np.array([len(r) for r in raw], np.int64)
-            pos, ranges = anchors(np.frombuffer(b"".join(raw), np.uint8), sizes)
-            if not len(pos):
-                continue
+        unzip = zstandard.ZstdDecompressor()
+        raws, held, total = [], [], 0
+        part: list[tuple[int, int, bytes]] = []
+
+        def take() -> None:
+            nonlocal total
+            sizes = np.array([len(p[2]) for p in part], np.int64)
+            raw = b"".join(p[2] for p in part)
+            h, anchor, start, stop = segments(np.frombuffer(raw, np.uint8), sizes)
             ends = np.cumsum(sizes)
-            own = np.searchsorted(ends, pos, side="right")
-            begin, end = (ends - sizes)[own], ends[own]
-            left, right = np.minimum(pos - begin, SIDE), np.minimum(end - pos - GRAM, SIDE)
-            context = ranges.of(pos - left, pos + GRAM + right) ^ mix64((left * 64 + right).astype(np.uint64) + U64(1))
-            ids = piece.column("id").to_numpy(zero_copy_only=False)
-            held.append((ranges.of(pos, pos + GRAM), context, ids[own], (pos - begin) << 12 | left << 6 | right))
-            n += len(pos)
-            if n >= TASK_ANCHORS:
-                yield from send(held)
-                held, n = [], 0
+            own = np.searchsorted(ends, anchor, side="right")
+            ids, rows = (np.array([p[k] for p in part], np.int64) for k in (0, 1))
+            if len(h):
+                held.append((h, ids[own], rows[own], anchor - (ends - sizes)[own], anchor - start, stop - anchor + SIDE, anchor + total))
+            raws.append(raw)
+            total += len(raw)
+            part.clear()
+
+        held_bytes = 0
+        for batch in batches:
+            for doc, row, z in zip(*(batch.column(k).to_pylist() for k in ("id", "row", "z"))):
+                raw = unzip.decompress(z) if z else b""
+                if len(raw) < WINDOW:
+                    continue
+                part.append((NO_ID if doc is None else doc, row, raw))
+                held_bytes += len(raw)
+                if held_bytes >= SLICE_BYTES:
+                    take()
+                    held_bytes = 0
+                if total >= TASK_BYTES:
+                    if held:
+                        yield from send(raws, held)
+                    raws, held, total = [], [], 0
+        if part:
+            take()
         if held:
-            yield from send(held)
+            yield from send(raws, held)
 
     return run
 
 
-def _match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition holds whole buckets: settle equal contexts, and name the first of each where an anchor has several."""
-    held = []
+class _Met:
+    """Keys of one bucket that have come twice or more.  Holds one entry per key, however often it comes."""
+
+    def __init__(self):
+        self.once = [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
+        self.known, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def take(self, places: list[tuple]) -> Iterator[pa.RecordBatch]:
+        h, doc, row, span = (np.concatenate(x) for x in zip(self.once, *places))
+        order = np.lexsort((span, row, doc, h))
+        h, doc, row, span = h[order], doc[order], row[order], span[order]
+        head = _heads(h)
+        keys, size = h[head], np.diff(np.append(head, len(h)))
+        at = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
+        old = self.known[at] == keys if len(self.known) else np.zeros(len(keys), bool)
+        before = np.where(old, self.count[at], 0) if len(self.known) else np.zeros(len(keys), np.int64)
+        many = before + size > 1
+        out = np.repeat(many, size)
+        nth = (np.repeat(before, size) + ragged_arange(size))[out]
+        n = len(nth)
+        yield _rows(n, kind=np.ones(n, np.int64), id=doc[out], row=row[out], a=span[out] >> 12, b=span[out] & 4095, h=as_signed(h[out]), nth=nth)
+        hot = keys[(before <= HOT) & (before + size > HOT)]
+        yield _rows(len(hot), kind=np.full(len(hot), 2), h=as_signed(hot))
+        self.once = [h[~out], doc[~out], row[~out], span[~out]]
+        self.count[at[old]] = (before + size)[old]
+        new = many & ~old
+        turn = np.argsort(np.concatenate([self.known, keys[new]]), kind="stable")
+        self.known = np.concatenate([self.known, keys[new]])[turn]
+        self.count = np.concatenate([self.count, size[new]])[turn]
+
+
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of buckets -> spans as they are, and the places whose key is met again, bucket by bucket."""
+    bucket, met, held, n = None, _Met(), [], 0
     for batch in batches:
-        plain = batch.filter(pa.compute.equal(batch.column("kind"), 0))
-        if plain.num_rows:
-            yield plain
-        held += [_unpack(b) for b in batch.column("blob").to_pylist() if b is not None]
-    if not held:
-        return
-    h, c, doc, span = (np.concatenate(x) for x in zip(*held))
-    held.clear()
-    order, new_h, new_c = _settle(h, c, doc, span)
-    repeat = order[~new_c]
-    yield _removed(*_spans_of(doc[repeat], span[repeat]), 1)
-    first = order[new_c]
-    number = (np.cumsum(new_h) - 1)[new_c]
-    contexts = np.bincount(number, minlength=1)
-    some = contexts[number] > 1
-    first, contexts = first[some], contexts[number][some]
-    yield _rows(len(first), bucket=np.zeros(len(first), np.int64), kind=np.where(contexts > HOT, 2, 1), doc=doc[first], a=span[first] >> 12, b=span[first] & 4095, h=as_signed(h[first]))
-
-
-_CONTEXT = "kind long, h long, doc long, pos long, sides long, context binary"
-
-
-def _cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(document, its boundary anchors) -> the bytes beside each anchor: 50 before, padded on the left, and 50 after."""
-    unzip = zstandard.ZstdDecompressor()
-    for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for doc, z, marks in zip(batch.column("doc").to_pylist(), batch.column("z").to_pylist(), batch.column("marks").to_pylist()):
-            raw = unzip.decompress(z) if z else b""
-            for m in marks:
-                pos, left, right = m["a"], m["b"] >> 6, m["b"] & 63
-                bytes_ = raw[pos - left : pos].rjust(SIDE, b"\0") + raw[pos + GRAM : pos + GRAM + right].ljust(SIDE, b"\0")
-                for column, v in zip(out, (m["kind"], m["h"], doc, pos, m["b"], bytes_)):
-                    column.append(v)
-            if len(out[0]) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 5 else pa.int64()) for k, v in enumerate(out)], names=["kind", "h", "doc", "pos", "sides", "context"])
-                out = [[] for _ in range(6)]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 5 else pa.int64()) for k, v in enumerate(out)], names=["kind", "h", "doc", "pos", "sides", "context"])
-
-
-def repeated_windows(h: np.ndarray, rank: np.ndarray, left: np.ndarray, right: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """contexts x offsets 0..50: does the window that starts so many bytes before the anchor occur in a context of the
-    same anchor with a smaller rank?  ``context``: contexts x 100 bytes."""
-    n = len(h)
-    found = np.zeros((n, SIDE + 1), bool)
-    ranges = RangeHash(np.ascontiguousarray(context).ravel())
-    item, key = np.arange(n), h.astype(np.uint64)
-    lo, hi = np.zeros(n, np.int64), np.full(n, SIDE)
-    level = 0
-    while len(item):
-        # a context's own windows within the range
-        a, b = np.maximum(lo, SIDE - right[item]), np.minimum(hi, left[item])
-        keep = a <= b
-        item, key, lo, hi, a, b = item[keep], key[keep], lo[keep], hi[keep], a[keep], b[keep]
-        base = item * 2 * SIDE
-        full = ranges.of(base + SIDE - b, base + 2 * SIDE - a) ^ mix64((a * 64 + b).astype(np.uint64))
-        order = np.lexsort((rank[item], full, key))
-        k, f = key[order], full[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (f[1:] != f[:-1])
-        again = order[~new]
-        _mark(found, item[again], a[again], b[again])
-        order = order[new]
-        item, key, lo, hi, a, b = item[order], key[order], lo[order], hi[order], a[order], b[order]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(start, len(key)))
-        per = np.repeat(size, size)
-        ready = (per > 1) & (per <= LANE_CONTEXTS) & (level >= MIN_LEVEL)
-        if ready.any():
-            _by_suffix_arrays(found, item[ready], key[ready], a[ready], b[ready], rank, context)
-        on = (per > 1) & ~ready & (lo < hi)
-        item, key, lo, hi = item[on], key[on], lo[on], hi[on]
-        mid = (lo + hi) // 2
-        item, key = np.tile(item, 2), np.tile(key, 2)
-        lo, hi = np.concatenate([lo, mid + 1]), np.concatenate([mid, hi])
-        # what all windows of the half share: lo bytes before the anchor and the bytes after it up to 50 - hi
-        fits = (left[item] >= lo) & (right[item] >= SIDE - hi)
-        item, key, lo, hi = item[fits], key[fits], lo[fits], hi[fits]
-        base = item * 2 * SIDE
-        key = mix64(key + lo.astype(np.uint64) + U64(7)) ^ ranges.of(base + SIDE - lo, base + 2 * SIDE - hi)
-        level += 1
-    return found
+        plain = np.array(batch.column("kind").to_pylist()) == 0
+        if plain.any():
+            yield batch.filter(pa.array(plain))
+        for own, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+            if blob is None:
+                continue
+            if own != bucket and held:
+                yield from met.take(held)
+                held, n = [], 0
+            if own != bucket:
+                bucket, met = own, _Met()
+            held.append(_unpack(blob))
+            n += len(held[-1][0])
+            if n >= 200_000:
+                yield from met.take(held)
+                held, n = [], 0
+    if held:
+        yield from met.take(held)
 
 
-def _mark(found: np.ndarray, item: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    count = b - a + 1
-    found[np.repeat(item, count), np.repeat(a, count) + ragged_arange(count)] = True
+_SEGMENT = "h long, part long, id long, row long, pos long, sides long, bytes binary"
+_SEGMENT_NAMES = [f.split()[0] for f in _SEGMENT.split(", ")]
 
 
-def _by_suffix_arrays(found, item, key, a, b, rank, context) -> None:
-    """One text per key: each context as its bytes before the anchor, a sign for the anchor, the bytes after it and a
-    separator.  Windows are the suffixes that start before or at the anchor, by their first 51 symbols."""
-    size = b + 1 + (SIDE - a) + 1
-    lead = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    lane_items = np.diff(np.append(lead, len(key)))
-    lane_symbols = np.add.reduceat(size, lead) + 1
-    turn = np.argsort(lane_symbols, kind="stable")
-    cuts = np.searchsorted(np.cumsum(lane_symbols[turn]), np.arange(LANE_BATCH, int(lane_symbols.sum()) + LANE_BATCH, LANE_BATCH))
-    for lanes in np.split(turn, np.unique(cuts[cuts < len(turn)])):
-        if not len(lanes):
-            continue
-        pick = np.repeat(lead[lanes], lane_items[lanes]) + ragged_arange(lane_items[lanes])
-        last = np.cumsum(lane_items[lanes]) - 1
-        n = size[pick] + np.isin(np.arange(len(pick)), last)  # the lane's final 0 goes with its last context
-        begin = np.cumsum(n) - n
-        text = np.zeros(int(n.sum()), np.int64)
-        owner = np.repeat(np.arange(len(pick)), n)
-        j = np.arange(len(text)) - begin[owner]
-        i, before, after = item[pick][owner], b[pick][owner], SIDE - a[pick][owner]
-        inside = (j < before) | ((j > before) & (j <= before + after))
-        column = np.where(j < before, SIDE - before + j, SIDE + j - before - 1)
-        text[inside] = context[i[inside], column[inside]].astype(np.int64) + 2
-        text[j == before] = 258
-        text[j == before + 1 + after] = 1
-        sa = suffix_arrays(text, np.add.reduceat(n, np.append(0, last[:-1] + 1)))
-        offset = (before - j)[sa]
-        low = a[pick][owner][sa]
-        sa_lane = np.repeat(np.arange(len(lanes)), np.add.reduceat(n, np.append(0, last[:-1] + 1)))
-        is_window = (offset >= low) & (offset <= before[sa])
-        sa, offset, sa_lane = sa[is_window], offset[is_window], sa_lane[is_window]
-        if not len(sa):
-            continue
-        rows = text[np.minimum(sa[:, None] + np.arange(SIDE + 1), len(text) - 1)].astype(np.int16)
-        fresh = np.ones(len(sa), bool)
-        fresh[1:] = (sa_lane[1:] != sa_lane[:-1]) | (rows[1:] != rows[:-1]).any(axis=1)
-        ctx = item[pick][owner[sa]]
-        at = np.flatnonzero(fresh)
-        least = np.repeat(np.minimum.reduceat(rank[ctx], at), np.diff(np.append(at, len(sa))))
-        again = rank[ctx] > least
-        found[ctx[again], offset[again]] = True
-
-
-def _contexts_of(batches: Iterator[pa.RecordBatch]):
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return None
-    get = lambda k: np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held])
-    context = np.frombuffer(b"".join(b"".join(x.column("context").to_pylist()) for x in held), np.uint8).reshape(-1, 2 * SIDE)
-    return get("h"), get("doc"), get("pos"), get("sides"), context
-
-
-def _settle_boundaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = _contexts_of(batches)
-    if got is None:
-        return
-    h, doc, pos, sides, context = got
-    rank = np.empty(len(h), np.int64)
-    rank[np.lexsort((pos, doc))] = np.arange(len(h))
-    found = repeated_windows(h, rank, sides >> 6, sides & 63, context)
-    i, offset = np.nonzero(found)
-    yield _removed(doc[i], pos[i] - offset, pos[i] - offset + WINDOW, 1)
-
-
-def _windows_of_hot(buckets: int):
-    """Each window of each context, by hash; of equal windows of a task only the first is sent on, in packed records."""
+def _segment_rows(out: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 6 else pa.int64()) for k, v in enumerate(out)], names=_SEGMENT_NAMES)
+
+
+def _cut_segments(group: int):
+    """Texts, each followed by its places -> the bytes of these segments.  ``group``: segments of one anchor that go together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = _contexts_of(batches)
-        if got is None:
-            return
-        h, doc, pos, sides, context = got
-        for top in range(0, len(h), HOT_BLOCK):
-            part = slice(top, top + HOT_BLOCK)
-            ranges = RangeHash(np.ascontiguousarray(context[part]).ravel())
-            left, least = sides[part] >> 6, SIDE - (sides[part] & 63)
-            count = np.maximum(left - least + 1, 0)
-            i = np.repeat(np.arange(len(left)), count)
-            offset = np.repeat(least, count) + ragged_arange(count)
-            base = i * 2 * SIDE
-            w = ranges.of(base + SIDE - offset, base + 2 * SIDE - offset) ^ mix64(offset.astype(np.uint64))
-            key, low = mix64(h[part][i].astype(np.uint64) ^ mix64(w)), w & ~U64(0xFFFF)
-            owner, start = doc[part][i], pos[part][i] - offset
-            order, _, new = _settle(key, low, owner, start)
-            again = order[~new]
-            yield _removed(owner[again], start[again], start[again] + WINDOW, buckets)
-            yield _packed(key, low, owner, start, order[new], buckets)
+        unzip, raw = zstandard.ZstdDecompressor(), b""
+        for batch in batches:
+            out: list[list] = [[] for _ in _SEGMENT_NAMES]
+            for row, at, z, doc, sides, h, nth in zip(*(batch.column(k).to_pylist() for k in ("row", "at", "z", "id", "b", "h", "nth"))):
+                if at < 0:
+                    raw = unzip.decompress(z) if z else b""
+                else:
+                    for column, v in zip(out, (h, nth // group, doc, row, at, sides, raw[at - (sides >> 6) : at + GRAM + (sides & 63)])):
+                        column.append(v)
+            if out[0]:
+                yield _segment_rows(out)
 
     return run
 
 
-def _match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition holds whole buckets of windows: all but the first of equal ones are repeats."""
-    held = []
-    for batch in batches:
-        plain = batch.filter(pa.compute.equal(batch.column("kind"), 0))
-        if plain.num_rows:
-            yield plain
-        held += [_unpack(b) for b in batch.column("blob").to_pylist() if b is not None]
-    if held:
-        h, c, doc, start = (np.concatenate(x) for x in zip(*held))
-        order, _, new = _settle(h, c, doc, start)
-        again = order[~new]
-        yield _removed(doc[again], start[again], start[again] + WINDOW, 1)
+def _settle(buckets: int):
+    """Segments in order of (anchor, part) -> repeats; of anchors with several parts, the other windows' places."""
+
+    def compare(held: list[tuple]):
+        h, doc, row, pos, sides, raw = zip(*held)
+        h, doc, row, pos, sides = (np.array(x, np.int64) for x in (h, doc, row, pos, sides))
+        size = np.array([len(b) for b in raw], np.int64)
+        left, right = sides >> 6, sides & 63
+        at = np.cumsum(size) - size + left
+        found = repeated_windows(np.frombuffer(b"".join(raw), np.uint8), at, left, right, h.astype(np.uint64), _rank(doc, row, pos))
+        i, start, stop = _spans_of(found, pos)
+        return found, _removed(row[i], start, stop, buckets)
+
+    def windows(held: list[tuple], found: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, places = [], []
+        some = np.flatnonzero(hot).tolist()
+        for k in some:
+            h, doc, row, pos, sides, raw = held[k]
+            left, right = sides >> 6, sides & 63
+            for offset in (np.flatnonzero(~found[k, SIDE - right : left + 1]) + SIDE - right).tolist():
+                keys.append(raw[left - offset : left - offset + WINDOW])
+                places.append((doc, row, (pos - offset) << 12 | SIDE))
+            if len(keys) >= 50_000 or k == some[-1]:
+                if keys:
+                    starts = np.arange(len(keys)) * WINDOW
+                    key = RangeHash(np.frombuffer(b"".join(keys), np.uint8)).of(starts, starts + WINDOW)
+                    yield _packed(key, *np.array(places, np.int64).T, buckets)
+                keys, places = [], []
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        last, flagged, hot = None, None, set()
+        for batch in batches:
+            for h, part, *rest in zip(*(batch.column(k).to_pylist() for k in _SEGMENT_NAMES)):
+                if rest[1] is None:  # the sign that the anchor has several parts comes first
+                    flagged = h
+                    continue
+                if (h, part) != last and len(held) >= SETTLE_SEGMENTS:
+                    found, spans = compare(held)
+                    yield spans
+                    if hot:
+                        yield from windows(held, found, np.array([s[0] in hot for s in held]))
+                    held, hot = [], set()
+                elif len(held) >= 2 * SETTLE_SEGMENTS and h not in hot:  # one window in very many tasks: few stay
+                    found, spans = compare(held)
+                    yield spans
+                    some = _hull(found, np.array([s[4] >> 6 for s in held]), np.array([s[4] & 63 for s in held]))[0]
+                    held = [held[k] for k in some.tolist()]
+                last = (h, part)
+                if part or h == flagged:
+                    hot.add(h)
+                held.append((h, *rest))
+        if held:
+            found, spans = compare(held)
+            yield spans
+            if hot:
+                yield from windows(held, found, np.array([s[0] in hot for s in held]))
 
-def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pack = zstandard.ZstdCompressor(level=3)
-    for piece in text_slices(batches):
-        z = [pack.compress(t.encode("utf-8", "replace")) if t else None for t in piece.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(z, pa.binary())], names=["doc", "z"])
+    return run
 
 
 def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, each followed by its spans in order -> what is removed and what stays."""
     unzip = zstandard.ZstdDecompressor()
+    names = ["row", "doc_id", "n_bytes", "n_removed", "spans", "kept"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()]
+    out: list[list] = [[] for _ in names]
+    text, spans, held = None, [], 0
+
+    def close() -> int:
+        row, doc, raw, carried = text
+        at, kept = 0, []
+        for a, b in spans:
+            kept.append(raw[at:a])
+            at = b
+        kept.append(raw[at:])
+        for column, v in zip(out, (row, doc, len(raw), sum(b - a for a, b in spans), spans, b"".join(kept))):
+            column.append(v)
+        others.append(carried)
+        return len(raw)
+
+    def rows(kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(out, types)), pa.array(others, kind)], names=[*names, "carried"])
+
+    others: list = []
+    kind = None
     for batch in batches:
-        out: list[list] = [[] for _ in range(5)]
-        held = 0
-        names = ["doc_id", "n_bytes", "n_removed", "spans", "kept"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary()]
-        for doc, z, marks in zip(batch.column("doc").to_pylist(), batch.column("z").to_pylist(), batch.column("marks").to_pylist()):
-            raw = unzip.decompress(z) if z else b""
-            pairs = np.array([(m["a"], m["b"]) for m in marks or []], np.int64).reshape(-1, 2)
-            _, start, stop = merge_spans(np.zeros(len(pairs), np.int64), pairs[:, 0], np.minimum(pairs[:, 1], len(raw)))
-            spans = [(a, b) for a, b in zip(start.tolist(), stop.tolist()) if a < b]
-            at, kept = 0, []
-            for a, b in spans:
-                kept.append(raw[at:a])
-                at = b
-            kept.append(raw[at:])
-            for column, v in zip(out, (doc, len(raw), sum(b - a for a, b in spans), spans, b"".join(kept))):
-                column.append(v)
-            held += len(raw)
-            if held > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=names)
-                out, held = [[] for _ in range(5)], 0
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names=names)
-
-
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        kind = batch.column("carried").type
+        for row, at, z, doc, stop, carried in zip(*(batch.column(k).to_pylist() for k in ("row", "at", "z", "id", "b", "carried"))):
+            if at < 0:
+                if text:
+                    held += close()
+                text, spans = (row, doc, unzip.decompress(z) if z else b"", carried), []
+                if held > 4 << 20:
+                    yield rows(kind)
+                    out, others, held = [[] for _ in names], [], 0
+            elif spans and at <= spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], stop))
+            else:
+                spans.append((at, stop))
+    if text:
+        close()
+        yield rows(kind)
+
+
+def _beside(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Each text followed by its marks in order of place; a text of any number of marks streams by."""
+    rows = texts.withColumn("at", F.lit(-1).cast("long")).unionByName(marks.withColumnRenamed("a", "at"), allowMissingColumns=True)
+    return rows.repartition("row").sortWithinPartitions("row", "at")
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, spans`` (removed runs of the text's UTF-8 bytes, as
-    [start, stop]) and ``kept`` (the bytes that stay).
+    [start, stop]), ``kept`` (the bytes that stay) and the columns named in ``carry``.
 
-    Null text counts as empty; texts of less than 100 bytes stay whole.  Ids tell documents apart: rows without an id
-    stay whole and are not compared; if rows share an id, a place counts once and removals apply to each of them.
+    Null text counts as empty; texts of less than 100 bytes stay whole.  Every row is a document of its own: rows that
+    share an id are in some fixed order, rows without an id come after all others.
     """
     spark = docs.sparkSession
-    rows = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    zipped = rows.mapInArrow(released(_zip), "doc long, z binary")
+    carried = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+    rows = bounded_batches(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
+    kind = rows.schema["carried"].dataType.simpleString()
+    texts = stage_table(rows.mapInArrow(released(_stage_rows), f"row long, id long, z binary, carried {kind}"), "texts")
+    z = texts.select("row", "id", "z")
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = rows.where("doc is not null").select(F.col("doc").alias("id"), "text").mapInArrow(released(_find_anchors(buckets)), _ROW)
-    found = stage_table(sent.repartition("bucket").mapInArrow(released(_match_anchors), _ROW), "anchors")
-
-    marks = found.where("kind > 0").groupBy("doc").agg(F.collect_list(F.struct("kind", "a", "b", "h")).alias("marks"))
-    contexts = stage_table(zipped.join(marks, "doc").mapInArrow(released(_cut_contexts), _CONTEXT), "contexts")
-    cold = contexts.where("kind = 1").repartition("h").mapInArrow(released(_settle_boundaries), _ROW).select("doc", "a", "b")
-    hot = contexts.where("kind = 2").mapInArrow(released(_windows_of_hot(buckets)), _ROW).repartition("bucket").mapInArrow(released(_match_windows), _ROW).select("doc", "a", "b")
-    spans = found.where("kind = 0").select("doc", "a", "b").unionByName(cold).unionByName(hot)
-    per_doc = spans.groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
-    return zipped.join(per_doc, "doc", "left").mapInArrow(released(_cut_texts), "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    match = lambda df: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_match), _ROW)
+
+    def fetched(marks: DataFrame, group: int) -> DataFrame:
+        places = marks.where("kind = 1").select("row", "a", "id", "b", "h", "nth")
+        cut = _beside(z, places).mapInArrow(released(_cut_segments(group)), _SEGMENT)
+        if group == HOT:
+            cut = cut.unionByName(marks.where("kind = 2").select("h", F.lit(0).cast("long").alias("part")), allowMissingColumns=True)
+        return cut.repartition("h", "part").sortWithinPartitions("h", "part", F.col("row").asc_nulls_first(), "pos")
+
+    places = stage_table(match(z.mapInArrow(released(_find_segments(buckets)), _ROW)), "places")
+    settled = stage_table(match(fetched(places, HOT).mapInArrow(released(_settle(buckets)), _ROW)), "settled")
+    spans = places.where("kind = 0").unionByName(settled.where("kind = 0"))
+    if not settled.where("kind = 1").isEmpty():
+        spans = spans.unionByName(fetched(settled, 1 << 62).mapInArrow(released(_settle(buckets)), _ROW).where("kind = 0"))
+    cut = _beside(texts, spans.select("row", "a", "b")).mapInArrow(released(_cut_texts), f"row long, doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, carried {kind}")
+    return cut.select("doc_id", "n_bytes", "n_removed", "spans", "kept", *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
