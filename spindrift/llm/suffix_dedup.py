@@ -126,49 +126,56 @@ def repeated_windows(buf: np.ndarray, at: np.ndarray, left: np.ndarray, right: n
     key = same_anchor(buf, at, key.astype(np.uint64))
     item = np.lexsort((rank, key))
     key, lo, hi = key[item], np.zeros(len(item), np.int64), np.full(len(item), SIDE)
-    stuck = np.zeros(len(item), bool)
     ranges = None
     while len(item):
         a, b = np.maximum(lo, SIDE - right[item]), np.minimum(hi, left[item])
-        head = _heads(key)
-        size = np.diff(np.append(head, len(key)))
+        size = np.diff(np.append(_heads(key), len(key)))
         per = np.repeat(size, size)
         keep = (per > 1) & (a <= b)
         if not keep.all():
-            item, key, lo, hi, stuck = item[keep], key[keep], lo[keep], hi[keep], stuck[keep]
+            item, key, lo, hi = item[keep], key[keep], lo[keep], hi[keep]
             continue
-        nth = ragged_arange(size)
-        part = np.where(stuck, 0, nth // LANE)
-        lane = np.cumsum(np.append(0, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))
-        _by_suffix_arrays(found, buf, at, item, lane, a, b, rank)
-        big = (per > LANE) & ~stuck
-        item, key, lo, hi, a, b = item[big], key[big], lo[big], hi[big], a[big], b[big]
-        if not len(item):
-            break
-        size = np.diff(np.append(_heads(key), len(key)))
-        sums = np.zeros((len(item), SIDE + 2), np.int16)
-        np.cumsum(found[item], axis=1, out=sums[:, 1:])
-        i = np.arange(len(item))
-        alive = sums[i, b + 1] - sums[i, a] < b - a + 1
-        left_over = np.add.reduceat(alive.astype(np.int64), _heads(key))
-        slow = np.repeat(2 * left_over > size, size)[alive]
-        item, key, lo, hi = item[alive], key[alive], lo[alive], hi[alive]
-        stuck = slow & (lo == hi)
-        halve = slow & (lo < hi)
-        if halve.any():
+        part, slow = np.zeros(len(item), np.int64), np.zeros(len(item), bool)
+        big = np.flatnonzero(per > LANE)
+        if len(big):
+            # segments with equal bytes side by side, so that a text's segments mostly are copies
             ranges = ranges or RangeHash(buf)
-            pieces = [(item[~halve], key[~halve], lo[~halve], hi[~halve], stuck[~halve])]
-            item, key, lo, hi = item[halve], key[halve], lo[halve], hi[halve]
-            mid = (lo + hi) // 2
-            for x, y in ((lo, mid), (mid + 1, hi)):
-                # what all windows of the half share: x bytes before the anchor, and those after it up to SIDE - y
-                fits = (left[item] >= x) & (right[item] >= SIDE - y)
-                own, x, y = item[fits], x[fits], y[fits]
-                core = ranges.of(at[own] - x, at[own] + GRAM + SIDE - y)
-                pieces.append((own, mix64(key[fits] + x.astype(np.uint64) + U64(7)) ^ core, x, y, np.zeros(len(own), bool)))
-            item, key, lo, hi, stuck = (np.concatenate(x) for x in zip(*pieces))
+            own = at[item[big]]
+            bytes_ = ranges.of(own - b[big], own + GRAM + SIDE - a[big])
+            turn = np.lexsort((rank[item[big]], bytes_, key[big]))
+            move = big[turn]
+            item[big], lo[big], hi[big], a[big], b[big] = item[move], lo[move], hi[move], a[move], b[move]
+            head = _heads(key[big])
+            other = np.append(True, bytes_[turn][1:] != bytes_[turn][:-1])
+            other[head] = True
+            each = np.diff(np.append(head, len(big)))
+            slow[big] = np.repeat(2 * np.add.reduceat(other.astype(np.int64), head) > each, each)
+            # equal hashes of all bytes but few copies: the whole group is one text
+            part[big] = np.where(slow[big] & (lo[big] == hi[big]), 0, ragged_arange(each) // LANE)
+        halve = slow & (lo < hi)
+        laid = np.flatnonzero(~halve)
+        if len(laid):
+            lane = np.cumsum(np.append(0, (key[laid][1:] != key[laid][:-1]) | (part[laid][1:] != part[laid][:-1])))
+            _by_suffix_arrays(found, buf, at, item[laid], lane, a[laid], b[laid], rank)
+        more = np.flatnonzero((per > LANE) & ~slow)
+        sums = np.zeros((len(more), SIDE + 2), np.int16)
+        np.cumsum(found[item[more]], axis=1, out=sums[:, 1:])
+        i, laid_again = np.arange(len(more)), len(more)
+        more = more[sums[i, b[more] + 1] - sums[i, a[more]] < (b - a + 1)[more]]
+        if len(more) == laid_again and not halve.any():
+            break  # copies always leave, so this only ends a construction that finds none
+        pieces = [(item[more], key[more], lo[more], hi[more])]
+        item, key, lo, hi = item[halve], key[halve], lo[halve], hi[halve]
+        mid = (lo + hi) // 2
+        for x, y in ((lo, mid), (mid + 1, hi)):
+            # what all windows of the half share: x bytes before the anchor, and those after it up to SIDE - y
+            fits = (left[item] >= x) & (right[item] >= SIDE - y)
+            own, x, y = item[fits], x[fits], y[fits]
+            if len(own):
+                pieces.append((own, mix64(key[fits] + x.astype(np.uint64) + U64(7)) ^ ranges.of(at[own] - x, at[own] + GRAM + SIDE - y), x, y))
+        item, key, lo, hi = (np.concatenate(x) for x in zip(*pieces))
         turn = np.lexsort((rank[item], key))
-        item, key, lo, hi, stuck = item[turn], key[turn], lo[turn], hi[turn], stuck[turn]
+        item, key, lo, hi = item[turn], key[turn], lo[turn], hi[turn]
     return found
 
 
@@ -210,8 +217,11 @@ def _by_suffix_arrays(found, buf, at, item, lane, a, b, rank) -> None:
         # neighbours in suffix order, compared sign by sign; the signs of other lanes' windows may be equal, too
         which = np.repeat(np.arange(len(lanes)), lane_items[lanes])[own]
         equal = np.flatnonzero(which[1:] == which[:-1])
-        for k in range(SIDE + 1):
-            equal = equal[text[sa[equal] + k] == text[sa[equal + 1] + k]]
+        packed = text.copy()  # seven signs of nine bits
+        for k in range(1, 7):
+            packed[:-k] |= text[k:] << 9 * k
+        for k in (*range(0, SIDE - 6, 7), SIDE - 6):
+            equal = equal[packed[sa[equal] + k] == packed[sa[equal + 1] + k]]
         fresh = np.ones(len(sa), bool)
         fresh[equal + 1] = False
         segment = item[pick][own]
