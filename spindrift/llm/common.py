@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -43,6 +44,12 @@ def drop_staged(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark clean up shuffle files of plans that nothing refers to any more: it does so as the driver's garbage goes."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Bytes of an Arrow batch between the JVM and a Python worker: texts may be long, so rows say little.
 BATCH_BYTES = 4 << 20
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30, "t": 1 << 40, "tb": 1 << 40, "p": 1 << 50, "pb": 1 << 50}

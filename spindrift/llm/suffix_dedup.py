@@ -4,12 +4,15 @@ A byte goes if a 100-byte string that covers it also starts earlier (in a smalle
 
 1. Routing.  In every 100-byte window, the 50-byte gram of least hash (the leftmost, if it recurs) is the window's
    anchor, so equal windows have equal anchors at equal places.  A run of windows with one anchor is a segment: some
-   26 windows, each text has about one segment per 26 bytes.  Hashes only tell which segments must be compared.
-2. Comparison.  The segments of one anchor are laid end to end, the anchor's 50 bytes as one sign, and their suffix
-   array is built by linear grouping (``suffix_array``).  Windows that are equal stand next to each other in it; of
-   these all but the first in order of documents are repeats.  Texts of more than ``LANE`` segments are cut: what
-   was found repeated throughout leaves, what is left is compared again; if little leaves, windows are told apart
-   by the hash of the bytes that several of them share.
+   26 windows, each text has about one segment per 26 bytes.  Segments whose anchor recurs belong to the cell (128
+   bytes of some text) in which their anchor is first met; neighbouring ones of one cell are joined to stretches.  So
+   equal windows are in stretches of one cell, and a cell mostly holds copies.  Hashes only tell what is compared.
+2. Comparison.  A cell's stretches are laid end to end, and their suffix array is built by linear grouping
+   (``suffix_array``).  Windows that are equal stand next to each other in it; of these all but the first in order of
+   documents are repeats.  A cell with more than ``LANE`` stretches gets several texts, copies side by side; what was
+   found repeated throughout leaves, and what is left is compared again.  If most stretches of such a cell differ, they
+   fall into segments again, compared anchor by anchor (its 50 bytes as one sign), and windows of very frequent anchors
+   are first dealt out by the hash of the bytes that several of them share.
 3. Order of work.  Each task compares its own segments first, so what a third of all documents hold sends one
    segment per task.  Then places of the others are dealt by anchor to find anchors that several tasks have; bytes
    of these alone are fetched and compared.  An anchor with more than ``HOT`` segments is compared in groups of so
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_signed, bounded_batches, mix64, ragged_arange, released, stage_table
+from .common import U64, as_signed, bounded_batches, mix64, ragged_arange, release_shuffles, released, stage_table
 from .suffix_array import suffix_arrays
 from .textkit import RangeHash
 
@@ -38,11 +41,14 @@ GRAM = 50
 SIDE = WINDOW - GRAM
 HOT = 2048
 SLICE_BYTES = 1 << 19  # texts hashed together
+CELL_BITS = 7
+STRETCH = 512
 TASK_BYTES = 8 << 20  # a task compares and sends its segments in blocks of so many bytes of text
-SETTLE_SEGMENTS = 20_000  # segments from other tasks that are compared together
-LANE = 8  # segments of a suffix array
+SETTLE_BYTES = 4 << 20  # stretches from other tasks that are compared together
+LANE = 4  # stretches or segments of a suffix array
 LANE_BATCH = 600_000  # symbols whose suffix arrays are built together
 NO_ID = (1 << 63) - 1
+KEY_BYTES = 6  # of a hash that tells what meets; beside its bucket, the rest would not tell more apart
 
 
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
@@ -214,23 +220,109 @@ def _by_suffix_arrays(found, buf, at, item, lane, a, b, rank) -> None:
         sa, offset, own = sa[window], offset[window], own[window]
         if not len(sa):
             continue
-        # neighbours in suffix order, compared sign by sign; the signs of other lanes' windows may be equal, too
         which = np.repeat(np.arange(len(lanes)), lane_items[lanes])[own]
-        equal = np.flatnonzero(which[1:] == which[:-1])
-        packed = text.copy()  # seven signs of nine bits
-        for k in range(1, 7):
-            packed[:-k] |= text[k:] << 9 * k
-        for k in (*range(0, SIDE - 6, 7), SIDE - 6):
-            equal = equal[packed[sa[equal] + k] == packed[sa[equal + 1] + k]]
-        fresh = np.ones(len(sa), bool)
-        fresh[equal + 1] = False
         segment = item[pick][own]
-        first = np.flatnonzero(fresh)
-        least = np.repeat(np.minimum.reduceat(rank[segment], first), np.diff(np.append(first, len(sa))))
-        again = rank[segment] > least
+        again = _repeats(text, sa, which, SIDE + 1, rank[segment])
         found[segment[again], offset[again]] = True
 
 
+def repeated_starts(buf: np.ndarray, begin: np.ndarray, count: np.ndarray, key: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Stretches of ``buf`` (their first window and number of windows) -> whether a window that starts at a place of
+    ``buf`` recurs in a stretch of equal ``key`` and smaller ``rank``, or further left in its own."""
+    found = np.zeros(len(buf), bool)
+    item = np.lexsort((rank, key))
+    ranges, apart = None, []
+    while len(item):
+        own = key[item]
+        size = np.diff(np.append(_heads(own), len(own)))
+        per = np.repeat(size, size)
+        part, slow = np.zeros(len(item), np.int64), np.zeros(len(item), bool)
+        big = np.flatnonzero(per > LANE)
+        if len(big):
+            ranges = ranges or RangeHash(buf)
+            x = item[big]
+            bytes_ = ranges.of(begin[x], begin[x] + count[x] + WINDOW - 1)
+            turn = np.lexsort((rank[x], bytes_, own[big]))
+            item[big], bytes_ = x[turn], bytes_[turn]
+            head = _heads(own[big])
+            other = np.append(True, bytes_[1:] != bytes_[:-1])
+            other[head] = True
+            each = np.diff(np.append(head, len(big)))
+            slow[big] = np.repeat(2 * np.add.reduceat(other.astype(np.int64), head) > each, each)
+            part[big] = ragged_arange(each) // LANE
+        apart.append(item[slow])
+        laid = np.flatnonzero(~slow)
+        if len(laid):
+            lane = np.cumsum(np.append(0, (own[laid][1:] != own[laid][:-1]) | (part[laid][1:] != part[laid][:-1])))
+            _by_whole_stretches(found, buf, begin[item[laid]], count[item[laid]], lane, rank[item[laid]])
+        item = item[(per > LANE) & ~slow]
+        sums = np.append(0, np.cumsum(found))
+        left = sums[begin[item] + count[item]] - sums[begin[item]] < count[item]
+        if left.all():
+            break  # copies always leave, so this only ends a construction that finds none
+        item = item[left]
+    apart = np.concatenate(apart) if apart else np.zeros(0, np.int64)
+    if len(apart):
+        size = count[apart] + WINDOW - 1
+        there = np.repeat(begin[apart], size) + ragged_arange(size)
+        h, anchor, start, stop = segments(buf[there], size)
+        own = np.searchsorted(np.cumsum(size), anchor, side="right")
+        i, start, stop = _spans_of(repeated_windows(buf[there], anchor, anchor - start, stop - anchor + SIDE, mix64(key[apart][own].astype(np.uint64)) ^ h, _rank(rank[apart][own], own, anchor)), anchor)
+        found[there[_ranges(start, stop - WINDOW + 1 - start)]] = True
+    return found
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.repeat(start, count) + ragged_arange(count)
+
+
+def _by_whole_stretches(found, buf, begin, count, lane, rank) -> None:
+    """One text per lane, a separator after each stretch; its windows are the suffixes that start within ``count``."""
+    size = count + WINDOW
+    lead = _heads(lane)
+    lane_items = np.diff(np.append(lead, len(lane)))
+    lane_symbols = np.add.reduceat(size, lead) + 1
+    turn = np.argsort(lane_symbols, kind="stable")
+    cuts = np.searchsorted(np.cumsum(lane_symbols[turn]), np.arange(LANE_BATCH, int(lane_symbols.sum()) + LANE_BATCH, LANE_BATCH))
+    for lanes in np.split(turn, np.unique(cuts[cuts < len(turn)])):
+        if not len(lanes):
+            continue
+        pick = np.repeat(lead[lanes], lane_items[lanes]) + ragged_arange(lane_items[lanes])
+        n = size[pick]
+        n[np.cumsum(lane_items[lanes]) - 1] += 1  # the lane's final 0 goes with its last stretch
+        first = np.cumsum(n) - n
+        text = np.zeros(int(n.sum()), np.int64)
+        inside = _ranges(first, size[pick] - 1)
+        text[inside] = buf[_ranges(begin[pick], size[pick] - 1)].astype(np.int64) + 2
+        text[first + size[pick] - 1] = 1
+        owner = np.repeat(np.arange(len(pick)), n)
+        sa = suffix_arrays(text, lane_symbols[lanes])
+        own = owner[sa]
+        sa_window = sa - first[own] < count[pick][own]
+        sa, own = sa[sa_window], own[sa_window]
+        which = np.repeat(np.arange(len(lanes)), lane_items[lanes])[own]
+        order = rank[pick][own] << 32 | sa - first[own]
+        again = _repeats(text, sa, which, WINDOW, order)
+        found[begin[pick][own[again]] + (sa - first[own])[again]] = True
+
+
+def _repeats(text: np.ndarray, sa: np.ndarray, lane: np.ndarray, width: int, order: np.ndarray) -> np.ndarray:
+    """Neighbours in suffix order whose first ``width`` signs are equal: all but the one of least ``order``."""
+    equal = np.flatnonzero(lane[1:] == lane[:-1])
+    packed = text.copy()  # seven signs of nine bits
+    for k in range(1, 7):
+        packed[:-k] |= text[k:] << 9 * k
+    for k in (*range(0, width - 7, 7), width - 7):
+        equal = equal[packed[sa[equal] + k] == packed[sa[equal + 1] + k]]
+    fresh = np.ones(len(sa), bool)
+    fresh[equal + 1] = False
+    head = np.flatnonzero(fresh)
+    if not len(head):
+        return head
+    least = np.repeat(np.minimum.reduceat(order, head), np.diff(np.append(head, len(sa))))
+    return np.flatnonzero(order > least)
+
+
 def _spans_of(found: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Found windows as (segment, start, stop) of runs of neighbouring offsets."""
     edge = np.diff(np.pad(found, ((0, 0), (1, 1))).view(np.int8), axis=1)
@@ -239,18 +331,22 @@ def _spans_of(found: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return i, pos[i] - high, pos[i] - low + WINDOW
 
 
-def _hull(found: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segments with windows that were not found, the least left and right that these need)."""
-    offset = np.arange(SIDE + 1)
-    open_ = ~found & (offset >= (SIDE - right)[:, None]) & (offset <= left[:, None])
-    some = np.flatnonzero(open_.any(axis=1))
-    return some, SIDE - open_[some, ::-1].argmax(axis=1), SIDE - open_[some].argmax(axis=1)
+def stretches(row: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in order of row and place -> (first entry of each stretch, its windows): neighbours of one key, some
+    ``STRETCH`` windows at most."""
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + count[:-1])
+    head = np.flatnonzero(fresh)
+    piece = (start - np.repeat(start[head], np.diff(np.append(head, len(row))))) // STRETCH
+    fresh[1:] |= piece[1:] != piece[:-1]
+    head = np.flatnonzero(fresh)
+    return head, np.add.reduceat(count, head) if len(head) else head
 
 
 # --- records --------------------------------------------------------------------------------------------------------
 
-#: kind 0: a removed span of ``row`` from ``a`` to ``b``.  1: a segment to be compared: anchor ``h`` at ``a`` of row, sides
-#: ``b``, ``nth`` segment of its anchor.  2: ``h`` has more than HOT.  3: ``blob`` packs places of one bucket.
+#: kind 0: a removed span of ``row`` from ``a`` to ``b``.  1: a segment to be compared: ``b`` windows from ``a`` of row, the
+#: ``nth`` of its anchor, cell ``h``.  2: an anchor of cell ``h`` has more than HOT.  3: ``blob`` packs places of a bucket.
 _ROW = "bucket long, kind long, id long, row long, a long, b long, h long, nth long, blob binary"
 _KEYS = ["bucket", "kind", "id", "row", "a", "b", "h", "nth", "blob"]
 
@@ -274,14 +370,17 @@ def _pack(h: np.ndarray, doc: np.ndarray, row: np.ndarray, span: np.ndarray) ->
     order = np.lexsort((span, row))
     h, doc, row, span = h[order], doc[order], row[order], span[order]
     small = _bytes_of(np.diff(doc, prepend=0)) + _bytes_of(np.diff(row, prepend=0)) + _bytes_of(span)
-    return len(h).to_bytes(8, "little") + h.astype("<u8").tobytes() + zstandard.ZstdCompressor(level=1).compress(small)
+    low = np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]).tobytes()
+    return len(h).to_bytes(8, "little") + low + zstandard.ZstdCompressor(level=1).compress(small)
 
 
 def _unpack(blob: bytes):
     n = int.from_bytes(blob[:8], "little")
-    small = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + 8 * n :]), np.uint8).reshape(3, 8, n)
+    h = np.zeros((n, 8), np.uint8)
+    h[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8, KEY_BYTES * n, 8).reshape(n, KEY_BYTES)
+    small = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8 + KEY_BYTES * n :]), np.uint8).reshape(3, 8, n)
     doc, row, span = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in small)
-    return np.frombuffer(blob, "<u8", n, 8), np.cumsum(doc), np.cumsum(row), span
+    return h.view("<u8").ravel(), np.cumsum(doc), np.cumsum(row), span
 
 
 def _packed(h: np.ndarray, doc: np.ndarray, row: np.ndarray, span: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -306,64 +405,82 @@ def _stage_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("row", "id")), pa.array(z, pa.binary()), batch.column("carried")], names=["row", "id", "z", "carried"])
 
 
+def _cell(row: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix64(row.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + (start >> CELL_BITS).astype(np.uint64))
+
+
+def _found_spans(found: np.ndarray, begin: np.ndarray, row: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Found windows of a buffer -> spans of rows.  ``begin``: places in ascending order that are ``pos`` of ``row``."""
+    edge = np.diff(np.pad(found, 1).view(np.int8))
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    own = np.searchsorted(begin, start, side="right") - 1
+    return _removed(row[own], pos[own] + start - begin[own], pos[own] + stop - 1 - begin[own] + WINDOW, buckets)
+
+
 def _find_segments(buckets: int):
     """Compares a task's own segments; sends repeats, and packed places of the segments that hold other windows."""
 
-    def send(raws: list[bytes], held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def send(raws: list[bytes], texts: list[tuple], held: list[tuple]) -> Iterator[pa.RecordBatch]:
         buf = np.frombuffer(b"".join(raws), np.uint8)
-        h, doc, row, pos, left, right, at = (np.concatenate(x) for x in zip(*held))
+        h, doc, row, start, count, at = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(h, kind="stable")
-        head = _heads(h[order])
-        size = np.diff(np.append(head, len(h)))
+        size = np.diff(np.append(_heads(h[order]), len(h)))
         shared = np.sort(order[np.repeat(size, size) > 1])
         rest = np.ones(len(h), bool)
         if len(shared):
-            found = repeated_windows(buf, at[shared], left[shared], right[shared], h[shared], _rank(doc[shared], row[shared], pos[shared]))
-            i, start, stop = _spans_of(found, pos[shared])
-            yield _removed(row[shared][i], start, stop, buckets)
-            some, less_left, less_right = _hull(found, left[shared], right[shared])
-            rest[shared] = False
-            rest[shared[some]], left[shared[some]], right[shared[some]] = True, less_left, less_right
-        yield _packed(h[rest], doc[rest], row[rest], (pos << 12 | left << 6 | right)[rest], buckets)
+            rank = _rank(doc[shared], row[shared], start[shared])
+            order = np.lexsort((rank, h[shared]))
+            head = _heads(h[shared][order])
+            cell = np.empty(len(shared), np.uint64)
+            cell[order] = np.repeat(_cell(row[shared][order[head]], start[shared][order[head]]), np.diff(np.append(head, len(order))))
+            head, windows = stretches(row[shared], start[shared], count[shared], cell)
+            found = repeated_starts(buf, at[shared][head], windows, cell[head], rank[head])
+            yield _found_spans(found, *(np.concatenate(x) for x in zip(*texts)), buckets)
+            width = np.arange(SIDE + 1)
+            inside = width < count[shared][:, None]
+            open_ = inside & ~found[np.minimum(at[shared][:, None] + width, len(buf) - 1)]
+            first, last = open_.argmax(axis=1), SIDE - open_[:, ::-1].argmax(axis=1)
+            rest[shared] = open_.any(axis=1)
+            start[shared] += first
+            count[shared] = last - first + 1
+        yield _packed(h[rest], doc[rest], row[rest], (start << 12 | count)[rest], buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
-        raws, held, total = [], [], 0
+        raws, texts, held, total, waiting = [], [], [], 0, 0
         part: list[tuple[int, int, bytes]] = []
 
         def take() -> None:
-            nonlocal total
+            nonlocal total, waiting
             sizes = np.array([len(p[2]) for p in part], np.int64)
             raw = b"".join(p[2] for p in part)
-            h, anchor, start, stop = segments(np.frombuffer(raw, np.uint8), sizes)
-            ends = np.cumsum(sizes)
-            own = np.searchsorted(ends, anchor, side="right")
+            h, _, start, stop = segments(np.frombuffer(raw, np.uint8), sizes)
+            begin = np.cumsum(sizes) - sizes
+            own = np.searchsorted(begin, start, side="right") - 1
             ids, rows = (np.array([p[k] for p in part], np.int64) for k in (0, 1))
-            if len(h):
-                held.append((h, ids[own], rows[own], anchor - (ends - sizes)[own], anchor - start, stop - anchor + SIDE, anchor + total))
+            held.append((h, ids[own], rows[own], start - begin[own], stop - start + 1, start + total))
+            texts.append((begin + total, rows, np.zeros(len(rows), np.int64)))
             raws.append(raw)
             total += len(raw)
+            waiting = 0
             part.clear()
 
-        held_bytes = 0
         for batch in batches:
             for doc, row, z in zip(*(batch.column(k).to_pylist() for k in ("id", "row", "z"))):
                 raw = unzip.decompress(z) if z else b""
                 if len(raw) < WINDOW:
                     continue
                 part.append((NO_ID if doc is None else doc, row, raw))
-                held_bytes += len(raw)
-                if held_bytes >= SLICE_BYTES:
+                waiting += len(raw)
+                if waiting >= SLICE_BYTES:
                     take()
-                    held_bytes = 0
                 if total >= TASK_BYTES:
-                    if held:
-                        yield from send(raws, held)
-                    raws, held, total = [], [], 0
+                    yield from send(raws, texts, held)
+                    raws, texts, held, total = [], [], [], 0
         if part:
             take()
         if held:
-            yield from send(raws, held)
+            yield from send(raws, texts, held)
 
     return run
 
@@ -373,7 +490,7 @@ class _Met:
 
     def __init__(self):
         self.once = [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
-        self.known, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known, self.cell, self.count = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def take(self, places: list[tuple]) -> Iterator[pa.RecordBatch]:
         h, doc, row, span = (np.concatenate(x) for x in zip(self.once, *places))
@@ -381,22 +498,24 @@ class _Met:
         h, doc, row, span = h[order], doc[order], row[order], span[order]
         head = _heads(h)
         keys, size = h[head], np.diff(np.append(head, len(h)))
-        at = np.minimum(np.searchsorted(self.known, keys), max(len(self.known) - 1, 0))
-        old = self.known[at] == keys if len(self.known) else np.zeros(len(keys), bool)
-        before = np.where(old, self.count[at], 0) if len(self.known) else np.zeros(len(keys), np.int64)
+        at, cell, before = np.searchsorted(self.known, keys), _cell(row[head], span[head] >> 12), np.zeros(len(keys), np.int64)
+        old = np.zeros(len(keys), bool)
+        if len(self.known):
+            at = np.minimum(at, len(self.known) - 1)
+            old = self.known[at] == keys
+            cell, before = np.where(old, self.cell[at], cell), np.where(old, self.count[at], 0)
         many = before + size > 1
         out = np.repeat(many, size)
         nth = (np.repeat(before, size) + ragged_arange(size))[out]
         n = len(nth)
-        yield _rows(n, kind=np.ones(n, np.int64), id=doc[out], row=row[out], a=span[out] >> 12, b=span[out] & 4095, h=as_signed(h[out]), nth=nth)
-        hot = keys[(before <= HOT) & (before + size > HOT)]
+        yield _rows(n, kind=np.ones(n, np.int64), id=doc[out], row=row[out], a=span[out] >> 12, b=span[out] & 4095, h=as_signed(np.repeat(cell, size)[out]), nth=nth)
+        hot = np.unique(cell[(before <= HOT) & (before + size > HOT)])
         yield _rows(len(hot), kind=np.full(len(hot), 2), h=as_signed(hot))
         self.once = [h[~out], doc[~out], row[~out], span[~out]]
         self.count[at[old]] = (before + size)[old]
         new = many & ~old
         turn = np.argsort(np.concatenate([self.known, keys[new]]), kind="stable")
-        self.known = np.concatenate([self.known, keys[new]])[turn]
-        self.count = np.concatenate([self.count, size[new]])[turn]
+        self.known, self.cell, self.count = (np.concatenate([x, y[new]])[turn] for x, y in ((self.known, keys), (self.cell, cell), (self.count, size)))
 
 
 def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -423,90 +542,94 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from met.take(held)
 
 
-_SEGMENT = "h long, part long, id long, row long, pos long, sides long, bytes binary"
-_SEGMENT_NAMES = [f.split()[0] for f in _SEGMENT.split(", ")]
+_STRETCH = "h long, part long, id long, row long, pos long, n long, bytes binary"
+_STRETCH_NAMES = [f.split()[0] for f in _STRETCH.split(", ")]
 
 
-def _segment_rows(out: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 6 else pa.int64()) for k, v in enumerate(out)], names=_SEGMENT_NAMES)
-
-
-def _cut_segments(group: int):
-    """Texts, each followed by its places -> the bytes of these segments.  ``group``: segments of one anchor that go together."""
+def _cut_stretches(group: int):
+    """Texts, each followed by its segments in order -> the stretches' bytes.  ``group``: segments of one anchor that go together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip, raw = zstandard.ZstdDecompressor(), b""
+        out: list[list] = [[] for _ in _STRETCH_NAMES]
+        last = None  # cell, part, id, row, first window, window after the last
+
+        def close() -> None:
+            if last:
+                for column, v in zip(out, (*last[:5], last[5] - last[4], raw[last[4] : last[5] + WINDOW - 1])):
+                    column.append(v)
+
         for batch in batches:
-            out: list[list] = [[] for _ in _SEGMENT_NAMES]
-            for row, at, z, doc, sides, h, nth in zip(*(batch.column(k).to_pylist() for k in ("row", "at", "z", "id", "b", "h", "nth"))):
+            for row, at, z, doc, n, h, nth in zip(*(batch.column(k).to_pylist() for k in ("row", "at", "z", "id", "b", "h", "nth"))):
                 if at < 0:
-                    raw = unzip.decompress(z) if z else b""
+                    close()
+                    last, raw = None, unzip.decompress(z) if z else b""
+                elif last and at == last[5] and h == last[0] and nth // group == last[1] and at < last[4] + STRETCH:
+                    last = (*last[:5], at + n)
                 else:
-                    for column, v in zip(out, (h, nth // group, doc, row, at, sides, raw[at - (sides >> 6) : at + GRAM + (sides & 63)])):
-                        column.append(v)
+                    close()
+                    last = (h, nth // group, doc, row, at, at + n)
             if out[0]:
-                yield _segment_rows(out)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 6 else pa.int64()) for k, v in enumerate(out)], names=_STRETCH_NAMES)
+                out = [[] for _ in _STRETCH_NAMES]
+        close()
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 6 else pa.int64()) for k, v in enumerate(out)], names=_STRETCH_NAMES)
 
     return run
 
 
 def _settle(buckets: int):
-    """Segments in order of (anchor, part) -> repeats; of anchors with several parts, the other windows' places."""
+    """Stretches in order of (cell, part) -> repeats; of cells with several parts, the other windows' places."""
 
     def compare(held: list[tuple]):
-        h, doc, row, pos, sides, raw = zip(*held)
-        h, doc, row, pos, sides = (np.array(x, np.int64) for x in (h, doc, row, pos, sides))
+        h, doc, row, pos, n, raw = zip(*held)
+        h, doc, row, pos, n = (np.array(x, np.int64) for x in (h, doc, row, pos, n))
         size = np.array([len(b) for b in raw], np.int64)
-        left, right = sides >> 6, sides & 63
-        at = np.cumsum(size) - size + left
-        found = repeated_windows(np.frombuffer(b"".join(raw), np.uint8), at, left, right, h.astype(np.uint64), _rank(doc, row, pos))
-        i, start, stop = _spans_of(found, pos)
-        return found, _removed(row[i], start, stop, buckets)
-
-    def windows(held: list[tuple], found: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys, places = [], []
-        some = np.flatnonzero(hot).tolist()
-        for k in some:
-            h, doc, row, pos, sides, raw = held[k]
-            left, right = sides >> 6, sides & 63
-            for offset in (np.flatnonzero(~found[k, SIDE - right : left + 1]) + SIDE - right).tolist():
-                keys.append(raw[left - offset : left - offset + WINDOW])
-                places.append((doc, row, (pos - offset) << 12 | SIDE))
-            if len(keys) >= 50_000 or k == some[-1]:
-                if keys:
-                    starts = np.arange(len(keys)) * WINDOW
-                    key = RangeHash(np.frombuffer(b"".join(keys), np.uint8)).of(starts, starts + WINDOW)
-                    yield _packed(key, *np.array(places, np.int64).T, buckets)
-                keys, places = [], []
+        begin = np.cumsum(size) - size
+        buf = np.frombuffer(b"".join(raw), np.uint8)
+        found = repeated_starts(buf, begin, n, h, _rank(doc, row, pos))
+        return buf, begin, found, _found_spans(found, begin, row, pos, buckets)
+
+    def windows(held: list[tuple], buf, begin, found, hot: set) -> Iterator[pa.RecordBatch]:
+        h, doc, row, pos, n = (np.array(x, np.int64) for x in zip(*(s[:5] for s in held)))
+        some = np.flatnonzero(np.isin(h, np.array(sorted(hot), np.int64)))
+        own, at = np.repeat(some, n[some]), _ranges(begin[some], n[some])
+        own, at = own[~found[at]], at[~found[at]]
+        if len(at):
+            yield _packed(RangeHash(buf).of(at, at + WINDOW), doc[own], row[own], (pos[own] + at - begin[own]) << 12 | 1, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        last, flagged, hot = None, None, set()
+        last, flagged, hot, size, most = None, None, set(), 0, 2 * SETTLE_BYTES
         for batch in batches:
-            for h, part, *rest in zip(*(batch.column(k).to_pylist() for k in _SEGMENT_NAMES)):
-                if rest[1] is None:  # the sign that the anchor has several parts comes first
+            for h, part, *rest in zip(*(batch.column(k).to_pylist() for k in _STRETCH_NAMES)):
+                if rest[1] is None:  # the sign that the cell has several parts comes first
                     flagged = h
                     continue
-                if (h, part) != last and len(held) >= SETTLE_SEGMENTS:
-                    found, spans = compare(held)
+                if (h, part) != last and size >= SETTLE_BYTES:
+                    buf, begin, found, spans = compare(held)
                     yield spans
                     if hot:
-                        yield from windows(held, found, np.array([s[0] in hot for s in held]))
-                    held, hot = [], set()
-                elif len(held) >= 2 * SETTLE_SEGMENTS and h not in hot:  # one window in very many tasks: few stay
-                    found, spans = compare(held)
+                        yield from windows(held, buf, begin, found, hot)
+                    held, hot, size, most = [], set(), 0, 2 * SETTLE_BYTES
+                elif size >= most:  # copies from very many tasks: few stay
+                    _, begin, found, spans = compare(held)
                     yield spans
-                    some = _hull(found, np.array([s[4] >> 6 for s in held]), np.array([s[4] & 63 for s in held]))[0]
-                    held = [held[k] for k in some.tolist()]
+                    sums = np.append(0, np.cumsum(found))
+                    held = [s for s, a, b in zip(held, begin.tolist(), (sums[begin + np.array([s[4] for s in held])] - sums[begin]).tolist()) if b < s[4]]
+                    size = sum(len(s[5]) for s in held)
+                    most = max(2 * SETTLE_BYTES, 2 * size)
                 last = (h, part)
                 if part or h == flagged:
                     hot.add(h)
                 held.append((h, *rest))
+                size += len(rest[4])
         if held:
-            found, spans = compare(held)
+            buf, begin, found, spans = compare(held)
             yield spans
             if hot:
-                yield from windows(held, found, np.array([s[0] in hot for s in held]))
+                yield from windows(held, buf, begin, found, hot)
 
     return run
 
@@ -579,13 +702,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def fetched(marks: DataFrame, group: int) -> DataFrame:
         places = marks.where("kind = 1").select("row", "a", "id", "b", "h", "nth")
-        cut = _beside(z, places).mapInArrow(released(_cut_segments(group)), _SEGMENT)
+        cut = _beside(z, places).mapInArrow(released(_cut_stretches(group)), _STRETCH)
         if group == HOT:
             cut = cut.unionByName(marks.where("kind = 2").select("h", F.lit(0).cast("long").alias("part")), allowMissingColumns=True)
         return cut.repartition("h", "part").sortWithinPartitions("h", "part", F.col("row").asc_nulls_first(), "pos")
 
+    # a finished phase's shuffle files go with its plan, so its garbage is collected before the next phase writes
     places = stage_table(match(z.mapInArrow(released(_find_segments(buckets)), _ROW)), "places")
+    release_shuffles(spark)
     settled = stage_table(match(fetched(places, HOT).mapInArrow(released(_settle(buckets)), _ROW)), "settled")
+    release_shuffles(spark)
     spans = places.where("kind = 0").unionByName(settled.where("kind = 0"))
     if not settled.where("kind = 1").isEmpty():
         spans = spans.unionByName(fetched(settled, 1 << 62).mapInArrow(released(_settle(buckets)), _ROW).where("kind = 0"))

@@ -86,14 +86,10 @@ def test_stages(spark, stages):
     assert gone and np.mean([labels[d] for d in gone if d in labels]) > 0.8
     # near duplicates: exactly the least of each class of the stage's input
     links = UnionFind()
-    texts = {d: nd.Text(nd.labelled_shingles([r.text])[0].astype("<u8").tobytes()) for d, r in after[0].items()}
-    where: dict = {}
+    texts = {d: nd.Text((nd.Words([r.text]).hash >> np.uint64(32)).astype("<u4").tobytes()) for d, r in after[0].items()}
     for d, t in texts.items():
-        for x in t.h.tolist():
-            where.setdefault(x, set()).add(d)
-    for d, t in texts.items():
-        for e in set().union(*(where[x] for x in t.h.tolist())) if len(t.h) else ():
-            if e < d and links.find(e) != links.find(d) and nd.similar(texts[e], t):
+        for e, u in texts.items():
+            if e < d and links.find(e) != links.find(d) and (after[0][e].text == after[0][d].text or nd.similar(u, t)):
                 links.union(e, d)
     assert {links.find(d) for d in after[0]} == after[1].keys()
     # repeated strings
@@ -108,3 +104,28 @@ def test_stages(spark, stages):
 
 def test_run(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(map(tuple, stages[4].drop("sequence_id", "offset").collect()))
+
+
+def test_stages_on_odd_rows(spark):
+    """Null, shared and repeated ids, null and empty texts: each row fares by its own text and keeps its own columns."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(chr(c) for c in rng.integers(97, 123, 7))
+    t, u, v = (" ".join(word() for _ in range(60)) for _ in range(3))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, z string"
+    rows = [(1, t, "a", "s1"), (5, t, "b", "s2"), (5, u, "c", "s3"), (None, v, "en", "s1"), (None, u[:200] + v[200:], "de", "s2"), (7, "", "d", "s4"), (7, "", "d", "s4"), (8, None, None, None), (None, None, None, "s9")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 3, "x") for r in rows], schema)
+    near = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    kept = lambda df: sorted((str(r.doc_id), str(r.lang), str(r.source)) for r in df.collect())
+    rest = sorted([("1", "a", "s1"), ("5", "c", "s3"), ("None", "en", "s1"), ("None", "de", "s2"), ("7", "d", "s4"), ("8", "None", "None"), ("None", "None", "s9")])
+    assert near.columns == corpus_pipeline.COLUMNS and kept(near) == rest
+    cut = corpus_pipeline.suffix_dedup_stage(spark, docs, SF)
+    got = sorted((str(r.doc_id), str(r.lang), str(r.source), r.text) for r in cut.collect())
+    assert [r[:3] for r in got] == sorted((str(a), str(c), str(d)) for a, _, c, d in rows)
+    assert ("1", "a", "s1", t) in got and ("5", "b", "s2", "") in got and ("5", "c", "s3", u) in got and ("None", "None", "s9", "") in got
+    assert cut.columns == corpus_pipeline.COLUMNS and all(r.n_chars == len(r.text) for r in cut.collect())
+    for stage in (corpus_pipeline.toxicity_stage, corpus_pipeline.decontamination_stage):
+        assert stage(spark, docs, SF).count() == len(rows) and stage(spark, docs, SF).columns == corpus_pipeline.COLUMNS
+    pieces = corpus_pipeline.packing_stage(spark, docs, SF).collect()
+    assert len(pieces) >= len(rows) and sum(p.length for p in pieces if p.doc_id == 7) == 2
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0

@@ -81,7 +81,7 @@ def test_every_removal_comes_from_suffix_arrays(spark, monkeypatch):
     """Without the construction nothing is removed: hashes only tell which segments meet."""
     for name in ("_find_segments", "_settle"):
         make = getattr(sd, name)
-        monkeypatch.setattr(sd, name, lambda buckets, make=make, name=name: _with(monkeypatch, name, make(buckets), _by_suffix_arrays=lambda *a: None))
+        monkeypatch.setattr(sd, name, lambda buckets, make=make, name=name: _with(monkeypatch, name, make(buckets), suffix_arrays=lambda text, lengths: np.zeros(0, np.int64)))
     docs = spark.createDataFrame(list(enumerate(_texts())), "doc_id long, text string")
     assert sum(r.n_removed for r in sd.remove_repeats(docs).collect()) == 0
 
@@ -113,6 +113,30 @@ def test_windows_of_segments(monkeypatch, lane):
         assert (got == want).all()
 
 
+@pytest.mark.parametrize("lane", [2, 8])
+def test_starts_of_stretches(monkeypatch, lane):
+    """Stretches of one key, some of them periodic, against a plain comparison of all windows."""
+    monkeypatch.setattr(sd, "LANE", lane)
+    rng = np.random.default_rng(6)
+    base = [bytes(rng.integers(97, 123, 400, dtype=np.uint8)) for _ in range(3)] + [b"xy" * 200]
+    for _ in range(20):
+        n = int(rng.integers(1, 40))
+        count = rng.integers(1, 150, n)
+        raw = [base[rng.integers(4)][(a := int(rng.integers(0, 100))) : a + c + 99] if rng.random() < 0.5 else base[rng.integers(4)][: c + 99] for c in count.tolist()]
+        begin = np.cumsum([0] + [len(x) for x in raw])[:-1]
+        key, rank = rng.integers(0, 2, n), rng.permutation(n)
+        got = sd.repeated_starts(np.frombuffer(b"".join(raw), np.uint8), begin, count, key, rank)
+        windows = {(rank[i], o): (key[i], raw[i][o : o + 100]) for i in range(n) for o in range(count[i])}
+        least = {}
+        for place in sorted(windows):
+            least.setdefault(windows[place], place)
+        want = np.zeros(len(got), bool)
+        for i in range(n):
+            for o in range(count[i]):
+                want[begin[i] + o] = least[windows[rank[i], o]] < (rank[i], o)
+        assert (got == want).all()
+
+
 def test_equal_hashes_of_other_anchors_are_told_apart():
     raw = b"a" * 100 + b"b" * 100 + b"a" * 100
     got = sd.repeated_windows(np.frombuffer(raw, np.uint8), np.array([0, 100, 200]), np.zeros(3, int), np.full(3, 50), np.full(3, 7), np.arange(3))
