@@ -6,7 +6,8 @@ whose integer products tell, for each pair, whether the cosine is surely at or a
 it, or open.  Only open pairs are computed again in double precision.  A tile returns link counts and a spanning
 forest of its links, never the links themselves, so a group of copies costs no more than its members.
 
-The work is quadratic in the number of vectors, as any exact comparison of all pairs; memory per task is not.
+The work is quadratic in the number of vectors, as any exact comparison of all pairs; memory per task is not.  A block
+travels once per block that it meets, so its size (what a task may hold) sets the traffic: bytes^2 / BLOCK_BYTES.
 """
 
 from __future__ import annotations
@@ -22,9 +23,13 @@ from .common import released, stage_table
 from .components import UnionFind, connected_components
 
 THRESHOLD = 0.9
-BLOCK_ROWS = 4096
-STRIP = 256
-_SLACK = 1e-6  # rounding of the products' scaling in single precision
+BLOCK_BYTES = 16 << 20
+LEAST_ROWS = 512
+STRIP = 128
+_EXACT = 1040  # 1040 * 127^2 < 2^24
+#: Rounding after the exact integer products: two scales and two multiplications, each within 2^-24 of at most 1.1, and
+#: the bound itself, come to less than 4e-7 whatever the width; the same goes for the double steps around them.
+_SLACK = 1e-6
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,12 +43,21 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Block:
     """ids, unit vectors in double precision and their quantised form."""
 
-    def __init__(self, ids: bytes, vectors: bytes):
+    def __init__(self, ids: bytes, vectors: bytes, kind: str = "<f4"):
         self.ids = np.frombuffer(ids, "<i8")
-        x = np.frombuffer(vectors, "<f4").reshape(len(self.ids), -1).astype(np.float64)
+        x = np.frombuffer(vectors, kind).reshape(len(self.ids), -1).astype(np.float64)
+        x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
         self.unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         q, self.scale, self.error = quantise(self.unit)
-        self.q = q.astype(np.float32)  # small integers: products and sums are exact in single precision
+        self.q = q.astype(np.float32)
+
+
+def integer_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows of integers -127..127, exact: sums of up to ``_EXACT`` terms stay below 2^24, where single
+    precision is exact; wider rows are taken in pieces and added up in double precision."""
+    if a.shape[1] <= _EXACT:
+        return a @ b.T
+    return sum((a[:, k : k + _EXACT] @ b[:, k : k + _EXACT].T).astype(np.float64) for k in range(0, a.shape[1], _EXACT))
 
 
 def tile_links(a: Block, b: Block, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray, UnionFind, int]:
@@ -52,7 +66,7 @@ def tile_links(a: Block, b: Block, threshold: float, same: bool) -> tuple[np.nda
     forest, offset, again = UnionFind(), 0 if same else len(a.ids), 0
     for top in range(0, len(a.ids), STRIP):
         rows = slice(top, top + STRIP)
-        about = a.q[rows] @ b.q.T
+        about = integer_products(a.q[rows], b.q)
         about *= a.scale[rows, None].astype(np.float32)
         about *= b.scale.astype(np.float32)
         bound = (a.error[rows, None] + (1 + a.error[rows, None]) * b.error.max(initial=0) + _SLACK).astype(np.float32)
@@ -89,38 +103,50 @@ def _join(forest: UnionFind, i: np.ndarray, j: np.ndarray) -> None:
             forest.union(x, y)
 
 
-def _usable(x) -> bool:
-    return x is not None and len(x) > 0 and None not in x
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors in order of (width, block) -> one row per block, as bytes."""
+    key, ids, vectors = None, [], []
 
+    def close() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]]), pa.array([b"".join(ids)], pa.binary()), pa.array([b"".join(vectors)], pa.binary())], names=["width", "block", "ids", "vectors"])
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors of a task -> its blocks (by width of the vectors), as bytes."""
-    held: dict[tuple[int, int], list] = {}
     for batch in batches:
-        for vec_id, block, x in zip(batch.column("vec_id").to_pylist(), batch.column("block").to_pylist(), batch.column("embedding").to_pylist()):
-            if not _usable(x):
-                continue
-            x = np.array(x, "<f4")
-            if np.isfinite(x).all() and x.any():
-                held.setdefault((len(x), block), []).append((vec_id, x))
-    for (width, block), rows in held.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([width]), pa.array([block]), pa.array([np.array([r[0] for r in rows], "<i8").tobytes()], pa.binary()), pa.array([np.stack([r[1] for r in rows]).tobytes()], pa.binary())],
-            names=["width", "block", "ids", "vectors"],
-        )
+        width, block = (batch.column(k).to_numpy() for k in ("width", "block"))
+        flat, vec_id = batch.column("embedding").flatten().to_numpy(), batch.column("vec_id").to_numpy()
+        ends = np.cumsum(width)
+        cuts = np.append(np.flatnonzero(np.append(True, (width[1:] != width[:-1]) | (block[1:] != block[:-1]))), len(width))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own = (int(width[x]), int(block[x]))
+            if key is not None and own != key:
+                yield close()
+                ids, vectors = [], []
+            key = own
+            ids.append(vec_id[x:y].astype("<i8").tobytes())
+            vectors.append(flat[ends[x] - width[x] : ends[y - 1]].tobytes())
+    if ids:
+        yield close()
 
 
 def link_embeddings(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per distinct id: ``vec_id, n_links, component_id, kept``.
 
     Vectors that are null, empty or zero, or hold a null or non-finite component, link with nothing; so do vectors of
-    different widths.  Of rows that share an id, the least vector counts; rows without an id are left out.
+    different widths.  Of rows that share an id, the least vector counts; rows without an id are left out.  Components
+    of type double keep their precision.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding")).where("vec_id is not null")
-    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    blocks = -(-rows.count() // BLOCK_ROWS) or 1
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long"))
-    packed = stage_table(dealt.repartition("block").mapInArrow(released(_pack), "width long, block long, ids binary, vectors binary"), "blocks")
+    spark = vectors.sparkSession
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    form, kind = ("float", "<f4") if single else ("double", "<f8")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{form}>").alias("embedding")).where("vec_id is not null")
+    rows = stage_table(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    good = rows.where((F.size("embedding") > 0) & ~F.exists("embedding", bad)).where(F.exists("embedding", lambda x: x != 0)).withColumn("width", F.size("embedding").cast("long"))
+    total, parts = good.agg(F.count(F.lit(1)).alias("n"), F.sum("width").alias("w")).first(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # blocks as large as a task may hold, but enough of them for all tasks to have tiles
+    blocks = max(-(-(total.w or 0) * int(kind[-1]) // BLOCK_BYTES), min(-(-total.n // LEAST_ROWS), int((2 * parts) ** 0.5) + 1), 1)
+    dealt = good.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long"))
+    dealt = dealt.repartition("width", "block").sortWithinPartitions("width", "block")
+    packed = stage_table(dealt.mapInArrow(released(_pack), "width long, block long, ids binary, vectors binary"), "blocks")
 
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     tiles = packed.withColumn("other", other).select("width", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "ids", "vectors")
@@ -129,7 +155,7 @@ def link_embeddings(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
         waiting: dict[tuple, tuple[int, Block]] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                key, block = (r["width"], r["i"], r["j"]), Block(r["ids"], r["vectors"])
+                key, block = (r["width"], r["i"], r["j"]), Block(r["ids"], r["vectors"], kind)
                 same = r["i"] == r["j"]
                 if not same and key not in waiting:
                     waiting[key] = (r["block"], block)

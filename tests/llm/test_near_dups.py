@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 from spindrift.llm import near_dedup as nd
 from spindrift.llm.components import UnionFind, connected_components
-from spindrift.llm.embed_dedup import Block, link_embeddings, quantise, tile_links
+from spindrift.llm.embed_dedup import Block, integer_products, link_embeddings, quantise, tile_links
 
 
 def test_components(spark):
@@ -175,7 +175,7 @@ def _brute_links(vectors):
 def test_embeddings_equal_brute_force(spark, monkeypatch):
     from spindrift.llm import embed_dedup
 
-    monkeypatch.setattr(embed_dedup, "BLOCK_ROWS", 60)
+    monkeypatch.setattr(embed_dedup, "LEAST_ROWS", 40)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(12, 16))
     vectors = [(base[i % 12] + rng.normal(size=16) * (0.1 + 0.05 * (i % 9))).astype(np.float32).tolist() for i in range(200)]
@@ -198,3 +198,25 @@ def test_bounds_hold():
     count, _, _, again = tile_links(b, b, 0.3, True)
     truth = (b.unit @ b.unit.T >= 0.3).sum(axis=1) - 1
     assert (count + tile_links(b, b, 0.3, True)[1] == truth).all() and 0 < again < truth.sum()
+
+
+def test_wide_vectors_keep_their_bounds():
+    """Integer products beyond 2^24 are still exact, so no pair at the threshold is lost at width 4096."""
+    rng = np.random.default_rng(9)
+    q = np.full((3, 4096), 127, np.float32)
+    q[1] = rng.integers(-127, 128, 4096)
+    q[2] = rng.integers(100, 128, 4096)
+    assert (integer_products(q, q) == q.astype(np.int64) @ q.astype(np.int64).T).all()
+    base = rng.normal(size=4096)
+    x = np.stack([base + rng.normal(size=4096) * s for s in np.linspace(0.2, 0.6, 60)])
+    b = Block(np.arange(60, dtype="<i8").tobytes(), x.tobytes(), "<f8")
+    count_a, count_b, _, again = tile_links(b, b, 0.9, True)
+    assert (count_a + count_b == (b.unit @ b.unit.T >= 0.9).sum(axis=1) - 1).all() and again > 0
+
+
+def test_double_vectors_are_not_rounded(spark):
+    """Two vectors whose cosine passes the threshold in double precision only."""
+    t = np.arccos(0.9 + 1e-12)
+    rows = [(1, [1.0, 0.0]), (2, [float(np.cos(t)), float(np.sin(t))]), (2, [9.0, 9.0]), (None, [1.0, 0.0]), (3, [1e-200, 0.0]), (4, [1e300, 0.0])]
+    got = {r.vec_id: r for r in link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and all(r.n_links == 3 and r.component_id == 1 for r in got.values())
