@@ -3,7 +3,7 @@
 A wavelet matrix keeps a sequence of integers as bit-planes, highest bit first; at each plane the sequence is
 parted stably into zeros and ones.  With counts of ones every 512 bits, ``access``, ``rank`` and ``select`` take
 one step per plane, so a shard answers "which id stands at i", "how often does id x occur" and "where is the
-k-th x" from its own bytes, without the ids as such being stored.
+k-th x" from its own bytes: the file holds these counts, and planes in compressed pieces of which a question opens a few.
 """
 
 from __future__ import annotations
@@ -18,22 +18,52 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import bounded_batches, released, stage_table, text_slices
 from .tokens import WORD_FILE, encoder
 
-MAGIC = b"WMX1"
+MAGIC = b"WMX2"
+PIECE = 1 << 15  # bytes of a plane that are compressed together; whole blocks
 BLOCK = 512  # bits between two entries of a rank directory
 SHARD_TOKENS = 2_000_000  # a shard is closed once it holds so many ids
 END_ID = 2
+MOST_BROADCAST = 1_000_000
+
+
+class Plane:
+    """Bits of one level, in pieces that are unpacked when first asked for."""
+
+    def __init__(self, pieces: list[bytes], size: int, packed: bool):
+        self.pieces, self.size, self.packed = pieces, size, packed
+        self.open: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        raw = np.packbits(bits, bitorder="little").tobytes()
+        return cls([raw[k : k + PIECE] for k in range(0, len(raw), PIECE)], len(raw), False)
+
+    def piece(self, k: int) -> np.ndarray:
+        if k not in self.open:
+            raw = zstandard.ZstdDecompressor().decompress(self.pieces[k]) if self.packed else self.pieces[k]
+            self.open[k] = np.frombuffer(raw, np.uint8)
+        return self.open[k]
+
+    def bytes_(self, first: int, last: int) -> np.ndarray:
+        """Bytes first..last-1 of one block."""
+        k = first // PIECE
+        return self.piece(k)[first - k * PIECE : last - k * PIECE] if first < self.size else np.zeros(0, np.uint8)
+
+    def whole(self) -> np.ndarray:
+        return np.concatenate([self.piece(k) for k in range(len(self.pieces))]) if self.pieces else np.zeros(0, np.uint8)
 
 
 class WaveletMatrix:
-    """Bit-planes (packed, highest first), zeros of each plane and a rank directory of each plane."""
+    """Bit-planes (highest first), zeros of each plane and a rank directory of each plane."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int], directory: list[np.ndarray] | None = None):
         self.n, self.planes, self.zeros = n, planes, zeros
-        self.directory = [self._directory(p) for p in planes]
+        self.directory = directory or [self._directory(p.whole()) for p in planes]
 
     @staticmethod
     def _directory(plane: np.ndarray) -> np.ndarray:
@@ -48,38 +78,54 @@ class WaveletMatrix:
         planes, zeros = [], []
         for level in range(bits - 1, -1, -1):
             one = (x >> x.dtype.type(level)) & x.dtype.type(1) != 0
-            planes.append(np.packbits(one, bitorder="little"))
+            planes.append(Plane.of(one))
             low = x[~one]
             zeros.append(len(low))
             x = np.concatenate([low, x[one]])
         return cls(len(ids), planes, zeros)
 
     def to_bytes(self) -> bytes:
-        head = MAGIC + struct.pack("<QB", self.n, len(self.planes)) + struct.pack(f"<{len(self.zeros)}Q", *self.zeros)
-        return zstandard.ZstdCompressor(level=1).compress(head + b"".join(p.tobytes() for p in self.planes))
+        """The file: a head, the rank directories (ones of each block), where each piece of each plane begins, and the
+        compressed pieces.  A reader opens head and directories, and of the planes only the pieces that it needs."""
+        pack = zstandard.ZstdCompressor(level=1)
+        pieces = [pack.compress(p) for plane in self.planes for p in plane.pieces]
+        ones = np.concatenate([np.diff(d) for d in self.directory]).astype("<u2").tobytes()
+        ends = np.cumsum([len(p) for p in pieces], dtype="<u8").tobytes()
+        directory = pack.compress(ones)
+        head = MAGIC + struct.pack("<QBII", self.n, len(self.planes), len(directory), len(pieces)) + struct.pack(f"<{len(self.zeros)}Q", *self.zeros)
+        return head + directory + ends + b"".join(pieces)
 
     @classmethod
     def from_bytes(cls, blob: bytes) -> WaveletMatrix:
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        if raw[:4] != MAGIC:
+        if blob[:4] != MAGIC:
             raise ValueError("not a wavelet shard")
-        n, bits = struct.unpack_from("<QB", raw, 4)
-        zeros = list(struct.unpack_from(f"<{bits}Q", raw, 13))
-        flat = np.frombuffer(raw, np.uint8, offset=13 + 8 * bits)
-        return cls(n, list(flat.reshape(bits, (n + 7) // 8)) if n else [flat] * bits, zeros)
+        n, bits, size, count = struct.unpack_from("<QBII", blob, 4)
+        at = 4 + struct.calcsize("<QBII")
+        zeros = list(struct.unpack_from(f"<{bits}Q", blob, at))
+        at += 8 * bits
+        ones = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at : at + size]), "<u2").reshape(bits, -1)
+        at += size
+        ends = np.frombuffer(blob, "<u8", count, at).astype(np.int64) + at + 8 * count
+        begin = np.append(at + 8 * count, ends[:-1])
+        pieces = [blob[a:b] for a, b in zip(begin.tolist(), ends.tolist())]
+        per = count // bits
+        planes = [Plane(pieces[k * per : (k + 1) * per], (n + 7) // 8, True) for k in range(bits)]
+        return cls(n, planes, zeros, [np.concatenate([[0], np.cumsum(o, dtype=np.int64)]) for o in ones])
 
     def _rank1(self, level: int, i: int) -> int:
-        block, plane = i // BLOCK, self.planes[level]
-        first = block * (BLOCK // 8)
-        ones = int(self.directory[level][block]) + int(np.bitwise_count(plane[first : i >> 3]).sum())
-        return ones + (int(plane[i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+        block = i // BLOCK
+        part = self.planes[level].bytes_(block * (BLOCK // 8), (i + 7) >> 3)
+        ones = int(self.directory[level][block]) + int(np.bitwise_count(part).sum())
+        return ones - (int(part[-1] >> (i & 7)).bit_count() if i & 7 else 0)
+
+    def _bit(self, level: int, i: int) -> int:
+        return int(self.planes[level].bytes_(i >> 3, (i >> 3) + 1)[0] >> (i & 7) & 1)
 
     def access(self, i: int) -> int:
         value = 0
-        for level, plane in enumerate(self.planes):
-            bit = plane[i >> 3] >> (i & 7) & 1
-            ones = self._rank1(level, i)
-            value = value << 1 | int(bit)
+        for level in range(len(self.planes)):
+            bit, ones = self._bit(level, i), self._rank1(level, i)
+            value = value << 1 | bit
             i = self.zeros[level] + ones if bit else i - ones
         return value
 
@@ -115,14 +161,14 @@ class WaveletMatrix:
         before = self.directory[level] if one else np.arange(len(self.directory[level])) * BLOCK - self.directory[level]
         block = int(np.searchsorted(before, k, side="right")) - 1
         first = block * (BLOCK // 8)
-        bits = np.unpackbits(self.planes[level][first : first + BLOCK // 8], bitorder="little")
+        bits = np.unpackbits(self.planes[level].bytes_(first, first + BLOCK // 8), bitorder="little")
         return block * BLOCK + int(np.flatnonzero(bits == one)[k - int(before[block])])
 
     def decode(self) -> np.ndarray:
         """All ids in order: from the last plane upwards, undo each plane's parting."""
         x = None
         for level in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            one = np.unpackbits(self.planes[level].whole(), count=self.n, bitorder="little").view(bool)
             weight = 1 << (len(self.planes) - 1 - level)
             y = np.empty(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
             z = self.zeros[level]
@@ -185,13 +231,15 @@ def write_token_shards(docs: DataFrame, path: str | None = None, **options) -> D
 def read_token_shards(shards: DataFrame) -> DataFrame:
     """One row per document, from the shards alone: ``doc_id, start, n_tokens, ids`` (little-endian unsigned 32 bits).
 
-    The driver gathers one small row per shard (its place and length) to number the shards.
+    A shard's place is a running sum over one small row per shard (no ids, no bytes of it), joined to the shards.
     """
-    sizes = sorted(shards.select("part", "seq", "n_tokens").collect())
-    first, at = {}, 0
-    for part, seq, n in sizes:
-        first[part, seq] = at
-        at += n
+    sizes = shards.select("part", "seq", "n_tokens")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    before = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    places = sizes.join(parts, "part").select("part", "seq", (F.col("base") + F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).alias("first"))
+    few = sizes.count() <= MOST_BROADCAST  # three longs a shard: 24 MB at most
+    placed = shards.join(F.broadcast(places) if few else places, ["part", "seq"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,14 +252,14 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(owner, mask=owner == -(2**63)),
-                        pa.array(begin + first[row["part"], row["seq"]]),
+                        pa.array(begin + row["first"]),
                         pa.array(counts),
                         pa.array([raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), ends.tolist())], pa.binary()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return shards.mapInArrow(released(read), "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(released(read), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op7_token_shards(spark, sf_dir: str) -> DataFrame:
