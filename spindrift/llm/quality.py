@@ -3,9 +3,13 @@
 Trusted positives are rows labelled good; everything else is unlabelled web text, good and bad.  With class prior p,
     risk = p E_P[l(+g)] + max(0, E_U[l(-g)] - p E_P[l(-g)])
 is an unbiased estimate of the classification risk, kept from going below zero (where it would overfit): while the
-second part is negative, the step goes up its gradient instead.  The prior is the labelled share of good rows.
+second part is negative, the step goes up its gradient instead.  The prior is estimated from the positives and the
+unlabelled rows alone: whatever region a score picks, it holds at least p times the positives' share of the unlabelled
+rows, so p is at most the least such ratio, which a region of (nearly) only positives attains.
 g is additive over the quantile bins of measures of a text's form: shares of kinds of bytes, of repeated words,
-lines and word pairs, lengths.  The fit uses bounded samples; scoring is one pass without a shuffle.
+lines and word pairs, lengths.  The fit uses ``sample_rows`` labelled rows at most and ``unlabelled_rows`` rows of the
+web text, a documented bound of the fit (its standard error goes with the root of it); scoring is one pass over all
+whole texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -105,6 +109,32 @@ class BinnedModel:
         return 1 / (1 + np.exp(-self.logits(self.columns(measures(texts)))))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, *, least: float = 0.1) -> float:
+    """Share of positives among the unlabelled rows, from measures of the two samples.
+
+    A ranking learnt on one half of both is read on the other, and the other way round: the least ratio of the
+    unlabelled to the positive rows' share above a score, with a margin for chance, over scores that at least ``least``
+    of the positives reach."""
+    if min(len(positive), len(unlabelled)) < 8:
+        return 0.5
+    found = []
+    for half in (0, 1):
+        model = fit_nnpu(positive[half::2], unlabelled[half::2], 0.5, rounds=300)
+        p, u = (np.sort(model.logits(model.columns(x[1 - half :: 2]))) for x in (positive, unlabelled))
+        cut = p[: int(len(p) * (1 - least)) + 1]
+        above_p, above_u = 1 - np.searchsorted(p, cut) / len(p), 1 - np.searchsorted(u, cut) / len(u)
+        margin = np.sqrt(np.log(20) / (2 * len(u))) + np.sqrt(np.log(20) / (2 * len(p)))
+        best = np.argmin((above_u + margin) / above_p)
+        found.append(above_u[best] / above_p[best])
+    return float(np.clip(np.mean(found), 0.02, 0.98))
+
+
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the risk for the logits of both samples, with sigmoid loss l(z) = sigmoid(-z)."""
+    loss = lambda z: float(np.mean(1 / (1 + np.exp(z))))
+    return prior * loss(positive), loss(-unlabelled) - prior * loss(-positive)
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, *, rounds: int = 1500, rate: float = 0.03, l2: float = 1e-4) -> BinnedModel:
     """Measures of the two samples -> model.  Without positives or unlabelled rows, every score is the prior."""
     both = np.vstack([positive, unlabelled])
@@ -147,21 +177,23 @@ def _measured(rows: DataFrame) -> list:
     return got
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> BinnedModel:
-    """Positives: labelled good, at most ``sample_rows`` labelled rows; unlabelled: ``sample_rows`` of all rows' texts,
-    labelled or not, outside the held-out fold (least hash of the id first)."""
-    known = _measured(labelled_sample(docs, labels, label, sample_rows))
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", sample_rows: int = SAMPLE_ROWS, unlabelled_rows: int = SAMPLE_ROWS) -> BinnedModel:
+    """Positives: labelled good, of at most ``sample_rows`` labelled rows (labels of 0 are not read).  Unlabelled: the
+    texts of ``unlabelled_rows`` ids outside the held-out fold, labelled or not (least hash of the id first; of rows that
+    share an id, the one of least text), also for bins and prior."""
+    known = _measured(labelled_sample(docs, labels, label, sample_rows).where("y = 1"))
     web = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null").where(~held_out("id"))
-    ids = web.select(F.col("id").alias("web_id")).orderBy(F.xxhash64("web_id", F.lit(5)), "web_id").limit(sample_rows).distinct()
-    free = _measured(web.join(F.broadcast(ids), web.id == ids.web_id).select("id", "text", F.lit(0).alias("y")))
+    ids = web.select(F.col("id").alias("web_id")).distinct().orderBy(F.xxhash64("web_id", F.lit(5)), "web_id").limit(unlabelled_rows)
+    free = _measured(web.join(F.broadcast(ids), web.id == ids.web_id).groupBy("id").agg(F.min("text").alias("text")).withColumn("y", F.lit(0)))
     width = len(measures(["a"])[0])
     stack = lambda rows: np.array([np.frombuffer(r.x, "<f8") for r in rows]).reshape(-1, width)
     good = [r for r in known if r.y == 1]
-    return fit_nnpu(stack(good), stack(free), (len(good) + 1) / (len(known) + 2))
+    return fit_nnpu(stack(good), stack(free), estimate_prior(stack(good), stack(free)))
 
 
 def score_documents(docs: DataFrame, model: BinnedModel) -> DataFrame:
-    """All of ``docs``' columns and ``quality_score`` (0 to 1); null counts as the empty text."""
+    """All of ``docs``' columns and ``quality_score`` (0 to 1); null counts as the empty text.  Repeated rows get the
+    same score each; a column of that name is replaced."""
     others = [c for c in docs.columns if c != "quality_score"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema) + ", quality_score double"
 
