@@ -7,7 +7,8 @@ heaviest words, without which the rest stays below); passages without any such w
 once.  For all other passages of a batch together, the block maxima of their words are added up per block of items;
 WAND runs in the blocks whose sum reaches the threshold, the others cannot hold a hit.  Hits are verified: shingles of five words of the item's question and of its answer must recur near the passage.
 
-The index goes to every task, so the benchmark is taken in parts of at most ``PART_BYTES``, one pass over the texts each.
+The index goes to every task, so the benchmark is taken in parts of at most ``PART_BYTES``, one pass over the texts each;
+weights of words are those of the whole benchmark.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bounded_batches, ragged_arange, released, text_slices
+from .common import U64, as_signed, bounded_batches, ragged_arange, released, stage_table, text_slices
 from .textkit import Words, shingles
 
 K1, B = 1.2, 0.75
@@ -53,9 +54,12 @@ def _grams(text: str) -> tuple[np.ndarray, int]:
 
 
 class ItemIndex:
-    """Inverted index of test items: per term, items in order with impacts, the greatest impact and that of each block."""
+    """Inverted index of test items: per term, items in order with impacts, the greatest impact and that of each block.
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    ``whole``: of the benchmark that the items are a part of, the number of items with words, their mean length, and its
+    terms (sorted) with the items that hold each; by default the items are the benchmark."""
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, whole: tuple[int, float, np.ndarray, np.ndarray] | None = None):
         self.threshold = threshold
         words = Words([t for _, t in items])
         keep = np.flatnonzero(words.per_doc)
@@ -73,8 +77,11 @@ class ItemIndex:
         h, d = h[at], d[at]
         self.terms, first, df = np.unique(h, return_index=True, return_counts=True)
         n = max(len(keep), 1)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        size = self.length[d] / self.length.mean() if len(d) else np.zeros(0)
+        total, mean, held_by = n, self.length.mean() if len(d) else 1.0, df
+        if whole and len(self.terms):
+            total, mean, held_by = whole[0], whole[1], whole[3][np.searchsorted(whole[2], self.terms)]
+        idf = np.log(1 + (total - held_by + 0.5) / (held_by + 0.5))
+        size = self.length[d] / mean
         impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size))
         impact = impact / np.bincount(d, impact, n)[d] if len(d) else impact
         self.items, self.impact, self.first = d, impact, np.append(first, len(d))
@@ -211,20 +218,42 @@ class ItemIndex:
         return [(doc, item, *v) for (doc, item), v in sorted(best.items())]
 
 
-def index_parts(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text") -> Iterator[ItemIndex]:
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items -> their distinct terms; the first row of an item with words also has its length."""
+    for piece in text_slices(batches):
+        words = Words(piece.column("text").to_pylist())
+        for i in np.flatnonzero(words.per_doc).tolist():
+            begin = int(words.per_doc[:i].sum())
+            terms = np.unique(words.hash[begin : begin + words.per_doc[i]])
+            size = np.append(int(words.per_doc[i]), np.zeros(len(terms) - 1, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), piece.column("row")[i].as_py())), pa.array(as_signed(terms)), pa.array(size)], names=["row", "term", "size"])
+
+
+def index_parts(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", without_id: bool = False) -> Iterator[ItemIndex]:
     """Indexes over the items in parts of bounded size (an item alone may be more).  Null texts, and texts without a
-    word, cannot be found and are left out; rows that share an id are items of their own.  Weights of words come from
-    the part, so they depend on how a benchmark beyond one part is cut, the verification does not."""
-    part, held = [], 0
-    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").orderBy("i", "t")
-    for r in rows.toLocalIterator():
-        part.append((r.i, r.t))
-        held += len(r.t)
+    word, cannot be found and are left out, and so are items without an id unless asked for; rows that share an id are
+    items of their own.  Weights of words come from the whole benchmark, so results do not depend on its parts: items
+    counted per word, number of items and mean length are Spark aggregates, and a part brings its own words' counts."""
+    rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("text")).where("text is not null" if without_id else "i is not null and text is not null")
+    rows = stage_table(rows.withColumn("row", F.monotonically_increasing_id()), "items")
+    terms = stage_table(rows.select("row", "text").mapInArrow(released(_item_terms), "row long, term long, size long"), "terms")
+    sums = terms.agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("items")).first()
+    counted = terms.join(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "term").groupBy("row").agg(F.collect_list(F.struct("term", "n")).alias("terms"))
+    part, counts, held = [], {}, 0
+
+    def index() -> ItemIndex:
+        known = np.array(sorted((t & 0xFFFFFFFFFFFFFFFF, n) for t, n in counts.items()), dtype=object).reshape(-1, 2)
+        return ItemIndex(part, whole=(sums["items"], sums["words"] / max(sums["items"], 1), known[:, 0].astype(np.uint64), known[:, 1].astype(np.int64)))
+
+    for r in rows.join(counted, "row").orderBy(F.col("i").asc_nulls_last(), "text", "row").toLocalIterator():
+        part.append((r.i, r.text))
+        counts.update({t.term: t.n for t in r.terms})
+        held += len(r.text)
         if held >= PART_BYTES:
-            yield ItemIndex(part)
-            part, held = [], 0
+            yield index()
+            part, counts, held = [], {}, 0
     if part:
-        yield ItemIndex(part)
+        yield index()
 
 
 _HIT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -252,8 +281,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds a test item (columns as they are; ``text`` is searched)."""
-    for index in index_parts(benchmark):
+    """``docs`` without the rows whose text holds a test item, with an id or without (columns as they are; ``text`` is
+    searched).  Null and empty texts hold none and stay; each of repeated rows goes or stays by its own text."""
+    for index in index_parts(benchmark, without_id=True):
 
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
             for piece in text_slices(batches):
