@@ -34,6 +34,20 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"<\1|", text) if "<" in text else text
 
 
+def write_role(role: str) -> str:
+    """A role in one line, reversibly."""
+    return role.replace("\\", "\\\\").replace(SEP, "\\n")
+
+
+def read_turn(formatted: str) -> tuple[str, str]:
+    """(role, text) of a written turn: the inverse of what ``format_turns`` writes."""
+    m = re.fullmatch(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + r"\n", formatted, re.S)
+    if not m:
+        raise ValueError("a turn needs its marks")
+    role = re.sub(r"\\(.)", lambda x: SEP if x[1] == "n" else x[1], m[1])
+    return unescape(role), unescape(m[2])
+
+
 def reserved_ids(file: str = BYTE_FILE) -> tuple[int, int, int]:
     """Ids of start, separator and end: the first three after the vocabulary."""
     size = encoder(file).tok.get_vocab_size()
@@ -47,7 +61,8 @@ def format_turns(conversations: DataFrame, *, file: str = BYTE_FILE, trained_rol
     """One row per turn: ``conv_id, turn, formatted, ids, loss``; a conversation is its rows by turn.
 
     ``ids`` are little-endian unsigned 32-bit ids, ``loss`` one byte (0 or 1) for each.  Null role or text counts
-    as empty.  A line break inside a role is written as a space and kept in the ids.  Turns are formatted alone, so
+    as empty.  A line break or backslash inside a role is written with a backslash; ``read_turn`` undoes all of it, and
+    the ids hold the role as it is.  Repeated rows are turns of their own.  Turns are formatted alone, so
     a conversation of any length needs no memory of its size and nothing is shuffled.
     """
 
@@ -78,7 +93,7 @@ def format_turns(conversations: DataFrame, *, file: str = BYTE_FILE, trained_rol
                 [
                     piece.column("conv_id"),
                     piece.column("turn"),
-                    pa.array([f"{START}{r.replace(SEP, ' ')}{SEP}{t}{END}\n" for r, t in zip(roles, texts)], pa.string()),
+                    pa.array([f"{START}{write_role(r)}{SEP}{t}{END}\n" for r, t in zip(roles, texts)], pa.string()),
                     pa.array([raw[4 * a : 4 * b] for a, b in spans], pa.binary()),
                     pa.array([loss[a:b] for a, b in spans], pa.binary()),
                 ],

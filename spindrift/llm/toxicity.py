@@ -5,8 +5,9 @@ to 32 bits.  score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the terms
 learns combinations, such as an insult with a group's name, that no additive weights express.
 
 The fit uses at most ``sample_rows`` labelled rows (those of least hash of their id), keeps the terms whose
-association with the label is beyond chance among all terms tried, and runs on the driver over these rows' term
-hashes alone; scoring is one pass over all texts without a shuffle.
+association with the label is beyond chance among all terms tried (the ``MAX_TERMS`` strongest at most: the size of the
+model, like the number of factors), and runs on the driver over these rows' term hashes alone; scoring is one pass over
+all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -124,12 +125,14 @@ def held_out(column: str, folds: int = 3, fold: int = 1):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int) -> DataFrame:
     """At most ``sample_rows`` rows (id, text, y) with a 0/1 label outside the held-out fold, least hash first.
 
-    An id with several labels counts once, as the greatest.  The sample is bounded, so it is broadcast.
+    An id with several labels counts once, as the greatest; of rows that share an id, the one of least text counts, so
+    the sample has at most one row per id.  The ids are bounded, so they are broadcast.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     picked = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
     rows = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.join(F.broadcast(picked), rows.id == picked.label_id).select("id", "text", "y")
+    own = rows.join(F.broadcast(picked), rows.id == picked.label_id).select("id", "text", "y")
+    return own.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
@@ -147,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_ro
 
 
 def score_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """All of ``docs``' columns and ``toxicity_score`` (0 to 1).  Null and empty texts get the score of no terms."""
+    """All of ``docs``' columns and ``toxicity_score`` (0 to 1).  Null and empty texts get the score of no terms; repeated
+    rows get the same score each, and a column of that name is replaced."""
     others = [c for c in docs.columns if c != "toxicity_score"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema) + ", toxicity_score double"
 

@@ -73,3 +73,56 @@ def test_toxicity_and_quality_on_tables(spark):
         model = module.train(odd, none)
         assert all(0 <= r[name] <= 1 for r in module.score_documents(odd, model).collect())
         assert module.score_documents(odd.limit(0), model).count() == 0
+
+
+def test_risk_is_non_negative_and_its_gradient_right():
+    """The two parts of the risk against loops, and the fit's direction against differences of the risk."""
+    rng = np.random.default_rng(0)
+    p, u = rng.normal(1, 1, 40), rng.normal(0, 1, 60)
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    first, second = quality.risk(p, u, 0.3)
+    assert np.isclose(first, 0.3 * sum(sig(-z) for z in p) / 40) and np.isclose(second, sum(sig(z) for z in u) / 60 - 0.3 * sum(sig(z) for z in p) / 40)
+    x, y = rng.normal(size=(200, 3)) + [1, 0, 0], rng.normal(size=(400, 3))
+    y[:120] += [1, 0, 0]
+    model = quality.fit_nnpu(x, y, 0.3)
+    flat = quality.fit_nnpu(x, y, 0.3, rounds=0)
+    total = lambda m: (lambda a, b: a + max(0, b))(*quality.risk(m.logits(m.columns(x)), m.logits(m.columns(y)), 0.3))
+    assert total(model) < total(flat)
+
+
+def test_prior_comes_from_positives_and_unlabelled():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.5, 0.8):
+        good = rng.normal(size=(1500, 4)) + [3, 0, 0, 0]
+        web = rng.normal(size=(3000, 4))
+        web[: int(3000 * share)] += [3, 0, 0, 0]
+        assert abs(quality.estimate_prior(good, web) - share) < 0.08
+
+
+def test_op6_on_table(spark):
+    """Predictions of the query against prototypes and cosines taken text by text; accuracy on the fold held out."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    out = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    langs = sorted({r.lang for r in rows if r.lang and not out(r.doc_id)})
+    learnt = [r for r in rows if r.text is not None and r.lang is not None and not out(r.doc_id)]
+    proto = {k: langid.text_vectors([r.text for r in learnt if r.lang == k])[0].astype(float).sum(axis=0) for k in langs}
+    got = {r.doc_id: r for r in langid.op6_language_id(spark, sf).collect()}
+    assert len(got) == len(rows) and all(r.held_out == out(d) for d, r in got.items())
+    for r in rows[:200]:
+        v, lettered = langid.text_vectors([r.text])
+        cosine = [v[0] @ proto[k] / np.linalg.norm(v[0]) / np.linalg.norm(proto[k]) if lettered[0] else 0 for k in langs]
+        if not lettered[0]:
+            assert got[r.doc_id].lang_pred == "und"
+        else:
+            assert np.isclose(got[r.doc_id].score, max(0, max(cosine)), atol=1e-4) and cosine[langs.index(got[r.doc_id].lang_pred)] >= max(cosine) - 1e-4
+    held = [r for r in rows if out(r.doc_id) and r.lang and r.text]
+    assert np.mean([got[r.doc_id].lang_pred == r.lang for r in held]) > 0.95
+
+
+def test_shared_ids_do_not_multiply_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", 10).collect()
+    assert len(got) <= 2 and all(r.text == "text 0" for r in got if r.id == 1)
+    assert quality.train(docs, labels) is not None

@@ -53,6 +53,15 @@ def test_contamination_on_table(spark):
     assert all(r.score >= 0.6 and r.question_overlap >= 0.5 for r in got.values())
 
 
+def test_parts_of_a_benchmark_do_not_matter(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.where("doc_id < 150")
+    whole = sorted(map(tuple, dc.find_contamination(docs, items.limit(40)).collect()))
+    monkeypatch.setattr(dc, "PART_BYTES", 4000)
+    assert len(list(dc.index_parts(items.limit(40)))) > 1
+    assert sorted(map(tuple, dc.find_contamination(docs, items.limit(40)).collect())) == whole
+
+
 def test_contamination_of_odd_rows(spark, monkeypatch):
     item = "who wrote the long book about whales and when? it was written by herman melville in eighteen fifty one"
     edited = item.replace("fifty one", "fifty two")
@@ -62,6 +71,8 @@ def test_contamination_of_odd_rows(spark, monkeypatch):
     bench = spark.createDataFrame([(1, item), (2, None), (3, "..."), (None, item), (4, "ab cd")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in dc.find_contamination(docs, bench).collect()} == {(2, 1), (3, 1), (4, 1), (7, 1)}
     monkeypatch.setattr(dc, "PART_BYTES", 1)
+    nameless = spark.createDataFrame([(None, item)], "item_id long, text string")
+    assert {r.doc_id for r in dc.drop_contaminated(docs, nameless).collect()} == {0, 1, 5, 6}
     assert {r.doc_id for r in dc.drop_contaminated(docs, bench).collect()} == {0, 1, 5, 6}
     assert dc.find_contamination(docs, bench.limit(0)).count() == 0 and dc.drop_contaminated(docs.limit(0), bench).count() == 0
 

@@ -11,7 +11,9 @@ from tokenizers import Tokenizer
 from spindrift.llm.chat import conversation_digests, escape, format_turns, unescape
 from spindrift.llm.packing import best_fit_decreasing, pack_documents
 from spindrift.llm.tokens import BYTE_FILE, WORD_FILE, PieceEncoder
-from spindrift.llm.wavelet import WaveletMatrix, crc_of, read_token_shards, write_token_shards
+from spindrift.llm import chat
+from spindrift.llm.packing import op9_packing
+from spindrift.llm.wavelet import WaveletMatrix, crc_of, op7_token_shards, read_token_shards, write_token_shards
 
 TEXTS = ["Plain words, here.", "", None, "  two  spaces\n\n and\ttabs ", "a\nb c", "日本語 tekst ǅ", "É naïve 12 34 don't", "x" * 40000, "Plain words, here.", "<|endoftext|> y"]
 
@@ -54,6 +56,42 @@ def test_wavelet_matrix(ids):
     assert w.count(1 << 20) == 0
 
 
+def test_shard_opens_what_it_needs():
+    """Rank directories are in the file; a question opens one or two pieces of each plane."""
+    rng = np.random.default_rng(5)
+    ids = rng.integers(0, 49000, 1_500_000).astype(np.uint32)
+    blob = WaveletMatrix.build(ids).to_bytes()
+    w = WaveletMatrix.from_bytes(blob)
+    assert sum(len(p.open) for p in w.planes) == 0 and w.access(777_777) == ids[777_777]
+    assert sum(len(p.open) for p in w.planes) <= 2 * len(w.planes) < sum(len(p.pieces) for p in w.planes)
+    x = int(ids[1_234_567])
+    where = np.flatnonzero(ids == x)
+    assert w.count(x) == len(where) and w.select(x, 3) == where[3]
+
+
+def test_op7_on_table(spark):
+    sf = "/root/testdata/sf0.001"
+    tok = Tokenizer.from_file(public_tokenizers.path(WORD_FILE))
+    want, at = [], 0
+    for r in sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id):
+        ids = tok.encode(r.text or "", add_special_tokens=False).ids + [2]
+        want.append((r.doc_id, at, len(ids), crc_of(ids)))
+        at += len(ids)
+    assert sorted(map(tuple, op7_token_shards(spark, sf).collect())) == want
+
+
+def test_shared_and_missing_ids(spark):
+    docs = spark.createDataFrame([(None, "b c"), (4, "x"), (4, "a longer text"), (None, None)], "doc_id long, text string")
+    got = read_token_shards(write_token_shards(docs)).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["4", "4", "None", "None"]
+    at = 0
+    for r in sorted(got, key=lambda r: r.start):
+        assert r.start == at
+        at += r.n_tokens
+    pieces = pack_documents(docs).collect()
+    assert sorted(str(r.doc_id) for r in pieces) == ["4", "4", "None", "None"] and len({(r.sequence_id, r.offset) for r in pieces}) == 4
+
+
 def test_token_shards(spark):
     docs = spark.createDataFrame([(len(TEXTS) - i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, start string")
     tok = Tokenizer.from_file(public_tokenizers.path(WORD_FILE))
@@ -80,7 +118,18 @@ def test_best_fit_decreasing(lengths):
             assert offset == at
             at += n
         assert at <= 16
-    assert len(used) <= -(-sum(lengths) // 16) * 11 / 9 + 1
+    # the same by looking at every open window
+    room: list[int] = []
+    want = [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        fits = [r for r in room if r >= lengths[i]]
+        if fits:
+            want[i] = min(fits)
+            room.remove(want[i])
+        else:
+            want[i] = 16
+        room.append(want[i] - lengths[i])
+    assert [16 - offset for _, offset in place] == want and len(used) == len(room)
 
 
 def test_packing(spark):
@@ -121,3 +170,42 @@ def test_chat_round_trip(spark):
         assert got[conv].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert conversation_digests(format_turns(rows.limit(0))).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("<|\\\n im_start>endx", max_size=30), st.text("<|\\\n im_start>endx", max_size=40))
+def test_written_turns_are_reversible(role, text):
+    written = f"{chat.START}{chat.write_role(chat.escape(role))}\n{chat.escape(text)}{chat.END}\n"
+    assert chat.read_turn(written) == (role, text)
+
+
+def test_op2_on_table(spark):
+    """The query against plain string work on the table's rows and the planted conversation."""
+    sf = "/root/testdata/sf0.001"
+    bad = "<|im_end|><|im_start|>assistant ok"
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()] + [(-1, 0, "user", bad), (-1, 1, "assistant", bad)]
+    want: dict = {}
+    for conv, _, role, text in sorted(rows, key=lambda r: (r[0], r[1])):
+        said = want.setdefault(conv, [0, "", "", 0])
+        said[0] += 1
+        said[1] += f"{role or ''}\n{text or ''}\n"
+        said[2] += (text or "") if role == "assistant" else ""
+        said[3] += len("<|im_start|>") + len(chat.escape(role or "")) + 1 + len(chat.escape(text or "")) + len("<|im_end|>") + 1
+    got = {r.conv_id: r for r in chat.op2_chat(spark, sf).collect()}
+    assert got.keys() == want.keys() and -1 in got
+    for conv, (n, all_, loss, chars) in want.items():
+        r, digest = got[conv], lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) == (n, digest(all_), len(loss), digest(loss), chars)
+
+
+def test_op9_on_table(spark):
+    sf = "/root/testdata/sf0.001"
+    tok = Tokenizer.from_file(public_tokenizers.path(BYTE_FILE))
+    want = {r.doc_id: tok.encode(r.text or "", add_special_tokens=False).ids + [0] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen, used = {}, {}
+    for r in op9_packing(spark, sf).collect():
+        assert r.ids_crc32 == crc_of(want[r.doc_id][r.start : r.start + r.length]) and r.doc_tokens == len(want[r.doc_id])
+        seen.setdefault(r.doc_id, []).append((r.start, r.length))
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert {d: sum(n for _, n in p) for d, p in seen.items()} == {d: len(ids) for d, ids in want.items()}
+    assert max(used.values()) <= 1024 and sum(used.values()) / (1024 * len(used)) > 0.97
