@@ -43,7 +43,7 @@ HOT = 2048
 SLICE_BYTES = 1 << 19  # texts hashed together
 CELL_BITS = 7
 STRETCH = 512
-TASK_BYTES = 8 << 20  # a task compares and sends its segments in blocks of so many bytes of text
+TASK_BYTES = 16 << 20  # a task compares and sends its segments in blocks of so many bytes of text
 SETTLE_BYTES = 4 << 20  # stretches from other tasks that are compared together
 LANE = 4  # stretches or segments of a suffix array
 LANE_BATCH = 600_000  # symbols whose suffix arrays are built together
@@ -345,10 +345,11 @@ def stretches(row: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.nda
 
 # --- records --------------------------------------------------------------------------------------------------------
 
-#: kind 0: a removed span of ``row`` from ``a`` to ``b``.  1: a segment to be compared: ``b`` windows from ``a`` of row, the
-#: ``nth`` of its anchor, cell ``h``.  2: an anchor of cell ``h`` has more than HOT.  3: ``blob`` packs places of a bucket.
-_ROW = "bucket long, kind long, id long, row long, a long, b long, h long, nth long, blob binary"
-_KEYS = ["bucket", "kind", "id", "row", "a", "b", "h", "nth", "blob"]
+#: kind 0: a removed span of ``row`` from ``a`` to ``b``.  1: a segment to be compared: first window of row << 12 | number of
+#: windows in ``a``, cell ``h``, ``part`` of its anchor's.  2: an anchor of cell ``h`` has more than HOT.  3: ``blob`` packs
+#: places of a bucket.
+_ROW = "bucket long, kind long, row long, a long, b long, h long, part long, blob binary"
+_KEYS = ["bucket", "kind", "row", "a", "b", "h", "part", "blob"]
 
 
 def _rows(n: int, **columns) -> pa.RecordBatch:
@@ -508,7 +509,7 @@ class _Met:
         out = np.repeat(many, size)
         nth = (np.repeat(before, size) + ragged_arange(size))[out]
         n = len(nth)
-        yield _rows(n, kind=np.ones(n, np.int64), id=doc[out], row=row[out], a=span[out] >> 12, b=span[out] & 4095, h=as_signed(np.repeat(cell, size)[out]), nth=nth)
+        yield _rows(n, kind=np.ones(n, np.int64), row=row[out], a=span[out], h=as_signed(np.repeat(cell, size)[out]), part=nth // HOT)
         hot = np.unique(cell[(before <= HOT) & (before + size > HOT)])
         yield _rows(len(hot), kind=np.full(len(hot), 2), h=as_signed(hot))
         self.once = [h[~out], doc[~out], row[~out], span[~out]]
@@ -546,11 +547,11 @@ _STRETCH = "h long, part long, id long, row long, pos long, n long, bytes binary
 _STRETCH_NAMES = [f.split()[0] for f in _STRETCH.split(", ")]
 
 
-def _cut_stretches(group: int):
-    """Texts, each followed by its segments in order -> the stretches' bytes.  ``group``: segments of one anchor that go together."""
+def _cut_stretches(one_part: bool):
+    """Texts, each followed by its segments in order -> the stretches' bytes.  ``one_part``: whatever the segments' parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip, raw = zstandard.ZstdDecompressor(), b""
+        unzip, raw, doc = zstandard.ZstdDecompressor(), b"", None
         out: list[list] = [[] for _ in _STRETCH_NAMES]
         last = None  # cell, part, id, row, first window, window after the last
 
@@ -559,22 +560,28 @@ def _cut_stretches(group: int):
                 for column, v in zip(out, (*last[:5], last[5] - last[4], raw[last[4] : last[5] + WINDOW - 1])):
                     column.append(v)
 
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 6 else pa.int64()) for k, v in enumerate(out)], names=_STRETCH_NAMES)
+
         for batch in batches:
-            for row, at, z, doc, n, h, nth in zip(*(batch.column(k).to_pylist() for k in ("row", "at", "z", "id", "b", "h", "nth"))):
+            for row, at, z, own, h, part in zip(*(batch.column(k).to_pylist() for k in ("row", "at", "z", "id", "h", "part"))):
                 if at < 0:
                     close()
-                    last, raw = None, unzip.decompress(z) if z else b""
-                elif last and at == last[5] and h == last[0] and nth // group == last[1] and at < last[4] + STRETCH:
-                    last = (*last[:5], at + n)
+                    last, raw, doc = None, unzip.decompress(z) if z else b"", NO_ID if own is None else own
+                    continue
+                start, stop = at >> 12, (at >> 12) + (at & 4095)
+                part = 0 if one_part else part
+                if last and start == last[5] and h == last[0] and part == last[1] and start < last[4] + STRETCH:
+                    last = (*last[:5], stop)
                 else:
                     close()
-                    last = (h, nth // group, doc, row, at, at + n)
+                    last = (h, part, doc, row, start, stop)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 6 else pa.int64()) for k, v in enumerate(out)], names=_STRETCH_NAMES)
+                yield rows()
                 out = [[] for _ in _STRETCH_NAMES]
         close()
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == 6 else pa.int64()) for k, v in enumerate(out)], names=_STRETCH_NAMES)
+            yield rows()
 
     return run
 
@@ -700,21 +707,21 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     match = lambda df: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_match), _ROW)
 
-    def fetched(marks: DataFrame, group: int) -> DataFrame:
-        places = marks.where("kind = 1").select("row", "a", "id", "b", "h", "nth")
-        cut = _beside(z, places).mapInArrow(released(_cut_stretches(group)), _STRETCH)
-        if group == HOT:
+    def fetched(marks: DataFrame, last: bool) -> DataFrame:
+        places = marks.where("kind = 1").select("row", "a", "h", "part")
+        cut = _beside(z, places).mapInArrow(released(_cut_stretches(last)), _STRETCH)
+        if not last:
             cut = cut.unionByName(marks.where("kind = 2").select("h", F.lit(0).cast("long").alias("part")), allowMissingColumns=True)
         return cut.repartition("h", "part").sortWithinPartitions("h", "part", F.col("row").asc_nulls_first(), "pos")
 
     # a finished phase's shuffle files go with its plan, so its garbage is collected before the next phase writes
     places = stage_table(match(z.mapInArrow(released(_find_segments(buckets)), _ROW)), "places")
     release_shuffles(spark)
-    settled = stage_table(match(fetched(places, HOT).mapInArrow(released(_settle(buckets)), _ROW)), "settled")
+    settled = stage_table(match(fetched(places, False).mapInArrow(released(_settle(buckets)), _ROW)), "settled")
     release_shuffles(spark)
     spans = places.where("kind = 0").unionByName(settled.where("kind = 0"))
     if not settled.where("kind = 1").isEmpty():
-        spans = spans.unionByName(fetched(settled, 1 << 62).mapInArrow(released(_settle(buckets)), _ROW).where("kind = 0"))
+        spans = spans.unionByName(fetched(settled, True).mapInArrow(released(_settle(buckets)), _ROW).where("kind = 0"))
     cut = _beside(texts, spans.select("row", "a", "b")).mapInArrow(released(_cut_texts), f"row long, doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, carried {kind}")
     return cut.select("doc_id", "n_bytes", "n_removed", "spans", "kept", *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)])
 
