@@ -48,12 +48,13 @@ def diverse_top(score: Sequence[float], kind: Sequence, most: int, per_kind: int
     return out
 
 
-def match_slots(slots: Sequence[float], uploads: Sequence[float]) -> list[tuple[int, int]]:
-    """Greedy pairs of a slot and an upload: those in time before late ones, then the nearest."""
-    pairs = sorted((u > s, abs(u - s), i, j) for i, s in enumerate(slots) for j, u in enumerate(uploads))
+def match_slots(slots: Sequence[float], uploads: Sequence[float], late: float = 0) -> list[tuple[int, int]]:
+    """Greedy pairs of a slot and an upload: those whose slot lies at or before the upload (``late`` after it at most)
+    first, then the nearest, then by upload and slot."""
+    pairs = sorted((s > u + late, abs(u - s), j, i) for i, s in enumerate(slots) for j, u in enumerate(uploads))
     out: list[tuple[int, int]] = []
     left, right = set(range(len(slots))), set(range(len(uploads)))
-    for _, _, i, j in pairs:
+    for _, _, j, i in pairs:
         if i in left and j in right:
             left.discard(i)
             right.discard(j)
@@ -179,24 +180,42 @@ def first_fit(items: Sequence[str], budget: int, gap: int = 1) -> list[str]:
 
 
 def theil_sen(x: Sequence[float], y: Sequence[float]) -> tuple[float, float]:
-    """(intercept, slope): median of the pairwise slopes, and of the rest.  Slopes come row by row, not all at once, in
-    a bisection on their rank, so memory is linear."""
+    """(intercept, slope): median of the pairwise slopes, and of the rest; without two places, the median and 0.
+
+    Slopes come row by row; those around the median are found by halving a range of slopes until few are left in it, so
+    memory stays bounded and the result is the same for any number of points."""
     import numpy as np
 
     x, y = np.asarray(x, float), np.asarray(y, float)
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
-    rows = [(y[i + 1 :] - y[i])[x[i + 1 :] > x[i]] / (x[i + 1 :] - x[i])[x[i + 1 :] > x[i]] for i in range(len(x) - 1)] if len(x) <= 2000 else None
-    if rows is not None:
-        slopes = np.concatenate(rows) if rows else np.zeros(0)
-        slope = float(np.median(slopes)) if len(slopes) else float("nan")
+
+    def slopes():
+        for i in range(len(x) - 1):
+            j = i + 1 + int(np.searchsorted(x[i + 1 :], x[i], side="right"))
+            yield (y[j:] - y[i]) / (x[j:] - x[i])
+
+    total, lo, hi = 0, np.inf, -np.inf
+    for s in slopes():
+        total, lo, hi = total + len(s), min(lo, s.min(initial=np.inf)), max(hi, s.max(initial=-np.inf))
+    if not total:
+        return (float(np.median(y)) if len(y) else float("nan")), 0.0
+    # the range [lo, hi] holds the middle one or two slopes; ``below`` slopes are less than lo
+    first, last, below, inside = (total - 1) // 2, total // 2, 0, total
+    while inside > 2_000_000 and lo < hi:
+        mid = (lo + hi) / 2
+        upto = below + sum(int(((s >= lo) & (s <= mid)).sum()) for s in slopes())
+        if last < upto:
+            if mid == hi:
+                break
+            hi, inside = mid, upto - below
+        elif first >= upto:
+            lo, inside, below = np.nextafter(mid, np.inf), inside - (upto - below), upto
+        else:
+            break
+    if lo == hi:
+        slope = float(lo)
     else:
-        each = lambda i: (y[i + 1 :] - y[i])[x[i + 1 :] > x[i]] / (x[i + 1 :] - x[i])[x[i + 1 :] > x[i]]
-        total = sum(len(each(i)) for i in range(len(x) - 1))
-        lo, hi = min(each(i).min(initial=np.inf) for i in range(len(x) - 1)), max(each(i).max(initial=-np.inf) for i in range(len(x) - 1))
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            below = sum(int((each(i) <= mid).sum()) for i in range(len(x) - 1))
-            lo, hi = (mid, hi) if below * 2 < total else (lo, mid)
-        slope = (lo + hi) / 2
+        near = np.sort(np.concatenate([s[(s >= lo) & (s <= hi)] for s in slopes()]))
+        slope = float((near[first - below] + near[last - below]) / 2)
     return float(np.median(y - slope * x)), slope

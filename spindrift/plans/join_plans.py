@@ -193,25 +193,34 @@ def j26(spark, sf_dir):
     return prefixes.join(folders, "owner").groupBy("id").agg(F.max_by("owner", F.length("owner")).alias("owner"))
 
 
-_BANDS = 8
+_BANDS, _BAND_BITS, _APART = 4, 16, 7
+_MARKS = [chr(97 + k) for k in range(26)] + [f"e{chr(97 + k)}" for k in range(26)] + list("0123456789.,")
 
 
 @query(
     "j17_hamming_join",
-    """WITH b AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS s FROM embeddings)
-    SELECT a.vec_id AS a, c.vec_id AS b, hamming(a.s, c.s)::BIGINT AS distance FROM b a JOIN b c ON a.vec_id < c.vec_id AND hamming(a.s, c.s) <= 7""",
+    f"""WITH m AS (SELECT unnest(range({len(_MARKS)})) AS k, unnest({_MARKS}) AS mark), p AS (SELECT doc_id, k, ((length(text) - length(replace(text, mark, ''))) // length(mark)) % 2 AS bit FROM documents, m WHERE text IS NOT NULL),
+    f AS (SELECT doc_id, string_agg(bit::VARCHAR, '' ORDER BY k) AS s FROM p GROUP BY 1), r AS (SELECT s, min(doc_id) AS id FROM f GROUP BY 1)
+    SELECT a.id AS a, b.id AS b, hamming(a.s, b.s)::BIGINT AS distance FROM r a JOIN r b ON a.id < b.id AND hamming(a.s, b.s) <= {_APART}""",
 )
 def j17(spark, sf_dir):
-    """Pairs of 64-bit sign fingerprints at most 7 bits apart; two such fingerprints share one of eight bands of 8 bits."""
-    bits = F.transform("embedding", lambda x: F.when(x > 0, F.lit("1")).otherwise("0"))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.concat_ws("", bits).alias("s"))
-    size = 64 // _BANDS
-    bands = rows.select("vec_id", "s", F.explode(F.array(*[F.concat(F.lit(f"{k}:"), F.substring("s", size * k + 1, size)) for k in range(_BANDS)])).alias("band"))
-    a, b = bands.alias("a"), bands.alias("b")
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.vec_id") < F.col("b.vec_id"))).select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.col("a.s").alias("x"), F.col("b.s").alias("y"))
-    half = lambda c, at: F.conv(F.substring(c, at, 32), 2, 10).cast("long")
-    apart = F.bit_count(half("x", 1).bitwiseXOR(half("y", 1))) + F.bit_count(half("x", 33).bitwiseXOR(half("y", 33)))
-    return pairs.withColumn("distance", apart.cast("long")).where("distance <= 7").select("a", "b", "distance").distinct()
+    """Pairs of distinct 64-bit fingerprints at most 7 bits apart, each by the least document that has it.
+
+    A fingerprint's bits tell whether a text holds each of 64 marks an odd number of times.  Of four bands of 16 bits one
+    differs in a bit at most, so one side is sent by its bands, the other by its bands and all that differ in one bit;
+    the pair is taken in the first band that brings it together."""
+    odd = [(((F.length("text") - F.length(F.replace("text", F.lit(m), F.lit("")))) / len(m)).cast("long") % 2) for m in _MARKS]
+    bands = [sum((odd[_BAND_BITS * b + i] * (1 << i) for i in range(_BAND_BITS)), F.lit(0)).cast("long") for b in range(_BANDS)]
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array(*bands).alias("f"))
+    rows = rows.groupBy("f").agg(F.min("doc_id").alias("id"))
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(_BAND_BITS)])
+    left = rows.select(F.col("id").alias("a"), F.col("f").alias("x"), F.posexplode("f").alias("band", "key"))
+    right = rows.select(F.col("id").alias("b"), F.col("f").alias("y"), F.posexplode("f").alias("band", "own")).withColumn("flip", F.explode(flips)).withColumn("key", F.col("own").bitwiseXOR(F.col("flip")))
+    pairs = left.join(right, ["band", "key"]).where("a < b")
+    each = F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
+    pairs = pairs.withColumn("each", each).withColumn("distance", F.aggregate("each", F.lit(0).cast("long"), lambda s, n: s + n))
+    first = F.array_position(F.transform("each", lambda n: n <= 1), True) - 1
+    return pairs.where((F.col("distance") <= _APART) & (first == F.col("band"))).select("a", "b", "distance")
 
 
 @query("e5_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")

@@ -67,9 +67,9 @@ def f13(spark, sf_dir):
     return table(spark, sf_dir, "pages").where("url is not null").select(F.col("page_id").alias("id"), host.alias("host"), F.regexp_extract("url", r"^https?://[^/?#]+([^?#]*)", 1).alias("path"))
 
 
-@query("f14_hash_id", "SELECT c_custkey AS id, substr(sha256(c_name), 1, 16) AS fid FROM customer")
+@query("f14_hash_id", "SELECT c_custkey AS id, substr(sha1(c_name), 1, 16) AS fid FROM customer")
 def f14(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.substring(F.sha2("c_name", 256), 1, 16).alias("fid"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.substring(F.sha1(F.col("c_name").cast("binary")), 1, 16).alias("fid"))
 
 
 @query("e1_token_sets", f"WITH {TITLES}, w AS (SELECT id, channel, pos, list_distinct(regexp_extract_all(lower(title), '[a-z가-힣]{{2,10}}')) AS w FROM t) SELECT a.id, b.id AS other, len(list_intersect(a.w, b.w))::BIGINT AS shared FROM w a JOIN w b ON a.channel = b.channel AND b.pos = a.pos + 1 WHERE len(list_intersect(a.w, b.w)) > 0")

@@ -54,7 +54,7 @@ def j20(spark, sf_dir):
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(pdf["week"][0]) * 7 * DAY
         slots = [start + (2 * d + 1) * DAY + 18 * DAY // 24 for d in range(3)]
-        got = sequential.match_slots(slots, pdf["pub"].tolist())
+        got = sequential.match_slots(slots, pdf["pub"].tolist(), 2 * DAY // 24)
         return pd.DataFrame([(pdf["channel"][0], pdf["week"][0], i, pdf["id"][j]) for i, j in got], columns=["channel", "week", "slot", "id"])
 
     return sequential.per_group(rows, ["channel", "week"], ["pub", "id"], "channel long, week long, slot long, id long", match)
