@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# What is taken out of a title for reading and for comparison, and the marks that are stripped off its ends.
+TAG = r"#\S+"
+ASIDE = r"\[[^\]]*\]|\([^)]*\)|#\S+"
+NOT_KEY = "[^0-9A-Za-z가-힣]"
+END_MARKS = " |ㅣ-"
+
+
 def clean_title(c: str | Column) -> Column:
     """Without tags, white space in one, bars and dashes off the ends."""
-    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"#\S+", ""), r"\s+", " "), F.lit(" |ㅣ-"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, TAG, ""), r"\s+", " "), F.lit(END_MARKS))
 
 
 def title_key(c: str | Column) -> Column:
     """For comparison: bracketed parts, tags and all but letters and digits go; lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(c, r"\[[^\]]*\]|\([^)]*\)|#\S+", ""), "[^0-9A-Za-z가-힣]", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(c, ASIDE, ""), NOT_KEY, ""))
 
 
 def tokens(c: str | Column) -> Column:

@@ -29,6 +29,14 @@ FORMULAS = {
 }
 SHORT, LONG = 20, 40
 
+# Where a title names its series (in brackets, before a numbered part, before a bar or colon), the number at
+# a name's end that does not belong to it, and what is stripped off a name.
+SERIES_BOXED = r"[\[【]([^\]】]{1,24})[\]】]"
+SERIES_PART = r"([가-힣A-Za-z][^\[\]|:#]{1,14}?)\s*[\"“’']?\s*\d+\s?탄"
+SERIES_HEAD = r"^\s*([^|:ㅣ\[\]#]{2,20}?)\s*[|:ㅣ]"
+SERIES_NUMBER = r"(?i)\s*(?:EP\.?\s?\d+|#?\d+\s?탄|시즌\s?\d+|\d+)\s*$"
+SERIES_MARKS = " \"“”'‘’-·|:"
+
 
 def at_least(df: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """Rows of keys that have at least ``n`` rows, with ``total``."""
@@ -64,11 +72,13 @@ def topic_lift(df: DataFrame, keys: Sequence[str], words: Column, resid: str = "
 
 
 def series(df: DataFrame, keys: Sequence[str], title: str, resid: str = "resid", least: int = 2) -> DataFrame:
-    """keys, name, n, median, mult, top: names in brackets, and heads before a bar or colon, of ``least`` rows or more."""
-    boxed = F.transform(F.regexp_extract_all(title, F.lit(r"\[([^\]]{1,24})\]")), lambda x: F.concat(F.lit("["), F.trim(x), F.lit("]")))
-    head = F.regexp_extract(title, r"^\s*([^|:#\[\]]{2,20}?)\s*[|:]", 1)
-    headed = F.when(head != "", F.array(F.concat(F.trim(head), F.lit(" |")))).otherwise(F.array().cast("array<string>"))
-    names = df.select(*keys, "id", "views", resid, F.explode(F.array_distinct(F.concat(boxed, headed))).alias("name"))
+    """keys, name, n, median, mult, top: series of ``least`` rows or more, by the names that titles give them."""
+    boxed = F.transform(F.regexp_extract_all(title, F.lit(SERIES_BOXED)), lambda x: F.btrim(F.regexp_replace(x, SERIES_NUMBER, "")))
+    boxed = F.transform(F.filter(boxed, lambda x: F.length(x) >= 2), lambda x: F.concat(F.lit("["), x, F.lit("]")))
+    part = F.btrim(F.regexp_extract(title, SERIES_PART, 1), F.lit(SERIES_MARKS))
+    head = F.btrim(F.regexp_extract(title, SERIES_HEAD, 1))
+    one = lambda name, least, end: F.when(F.length(name) >= least, F.array(F.concat(name, F.lit(end)))).otherwise(F.array().cast("array<string>"))
+    names = df.select(*keys, "id", "views", resid, F.explode(F.array_distinct(F.concat(boxed, one(part, 2, " N탄"), one(head, 1, " |")))).alias("name"))
     names = names.where(F.length(F.regexp_replace("name", "[^A-Za-z가-힣]", "")) >= 2)
     out = names.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"), F.percentile("views", F.lit(0.5)).alias("median"), F.exp(F.percentile(resid, F.lit(0.5))).alias("mult"), F.max_by("id", F.struct("views", "id")).alias("top"))
     return out.where(F.col("n") >= least)

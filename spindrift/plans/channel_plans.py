@@ -84,8 +84,8 @@ def a5(spark, sf_dir):
 
 @query(
     "a6_cadence",
-    f"""WITH {VIDEOS}, e AS (SELECT max(pub) AS now FROM v), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY pub DESC, id) AS place FROM v) WHERE place <= 400),
-    g AS (SELECT channel, fmt, pub, (lag(pub) OVER (PARTITION BY channel ORDER BY pub DESC, id) - pub) / 86400e6 AS gap, now FROM k, e)
+    f"""WITH {VIDEOS}, e AS (SELECT max(pub) AS now FROM v),
+    g AS (SELECT channel, fmt, pub, (lag(pub) OVER (PARTITION BY channel ORDER BY pub DESC, id) - pub) / 86400e6 AS gap, now FROM v, e)
     SELECT channel, count(*) AS n, round(count(*) FILTER (WHERE now - pub <= 90 * 86400000000) / (least(90.0, greatest(7.0, (any_value(now) - min(pub)) / 86400e6)) / 7), 6) AS per_week,
     floor((any_value(now) - max(pub)) / 86400e6)::BIGINT AS last_days, CASE WHEN count(gap) >= 3 AND avg(gap) > 0 THEN round(stddev_pop(gap) / avg(gap), 6) END AS cv,
     CASE WHEN (any_value(now) - max(pub)) / 86400e6 <= 14 THEN 'active' WHEN (any_value(now) - max(pub)) / 86400e6 <= 45 THEN 'slow' WHEN (any_value(now) - max(pub)) / 86400e6 <= 180 THEN 'rare' ELSE 'stopped' END AS activity
@@ -94,10 +94,9 @@ def a5(spark, sf_dir):
 def a6(spark, sf_dir):
     rows = videos(spark, sf_dir)
     now = rows.agg(F.max("pub")).first()[0] or 0
-    kept = newest_n(rows, ["channel"], [F.desc("pub"), "id"], 400)
-    gap = (F.lag("pub").over(Window.partitionBy("channel").orderBy("place")) - F.col("pub")) / DAY
+    gap = (F.lag("pub").over(Window.partitionBy("channel").orderBy(F.desc("pub"), "id")) - F.col("pub")) / DAY
     age = lambda c: (F.lit(now) - c) / DAY
-    out = kept.withColumn("gap", gap).groupBy("channel").agg(
+    out = rows.withColumn("gap", gap).groupBy("channel").agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.lit(now) - F.col("pub") <= 90 * DAY).cast("long")).alias("in90"), age(F.min("pub")).alias("oldest"),
         age(F.max("pub")).alias("last"), F.count("gap").alias("gaps"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("sd_gap"),
     )
@@ -188,13 +187,12 @@ def s31(spark, sf_dir):
 
 @query(
     "w2_resumed",
-    f"""WITH {VIDEOS}, k AS (SELECT *, lag(pub) OVER (PARTITION BY channel ORDER BY pub, id) AS before FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY pub DESC, id) AS place FROM v) WHERE place <= 400)
+    f"""WITH {VIDEOS}, k AS (SELECT *, lag(pub) OVER (PARTITION BY channel ORDER BY pub, id) AS before FROM v)
     SELECT channel, max(pub) AS resumed, max(pub - before) AS longest FROM k WHERE pub - before > 86400000000 GROUP BY channel""",
 )
 def w2(spark, sf_dir):
-    kept = newest_n(videos(spark, sf_dir), ["channel"], [F.desc("pub"), "id"], 400)
     before = F.lag("pub").over(Window.partitionBy("channel").orderBy("pub", "id"))
-    gaps = kept.withColumn("gap", F.col("pub") - before).where(F.col("gap") > DAY)
+    gaps = videos(spark, sf_dir).withColumn("gap", F.col("pub") - before).where(F.col("gap") > DAY)
     return gaps.groupBy("channel").agg(F.max("pub").alias("resumed"), F.max("gap").alias("longest"))
 
 
@@ -222,11 +220,6 @@ def w13(spark, sf_dir):
     return videos(spark, sf_dir).groupBy("channel", "fmt").agg(F.min("pub").alias("first_seen"), F.max("pub").alias("last_seen"))
 
 
-@query("w14_sequence_numbers", f"WITH {VIDEOS} SELECT channel, id, row_number() OVER (PARTITION BY channel ORDER BY pub, id) AS number FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY pub, id) AS k FROM v) WHERE k <= 400")
-def w14(spark, sf_dir):
-    return newest_n(videos(spark, sf_dir), ["channel"], ["pub", "id"], 400, "number").select("channel", "id", "number")
-
-
 @query("w18_max_normalised", "SELECT event_id AS id, round(value / m, 6) AS share FROM events JOIN (SELECT event_type AS k, max(value) AS m FROM events GROUP BY 1) ON k = event_type")
 def w18(spark, sf_dir):
     rows = videos(spark, sf_dir)
@@ -243,25 +236,6 @@ def w17(spark, sf_dir):
     return videos(spark, sf_dir).withColumn("n", F.count(F.lit(1)).over(ahead)).where("n >= 3").select("channel", "id", "n")
 
 
-@query("w3_trailing_minimum", f"WITH {VIDEOS} SELECT channel, fmt, id, round(views - min(views) OVER (PARTITION BY channel, fmt ORDER BY pos DESC ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) AS rise FROM v WHERE pos < 120")
-def w3(spark, sf_dir):
-    rows = recent(spark, sf_dir, 120)
-    low = F.min("views").over(Window.partitionBy("channel", "fmt").orderBy(F.desc("pos")).rowsBetween(-10, -1))
-    return rows.select("channel", "fmt", "id", R(F.col("views") - low).alias("rise"))
-
-
-@query("w16_rolling_median", f"WITH {VIDEOS} SELECT channel, fmt, id, round(views - quantile_cont(views, 0.5) OVER (PARTITION BY channel, fmt ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS spike FROM v WHERE pos < 120")
-def w16(spark, sf_dir):
-    mid = F.expr("percentile(views, 0.5) OVER (PARTITION BY channel, fmt ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
-    return recent(spark, sf_dir, 120).select("channel", "fmt", "id", R(F.col("views") - mid).alias("spike"))
-
-
-@query("w11_moving_average", f"WITH {VIDEOS} SELECT channel, fmt, id, round(avg(views) OVER (PARTITION BY channel, fmt ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM v WHERE pos < 120")
-def w11(spark, sf_dir):
-    near = Window.partitionBy("channel", "fmt").orderBy("pos").rowsBetween(-2, 2)
-    return recent(spark, sf_dir, 120).select("channel", "fmt", "id", R(F.avg("views").over(near)).alias("smooth"))
-
-
 @query("w1_neighbour_residual", f"WITH {VIDEOS} SELECT channel, fmt, id, round(coalesce(ln(views) - quantile_cont(ln(views), 0.5) OVER (PARTITION BY channel, fmt ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING EXCLUDE CURRENT ROW), 0), 6) AS resid FROM v WHERE pos < 120 AND views > 0")
 def w1(spark, sf_dir):
     rows = recent(spark, sf_dir, 120).where(stats.valid("views"))
@@ -282,13 +256,7 @@ def o2(spark, sf_dir):
     return known.join(rows.groupBy(F.col("o_custkey").alias("name")).agg(F.greatest(F.max("o_orderdate"), F.max("shipped")).alias("recent")), "name")
 
 
-@query("j1_ordered_lookup", f"WITH {VIDEOS} SELECT channel, pos, c_name AS label, views FROM v JOIN customer ON c_custkey = channel WHERE pos < 5")
-def j1(spark, sf_dir):
-    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel"), F.col("c_name").alias("label"))
-    return recent(spark, sf_dir, 5).join(names, "channel").select("channel", "pos", "label", "views")
-
-
-# The SQL of w14, w3, w16, w11 and j1 cuts rows.  The same queries without the cut (j1: with RECENT), against SQL without it:
+# Registered a second time under the names of the time when the first ones still cut rows.
 def _near(spark, sf_dir, reach):
     return in_blocks(numbered(videos(spark, sf_dir), ["channel", "fmt"], "pub", [F.desc("pub"), "id"], DAY, newest=True), "number", reach, reach)
 
@@ -297,29 +265,34 @@ _BLOCK = ["channel", "fmt", "_block"]
 
 
 @query("w14_sequence_numbers_whole", f"WITH {VIDEOS} SELECT channel, id, row_number() OVER (PARTITION BY channel ORDER BY pub, id) AS number FROM v")
-def w14_whole(spark, sf_dir):
+@query("w14_sequence_numbers", f"WITH {VIDEOS} SELECT channel, id, row_number() OVER (PARTITION BY channel ORDER BY pub, id) AS number FROM v")
+def w14(spark, sf_dir):
     return numbered(videos(spark, sf_dir), ["channel"], "pub", ["pub", "id"], DAY).select("channel", "id", "number")
 
 
-@query("w3_trailing_minimum_whole", SQL["w3_trailing_minimum"].replace(" WHERE pos < 120", ""))
-def w3_whole(spark, sf_dir):
+@query("w3_trailing_minimum_whole", f"WITH {VIDEOS} SELECT channel, fmt, id, round(views - min(views) OVER (PARTITION BY channel, fmt ORDER BY pos DESC ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) AS rise FROM v")
+@query("w3_trailing_minimum", f"WITH {VIDEOS} SELECT channel, fmt, id, round(views - min(views) OVER (PARTITION BY channel, fmt ORDER BY pos DESC ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 6) AS rise FROM v")
+def w3(spark, sf_dir):
     low = F.min("views").over(Window.partitionBy(*_BLOCK).orderBy(F.desc("number")).rowsBetween(-10, -1))
     return _near(spark, sf_dir, 10).withColumn("rise", R(F.col("views") - low)).where("_mine").select("channel", "fmt", "id", "rise")
 
 
-@query("w16_rolling_median_whole", SQL["w16_rolling_median"].replace(" WHERE pos < 120", ""))
-def w16_whole(spark, sf_dir):
+@query("w16_rolling_median_whole", f"WITH {VIDEOS} SELECT channel, fmt, id, round(views - quantile_cont(views, 0.5) OVER (PARTITION BY channel, fmt ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS spike FROM v")
+@query("w16_rolling_median", f"WITH {VIDEOS} SELECT channel, fmt, id, round(views - quantile_cont(views, 0.5) OVER (PARTITION BY channel, fmt ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS spike FROM v")
+def w16(spark, sf_dir):
     mid = F.expr("percentile(views, 0.5) OVER (PARTITION BY channel, fmt, _block ORDER BY number ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)")
     return _near(spark, sf_dir, 2).withColumn("spike", R(F.col("views") - mid)).where("_mine").select("channel", "fmt", "id", "spike")
 
 
-@query("w11_moving_average_whole", SQL["w11_moving_average"].replace(" WHERE pos < 120", ""))
-def w11_whole(spark, sf_dir):
+@query("w11_moving_average_whole", f"WITH {VIDEOS} SELECT channel, fmt, id, round(avg(views) OVER (PARTITION BY channel, fmt ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM v")
+@query("w11_moving_average", f"WITH {VIDEOS} SELECT channel, fmt, id, round(avg(views) OVER (PARTITION BY channel, fmt ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS smooth FROM v")
+def w11(spark, sf_dir):
     mean = F.avg("views").over(Window.partitionBy(*_BLOCK).orderBy("number").rowsBetween(-2, 2))
     return _near(spark, sf_dir, 2).withColumn("smooth", R(mean)).where("_mine").select("channel", "fmt", "id", "smooth")
 
 
-@query("j1_ordered_lookup_whole", SQL["j1_ordered_lookup"].replace("pos < 5", f"pos < {RECENT}"))
-def j1_whole(spark, sf_dir):
+@query("j1_ordered_lookup_whole", f"WITH {VIDEOS} SELECT channel, pos, c_name AS label, views FROM v JOIN customer ON c_custkey = channel WHERE pos < {RECENT}")
+@query("j1_ordered_lookup", f"WITH {VIDEOS} SELECT channel, pos, c_name AS label, views FROM v JOIN customer ON c_custkey = channel WHERE pos < {RECENT}")
+def j1(spark, sf_dir):
     names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("channel"), F.col("c_name").alias("label"))
     return recent(spark, sf_dir).join(names, "channel").select("channel", "pos", "label", "views")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
+ALL = 1 << 62
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,14 +37,8 @@ def newest_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles(spark, sf_dir, 120)
 
 
-def cut_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of TITLES: the newest 120 of each source and 120 characters of their first lines."""
-    return newest_titles(spark, sf_dir).withColumn("title", F.substring("title", 1, 120))
-
-
 VIDEOS = """v AS (SELECT user_id AS channel, event_type AS fmt, event_id AS id, value AS views, epoch_us(ts) AS pub,
   row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) - 1 AS pos FROM events)"""
-TITLES = """t AS (SELECT * FROM (SELECT source AS channel, doc_id AS id, substr(split_part(text, chr(10), 1), 1, 120) AS title, n_chars::DOUBLE AS views,
-  row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) - 1 AS pos FROM documents WHERE text IS NOT NULL AND n_chars > 0) WHERE pos < 120)"""
-NEWEST_TITLES = TITLES.replace("substr(split_part(text, chr(10), 1), 1, 120)", "split_part(text, chr(10), 1)")
-ALL_TITLES = NEWEST_TITLES.replace(" WHERE pos < 120", "")
+ALL_TITLES = """t AS (SELECT source AS channel, doc_id AS id, split_part(text, chr(10), 1) AS title, n_chars::DOUBLE AS views,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) - 1 AS pos FROM documents WHERE text IS NOT NULL AND n_chars > 0)"""
+NEWEST_TITLES = ALL_TITLES.replace("t AS (SELECT", "t AS (SELECT * FROM (SELECT", 1) + " WHERE pos < 120)"

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.operators import sequential, transcript
+from spindrift.operators import lift, sequential, transcript
 from spindrift.plans.catalogue import QUERIES
 from spindrift.sources import files
 
@@ -95,3 +95,10 @@ def test_pauses_end_sentences(spark):
     words = [(1, 0, "so", 0.0), (1, 1, "what?", 0.1), (1, 2, "then", 0.2), (1, 3, "later", 1.2), (1, 4, "on.", 0.1)]
     got = transcript.sentences(spark.createDataFrame(words, "id long, at int, word string, pause double"), ["id"], gap="pause").orderBy("sentence").collect()
     assert [r.text for r in got] == ["so what?", "then", "later on."]
+
+
+def test_series_are_named_in_three_ways(spark):
+    titles = ["[Big Show EP. 3] one", "【Big Show 12】 two", "Long Run '3탄 end", "Long Run 4탄", "Talk ㅣ x", "Talk: y", "[7] no"]
+    rows = spark.createDataFrame([("c", i, t, float(i), 0.0) for i, t in enumerate(titles)], "channel string, id long, title string, views double, resid double")
+    got = {r["name"]: (r.n, r.top) for r in lift.series(rows, ["channel"], "title").collect()}
+    assert got == {"[Big Show]": (2, 1), "Long Run N탄": (2, 3), "Talk |": (2, 5)}

@@ -33,13 +33,13 @@ def test_titles_are_whole_and_all_there(spark, long_titles, name):
     assert all(r[1].endswith("endword") for r in rows)
 
 
-@pytest.mark.parametrize("name", ["a10_topic_lift_whole", "a12_fixed_tags_whole"])
-def test_mined_titles_are_the_newest_120_whole(spark, long_titles, name):
+@pytest.mark.parametrize("name,of_each", [("a10_topic_lift", 60), ("a12_fixed_tags", 150)])
+def test_mined_titles_are_the_newest_120_and_counted_ones_all(spark, long_titles, name, of_each):
     rows = spark.createDataFrame([(i, "x" * 130 + (" late" if i % 2 else " early"), "one", i + 1) for i in range(300)], "doc_id long, text string, source string, n_chars long")
     home = f"{long_titles}/{name}"
     rows.write.parquet(f"{home}/documents.parquet")
     got = {r[1]: r.n for r in QUERIES[name](spark, home).collect()}
-    assert got["late"] == got["early"] == 60
+    assert got["late"] == got["early"] == of_each
 
 
 @pytest.fixture(scope="module")
