@@ -43,7 +43,7 @@ HOT = 2048
 SLICE_BYTES = 1 << 19  # texts hashed together
 CELL_BITS = 7
 STRETCH = 512
-TASK_BYTES = 16 << 20  # a task compares and sends its segments in blocks of so many bytes of text
+TASK_BYTES = 8 << 20  # a task compares and sends its segments in blocks of so many bytes of text
 SETTLE_BYTES = 4 << 20  # stretches from other tasks that are compared together
 LANE = 4  # stretches or segments of a suffix array
 LANE_BATCH = 600_000  # symbols whose suffix arrays are built together
@@ -107,6 +107,27 @@ def _heads(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
 
 
+_MULTIPLIERS = np.random.default_rng(77).integers(1, 2**63, 4 * WINDOW + STRETCH, dtype=np.uint64) * U64(2) + U64(1)
+_BYTES = np.random.default_rng(78).integers(1, 2**63, 256, dtype=np.uint64)
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.repeat(start, count) + ragged_arange(count)
+
+
+def content_hash(buf: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each range, which all have some; ranges are taken in runs of bounded length."""
+    out = np.zeros(len(begin), np.uint64)
+    ends = np.cumsum(size)
+    for top in range(0, int(ends[-1]) if len(ends) else 0, 1 << 20):
+        a, b = np.searchsorted(ends, [top, top + (1 << 20)], side="right") if top + (1 << 20) < ends[-1] else (np.searchsorted(ends, top, side="right"), len(ends))
+        if a < b:
+            n = size[a:b]
+            value = _BYTES[buf[_ranges(begin[a:b], n)]] * _MULTIPLIERS[ragged_arange(n) % len(_MULTIPLIERS)]
+            out[a:b] = mix64(np.add.reduceat(value, np.cumsum(n) - n) + n.astype(np.uint64))
+    return out
+
+
 def same_anchor(buf: np.ndarray, at: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Keys that also tell apart anchors of equal hash and other bytes."""
     order = np.argsort(key, kind="stable")
@@ -132,7 +153,6 @@ def repeated_windows(buf: np.ndarray, at: np.ndarray, left: np.ndarray, right: n
     key = same_anchor(buf, at, key.astype(np.uint64))
     item = np.lexsort((rank, key))
     key, lo, hi = key[item], np.zeros(len(item), np.int64), np.full(len(item), SIDE)
-    ranges = None
     while len(item):
         a, b = np.maximum(lo, SIDE - right[item]), np.minimum(hi, left[item])
         size = np.diff(np.append(_heads(key), len(key)))
@@ -145,9 +165,7 @@ def repeated_windows(buf: np.ndarray, at: np.ndarray, left: np.ndarray, right: n
         big = np.flatnonzero(per > LANE)
         if len(big):
             # segments with equal bytes side by side, so that a text's segments mostly are copies
-            ranges = ranges or RangeHash(buf)
-            own = at[item[big]]
-            bytes_ = ranges.of(own - b[big], own + GRAM + SIDE - a[big])
+            bytes_ = content_hash(buf, at[item[big]] - b[big], GRAM + SIDE - a[big] + b[big])
             turn = np.lexsort((rank[item[big]], bytes_, key[big]))
             move = big[turn]
             item[big], lo[big], hi[big], a[big], b[big] = item[move], lo[move], hi[move], a[move], b[move]
@@ -178,7 +196,7 @@ def repeated_windows(buf: np.ndarray, at: np.ndarray, left: np.ndarray, right: n
             fits = (left[item] >= x) & (right[item] >= SIDE - y)
             own, x, y = item[fits], x[fits], y[fits]
             if len(own):
-                pieces.append((own, mix64(key[fits] + x.astype(np.uint64) + U64(7)) ^ ranges.of(at[own] - x, at[own] + GRAM + SIDE - y), x, y))
+                pieces.append((own, mix64(key[fits] + x.astype(np.uint64) + U64(7)) ^ content_hash(buf, at[own] - x, x + GRAM + SIDE - y), x, y))
         item, key, lo, hi = (np.concatenate(x) for x in zip(*pieces))
         turn = np.lexsort((rank[item], key))
         item, key, lo, hi = item[turn], key[turn], lo[turn], hi[turn]
@@ -231,7 +249,7 @@ def repeated_starts(buf: np.ndarray, begin: np.ndarray, count: np.ndarray, key:
     ``buf`` recurs in a stretch of equal ``key`` and smaller ``rank``, or further left in its own."""
     found = np.zeros(len(buf), bool)
     item = np.lexsort((rank, key))
-    ranges, apart = None, []
+    apart = []
     while len(item):
         own = key[item]
         size = np.diff(np.append(_heads(own), len(own)))
@@ -239,9 +257,8 @@ def repeated_starts(buf: np.ndarray, begin: np.ndarray, count: np.ndarray, key:
         part, slow = np.zeros(len(item), np.int64), np.zeros(len(item), bool)
         big = np.flatnonzero(per > LANE)
         if len(big):
-            ranges = ranges or RangeHash(buf)
             x = item[big]
-            bytes_ = ranges.of(begin[x], begin[x] + count[x] + WINDOW - 1)
+            bytes_ = content_hash(buf, begin[x], count[x] + WINDOW - 1)
             turn = np.lexsort((rank[x], bytes_, own[big]))
             item[big], bytes_ = x[turn], bytes_[turn]
             head = _heads(own[big])
@@ -256,8 +273,9 @@ def repeated_starts(buf: np.ndarray, begin: np.ndarray, count: np.ndarray, key:
             lane = np.cumsum(np.append(0, (own[laid][1:] != own[laid][:-1]) | (part[laid][1:] != part[laid][:-1])))
             _by_whole_stretches(found, buf, begin[item[laid]], count[item[laid]], lane, rank[item[laid]])
         item = item[(per > LANE) & ~slow]
-        sums = np.append(0, np.cumsum(found))
-        left = sums[begin[item] + count[item]] - sums[begin[item]] < count[item]
+        if not len(item):
+            break
+        left = np.add.reduceat(found[_ranges(begin[item], count[item])], np.cumsum(count[item]) - count[item], dtype=np.int64) < count[item]
         if left.all():
             break  # copies always leave, so this only ends a construction that finds none
         item = item[left]
@@ -272,10 +290,6 @@ def repeated_starts(buf: np.ndarray, begin: np.ndarray, count: np.ndarray, key:
     return found
 
 
-def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return np.repeat(start, count) + ragged_arange(count)
-
-
 def _by_whole_stretches(found, buf, begin, count, lane, rank) -> None:
     """One text per lane, a separator after each stretch; its windows are the suffixes that start within ``count``."""
     size = count + WINDOW
@@ -423,6 +437,7 @@ def _find_segments(buckets: int):
 
     def send(raws: list[bytes], texts: list[tuple], held: list[tuple]) -> Iterator[pa.RecordBatch]:
         buf = np.frombuffer(b"".join(raws), np.uint8)
+        raws.clear()
         h, doc, row, start, count, at = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(h, kind="stable")
         size = np.diff(np.append(_heads(h[order]), len(h)))
@@ -604,7 +619,7 @@ def _settle(buckets: int):
         own, at = np.repeat(some, n[some]), _ranges(begin[some], n[some])
         own, at = own[~found[at]], at[~found[at]]
         if len(at):
-            yield _packed(RangeHash(buf).of(at, at + WINDOW), doc[own], row[own], (pos[own] + at - begin[own]) << 12 | 1, buckets)
+            yield _packed(content_hash(buf, at, np.full(len(at), WINDOW)), doc[own], row[own], (pos[own] + at - begin[own]) << 12 | 1, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -623,8 +638,7 @@ def _settle(buckets: int):
                 elif size >= most:  # copies from very many tasks: few stay
                     _, begin, found, spans = compare(held)
                     yield spans
-                    sums = np.append(0, np.cumsum(found))
-                    held = [s for s, a, b in zip(held, begin.tolist(), (sums[begin + np.array([s[4] for s in held])] - sums[begin]).tolist()) if b < s[4]]
+                    held = [s for s, a in zip(held, begin.tolist()) if not found[a : a + s[4]].all()]
                     size = sum(len(s[5]) for s in held)
                     most = max(2 * SETTLE_BYTES, 2 * size)
                 last = (h, part)
