@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import zlib
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,3 +95,44 @@ def quota_day(at: Column) -> Column:
     seconds = lambda day, hour: F.unix_seconds(day.cast("timestamp")) + 3600 * hour
     summer = (at >= seconds(sunday(3, 2), 10)) & (at < seconds(sunday(11, 1), 9))
     return F.to_date(F.timestamp_seconds(at + F.when(summer, -7 * 3600).otherwise(-8 * 3600)))
+
+
+#: Pairs of particles after a syllable with and without a final consonant.
+PARTICLES = {"은": "는", "이": "가", "을": "를", "과": "와", "으로": "로"}
+
+
+def fill_template(template: Column, word: Column) -> Column:
+    """``{}`` becomes the word, and a particle right after it the form that the word's last syllable asks for; after other
+    than Korean letters it stays.  Of the pair with 으로, a final ㄹ counts as none."""
+    last = F.ascii(F.right(word, F.lit(1))) - 0xAC00
+    korean, final = last.between(0, 11171), last % 28
+    out = F.replace(template, F.lit("{}"), word)
+    for closed, open_ in PARTICLES.items():
+        bare = (final == 0) | (final == 8) if closed == "으로" else final == 0
+        for given in (closed, open_):
+            out = F.when(korean & F.contains(template, F.lit("{}" + given)), F.replace(template, F.lit("{}" + given), F.concat(word, F.when(bare, open_).otherwise(closed)))).otherwise(out)
+    return out
+
+
+def nearly_only(c: Column, pattern: str, fillers: str, most: int) -> Column:
+    """Whether ``pattern`` occurs and, without it, ``fillers`` and white space, at most ``most`` characters are left."""
+    return c.rlike(pattern) & (F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, pattern, ""), fillers, ""), r"\s+", "")) <= most)
+
+
+@F.pandas_udf("string")
+def pack_array(values: pd.Series) -> pd.Series:
+    """Numbers as base64 of compressed little-endian singles."""
+    return values.map(lambda x: None if x is None else base64.b64encode(zlib.compress(np.asarray(x, "<f4").tobytes())).decode())
+
+
+@F.pandas_udf("array<float>")
+def unpack_array(packed: pd.Series) -> pd.Series:
+    """The numbers of ``pack_array``; what is not of that form is an empty array."""
+
+    def one(x):
+        try:
+            return np.frombuffer(zlib.decompress(base64.b64decode(x or "", validate=True)), "<f4")
+        except (ValueError, zlib.error):
+            return np.zeros(0, np.float32)
+
+    return packed.map(one)

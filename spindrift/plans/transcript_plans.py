@@ -209,6 +209,35 @@ def m7(spark, sf_dir):
     return last.crossJoin(now).where(F.col("now") - F.col("last") >= 12 * HOUR).select("channel", F.floor((F.col("now") - F.col("last")) / DAY).cast("long").alias("days"))
 
 
+_WORD = "CASE WHEN c_mktsegment = 'BUILDING' THEN c_name ELSE 'ab' || chr((44032 + (c_custkey * 37) % 11172)::INT) END"
+
+
+@query(
+    "f4_filled_templates",
+    f"""WITH w AS (SELECT c_custkey AS id, {_WORD} AS w FROM customer), k AS (SELECT *, unicode(right(w, 1)) - 44032 AS l FROM w), p AS (SELECT *, l BETWEEN 0 AND 11171 AS ko, l % 28 AS f FROM k)
+    SELECT id, w || CASE WHEN ko AND f = 0 THEN '를' ELSE '을' END || ' 보다' AS object, w || CASE WHEN ko AND f NOT IN (0, 8) THEN '으로' ELSE '로' END || ' 가다' AS way FROM p""",
+)
+def f4(spark, sf_dir):
+    """Templates filled with names and with Korean words, whose particles follow the last syllable."""
+    word = F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_name")).otherwise(F.concat(F.lit("ab"), F.decode(F.unhex(F.lpad(F.hex(F.lit(44032) + (F.col("c_custkey") * 37) % 11172), 4, "0")), "UTF-16BE")))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), word.alias("w"))
+    return rows.select("id", transcript.fill_template(F.lit("{}을 보다"), F.col("w")).alias("object"), transcript.fill_template(F.lit("{}로 가다"), F.col("w")).alias("way"))
+
+
+@query("p11_nearly_only", "SELECT p_partkey AS id, p_name AS name FROM part WHERE regexp_matches(p_name, 'ring|bolt') AND length(regexp_replace(regexp_replace(regexp_replace(p_name, 'ring|bolt', '', 'g'), 'small|large', '', 'g'), '\\s+', '', 'g')) <= 3")
+def p11(spark, sf_dir):
+    """Names that are a cue and next to nothing else."""
+    return table(spark, sf_dir, "part").where(transcript.nearly_only(F.col("p_name"), "ring|bolt", "small|large", 3)).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+
+
+@query("n12_packed_arrays", "SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 3) AS total, 0 AS broken FROM embeddings WHERE embedding IS NOT NULL")
+def n12(spark, sf_dir):
+    """Vectors packed as text and unpacked; text that is cut short gives none."""
+    rows = table(spark, sf_dir, "embeddings").where("embedding is not null").withColumn("packed", transcript.pack_array("embedding"))
+    back = rows.select("vec_id", transcript.unpack_array("packed").alias("x"), F.size(transcript.unpack_array(F.expr("substring(packed, 1, length(packed) - 5)"))).alias("broken"))
+    return back.select("vec_id", F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 3).alias("total"), "broken")
+
+
 @query("m6_checkup_upsert")
 def m6(spark, sf_dir):
     """Checkups in order of time: one that comes within three days of the last that was kept takes its place."""

@@ -11,33 +11,19 @@ WEEK = 7 * 24 * 3_600_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
+    """A folder that driver and executors share: spark.checkpoint.dir; the warehouse where both are one machine."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return conf.rstrip("/") if conf else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stream"
 
 
-def read_history(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """JSON lines as they arrive; broken lines and rows without key or time go."""
-    rows = spark.readStream.schema(schema).option("mode", "DROPMALFORMED").json(folder)
-    return rows.where("k is not null and at is not null")
-
-
-def append_history(rows: DataFrame, folder: str, checkpoint: str):
-    """A streaming query that appends ``rows`` to a folder of JSON lines, each row once."""
-    return rows.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-
-
 def upsert_batches(stream: DataFrame, merge, checkpoint: str):
     """A streaming query that hands each micro-batch to ``merge(batch, batch_id)``; a batch that is retried has the
     same id, so ``merge`` can write to a path of that id."""
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def late_counts(stream: DataFrame, *, time: str, keys: list[str], window: str, delay: str) -> DataFrame:
-    """Counts per window, closed once the watermark has passed them."""
-    return stream.withWatermark(time, delay).groupBy(F.window(time, window), *keys).agg(F.count(F.lit(1)).alias("n"))
-
-
 def weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partial sums of each micro-batch, written once per batch id, and their total."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
