@@ -119,14 +119,17 @@ def nearly_only(c: Column, pattern: str, fillers: str, most: int) -> Column:
     return c.rlike(pattern) & (F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, pattern, ""), fillers, ""), r"\s+", "")) <= most)
 
 
-@F.pandas_udf("string")
-def pack_array(values: pd.Series) -> pd.Series:
+def pack_array(c: str | Column) -> Column:
     """Numbers as base64 of compressed little-endian singles."""
-    return values.map(lambda x: None if x is None else base64.b64encode(zlib.compress(np.asarray(x, "<f4").tobytes())).decode())
 
+    @F.pandas_udf("string")
+    def packed(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else base64.b64encode(zlib.compress(np.asarray(x, "<f4").tobytes())).decode())
 
-@F.pandas_udf("array<float>")
-def unpack_array(packed: pd.Series) -> pd.Series:
+    return packed(c)
+
+
+def unpack_array(c: str | Column) -> Column:
     """The numbers of ``pack_array``; what is not of that form is an empty array."""
 
     def one(x):
@@ -135,4 +138,8 @@ def unpack_array(packed: pd.Series) -> pd.Series:
         except (ValueError, zlib.error):
             return np.zeros(0, np.float32)
 
-    return packed.map(one)
+    @F.pandas_udf("array<float>")
+    def unpacked(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return unpacked(c)
