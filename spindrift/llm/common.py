@@ -35,15 +35,6 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for df in tables:
-        jvm, spark = df.sparkSession._jvm, df.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark clean up shuffle files of plans that nothing refers to any more: it does so as the driver's garbage goes."""
     gc.collect()

@@ -28,6 +28,7 @@ _WORD_RX = re.compile(rf"[{_LETTER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTER}0
 _BYTE_RX = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 #: Entries that a worker keeps (some 200 bytes each); beyond that, it starts again.
 _CACHE_LIMIT = 200_000
+_CACHED_CHARS = 64  # longer pieces are not kept
 
 
 def _byte_chars() -> dict[int, str]:
@@ -61,7 +62,8 @@ class _Pieces(dict):
             ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(spelled)])
         else:
             ids = b"".join(map(self.__getitem__, pieces))
-        self[chunk] = ids
+        if len(chunk) <= _CACHED_CHARS:
+            self[chunk] = ids
         return ids
 
 
