@@ -9,9 +9,12 @@ from .langid import op6_language_id
 from .near_dedup import op4_near_dedup
 from .packing import op9_packing
 from .quality import op8_quality
+from .rules import op12_rules
+from .runs import op13_runs
 from .suffix_dedup import op1_suffix_dedup
 from .toxicity import op10_toxicity
 from .wavelet import op7_token_shards
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_rules": op12_rules,
+    "op13_runs": op13_runs,
 }
 SQL: dict[str, str] = {}
