@@ -13,7 +13,7 @@ from .registry import query
 
 @query(
     "m1_settled_files",
-    """WITH o AS (SELECT 'u' || user_id AS path, epoch_ms(ts) AS t, length(event_type)::BIGINT AS size, (floor(value)::BIGINT % 2) AS mtime FROM events),
+    """WITH o AS (SELECT 'u' || user_id AS path, epoch_us(ts) // 1000 AS t, length(event_type)::BIGINT AS size, (floor(value)::BIGINT % 2) AS mtime FROM events),
     l AS (SELECT *, row_number() OVER w AS k, lag(t) OVER w AS t0, lag(size) OVER w AS size0, lag(mtime) OVER w AS mtime0 FROM o WINDOW w AS (PARTITION BY path ORDER BY t, size, mtime)),
     c AS (SELECT *, t0 IS NULL OR t - t0 > 172800000 AS sight, size <> size0 OR mtime <> mtime0 AS changed FROM l),
     e AS (SELECT *, sum((sight OR changed)::INT) OVER (PARTITION BY path ORDER BY k) AS epoch FROM c),
