@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import alignment, asr
+from ..operators import alignment, asr, offscript
 from ..sources.tables import table
 from .registry import query
 
@@ -120,3 +120,42 @@ def f6_words(spark, sf_dir):
     book = spark.createDataFrame(list(_DICTIONARY.items()), "wrong string, right string")
     rows = alignment.correct_words(_timed_turns(spark, sf_dir), book)
     return rows.select("key", "seg", "fixes", F.md5("text").alias("text_md5"), F.posexplode("words").alias("place", "word")).select("key", "seg", "fixes", "text_md5", F.col("place").cast("long").alias("place"), "word.*")
+
+
+#: The driver's texts are invented words: patterns of their letters stand for what is said.
+_SAYS = offscript.Script(opening="^O", preroll="^[PV]", ready="^[IEÉ]", polite="zz$", reply="^(?:Th|Le|De|D)", closing=r"[aeio]s?\.$", cut="^Q", after_cut="zzz", thanks=r"on\.$", cta="^[LR]", cta_goes_on="^[A-D]", channel="a", request="que|the|di", told="xq", ask="zz", promo_goes_on=r"t\.$")
+
+
+@query(
+    "p20_off_script",
+    r"""WITH l AS (SELECT conv_id AS key, turn, unnest(range(len(x))) AS i, unnest(x) AS text FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS x FROM conversations WHERE text IS NOT NULL)),
+    s0 AS (SELECT key, turn * 60.0::DOUBLE + i * 3.5::DOUBLE AS st, turn * 60.0::DOUBLE + i * 3.5::DOUBLE + 1 + length(text) % 3 AS en, text, regexp_replace(text, '[\s.,!?~…]+', '', 'g') AS bare FROM l),
+    s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY st, en, text) AS n, regexp_matches(trim(regexp_replace(text, '[.,!?~…]+', '', 'g')), '^(?:Th|Le|De|D)') AS reply, regexp_matches(text, '^O') AS opens, regexp_matches(text, '[aeio]s?\.$') AS closing,
+      regexp_matches(text, '^Q|zzz') AS strong, regexp_matches(text, 'on\.$') AS weak, regexp_matches(text, '^[LR]') AS cta, regexp_matches(text, 'a') AND regexp_matches(text, 'que|the|di') AND NOT (regexp_matches(text, 'xq') AND NOT regexp_matches(text, 'zz')) AS promo, regexp_matches(trim(text), '^[A-D]') AS on_cta, regexp_matches(text, 't\.$') AS on_promo,
+      (regexp_matches(text, '^[PV]') AND (length(bare) <= 16 OR rtrim(text) LIKE '%?')) AS pre, regexp_matches(text, '^[IEÉ]') AS ready FROM s0 WHERE bare <> ''),
+    h AS (SELECT *, pre OR (ready AND (NOT regexp_matches(text, 'zz$') OR coalesce(lead(reply) OVER (PARTITION BY key ORDER BY n), false))) AS hit FROM s),
+    k AS (SELECT key, min(n) FILTER (st >= 90 OR opens OR NOT (hit OR reply)) AS k FROM h GROUP BY 1),
+    g AS (SELECT h.key, any_value(k.k) AS k FROM h JOIN k ON k.key = h.key AND h.n < k.k GROUP BY 1 HAVING bool_or(h.hit)),
+    b AS (SELECT s.*, coalesce(g.k, 1) AS begin_ FROM s LEFT JOIN g USING (key)),
+    pre_ AS (SELECT b.key, 0.0 AS a, least(min(st) FILTER (n = begin_), max(en) FILTER (n = begin_ - 1) + 0.3) AS b, 'pre' AS kind, string_agg(text, ' ' ORDER BY n) FILTER (n < begin_) AS text FROM b JOIN g USING (key) GROUP BY 1),
+    c0 AS (SELECT *, max(CASE WHEN n < begin_ OR NOT (closing OR cta OR promo OR on_promo OR reply OR strong OR weak) THEN n ELSE 0 END) OVER (PARTITION BY key) AS content FROM b),
+    c1 AS (SELECT *, min(n) FILTER (strong OR weak) OVER (PARTITION BY key) AS p FROM c0 WHERE n > content),
+    c2 AS (SELECT *, max(n) FILTER (closing AND NOT strong AND (p IS NULL OR n <= p)) OVER (PARTITION BY key) AS c FROM c1),
+    c3 AS (SELECT *, min(n) FILTER (n > c AND NOT ((cta OR on_cta) AND NOT strong AND NOT weak)) OVER (PARTITION BY key) AS since FROM c2),
+    post_ AS (SELECT key, since, least(max(en) FILTER (n = since - 1) + 0.5, greatest(max(en) FILTER (n = since - 1), max(en) FILTER (n = since))) AS a, arg_max(en, n) + 1 AS b, 'post' AS kind, string_agg(text, ' ' ORDER BY n) FILTER (n >= since) AS text FROM c3 WHERE since IS NOT NULL GROUP BY 1, 2
+      HAVING coalesce(bool_or(strong) FILTER (n >= since), false) OR (bool_or(weak) FILTER (n >= since) AND NOT bool_or(closing AND NOT strong AND NOT weak) FILTER (n >= since)) OR (bool_and(reply) FILTER (n >= since) AND sum(en - st) FILTER (n >= since) <= 6)),
+    r AS (SELECT b.*, CASE WHEN n >= begin_ AND (p.since IS NULL OR n < p.since) THEN CASE WHEN cta THEN 'cta' WHEN promo THEN 'promo' END END AS own, n >= begin_ AND (p.since IS NULL OR n < p.since) AS inside FROM b LEFT JOIN post_ p ON p.key = b.key),
+    w AS (SELECT *, lag(own) OVER v AS k0, lag(en) OVER v AS e0, lead(own) OVER v AS k1, lead(st) OVER v AS s1 FROM r WINDOW v AS (PARTITION BY key ORDER BY n)),
+    x AS (SELECT *, coalesce(own, CASE WHEN st - e0 <= 3 AND ((k0 = 'cta' AND on_cta) OR (k0 = 'promo' AND on_promo)) THEN k0 END, CASE WHEN s1 - en <= 3 AND k1 = 'promo' AND on_promo THEN k1 END) AS kind FROM w WHERE inside),
+    y AS (SELECT key, n, kind, text, greatest(0, st - CASE WHEN e0 IS NULL THEN 0.3 ELSE least(0.3, greatest(0, (st - e0) / 2)) END) AS a, en + CASE WHEN s1 IS NULL THEN 0.3 ELSE least(0.3, greatest(0, (s1 - en) / 2)) END AS b FROM x WHERE kind IS NOT NULL),
+    z AS (SELECT *, CASE WHEN lag(kind) OVER v = kind AND a <= lag(b) OVER v + 0.05 + 1e-9 THEN 0 ELSE 1 END AS new FROM y WINDOW v AS (PARTITION BY key ORDER BY n)),
+    m AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY n) AS piece FROM z),
+    every AS (SELECT key, a, b, kind, text FROM pre_ UNION ALL SELECT key, a, b, kind, text FROM post_ UNION ALL SELECT key, min(a), max(b), any_value(kind), string_agg(text, ' ' ORDER BY n) FROM m GROUP BY key, piece)
+    SELECT key, round(a, 2) AS a, round(b, 2) AS b, kind, md5(text) AS text_md5 FROM every""",
+)
+def p20(spark, sf_dir):
+    """Lines of turns as sentences: a turn begins every minute, a line every 3.5 seconds."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("key"), "turn", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    start = F.col("turn") * 60.0 + F.col("i") * 3.5
+    rows = rows.select("key", start.alias("start"), (start + 1 + F.length("text") % 3).alias("end"), "text")
+    return offscript.off_script(rows, _SAYS).select("key", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "kind", F.md5("text").alias("text_md5"))
