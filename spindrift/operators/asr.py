@@ -1,137 +1,124 @@
 """Words that a speech recogniser made up: hallucinations and echoes of its prompt.
 
 Words come as rows: ``key`` (the recording), ``at`` (place, long), ``s`` and ``e`` (milliseconds, long), ``p`` (confidence) and
-``w``.  Neighbours are found by running numbers, dealt over blocks, so a very long recording is not one task's work.
+``w``.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .intervals import islands
-from .relational import numbered, overlapping, points_in_intervals
-
 #: What counts as a word's characters, foreign scraps, and the limits of the rules.
 NOT_PLAIN = "[^0-9A-Za-z가-힣]"
-FOREIGN = "^[A-Za-z0-9]*[A-Za-z]{3,}[A-Za-z0-9]*$"
 COLLAPSED_MS = 50  # a character
 COLLAPSED_P, FOREIGN_P, SILENT_P = 0.15, 0.5, 0.6
 SILENT_SHARE = 0.95
 RUN, RUN_MS, NEAR_MS, COVER = 3, 100, 20_000, 0.8
 REPEATS, KEEP = 4, 2
 ECHO_RUN, ECHO_P = 6, 0.5
-BLOCK = 4096
-
-
-def plain(c: str | Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")) if isinstance(c, Column) else F.coalesce(F.col(c), F.lit("")), NOT_PLAIN, "")
-
-
-def with_plain(words: DataFrame) -> DataFrame:
-    """``words`` in running numbers (``num`` from 1, by start) with ``t``, the plain word, and ``collapsed``."""
-    rows = numbered(words, ["key"], "s", ["s", "at"], 600_000, number="num").withColumn("t", plain("w"))
-    n = F.length("t")
-    return rows.withColumn("collapsed", (n > 0) & (F.col("e") - F.col("s") < COLLAPSED_MS * n))
+STRETCH_MS, HALO_MS = 600_000, 60_000
+_FOREIGN = re.compile("[A-Za-z0-9]*[A-Za-z]{3,}[A-Za-z0-9]*")
+
+
+def _letters(c: str) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), NOT_PLAIN, "")
+
+
+def collapsed_runs(starts: np.ndarray, collapsed: np.ndarray) -> list[tuple[int, int]]:
+    """Collapsed words in a row whose starts lie within ``RUN_MS`` of the first, ``RUN`` at least, picked from the left."""
+    runs, i, n = [], 0, len(starts)
+    odd = np.flatnonzero(collapsed)
+    while True:
+        at = np.searchsorted(odd, i)
+        if at == len(odd):
+            return runs
+        i = j = int(odd[at])
+        while j < n and collapsed[j] and starts[j] - starts[i] <= RUN_MS:
+            j += 1
+        if j - i >= RUN:
+            runs.append((i, j))
+            i = j
+        else:
+            i += 1
+
+
+def is_shadow(own: list[str], near: str) -> bool:
+    """Whether most letters of ``own`` words are, next to a neighbour's, in ``near``."""
+    pairs = [own[k] + own[k + 1] in near for k in range(len(own) - 1)]
+    heard = [pairs[k] if k < len(pairs) else False for k in range(len(own))]
+    heard = [h or (k > 0 and pairs[k - 1]) for k, h in enumerate(heard)]
+    return sum(len(w) for w, h in zip(own, heard) if h) >= COVER * sum(map(len, own))
+
+
+def repeated(words: np.ndarray) -> np.ndarray:
+    """Of each word, whether it is in a row of more than ``REPEATS`` equal ones and not among the first ``KEEP``."""
+    cuts = np.flatnonzero(np.append(True, words[1:] != words[:-1])) if len(words) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(cuts, len(words)))
+    place = np.arange(len(words)) - np.repeat(cuts, sizes)
+    return (np.repeat(sizes, sizes) > REPEATS) & (place >= KEEP) & (words != "")
+
+
+def in_silence(s: np.ndarray, e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each word [s, e], whether it is nearly all within the silences [a, b], or starts in one if it has no length."""
+    inside, touched = np.zeros(len(s)), np.zeros(len(s), bool)
+    for lo, hi in zip(a, b):
+        inside += np.maximum(0, np.minimum(e, hi) - np.maximum(s, lo))
+        touched |= (s >= lo) & (s <= hi)
+    return np.where(e > s, inside >= SILENT_SHARE * (e - s), touched)
+
+
+def stretch_rules(words: pd.DataFrame, silences: pd.DataFrame) -> np.ndarray:
+    """The rule of each word (s, e, p, t, in order) of a stretch, null where none holds."""
+    s, e, p, t = words["s"].to_numpy(), words["e"].to_numpy(), words["p"].to_numpy(float), words["t"].to_numpy(object)
+    size = np.array([len(x) for x in t], np.int64)
+    some, collapsed = size > 0, (size > 0) & (e - s < COLLAPSED_MS * size)
+    sure = np.where(np.isnan(p), 1.0, p)
+    rule = np.full(len(t), None, object)
+    quiet = in_silence(s, e, silences["s"].to_numpy(), silences["e"].to_numpy()) & some & (sure < SILENT_P)
+    rule[quiet & ~collapsed] = "soft"
+    rule[repeated(t)] = "repeated"
+    said = "".join(x for x, c in zip(t, collapsed) if not c)
+    upto = np.concatenate([[0], np.cumsum(np.where(collapsed, 0, size))])
+    for i, j in collapsed_runs(s, collapsed):
+        lo, hi = np.searchsorted(s, s[i] - NEAR_MS, "left"), np.searchsorted(s, s[i] + NEAR_MS, "right")
+        if is_shadow(list(t[i:j]), said[upto[lo] : upto[hi]]):
+            rule[i:j] = "mirrored"
+    unsure = np.array([bool(_FOREIGN.fullmatch(x)) for x in t], bool) & (sure < FOREIGN_P)
+    rule[quiet & collapsed] = "silent"
+    rule[unsure] = "foreign"
+    rule[collapsed & (sure < COLLAPSED_P)] = "collapsed"
+    return rule
 
 
-def in_silence(words: DataFrame, silences: DataFrame) -> DataFrame:
-    """``key, num`` of words nearly all within silences (``key, a, b``); of words without a length, those that start in one."""
-    length = F.greatest(F.col("e") - F.col("s"), F.lit(1))
-    spans = overlapping(words.select("key", "num", "s", "e"), silences, key="key", a_span=("s", "e"), b_span=("a", "b"), bucket=60_000)
-    covered = spans.groupBy("key", "num", "s", "e").agg(F.sum("shared").alias("inside")).where(F.col("inside") >= SILENT_SHARE * length)
-    points = points_in_intervals(words.where("e <= s").select("key", "num", "s"), silences, key="key", time="s", start="a", stop="b", bucket=60_000, closed=True)
-    return covered.select("key", "num").union(points.select("key", "num")).distinct()
-
-
-def word_verdicts(words: DataFrame, silences: DataFrame) -> DataFrame:
-    """What a word's own time, confidence and place say, first rule first: ``key, num, rule``.
+def hallucinations(words: DataFrame, silences: DataFrame) -> DataFrame:
+    """``words`` with ``rule``, why a word is made up (null: it is not), the first that holds of
 
     collapsed (no time for its letters, hardly sure), foreign (a foreign scrap, unsure), silent (in silence, unsure and
-    collapsed) or soft (in silence and unsure only: to be looked at, not dropped)."""
-    rule = F.when(F.col("collapsed") & (F.col("p") < COLLAPSED_P), "collapsed").when(F.col("t").rlike(FOREIGN) & (F.col("p") < FOREIGN_P), "foreign")
-    own = words.where("t <> ''").withColumn("rule", rule)
-    unsure = own.where(F.col("rule").isNull() & (F.col("p") < SILENT_P))
-    quiet = unsure.join(in_silence(unsure, silences), ["key", "num"]).withColumn("rule", F.when(F.col("collapsed"), "silent").otherwise("soft"))
-    return own.where("rule is not null").unionByName(quiet).select("key", "num", "rule")
-
-
-def collapsed_runs(words: DataFrame) -> DataFrame:
-    """Collapsed words in a row whose starts lie within ``RUN_MS`` of the first, ``RUN`` at least: ``key, first, n, s``.
-
-    Runs are picked from the left.  They lie in clusters: consecutive collapsed words with starts at most that far apart,
-    which are found by blocks; only a cluster's words meet in one row."""
-    odd = words.where("collapsed").select("key", "num", "s")
-    rows = islands(odd, keys=["key"], at="num", gap=1, bucket=BLOCK).where(F.col("n") >= RUN)
-    within = points_in_intervals(odd, rows.select("key", "start", "stop"), key="key", time="num", start="start", stop="stop", bucket=BLOCK, closed=True)
-    placed = _clusters(within).groupBy("key", "cluster").agg(F.array_sort(F.collect_list(F.struct("num", "s"))).alias("x")).where(F.size("x") >= RUN)
-    ahead = F.transform("x", lambda w: F.size(F.filter("x", lambda v: (v["num"] >= w["num"]) & (v["s"] - w["s"] <= RUN_MS))))
-    counted = placed.withColumn("ahead", ahead)
-    empty = F.expr("struct(1 AS free, cast(array() AS array<struct<i: int, n: int>>) AS runs)")
-
-    def step(acc: Column, i: Column) -> Column:
-        n = F.element_at("ahead", i)
-        starts = (i >= acc["free"]) & (n >= RUN)
-        return F.struct(F.when(starts, i + n).otherwise(acc["free"]).alias("free"), F.when(starts, F.concat(acc["runs"], F.array(F.struct(i.alias("i"), n.alias("n"))))).otherwise(acc["runs"]).alias("runs"))
-
-    picked = counted.withColumn("run", F.explode(F.aggregate(F.sequence(F.lit(1), F.size("x")), empty, step)["runs"]))
-    first = F.element_at("x", F.col("run.i"))
-    return picked.select("key", first["num"].alias("first"), F.col("run.n").cast("long").alias("n"), first["s"].alias("s"))
-
-
-def _clusters(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, num, s) with ``cluster``: consecutive numbers whose starts are at most ``RUN_MS`` apart."""
-    before = rows.select("key", (F.col("num") + 1).alias("num"), F.col("s").alias("_s0"))
-    cuts = rows.join(before, ["key", "num"], "left").withColumn("_cut", F.col("_s0").isNull() | (F.col("s") - F.col("_s0") > RUN_MS))
-    # a cluster is named by its first number: the last cut at or before a row, by blocks of numbers
-    block = F.floor(F.col("num") / BLOCK)
-    own = F.max(F.when(F.col("_cut"), F.col("num"))).over(Window.partitionBy("key", "_b").orderBy("num").rowsBetween(Window.unboundedPreceding, 0))
-    held = cuts.withColumn("_b", block).withColumn("_own", own)
-    last = held.groupBy("key", "_b").agg(F.max("_own").alias("_last"))
-    last = last.withColumn("_before", F.max("_last").over(Window.partitionBy("key").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).drop("_last")
-    return held.join(last, ["key", "_b"]).select("key", "num", "s", F.coalesce("_own", "_before").alias("cluster"))
-
-
-def mirrored(words: DataFrame, runs: DataFrame) -> DataFrame:
-    """The runs (``key, first, n``) whose letters are, next to a neighbour's, for the most part in what is said within
-    ``NEAR_MS`` of their start: shadows of it."""
-    spread = runs.withColumn("_b", F.explode(F.sequence(F.floor((F.col("s") - NEAR_MS) / NEAR_MS), F.floor((F.col("s") + NEAR_MS) / NEAR_MS))))
-    said = words.where("not collapsed").select("key", F.col("num").alias("_num"), F.col("s").alias("_s"), F.col("t").alias("_t"), F.floor(F.col("s") / NEAR_MS).alias("_b"))
-    near = spread.join(said, ["key", "_b"]).where(F.abs(F.col("_s") - F.col("s")) <= NEAR_MS)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_num", "_t"))), lambda x: x["_t"]), "")
-    heard = near.groupBy("key", "first").agg(text.alias("near"))
-    span = runs.select("key", "first", "n", "s", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("num"))
-    own = span.join(words.select("key", "num", "t"), ["key", "num"]).groupBy("key", "first", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("num", "t"))), lambda x: x["t"]).alias("x"))
-
-    def covered(t: Column, i: Column) -> Column:
-        pair = lambda a, b: F.contains("near", F.concat(a, b))
-        back = F.when(i > 0, pair(F.get("x", i - 1), t)).otherwise(False)
-        on = F.when(i + 1 < F.size("x"), pair(t, F.get("x", i + 1))).otherwise(False)
-        return F.when(back | on | ((F.size("x") == 1) & F.contains("near", t)), F.length(t)).otherwise(0)
-
-    total = lambda x: F.aggregate(x, F.lit(0), lambda a, v: a + v)
-    rows = own.join(heard, ["key", "first"]).withColumn("got", total(F.transform("x", covered))).withColumn("all", total(F.transform("x", lambda t: F.length(t))))
-    return rows.where(F.col("got") >= COVER * F.col("all")).select("key", "first", "n")
-
-
-def repeated(words: DataFrame) -> DataFrame:
-    """``key, num`` of the words of a row of more than ``REPEATS`` equal ones, but for the first ``KEEP``."""
-    rows = islands(words.where("t <> ''"), keys=["key", "t"], at="num", gap=1, bucket=BLOCK).where(F.col("n") > REPEATS)
-    return rows.select("key", F.explode(F.sequence(F.col("start") + KEEP, F.col("stop"))).alias("num"))
-
-
-def hallucinations(words: DataFrame, silences: DataFrame) -> DataFrame:
-    """``words`` with ``rule``, why a word is made up (null: it is not), the first of collapsed, foreign, silent, mirrored,
-    repeated and soft that holds; soft alone is no reason to drop it.  Null words, times or confidences: never made up
-    by a rule that needs them."""
-    rows = with_plain(words.where("s is not null and e is not null"))
-    runs = mirrored(rows, collapsed_runs(rows))
-    shadows = runs.select("key", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("num")).withColumn("rule", F.lit("mirrored"))
-    found = word_verdicts(rows, silences).unionByName(shadows).unionByName(repeated(rows).withColumn("rule", F.lit("repeated")))
-    order = F.array_position(F.array(*[F.lit(r) for r in ("collapsed", "foreign", "silent", "mirrored", "repeated", "soft")]), F.col("rule"))
-    first = found.groupBy("key", "num").agg(F.min_by("rule", order).alias("rule"))
-    return rows.join(first, ["key", "num"], "left").select("key", "at", "s", "e", "p", "w", "rule")
+    collapsed), mirrored (collapsed words at one point whose letters are said nearby), repeated (the same word again and
+    again) and soft (in silence and unsure only: to be looked at, no reason to drop it).
+
+    Recordings are dealt in stretches of ``STRETCH_MS``, each with the words up to ``HALO_MS`` before and after, so a
+    very long one is many tasks' work and words go through one shuffle.  What a rule looks at lies within that reach: a
+    row of equal or of collapsed words that goes on for longer is seen anew by each stretch.  ``silences``: key, a, b.
+    Words without a time are left out; a null confidence counts as sure, a null word as empty."""
+    spread = lambda lo, hi: F.explode(F.sequence(F.floor((lo - HALO_MS) / STRETCH_MS), F.floor((hi + HALO_MS) / STRETCH_MS))).alias("part")
+    s, e = F.col("s"), F.col("e")
+    spoken = words.where("s is not null and e is not null").select("key", spread(s, s), "at", "s", "e", "p", "w", _letters("w").alias("t"))
+    quiet = silences.where("a <= b").select("key", spread(F.col("a"), F.col("b")), F.lit(None).cast("long").alias("at"), F.col("a").cast("long").alias("s"), F.col("b").cast("long").alias("e"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("string").alias("w"), F.lit(None).cast("string").alias("t"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows[rows["t"].notna()].sort_values(["s", "at"], ignore_index=True)
+        own["rule"] = stretch_rules(own, rows[rows["t"].isna()])
+        return own.loc[own["s"] // STRETCH_MS == own["part"], ["key", "at", "s", "e", "p", "w", "rule"]]
+
+    kind = words.schema["key"].dataType.simpleString()
+    return spoken.unionByName(quiet).groupBy("key", "part").applyInPandas(run, f"key {kind}, at long, s long, e long, p double, w string, rule string")
 
 
 def echoes(words: DataFrame, hint: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from spindrift.operators import asr
 
 
@@ -82,14 +84,23 @@ def test_hallucinations_equal_plain_loops(spark):
     assert [r.rule for r in asr.hallucinations(none, quiet).collect()] == [None, None]
 
 
-def test_collapsed_chain_over_blocks(spark):
-    """Runs are picked from the left through a long chain of collapsed words, whatever the blocks are."""
-    rows = [(1, i, i * 30, i * 30, 0.9, "ab") for i in range(9000)]
-    words = asr.with_plain(spark.createDataFrame(rows[:1500], "key long, at long, s long, e long, p double, w string"))
-    got = sorted((r.first, r.n) for r in asr.collapsed_runs(words).collect())
-    assert got == [(1 + 4 * i, 4) for i in range(375)]
-    clusters = asr._clusters(spark.createDataFrame([(1, i + 1, s) for i, s in enumerate(x for k in range(3) for x in range(k * 10**7, k * 10**7 + 3000 * 50, 50))], "key long, num long, s long"))
-    assert sorted((r.cluster, r["count"]) for r in clusters.groupBy("cluster").count().collect()) == [(1, 3000), (3001, 3000), (6001, 3000)]
+def test_runs_are_picked_from_the_left():
+    starts = np.arange(1500) * 30
+    assert asr.collapsed_runs(starts, np.ones(1500, bool)) == [(4 * i, 4 * i + 4) for i in range(375)]
+    assert asr.collapsed_runs(np.array([0, 200, 210, 220, 600]), np.array([1, 1, 1, 1, 0], bool)) == [(1, 4)]
+    assert asr.repeated(np.array(["a"] * 5 + ["b"] * 4 + [""] * 9, object)).tolist() == [False] * 2 + [True] * 3 + [False] * 13
+
+
+def test_a_long_recording_is_dealt_in_stretches(spark):
+    """Equal words at the bound of two stretches, and silences over it, count as if there were none."""
+    edge = asr.STRETCH_MS
+    rows = [(1, i, edge - 2000 + 500 * i, edge - 1800 + 500 * i, 0.9, "셋") for i in range(9)] + [(1, 20, edge - 100, edge + 400, 0.55, "둘")]
+    words = spark.createDataFrame(rows, "key long, at long, s long, e long, p double, w string")
+    got = {r.at: r.rule for r in asr.hallucinations(words, spark.createDataFrame([(1, edge - 150, edge + 450)], "key long, a long, b long")).collect()}
+    assert len(got) == 10 and got[20] == "soft"
+    assert {i for i, r in got.items() if r == "repeated"} == {6, 7, 8}  # the word at 20 parts the row in two
+    alone = {r.at: r.rule for r in asr.hallucinations(words.where("at < 20"), spark.createDataFrame([], "key long, a long, b long")).collect()}
+    assert {i for i, r in alone.items() if r == "repeated"} == set(range(2, 9))
 
 
 def plain_echo(words, hint):
