@@ -15,18 +15,24 @@ R = lambda c, n=6: F.round(c, n)
 
 @query(
     "s1_json_documents",
-    """SELECT CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'quarantine' ELSE 'read' END AS state, count(*) AS n,
-    round(coalesce(sum(CASE WHEN c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE') THEN c_acctbal END), 0), 2) AS total FROM customer GROUP BY 1""",
+    """SELECT 'nation=' || c_nationkey AS file, CASE c_nationkey % 5 WHEN 0 THEN 'cut short' WHEN 1 THEN 'no object' ELSE 'read' END AS state, CASE WHEN c_nationkey % 5 > 1 THEN count(*) END AS n,
+    CASE WHEN c_nationkey % 5 > 1 THEN round(sum(c_acctbal), 2) END AS total FROM customer GROUP BY c_nationkey""",
 )
 def s1(spark, sf_dir):
-    """Customers as JSON documents, some cut short and some no objects: read, and quarantined."""
-    whole = F.to_json(F.struct(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name")))
-    text = F.when(F.col("c_mktsegment") == "BUILDING", F.expr("substring(whole, 1, length(whole) - 5)")).when(F.col("c_mktsegment") == "AUTOMOBILE", F.lit("[1, 2]")).otherwise(F.col("whole"))
+    """A nation's customers as one JSON document over many lines, in a file of its own; some are cut short, some no objects:
+    these are set aside, as they are."""
+    cells = F.sort_array(F.collect_list(F.struct(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_name").alias("name"))))
+    docs = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.to_json(F.struct(F.lit(1).alias("v"), cells.alias("customers")), {"pretty": "true"}).alias("whole"))
+    text = F.when(F.col("nation") % 5 == 0, F.expr("substring(whole, 1, length(whole) - 5)")).when(F.col("nation") % 5 == 1, F.concat(F.lit("[\n"), "whole", F.lit("]"))).otherwise(F.col("whole"))
     folder = files.fresh_folder(spark, "documents")
-    table(spark, sf_dir, "customer").withColumn("whole", whole).select(text.alias("value")).write.text(folder)
-    good, bad = files.read_documents(spark, folder, "key long, balance double, name string")
-    rows = good.select(F.lit("read").alias("state"), "balance").unionByName(bad.select(F.lit("quarantine").alias("state"), F.lit(None).cast("double").alias("balance")))
-    return rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.sum("balance"), F.lit(0.0)), 2).alias("total"))
+    files.write_documents(docs.select("nation", text.alias("value")), "nation", f"{folder}/in")
+    good, bad = files.read_documents(spark, f"{folder}/in", "v int, customers array<struct<key: long, balance: double, name: string>>")
+    named = F.regexp_extract("file", "(nation=[0-9]+)", 1)
+    files.set_aside(bad.withColumn("file", named), f"{folder}/bad")
+    kept = spark.read.text(f"{folder}/bad", wholetext=True).select(F.regexp_replace(F.col("bad").cast("string"), "%3D", "=").alias("file"), F.when(F.col("value").startswith("["), "no object").otherwise("cut short").alias("state"))
+    total = F.round(F.aggregate(F.transform("customers", lambda c: c["balance"]), F.lit(0.0), lambda a, v: a + v), 2)
+    rows = good.select(named.alias("file"), F.lit("read").alias("state"), F.size("customers").cast("long").alias("n"), total.alias("total"))
+    return rows.unionByName(kept, allowMissingColumns=True)
 
 
 @query(
@@ -35,12 +41,14 @@ def s1(spark, sf_dir):
     count(*) OVER (PARTITION BY user_id, event_type) AS n_ids FROM events) SELECT channel, tab, n_ids, pos, id FROM r WHERE pos < 20""",
 )
 def s2_s3(spark, sf_dir):
-    """One JSON document per channel, with columns that the read leaves aside; the newest 20 ids of each tab stay."""
+    """One JSON document per channel, in a file of its own, with columns that the read leaves aside; the newest 20 ids of each
+    tab stay."""
     tabs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("channel"), F.col("event_type").alias("tab")).agg(F.sort_array(F.collect_list("event_id"), asc=False).alias("ids"), F.max("props").alias("seen"))
+    docs = tabs.groupBy("channel").agg(F.collect_list(F.struct("tab", "ids", "seen")).alias("tabs"))
     folder = files.fresh_folder(spark, "channels")
-    tabs.groupBy("channel").agg(F.collect_list(F.struct("tab", "ids", "seen")).alias("tabs")).write.json(folder)
-    docs = spark.read.schema("channel long, tabs array<struct<tab: string, ids: array<long>>>").json(folder).where("channel is not null")
-    docs = docs.select("channel", F.explode("tabs").alias("t")).select("channel", "t.tab", "t.ids")
+    files.write_documents(docs.select(F.col("channel").alias("key"), F.to_json(F.struct("channel", "tabs"), {"pretty": "true"}).alias("value")), "key", folder)
+    docs, _ = files.read_documents(spark, folder, "channel long, tabs array<struct<tab: string, ids: array<long>>>")
+    docs = docs.where("channel is not null").select("channel", F.explode("tabs").alias("t")).select("channel", "t.tab", "t.ids")
     return files.slim_ids(docs, ["channel", "tab"], "ids", 20)
 
 
@@ -72,24 +80,31 @@ def _entries(spark, sf_dir):
 
 
 def _feeds(spark, sf_dir):
-    """One feed per nation: text of its suppliers' entries; some have a document type, some are cut short."""
+    """One Atom feed per nation, of its suppliers' entries; some have a document type, some are cut short, some are of another
+    namespace."""
     entry = F.concat(
-        F.lit("<entry><videoId> "), F.when(F.col("s_acctbal") < -500, F.lit("none")).otherwise(F.col("id")), F.lit("</videoId><title>"), F.col("s_name"), F.lit("  &amp;\n more</title><published>2024-01-"), F.lpad((F.col("s_suppkey") % 28 + 1).cast("string"), 2, "0"),
-        F.lit("T10:00:00+02:00</published><link>https://x.example/"), F.when(F.col("s_acctbal") > 5000, "shorts").otherwise("watch"), F.lit("/"), F.col("id"), F.lit("</link><views>"), F.floor("s_acctbal").cast("string"), F.lit("</views></entry>"),
+        F.lit(" <entry>\n  <id>yt:video:x</id>\n  <yt:videoId> "), F.when(F.col("s_acctbal") < -500, F.lit("none")).otherwise(F.col("id")), F.lit("</yt:videoId>\n  <yt:channelId>"), F.when(F.col("channel") % 2 == 0, F.concat(F.lit("UC"), F.lpad(F.col("channel").cast("string"), 22, "x"))).otherwise("none"),
+        F.lit("</yt:channelId>\n  <title>"), F.col("s_name"), F.lit("  &amp;\n more</title>\n  <link rel=\"alternate\" href=\"https://x.example/"), F.when(F.col("s_acctbal") > 5000, "shorts").otherwise("watch"), F.lit("/"), F.col("id"),
+        F.lit("\"/>\n  <author><name>n</name><uri>none</uri></author>\n  <published>2024-01-"), F.lpad((F.col("s_suppkey") % 28 + 1).cast("string"), 2, "0"), F.lit("T10:00:00+02:00</published>\n  <media:group>\n   <media:title>other</media:title>\n   <media:content url=\"u\" width=\"1\"/>\n   <media:description></media:description>\n   <media:community>"),
+        F.when(F.col("s_suppkey") % 3 > 0, F.concat(F.lit("<media:starRating count=\""), F.col("s_suppkey").cast("string"), F.lit("\" average=\"5.00\"/>"))).otherwise(""), F.lit("<media:statistics views=\""), F.floor("s_acctbal").cast("string"), F.lit("\"/></media:community>\n  </media:group>\n </entry>\n"),
     )
     rows = _entries(spark, sf_dir).withColumn("entry", entry)
-    body = rows.groupBy("channel").agg(F.concat(F.lit("<feed>"), F.array_join(F.array_sort(F.collect_list("entry")), ""), F.lit("</feed>")).alias("xml"))
-    xml = F.when(F.col("channel") == 3, F.concat(F.lit("<!DOCTYPE x>"), "xml")).when(F.col("channel") == 4, F.expr("substring(xml, 1, length(xml) - 3)")).otherwise(F.col("xml"))
-    return body.withColumn("xml", xml)
+    space = F.when(F.col("channel") == 5, "http://example.org/other").otherwise(files.ATOM)
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<feed xmlns:yt="http://www.youtube.com/xml/schemas/2015" xmlns:media="http://search.yahoo.com/mrss/" xmlns="'), space, F.lit('">\n <link rel="self" href="h"/>\n <yt:channelId>x</yt:channelId>\n <title> Nation </title>\n <author><name>n</name><uri>https://x.example/channel/UC'), F.lpad(F.col("channel").cast("string"), 22, "y"), F.lit("</uri></author>\n"))
+    body = rows.groupBy("channel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "entry"))), lambda x: x["entry"]), "").alias("entries"))
+    xml = F.concat(head, "entries", F.lit("</feed>\n"))
+    xml = F.when(F.col("channel") == 3, F.concat(F.lit("<!DOCTYPE x>"), xml)).when(F.col("channel") == 4, F.substring(xml, F.lit(1), F.length(xml) - 4)).otherwise(xml)
+    return body.select("channel", xml.alias("xml"))
 
 
 @query(
     "s8_feed_entries",
-    f"""SELECT channel, id, s_name || ' & more' AS title, epoch(make_timestamp(2024, 1, (s_suppkey % 28 + 1)::BIGINT, 8, 0, 0.0))::DOUBLE AS pub, s_acctbal > 5000 AS shorts,
-    CASE WHEN floor(s_acctbal) >= 0 THEN floor(s_acctbal)::BIGINT END AS views FROM ({_SUPPLIERS}) WHERE s_acctbal >= -500 AND channel NOT IN (3, 4)""",
+    f"""SELECT channel, 'UC' || lpad(CAST(channel AS VARCHAR), 22, CASE WHEN channel % 2 = 0 THEN 'x' ELSE 'y' END) AS channel_id, row_number() OVER (PARTITION BY channel ORDER BY s_suppkey) - 1 AS pos, id, s_name || ' & more' AS title, epoch(make_timestamp(2024, 1, (s_suppkey % 28 + 1)::BIGINT, 8, 0, 0.0))::DOUBLE AS pub, s_acctbal > 5000 AS shorts,
+    CASE WHEN floor(s_acctbal) >= 0 THEN floor(s_acctbal)::BIGINT END AS views, CASE WHEN s_suppkey % 3 > 0 THEN s_suppkey END AS likes FROM ({_SUPPLIERS}) WHERE s_acctbal >= -500 AND channel NOT IN (3, 4, 5)""",
 )
 def s8(spark, sf_dir):
-    """Feeds as XML: those with a document type and broken ones are rejected, entries without a valid id passed over."""
+    """Atom feeds: those with a document type, another namespace and broken ones are rejected, entries without a valid id
+    passed over."""
     return files.parse_feeds(_feeds(spark, sf_dir), "xml")
 
 
@@ -110,16 +125,22 @@ def s11(spark, sf_dir):
 
 @query(
     "j3_feed_merge",
-    f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY s_suppkey) - 1 AS place FROM ({_SUPPLIERS})), b AS (SELECT id, 'old ' || s_name AS title, 1::BIGINT AS views, place FROM s WHERE s_acctbal < 4000),
-    f AS (SELECT id, CASE WHEN s_acctbal > 3000 THEN s_name ELSE '' END AS title, CASE WHEN s_acctbal >= 0 THEN floor(s_acctbal)::BIGINT END AS views, place AS pos FROM s WHERE s_acctbal > -200)
-    SELECT coalesce(b.id, f.id) AS id, coalesce(nullif(f.title, ''), b.title) AS title, coalesce(f.views, b.views) AS views, coalesce(f.title <> '', false) AS original, b.id IS NULL AS fresh, coalesce(b.place, f.pos)::BIGINT AS place FROM b FULL JOIN f ON f.id = b.id""",
+    f"""WITH s AS (SELECT *, s_acctbal > 5000 AS shorts, row_number() OVER (PARTITION BY channel ORDER BY s_suppkey) - 1 AS pos FROM ({_SUPPLIERS})),
+    b AS (SELECT channel, id, shorts, 'old ' || s_name AS title, 1::BIGINT AS views, row_number() OVER (PARTITION BY channel, shorts ORDER BY s_suppkey DESC) - 1 AS place FROM s WHERE s_acctbal < 4000 OR s_suppkey % 2 = 0),
+    f AS (SELECT s.channel, s.id, s.shorts, CASE WHEN s_acctbal > 3000 THEN s_name ELSE '' END AS title, CASE WHEN s_acctbal >= 0 THEN floor(s_acctbal)::BIGINT END AS views, s_suppkey AS likes, pos, b.id IS NULL AS fresh FROM s LEFT JOIN b ON b.id = s.id WHERE s_acctbal > -200),
+    g AS (SELECT *, row_number() OVER (PARTITION BY channel, shorts, fresh ORDER BY pos) - 1 AS ahead, count(*) FILTER (fresh) OVER (PARTITION BY channel, shorts) AS new FROM f),
+    c AS (SELECT channel, shorts, max(new) AS new FROM g GROUP BY 1, 2),
+    j AS (SELECT coalesce(b.channel, g.channel) AS channel, coalesce(b.id, g.id) AS id, coalesce(g.shorts, b.shorts) AS shorts, coalesce(nullif(g.title, ''), b.title) AS title, coalesce(g.views, b.views) AS views, g.likes, coalesce(g.title <> '', false) AS original, coalesce(g.fresh, false) AS fresh, b.place, g.ahead FROM b FULL JOIN g ON g.id = b.id)
+    SELECT j.channel, id, j.shorts, title, views, likes, original, fresh, CASE WHEN CASE WHEN fresh THEN ahead ELSE place + coalesce(new, 0) END < 12 THEN CASE WHEN fresh THEN ahead ELSE place + coalesce(new, 0) END END AS place FROM j LEFT JOIN c ON c.channel = j.channel AND c.shorts = j.shorts""",
 )
 def j3(spark, sf_dir):
-    place = (F.row_number().over(Window.partitionBy("channel").orderBy("s_suppkey")) - 1).cast("long")
-    rows = _entries(spark, sf_dir).withColumn("place", place).withColumn("pub", F.lit(None).cast("double"))
-    base = rows.where("s_acctbal < 4000").select("id", F.concat(F.lit("old "), "s_name").alias("title"), F.lit(1).cast("long").alias("views"), "pub", "place")
-    feed = rows.where("s_acctbal > -200").select("id", F.when(F.col("s_acctbal") > 3000, F.col("s_name")).otherwise("").alias("title"), files.safe_count(F.floor("s_acctbal")).alias("views"), "pub", F.col("place").alias("pos"))
-    return files.merge_feed(base, feed).drop("pub")
+    """Suppliers known before, and a feed of some of them and of others; lists of twelve."""
+    rows = _entries(spark, sf_dir).withColumn("shorts", F.col("s_acctbal") > 5000).withColumn("pub", F.lit(None).cast("double"))
+    pos = (F.row_number().over(Window.partitionBy("channel").orderBy("s_suppkey")) - 1).cast("long")
+    place = (F.row_number().over(Window.partitionBy("channel", "shorts").orderBy(F.desc("s_suppkey"))) - 1).cast("long")
+    base = rows.where("s_acctbal < 4000 or s_suppkey % 2 = 0").select("channel", "id", "shorts", F.concat(F.lit("old "), "s_name").alias("title"), F.lit(1).cast("long").alias("views"), F.lit(None).cast("long").alias("likes"), "pub", place.alias("place"))
+    feed = rows.withColumn("pos", pos).where("s_acctbal > -200").select("channel", "id", "shorts", F.when(F.col("s_acctbal") > 3000, F.col("s_name")).otherwise("").alias("title"), files.safe_count(F.floor("s_acctbal")).alias("views"), F.col("s_suppkey").alias("likes"), "pub", "pos")
+    return files.merge_feed(base, feed, ["channel"], 12).drop("pub")
 
 
 @query(

@@ -14,10 +14,13 @@ from pyspark.sql.window import Window
 from ..streaming.history import shared_dir
 
 SLIM_IDS = 120
-FEED_MOST = 2_000_000
-TITLE_MOST = 300
+FEED_MOST = 2 << 20
+TITLE_MOST, FEED_TITLE_MOST = 300, 200
+LISTED_MOST = 400
 #: What a video id and a time of a subtitle line look like.
 ID = r"^[\w-]{11}$"
+CHANNEL = r"UC[\w-]{22}"
+ATOM = "http://www.w3.org/2005/Atom"
 SRT_TIME = r"(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})\s*-->\s*(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})"
 
 
@@ -26,13 +29,32 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def read_documents(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """A folder of JSON documents, one per line -> (documents, lines that are none).  A line that is no JSON object goes to
-    the second, as it is; of an object, fields of another type are null."""
-    lines = spark.read.text(folder)
-    doc = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    object_ = F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
-    rows = lines.withColumn("good", F.coalesce(object_, F.lit(False)))
-    return rows.where("good").select(doc.alias("d")).select("d.*").drop("_corrupt"), rows.where("not good").select("value")
+    """A folder of JSON documents, one per file and laid out as one likes -> (documents with their ``file``, files that are
+    none).  A file that holds no JSON object goes to the second, as it is, with its ``file`` and ``value``; of an object,
+    fields of another type are null."""
+    files = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return split_documents(files, "value", schema)
+
+
+def split_documents(rows: DataFrame, text: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``text`` is a JSON object -> its fields beside the other columns; and the rows whose text is none."""
+    doc = F.from_json(text, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    good = F.coalesce(F.col(text).rlike(r"^\ufeff?\s*\{") & F.try_parse_json(text).isNotNull(), F.lit(False))
+    marked = rows.withColumn("_good", good)
+    others = [c for c in rows.columns if c != text]
+    return marked.where("_good").select(*others, doc.alias("_d")).select(*others, "_d.*").drop("_corrupt"), marked.where("not _good").drop("_good")
+
+
+def set_aside(bad: DataFrame, folder: str) -> None:
+    """Write files that are no documents beside the others, each under its name: a folder a file, whose text is as it was (and
+    ends with a line end)."""
+    named = bad.select(F.regexp_replace("value", r"\n\z", "").alias("value"), F.regexp_extract("file", "([^/]+)$", 1).alias("bad"))
+    named.write.mode("overwrite").partitionBy("bad").text(folder)
+
+
+def write_documents(docs: DataFrame, name: str, folder: str) -> None:
+    """One file a document: ``value``, under a folder of its ``name``."""
+    docs.select("value", name).repartition(name).write.mode("append").partitionBy(name).text(folder)
 
 
 def slim_ids(docs: DataFrame, keys: list[str], ids: str, most: int = SLIM_IDS) -> DataFrame:
@@ -63,18 +85,45 @@ def safe_count(c: str | Column) -> Column:
     return F.when(n >= 0, n)
 
 
-_ENTRY = "STRUCT<videoId: STRING, title: STRING, published: STRING, link: STRING, views: STRING>"
+_STATS = "STRUCT<community: STRUCT<statistics: STRUCT<_views: STRING>, starRating: STRUCT<_count: STRING>>>"
+_ENTRY = f"STRUCT<videoId: STRING, channelId: STRING, title: STRING, published: STRING, link: ARRAY<STRUCT<_href: STRING>>, `group`: {_STATS}>"
+_FEED = f"STRUCT<title: STRING, author: STRUCT<uri: STRING>, entry: ARRAY<{_ENTRY}>, _corrupt: STRING>"
+
+
+def read_feeds(feeds: DataFrame, xml: str) -> DataFrame:
+    """Atom feeds as XML text -> ``feeds``' other columns with ``state``, ``feed_title``, ``channel_id`` and ``entries``.
+
+    ``state`` says what a text is: ok, or why it is none: big, doctype (a document type or entity), broken, other (another
+    root or namespace).  Namespaces are the feed's own affair: elements count by their names, whatever the prefixes.
+    The channel is that of the first entry that names one, else the author's."""
+    body = F.coalesce(xml, F.lit(""))
+    upper = F.upper(body)
+    root = body.rlike(rf"^\ufeff?\s*(<\?xml[^>]*\?>)?\s*(<!--(?s:.*?)-->\s*)*<(\w+:)?feed\b[^>]*xmlns(:\w+)?\s*=\s*[\"']{ATOM}[\"']")
+    parsed = F.from_xml(F.when((F.octet_length(body) <= FEED_MOST) & ~upper.rlike("<!DOCTYPE|<!ENTITY") & root, body), F.lit(_FEED), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": "true"})
+    rows = feeds.withColumn("_f", parsed)
+    broken = F.col("_f").isNull() | F.col("_f._corrupt").isNotNull() | ~body.rlike(r"</(\w+:)?feed>\s*$")
+    state = F.when(F.octet_length(body) > FEED_MOST, "big").when(upper.rlike("<!DOCTYPE|<!ENTITY"), "doctype").when(~root, "other").when(broken, "broken").otherwise("ok")
+    rows = rows.withColumn("state", state)
+    entries = F.when(F.col("state") == "ok", F.filter(F.coalesce("_f.entry", F.array().cast(f"ARRAY<{_ENTRY}>")), lambda e: F.btrim(e["videoId"]).rlike(ID)))
+    rows = rows.withColumn("entries", entries)
+    named = F.filter(F.transform("entries", lambda e: F.btrim(e["channelId"])), lambda c: c.rlike(f"^{CHANNEL}$"))
+    author = F.nullif(F.regexp_extract("_f.author.uri", f"({CHANNEL})", 1), F.lit(""))
+    head = F.substring(F.btrim(F.coalesce("_f.title", F.lit(""))), 1, FEED_TITLE_MOST)
+    ok = F.col("state") == "ok"
+    return rows.withColumns({"feed_title": F.when(ok, head), "channel_id": F.when(ok, F.coalesce(F.get(named, F.lit(0)), author))}).drop("_f", xml)
 
 
 def parse_feeds(feeds: DataFrame, xml: str) -> DataFrame:
-    """Feeds as XML text -> their entries, with ``feeds``' other columns: ``id, title, pub, shorts, views``.  Feeds that are too
-    long, hold a document type or entity, do not parse or have another root give none; so do entries without an id."""
-    ok = (F.octet_length(xml) <= FEED_MOST) & ~F.upper(xml).rlike("<!DOCTYPE|<!ENTITY") & F.col(xml).rlike(r"^\s*(<\?xml[^>]*\?>)?\s*<feed[\s>]") & F.col(xml).rlike(r"</feed>\s*$")
-    feed = F.from_xml(F.when(ok, F.col(xml)), F.lit(f"STRUCT<entry: ARRAY<{_ENTRY}>>"), {"mode": "PERMISSIVE"})
-    rows = feeds.withColumn("_feed", feed).withColumn("_e", F.explode("_feed.entry")).drop("_feed", xml)
+    """Atom feeds as XML text -> their entries, with ``feeds``' other columns: ``channel_id, pos, id, title, pub, shorts, views,
+    likes``.  Feeds that :func:`read_feeds` does not call ok give none; so do entries without a valid id."""
+    rows = read_feeds(feeds, xml).where("state = 'ok'").select("*", F.posexplode("entries").alias("pos", "_e")).drop("state", "feed_title", "entries")
     title = F.substring(F.btrim(F.regexp_replace(F.coalesce("_e.title", F.lit("")), r"\s+", " ")), 1, TITLE_MOST)
-    rows = rows.select("*", F.btrim("_e.videoId").alias("id"), title.alias("title"), iso_seconds("_e.published").alias("pub"), F.coalesce(F.contains("_e.link", F.lit("/shorts/")), F.lit(False)).alias("shorts"), safe_count(F.col("_e.views")).alias("views"))
-    return rows.drop("_e").where(F.col("id").rlike(ID))
+    shorts = F.coalesce(F.contains(F.get("_e.link", F.lit(0))["_href"], F.lit("/shorts/")), F.lit(False))
+    community = "_e.group.community"
+    return rows.withColumns({
+        "pos": F.col("pos").cast("long"), "id": F.btrim("_e.videoId"), "title": title, "pub": iso_seconds("_e.published"), "shorts": shorts,
+        "views": safe_count(F.col(f"{community}.statistics._views")), "likes": safe_count(F.col(f"{community}.starRating._count")),
+    }).drop("_e")
 
 
 def listed_rows(listings: DataFrame, keys: list[str], entries: str) -> DataFrame:
@@ -87,13 +136,24 @@ def listed_rows(listings: DataFrame, keys: list[str], entries: str) -> DataFrame
     return rows.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("e.id").alias("id"), F.when(views >= 0, views.cast("long")).alias("views"), F.when(duration > 0, duration).alias("duration"))
 
 
-def merge_feed(base: DataFrame, feed: DataFrame) -> DataFrame:
-    """Known videos (id, title, views, pub, place) and a feed's entries (id, title, views, pub, pos) -> all of both: what the
-    feed has wins, a title from it is marked original, and ids not known before come first, in the feed's order."""
-    both = base.join(feed.select("id", *[F.col(c).alias(f"_{c}") for c in ("title", "views", "pub", "pos")]), "id", "full")
+def merge_feed(base: DataFrame, feed: DataFrame, keys: list[str], keep: int = LISTED_MOST) -> DataFrame:
+    """Known videos (keys, id, shorts, title, views, likes, pub, place: from 0 in their list of shorts or others, null if in none)
+    and a feed's entries (keys, id, shorts, title, views, likes, pub, pos) -> all of both.
+
+    What the feed has wins, and a title from it is marked original; a video that was not in its list comes before the
+    list, in the feed's order, so places go on from those; beyond ``keep`` it has none."""
+    parts = ("title", "views", "likes", "pub", "shorts", "pos")
+    listed = base.where("place is not null").select(*keys, "id", "shorts", F.lit(False).alias("fresh"))
+    entries = feed.join(listed, [*keys, "id", "shorts"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
+    ahead = F.row_number().over(Window.partitionBy(*keys, "shorts", "fresh").orderBy("pos")) - 1
+    entries = entries.withColumn("_ahead", F.when(F.col("fresh"), ahead.cast("long")))
+    count = entries.where("fresh").groupBy(*keys, "shorts").agg(F.count(F.lit(1)).alias("_new"))
+    both = base.join(entries.select(*keys, "id", "fresh", "_ahead", *[F.col(c).alias(f"_{c}") for c in parts]), [*keys, "id"], "full")
     title = F.when(F.col("_title") != "", F.col("_title"))
-    fresh = F.col("place").isNull()
-    return both.select("id", F.coalesce(title, "title").alias("title"), F.coalesce("_views", "views").alias("views"), F.coalesce("_pub", "pub").alias("pub"), title.isNotNull().alias("original"), fresh.alias("fresh"), F.when(fresh, F.col("_pos")).otherwise(F.col("place")).alias("place"))
+    out = both.withColumns({"title": F.coalesce(title, "title"), "original": title.isNotNull(), "fresh": F.coalesce("fresh", F.lit(False)), **{c: F.coalesce(f"_{c}", c) for c in ("views", "likes", "pub", "shorts")}})
+    out = out.join(count, [*keys, "shorts"], "left")
+    place = F.when(F.col("fresh"), F.col("_ahead")).otherwise(F.col("place") + F.coalesce("_new", F.lit(0)))
+    return out.withColumn("place", F.when(place < keep, place)).select(*keys, "id", "shorts", "title", "views", "likes", "pub", "original", "fresh", "place")
 
 
 def _srt_seconds(m: Column, at: int) -> Column:
