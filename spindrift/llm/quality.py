@@ -109,24 +109,29 @@ class BinnedModel:
         return 1 / (1 + np.exp(-self.logits(self.columns(measures(texts)))))
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, *, least: float = 0.1) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, *, least: float = 0.5, rounds: int = 2) -> float:
     """Share of positives among the unlabelled rows, from measures of the two samples.
 
     A ranking learnt on one half of both is read on the other, and the other way round: the least ratio of the
-    unlabelled to the positive rows' share above a score, with a margin for chance, over scores that at least ``least``
-    of the positives reach."""
+    unlabelled to the positive rows' share above a score, over scores that at least ``least`` of the positives reach; two
+    standard errors of each ratio are added before the least is looked for, so that chance does not choose it.  A ranking
+    depends on the prior it is learnt with (a wrong one puts odd positives above the usual ones), so the estimate goes
+    into the next round's."""
     if min(len(positive), len(unlabelled)) < 8:
         return 0.5
-    found = []
-    for half in (0, 1):
-        model = fit_nnpu(positive[half::2], unlabelled[half::2], 0.5, rounds=300)
-        p, u = (np.sort(model.logits(model.columns(x[1 - half :: 2]))) for x in (positive, unlabelled))
-        cut = p[: int(len(p) * (1 - least)) + 1]
-        above_p, above_u = 1 - np.searchsorted(p, cut) / len(p), 1 - np.searchsorted(u, cut) / len(u)
-        margin = np.sqrt(np.log(20) / (2 * len(u))) + np.sqrt(np.log(20) / (2 * len(p)))
-        best = np.argmin((above_u + margin) / above_p)
-        found.append(above_u[best] / above_p[best])
-    return float(np.clip(np.mean(found), 0.02, 0.98))
+    prior = 0.5
+    for _ in range(rounds):
+        found = []
+        for half in (0, 1):
+            model = fit_nnpu(positive[half::2], unlabelled[half::2], prior)
+            p, u = (np.sort(model.logits(model.columns(x[1 - half :: 2]))) for x in (positive, unlabelled))
+            cut = p[: int(len(p) * (1 - least)) + 1]
+            above_p, above_u = 1 - np.searchsorted(p, cut) / len(p), np.maximum(1 - np.searchsorted(u, cut) / len(u), 1 / len(u))
+            ratio = above_u / above_p
+            error = ratio * np.sqrt((1 - above_u) / (above_u * len(u)) + (1 - above_p) / (above_p * len(p)))
+            found.append(ratio[np.argmin(ratio + 2 * error)])
+        prior = float(np.clip(np.mean(found), 0.02, 0.98))
+    return prior
 
 
 def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, float]:

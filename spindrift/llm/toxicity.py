@@ -1,11 +1,11 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are the distinct words of a text and their first 4 and 5 bytes (so that inflected forms share a term), hashed
+Terms are the distinct words of a text and their first 4 to 8 bytes (so that inflected forms share a term), hashed
 to 32 bits.  score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the terms that are present; the pairwise part
 learns combinations, such as an insult with a group's name, that no additive weights express.
 
 The fit uses at most ``sample_rows`` labelled rows (those of least hash of their id), keeps the terms whose
-association with the label is beyond chance among all terms tried (the ``MAX_TERMS`` strongest at most: the size of the
+association with the label is beyond chance among all terms tried (the ``max_terms`` strongest at most: the size of the
 model, like the number of factors), and runs on the driver over these rows' term hashes alone; scoring is one pass over
 all texts without a shuffle.
 """
@@ -27,7 +27,7 @@ SAMPLE_ROWS = 8192
 MAX_TERMS = 4096
 FACTORS = 8
 THRESHOLD = 0.7
-PREFIXES = (4, 5)
+PREFIXES = (4, 5, 6, 7, 8)
 
 
 def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +79,7 @@ def _g2(a: np.ndarray, n: np.ndarray, pos: int, total: int) -> np.ndarray:
     return out
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, *, rounds: int = 400, l2: float = 2e-4, seed: int = 11) -> FactorizationMachine:
+def fit(rows: list[np.ndarray], label: np.ndarray, *, max_terms: int = MAX_TERMS, rounds: int = 400, l2: float = 2e-5, seed: int = 11) -> FactorizationMachine:
     """rows: each labelled document's distinct terms."""
     n, pos = len(rows), int(label.sum())
     prior = np.log((pos + 0.5) / (n - pos + 0.5))
@@ -90,7 +90,7 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, rounds: int = 400, l2: flo
         return FactorizationMachine(np.zeros(0, np.uint32), float(np.clip(prior, -8, 8)), np.zeros(0), np.zeros((0, FACTORS)))
     g2 = _g2(np.bincount(inverse, label[doc], len(ids)), count, pos, n)
     beyond = np.flatnonzero(g2 > 2 * np.log(len(ids)) + 4)
-    chosen = np.sort(beyond[np.argsort(-g2[beyond], kind="stable")[:MAX_TERMS]])
+    chosen = np.sort(beyond[np.argsort(-g2[beyond], kind="stable")[:max_terms]])
     model = FactorizationMachine(ids[chosen], float(prior), np.zeros(len(chosen)), np.random.default_rng(seed).normal(0, 0.02, (len(chosen), FACTORS)))
     position = np.full(len(ids), -1)
     position[chosen] = np.arange(len(chosen))
@@ -118,8 +118,8 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, rounds: int = 400, l2: flo
 
 
 def held_out(column: str, folds: int = 3, fold: int = 1):
-    """Whether crc32(id as text) mod ``folds`` is ``fold``."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % folds == fold
+    """Whether crc32(id as text) mod ``folds`` is ``fold``; false for a row without an id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int) -> DataFrame:
@@ -135,7 +135,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows:
     return own.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows: int = SAMPLE_ROWS, max_terms: int = MAX_TERMS) -> FactorizationMachine:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batches):
             term, doc = terms(piece.column("text").to_pylist())
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_ro
 
     got = labelled_sample(docs, labels, label, sample_rows).mapInArrow(released(hashed), "id long, y int, terms binary").collect()
     got.sort(key=lambda r: (r.id, bytes(r.terms)))
-    return fit([np.frombuffer(r.terms, "<u4") for r in got], np.array([r.y for r in got], float))
+    return fit([np.frombuffer(r.terms, "<u4") for r in got], np.array([r.y for r in got], float), max_terms=max_terms)
 
 
 def score_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:

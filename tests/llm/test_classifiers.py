@@ -75,6 +75,27 @@ def test_toxicity_and_quality_on_tables(spark):
         assert module.score_documents(odd.limit(0), model).count() == 0
 
 
+def test_toxic_and_bad_rows_on_the_held_out_fold(spark):
+    """What is caught, and what clean rows are lost, at the thresholds of the contract."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    toxic = toxicity.op10_toxicity(spark, sf).where("held_out").join(labels, "doc_id").toPandas()
+    assert toxic[toxic["toxic"] == 1]["predicted"].mean() >= 0.8 and toxic[toxic["toxic"] == 0]["predicted"].mean() <= 0.01
+    good = quality.op8_quality(spark, sf).where("held_out").join(labels, "doc_id").toPandas()
+    assert good[good["quality"] == 0]["predicted"].mean() <= 0.05 and good[good["quality"] == 1]["predicted"].mean() >= 0.97
+
+
+def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
+    rows = [(None, "one two three", "en"), (1, "le chat est la", "fr"), (2, "the cat is here", "en"), (3, "12 34", "xx"), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for query in (langid.op6_language_id, quality.op8_quality, toxicity.op10_toxicity):
+        got = query(spark, str(tmp_path)).collect()
+        assert len(got) == 5 and all(r.held_out is False for r in got if r.doc_id is None) and all(r.held_out is not None for r in got)
+    langs, _ = langid.train(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert langs == ["en", "fr"]  # texts without a letter teach nothing
+
+
 def test_risk_is_non_negative_and_its_gradient_right():
     """The two parts of the risk against loops, and the fit's direction against differences of the risk."""
     rng = np.random.default_rng(0)
