@@ -11,7 +11,6 @@ from ..operators import forecast, sequential
 from ..operators.relational import in_blocks, joined, newest_n, numbered
 from ..sources.tables import DAY, VIDEOS, table, videos
 from ..streaming.history import weekly_counts
-from .channel_plans import recent
 from .model_plans import peers
 from .registry import query
 
@@ -45,21 +44,6 @@ def o6(spark, sf_dir):
     return newest_n(capped, ["channel"], [F.desc("views"), "id"], 5).select("channel", "id", "place")
 
 
-@query("j20_slot_matching")
-def j20(spark, sf_dir):
-    """A week's three slots of each channel and what was uploaded then."""
-    week = F.floor(F.col("pub") / (7 * DAY))
-    rows = recent(spark, sf_dir).where("fmt = 'purchase'").withColumn("week", week).select("channel", "week", "id", "pub")
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = int(pdf["week"][0]) * 7 * DAY
-        slots = [start + (2 * d + 1) * DAY + 18 * DAY // 24 for d in range(3)]
-        got = sequential.match_slots(slots, pdf["pub"].tolist(), 2 * DAY // 24)
-        return pd.DataFrame([(pdf["channel"][0], pdf["week"][0], i, pdf["id"][j]) for i, j in got], columns=["channel", "week", "slot", "id"])
-
-    return sequential.per_group(rows, ["channel", "week"], ["pub", "id"], "channel long, week long, slot long, id long", match)
-
-
 @query("j19_box_suppression")
 def j19(spark, sf_dir):
     """Boxes of an order's lines (a few each), without those that a better one covers."""

@@ -253,19 +253,3 @@ def m6(spark, sf_dir):
         return pdf.loc[out, ["channel", "id"]]
 
     return sequential.per_group(rows, ["channel"], ["pub", "id"], "channel long, id long", kept)
-
-
-@query("m5_open_slots")
-def m5(spark, sf_dir):
-    """The slots of each channel and week that its uploads leave open; a slot counts as filled by what comes up to two
-    hours before it or at any time after it, the nearest first."""
-    rows = videos(spark, sf_dir).where("fmt = 'purchase'").select("channel", F.floor(F.col("pub") / (7 * DAY)).alias("week"), "pub")
-
-    def open_(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = int(pdf["week"][0]) * 7 * DAY
-        slots = [start + (2 * d + 1) * DAY + 18 * HOUR for d in range(3)]
-        filled = {i for i, _ in sequential.match_slots(slots, pdf["pub"].tolist(), 2 * HOUR)}
-        left = [i for i in range(3) if i not in filled]
-        return pd.DataFrame({"channel": pdf["channel"][0], "week": pdf["week"][0], "slot": left})
-
-    return sequential.per_group(rows, ["channel", "week"], ["pub"], "channel long, week long, slot long", open_)

@@ -124,7 +124,7 @@ def test_theil_sen_is_the_median_of_all_slopes(n):
     assert sequential.theil_sen([3, 3, 3], [1, 5, 9]) == (5.0, 0.0)
 
 
-def test_open_slots_and_checkups_equal_plain_loops(spark):
+def test_checkups_equal_plain_loops(spark):
     day = 24 * 3_600_000_000
     rows = [(r.channel, r.id, r.pub) for r in QUERIES["o1_by_views"](spark, SF).where("fmt = 'purchase'").join(spark.read.parquet(f"{SF}/events.parquet").select(F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("pub")), "id").select("channel", "id", "pub").collect()]
     kept: dict = {}
@@ -134,21 +134,6 @@ def test_open_slots_and_checkups_equal_plain_loops(spark):
             own.pop()
         own.append((i, at))
     assert sorted((r.channel, r.id) for r in QUERIES["m6_checkup_upsert"](spark, SF).collect()) == sorted((c, i) for c, own in kept.items() for i, _ in own)
-    weeks: dict = {}
-    for channel, _, at in rows:
-        weeks.setdefault((channel, at // (7 * day)), []).append(at)
-    want = set()
-    for (channel, week), ups in weeks.items():
-        slots = [week * 7 * day + (2 * d + 1) * day + 18 * day // 24 for d in range(3)]
-        free, ups = {0, 1, 2}, sorted(ups)
-        pairs = sorted((slots[s] > u + day // 12, abs(u - slots[s]), k, s) for k, u in enumerate(ups) for s in range(3))
-        used = set()
-        for _, _, k, s in pairs:
-            if s in free and k not in used:
-                free.discard(s)
-                used.add(k)
-        want |= {(channel, week, s) for s in free}
-    assert {(r.channel, r.week, r.slot) for r in QUERIES["m5_open_slots"](spark, SF).collect()} == want
 
 
 def test_pauses_end_sentences(spark):
