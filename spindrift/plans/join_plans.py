@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import fingerprint
 from ..operators.relational import asof, nearest, newest_n, overlapping, overlay, points_in_intervals, upsert
+from ..sources.stage import staged
 from ..sources.tables import DAY, HOUR, VIDEOS, table, videos
 from .registry import query
 
@@ -193,34 +195,21 @@ def j26(spark, sf_dir):
     return prefixes.join(folders, "owner").groupBy("id").agg(F.max_by("owner", F.length("owner")).alias("owner"))
 
 
-_BANDS, _BAND_BITS, _APART = 4, 16, 7
-_MARKS = [chr(97 + k) for k in range(26)] + [f"e{chr(97 + k)}" for k in range(26)] + list("0123456789.,")
-
-
 @query(
     "j17_hamming_join",
-    f"""WITH m AS (SELECT unnest(range({len(_MARKS)})) AS k, unnest({_MARKS}) AS mark), p AS (SELECT doc_id, k, ((length(text) - length(replace(text, mark, ''))) // length(mark)) % 2 AS bit FROM documents, m WHERE text IS NOT NULL),
-    f AS (SELECT doc_id, string_agg(bit::VARCHAR, '' ORDER BY k) AS s FROM p GROUP BY 1), r AS (SELECT s, min(doc_id) AS id FROM f GROUP BY 1)
-    SELECT a.id AS a, b.id AS b, hamming(a.s, b.s)::BIGINT AS distance FROM r a JOIN r b ON a.id < b.id AND hamming(a.s, b.s) <= {_APART}""",
+    r"""WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[^ \t\n\x0b\x0c\r]+'))) AS w FROM documents WHERE text IS NOT NULL),
+    h AS (SELECT doc_id, md5(w) AS h FROM w), b AS (SELECT doc_id, k, sum(CASE WHEN (('0x' || h[k // 4 + 1])::BIGINT >> (3 - k % 4)) & 1 = 1 THEN 1 ELSE -1 END) > 0 AS bit FROM h, range(64) t(k) GROUP BY 1, 2),
+    f AS (SELECT doc_id, string_agg(bit::INT::VARCHAR, '' ORDER BY k) AS s FROM b GROUP BY 1), r AS (SELECT s, min(doc_id) AS id FROM f GROUP BY 1)
+    SELECT a.id AS a, b.id AS b, hamming(a.s, b.s)::BIGINT AS distance FROM r a JOIN r b ON a.id < b.id AND hamming(a.s, b.s) <= 7""",
 )
 def j17(spark, sf_dir):
     """Pairs of distinct 64-bit fingerprints at most 7 bits apart, each by the least document that has it.
 
-    A fingerprint's bits tell whether a text holds each of 64 marks an odd number of times.  Of four bands of 16 bits one
-    differs in a bit at most, so one side is sent by its bands, the other by its bands and all that differ in one bit;
-    the pair is taken in the first band that brings it together."""
-    odd = [(((F.length("text") - F.length(F.replace("text", F.lit(m), F.lit("")))) / len(m)).cast("long") % 2) for m in _MARKS]
-    bands = [sum((odd[_BAND_BITS * b + i] * (1 << i) for i in range(_BAND_BITS)), F.lit(0)).cast("long") for b in range(_BANDS)]
-    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.array(*bands).alias("f"))
-    rows = rows.groupBy("f").agg(F.min("doc_id").alias("id"))
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(_BAND_BITS)])
-    left = rows.select(F.col("id").alias("a"), F.col("f").alias("x"), F.posexplode("f").alias("band", "key"))
-    right = rows.select(F.col("id").alias("b"), F.col("f").alias("y"), F.posexplode("f").alias("band", "own")).withColumn("flip", F.explode(flips)).withColumn("key", F.col("own").bitwiseXOR(F.col("flip")))
-    pairs = left.join(right, ["band", "key"]).where("a < b")
-    each = F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q)).cast("long"))
-    pairs = pairs.withColumn("each", each).withColumn("distance", F.aggregate("each", F.lit(0).cast("long"), lambda s, n: s + n))
-    first = F.array_position(F.transform("each", lambda n: n <= 1), True) - 1
-    return pairs.where((F.col("distance") <= _APART) & (first == F.col("band"))).select("a", "b", "distance")
+    A fingerprint has, bit by bit, what most of a text's distinct words have in their hash: copies with a few words changed
+    are a few bits apart, texts of other words about half of them."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text"))
+    prints = fingerprint.fingerprints(rows, "id", "text").where("hash is not null").groupBy("hash").agg(F.min("id").alias("id"))
+    return fingerprint.near_pairs(staged(prints, "prints"))
 
 
 @query("e5_except", "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
