@@ -37,6 +37,17 @@ def numbered(df: DataFrame, keys: Sequence[str], time: str, order: Sequence, buc
     return out.withColumn(number, F.col("_own") + F.col("_before")).drop("_own", "_before", "_b")
 
 
+def with_previous(df: DataFrame, keys: Sequence[str], time: str, bucket: int, previous: str = "previous") -> DataFrame:
+    """Each row with the time of the one before it in its key (null for the first; of equal times one follows the other):
+    what comes before within a time bucket, else the last time of the buckets before, one row a bucket."""
+    rows = df.withColumn("_b", F.floor(F.col(time) / bucket))
+    own = F.lag(time).over(Window.partitionBy(*keys, "_b").orderBy(time))
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy(*keys, "_b").agg(F.max(time).alias("_last")).withColumn("_carried", F.max("_last").over(earlier)).drop("_last")
+    out = joined(rows.withColumn("_own", own), last, [*keys, "_b"])
+    return out.withColumn(previous, F.coalesce("_own", "_carried")).drop("_own", "_carried", "_b")
+
+
 def in_blocks(df: DataFrame, number: str, back: int, ahead: int, size: int = 4096) -> DataFrame:
     """Rows by ``_block`` of their number, with the rows of the neighbouring blocks that lie up to ``back`` before and
     ``ahead`` after, which are not ``_mine``: windows of that reach over key and block are right for the rows that are."""

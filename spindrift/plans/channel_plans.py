@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import stats
-from ..operators.relational import best_of, in_blocks, newest_n, numbered
+from ..operators.relational import best_of, in_blocks, newest_n, numbered, with_previous
 from ..sources.tables import DAY, VIDEOS, table, videos
 from .registry import SQL, query
 
@@ -87,6 +87,8 @@ def a5(spark, sf_dir):
     f"""WITH {VIDEOS}, e AS (SELECT max(pub) AS now FROM v),
     g AS (SELECT channel, fmt, pub, (lag(pub) OVER (PARTITION BY channel ORDER BY pub DESC, id) - pub) / 86400e6 AS gap, now FROM v, e)
     SELECT channel, count(*) AS n, round(count(*) FILTER (WHERE now - pub <= 90 * 86400000000) / (least(90.0, greatest(7.0, (any_value(now) - min(pub)) / 86400e6)) / 7), 6) AS per_week,
+    round(count(*) FILTER (WHERE fmt = 'view' AND now - pub <= 90 * 86400000000) / (least(90.0, greatest(7.0, (any_value(now) - min(pub)) / 86400e6)) / 7), 6) AS views_per_week,
+    round(count(*) FILTER (WHERE fmt = 'click' AND now - pub <= 90 * 86400000000) / (least(90.0, greatest(7.0, (any_value(now) - min(pub)) / 86400e6)) / 7), 6) AS clicks_per_week,
     floor((any_value(now) - max(pub)) / 86400e6)::BIGINT AS last_days, CASE WHEN count(gap) >= 3 AND avg(gap) > 0 THEN round(stddev_pop(gap) / avg(gap), 6) END AS cv,
     CASE WHEN (any_value(now) - max(pub)) / 86400e6 <= 14 THEN 'active' WHEN (any_value(now) - max(pub)) / 86400e6 <= 45 THEN 'slow' WHEN (any_value(now) - max(pub)) / 86400e6 <= 180 THEN 'rare' ELSE 'stopped' END AS activity
     FROM g GROUP BY channel HAVING count(*) >= 3""",
@@ -94,16 +96,17 @@ def a5(spark, sf_dir):
 def a6(spark, sf_dir):
     rows = videos(spark, sf_dir)
     now = rows.agg(F.max("pub")).first()[0] or 0
-    gap = (F.lag("pub").over(Window.partitionBy("channel").orderBy(F.desc("pub"), "id")) - F.col("pub")) / DAY
+    gap = (F.col("pub") - F.col("previous")) / DAY
     age = lambda c: (F.lit(now) - c) / DAY
-    out = rows.withColumn("gap", gap).groupBy("channel").agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.lit(now) - F.col("pub") <= 90 * DAY).cast("long")).alias("in90"), age(F.min("pub")).alias("oldest"),
+    late = lambda test: F.sum((test & (F.lit(now) - F.col("pub") <= 90 * DAY)).cast("long"))
+    out = with_previous(rows, ["channel"], "pub", 7 * DAY).withColumn("gap", gap).groupBy("channel").agg(
+        F.count(F.lit(1)).alias("n"), late(F.lit(True)).alias("in90"), late(F.col("fmt") == "view").alias("views90"), late(F.col("fmt") == "click").alias("clicks90"), age(F.min("pub")).alias("oldest"),
         age(F.max("pub")).alias("last"), F.count("gap").alias("gaps"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("sd_gap"),
     )
     span = F.least(F.lit(90.0), F.greatest(F.lit(7.0), F.col("oldest"))) / 7
     cv = F.when((F.col("gaps") >= 3) & (F.col("mean_gap") > 0), R(F.col("sd_gap") / F.col("mean_gap")))
     activity = F.when(F.col("last") <= 14, "active").when(F.col("last") <= 45, "slow").when(F.col("last") <= 180, "rare").otherwise("stopped")
-    return out.where("n >= 3").select("channel", "n", R(F.col("in90") / span).alias("per_week"), F.floor("last").alias("last_days"), cv.alias("cv"), activity.alias("activity"))
+    return out.where("n >= 3").select("channel", "n", R(F.col("in90") / span).alias("per_week"), R(F.col("views90") / span).alias("views_per_week"), R(F.col("clicks90") / span).alias("clicks_per_week"), F.floor("last").alias("last_days"), cv.alias("cv"), activity.alias("activity"))
 
 
 @query(
@@ -191,8 +194,7 @@ def s31(spark, sf_dir):
     SELECT channel, max(pub) AS resumed, max(pub - before) AS longest FROM k WHERE pub - before > 86400000000 GROUP BY channel""",
 )
 def w2(spark, sf_dir):
-    before = F.lag("pub").over(Window.partitionBy("channel").orderBy("pub", "id"))
-    gaps = videos(spark, sf_dir).withColumn("gap", F.col("pub") - before).where(F.col("gap") > DAY)
+    gaps = with_previous(videos(spark, sf_dir), ["channel"], "pub", 7 * DAY).withColumn("gap", F.col("pub") - F.col("previous")).where(F.col("gap") > DAY)
     return gaps.groupBy("channel").agg(F.max("pub").alias("resumed"), F.max("gap").alias("longest"))
 
 

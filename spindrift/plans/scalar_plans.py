@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.text import tokens
-from ..sources.tables import ALL, ALL_TITLES, table, titles
+from ..operators.relational import numbered
+from ..sources.tables import ALL_TITLES, table, titles
 from .registry import query
 
 R = lambda c: F.round(c, 6)
@@ -74,7 +75,7 @@ def f14(spark, sf_dir):
 
 @query("e1_token_sets", f"WITH {ALL_TITLES}, w AS (SELECT id, channel, pos, list_distinct(regexp_extract_all(lower(title), '[a-z가-힣]{{2,10}}')) AS w FROM t) SELECT a.id, b.id AS other, len(list_intersect(a.w, b.w))::BIGINT AS shared FROM w a JOIN w b ON a.channel = b.channel AND b.pos = a.pos + 1 WHERE len(list_intersect(a.w, b.w)) > 0")
 def e1(spark, sf_dir):
-    rows = titles(spark, sf_dir, ALL).select("channel", "pos", "id", F.array_distinct(tokens("title")).alias("w"))
+    rows = numbered(titles(spark, sf_dir), ["channel"], "id", [F.desc("id")], 4096, newest=True, number="pos").select("channel", "pos", "id", F.array_distinct(tokens("title")).alias("w"))
     after = rows.select("channel", (F.col("pos") - 1).alias("pos"), F.col("id").alias("other"), F.col("w").alias("x"))
     return rows.join(after, ["channel", "pos"]).select("id", "other", F.size(F.array_intersect("w", "x")).cast("long").alias("shared")).where("shared > 0")
 

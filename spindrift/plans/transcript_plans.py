@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import sequential, transcript
+from ..operators.relational import numbered
 from ..sources import files
 from ..sources.tables import ALL_TITLES, DAY, HOUR, VIDEOS, table, titles, videos
 from .registry import query
@@ -153,9 +154,9 @@ def n16(spark, sf_dir):
 @query("o1_by_views", f"WITH {VIDEOS} SELECT channel, fmt, id, row_number() OVER (PARTITION BY channel, fmt ORDER BY views DESC, pos) AS place FROM v")
 def o1(spark, sf_dir):
     """Videos by views; equal ones keep the listing's order."""
-    rows = videos(spark, sf_dir)
-    order = Window.partitionBy("channel", "fmt").orderBy(F.desc("views"), F.desc("pub"), "id")
-    return rows.select("channel", "fmt", "id", F.row_number().over(order).cast("long").alias("place"))
+    order = [F.desc("views"), F.desc("pub"), "id"]
+    rows = numbered(videos(spark, sf_dir), ["channel", "fmt"], "views", order, 5, newest=True, number="place")
+    return rows.select("channel", "fmt", "id", F.col("place").cast("long").alias("place"))
 
 
 @query(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators.relational import newest_n
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -28,8 +29,7 @@ def titles(spark: SparkSession, sf_dir: str, newest: int | None = None) -> DataF
     rows = table(spark, sf_dir, "documents").where("text is not null and n_chars > 0").select(F.col("source").alias("channel"), F.col("doc_id").alias("id"), title.alias("title"), F.col("n_chars").cast("double").alias("views"))
     if newest is None:
         return rows
-    place = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("id")))
-    return rows.withColumn("pos", (place - 1).cast("long")).where(F.col("pos") < newest)
+    return newest_n(rows, ["channel"], [F.desc("id")], newest).withColumn("pos", F.col("place") - 1).drop("place")
 
 
 def newest_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
