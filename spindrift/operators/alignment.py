@@ -7,13 +7,13 @@ helper sees one segment at a time.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequential import alike
+from .sequential import common
 from .transcript import PARTICLES
 
 WORDS = "array<struct<w: string, s: double, e: double, p: double>>"
@@ -35,7 +35,7 @@ def kept_pairs(old: Sequence[str], new: Sequence[str]) -> list[tuple[int, int]]:
     a, b = old[head:], new[head:]
     reach, trail = {1: 0}, []
     for edits in range(len(a) + len(b) + 1):
-        trail.append(dict(reach))
+        trail.append({k: reach[k] for k in range(-edits - 1, edits + 2) if k in reach})
         for k in range(-edits, edits + 1, 2):
             down = k == -edits or (k != edits and reach[k - 1] < reach[k + 1])
             x = reach[k + 1] if down else reach[k - 1] + 1
@@ -109,34 +109,49 @@ def _shared(texts: Sequence[str], weights: Sequence[int], start: float, stop: fl
 
 
 def acceptable(old: str | None, new: str | None) -> bool:
-    """Whether a correction may be taken: it changes something, its letters are alike enough and not many more or fewer."""
+    """Whether a correction may be taken: it changes something, enough of its letters are in a longest common subsequence
+    with the old one's (which is as much as matching blocks find, or more), and there are not many more or fewer."""
     a, b = letters(old), letters(new)
     if not a or not b or (a == b and (old or "").strip() == (new or "").strip()):
         return False
-    return abs(len(b) - len(a)) <= MOST_GROWTH * len(a) + FREE_LETTERS and alike(a, b, LEAST_ALIKE)
+    return abs(len(b) - len(a)) <= MOST_GROWTH * len(a) + FREE_LETTERS and 2 * common(a, b) >= LEAST_ALIKE * (len(a) + len(b))
 
 
-def _over(words: Column, other: Column, f: Callable[[list[dict], object], list[dict] | None]) -> Column:
-    """f(words, other) for each row, null for a null array and where f says None."""
+_ARROW = pa.list_(pa.struct([("w", pa.string()), ("s", pa.float64()), ("e", pa.float64()), ("p", pa.float64())]))
+_SLICE = 256
 
-    @F.pandas_udf(WORDS)
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        as_dicts = lambda x: [w if isinstance(w, dict) else w.asDict() for w in x if w is not None]
-        return pd.Series([None if x is None else f(as_dicts(x), y) for x, y in zip(left, right)], dtype=object)
 
-    return run(words, other)
+def _rewritten(rows: DataFrame, uses: Sequence[str], drops: Sequence[str], f: Callable[..., tuple], added: str, added_type: pa.DataType) -> DataFrame:
+    """``rows`` with ``text``, ``words`` and the column ``added`` as f(text, words, uses...) gives them, a few rows at a time."""
+    others = [c for c in rows.columns if c not in ("text", "words", added, *drops)]
+    fields = [f"`{x.name}` {x.dataType.simpleString()}" for x in rows.select(*others).schema]
+    kind = {pa.bool_(): "boolean", pa.int64(): "long"}[added_type]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for top in range(0, batch.num_rows, _SLICE):
+                piece = batch.slice(top, _SLICE)
+                cells = zip(*[piece.column(c).to_pylist() for c in ("text", "words", *uses)])
+                texts, words, marks = zip(*[f(t, None if w is None else [x for x in w if x is not None], *rest) for t, w, *rest in cells])
+                yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in others], pa.array(texts, pa.string()), pa.array(words, _ARROW), pa.array(marks, added_type)], names=[*others, "text", "words", added])
+
+    words = F.col("words").cast(WORDS).alias("words")
+    return rows.select(*others, "text", words, *[u for u in uses if u not in others]).mapInArrow(run, ", ".join([*fields, f"text string, words {WORDS}, {added} {kind}"]))
+
+
+def corrected(text: str | None, words: list[dict] | None, fixed: str | None) -> tuple[str | None, list[dict] | None, bool]:
+    """A segment with its correction, if that may be taken: text, words, whether it was."""
+    if fixed is None or not acceptable(text, fixed):
+        return text, words, False
+    fresh = realigned(words, fixed) if words else []
+    return (" ".join(w["w"] for w in fresh), fresh, True) if fresh else (fixed, words, True)
 
 
 def apply_corrections(segments: DataFrame, corrections: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``segments`` (keys, text, words) with the texts of ``corrections`` (keys, fixed; one row a key) that may be taken:
     ``text`` and ``words`` are the corrected ones, ``corrected`` says so.  Segments without words get the text alone."""
-    may = F.pandas_udf(lambda a, b: pd.Series([acceptable(x, y) for x, y in zip(a, b)]), "boolean")
-    rows = segments.join(corrections.select(*keys, "fixed"), list(keys), "left")
-    rows = rows.withColumn("corrected", F.when(F.col("fixed").isNull(), False).otherwise(may("text", "fixed")))
-    fresh = _over(F.col("words"), F.col("fixed"), lambda x, y: realigned(x, y or ""))
-    rows = rows.withColumn("_new", F.when(F.col("corrected") & (F.size("words") > 0), fresh))
-    text = F.when(F.size("_new") > 0, F.array_join(F.transform("_new", lambda w: w["w"]), " ")).when(F.col("corrected"), F.col("fixed"))
-    return rows.withColumns({"text": F.coalesce(text, F.col("text")), "words": F.coalesce("_new", "words")}).drop("_new", "fixed")
+    rows = segments.join(corrections.select(*keys, F.col("fixed").cast("string").alias("_fixed")), list(keys), "left")
+    return _rewritten(rows, ["_fixed"], ["_fixed"], corrected, "corrected", pa.bool_())
 
 
 class Dictionary:
@@ -153,7 +168,7 @@ class Dictionary:
         either = "|".join(r"\s+".join(map(re.escape, k.split())) for k in sorted(keys, key=lambda k: (-len(k), k)))
         return re.compile(rf"(?<!\w)(?P<k>{either})(?P<j>(?:{'|'.join(_ENDINGS)}){{0,2}})(?!\w)") if either else None
 
-    def text(self, text: str, pattern: re.Pattern | None = None) -> str:
+    def text(self, text: str | None, pattern: re.Pattern | None = None) -> str | None:
         pattern = pattern or self.pattern
         if not pattern or not text:
             return text
@@ -219,7 +234,11 @@ def correct_words(segments: DataFrame, dictionary: DataFrame, most: int = 200) -
     if len(entries) > most:
         raise ValueError(f"a dictionary of more than {most} entries")
     book = Dictionary({r.wrong: r.right for r in entries})
-    text = F.pandas_udf(lambda t: t.map(lambda x: None if x is None else book.text(x)), "string")
-    rows = segments.withColumn("_old", F.col("words")).withColumn("words", _over(F.col("words"), F.lit(0), lambda x, _: book.words(x))).withColumn("text", text("text"))
-    same = F.size(F.filter("words", lambda w: ~F.exists("_old", lambda o: o["w"].eqNullSafe(w["w"]) & (o["s"] == w["s"]))))
-    return rows.withColumn("fixes", F.when(F.col("words").isNull(), 0).otherwise(same).cast("long")).drop("_old")
+
+    def fixed(text: str | None, words: list[dict] | None) -> tuple[str | None, list[dict] | None, int]:
+        if words is None:
+            return book.text(text), None, 0
+        fresh, known = book.words(words), {(w["w"], w["s"]) for w in words}
+        return book.text(text), fresh, sum((w["w"], w["s"]) not in known for w in fresh)
+
+    return _rewritten(segments, [], [], fixed, "fixes", pa.int64())

@@ -91,21 +91,23 @@ def p12(spark, sf_dir):
     return asr.echoes(said.select("key", "seg", F.col("at").cast("long").alias("at"), "p", "w"), hint)
 
 
-def _timed_turns(spark, sf_dir):
-    """key, seg, text, words: turns of a minute, words every 0.6 s, each half a second long."""
+def _timed_lines(spark, sf_dir):
+    """key, seg, text, words: lines of turns; a turn begins every minute, a line every five seconds, a word every 0.3, each
+    a quarter of a second long."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("key"), "turn", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    rows = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("key"), F.col("turn").alias("seg"), words.alias("x"))
-    word = lambda w, i: F.struct(w.alias("w"), (F.col("seg") * 60.0 + i * 0.6).alias("s"), (F.col("seg") * 60.0 + i * 0.6 + 0.5).alias("e"), ((F.col("key") + i) % 10 / 10.0).alias("p"))
-    return rows.select("key", "seg", F.array_join("x", " ").alias("text"), F.transform("x", word).alias("words"))
+    rows = rows.select("key", (F.col("turn") * 10000 + F.col("line")).alias("seg"), (F.col("turn") * 60.0 + F.col("line") * 5.0).alias("from"), words.alias("x"))
+    word = lambda w, i: F.struct(w.alias("w"), (F.col("from") + i * 0.3).alias("s"), (F.col("from") + i * 0.3 + 0.25).alias("e"), ((F.col("key") + i) % 10 / 10.0).alias("p"))
+    return rows.where(F.size("x") > 0).select("key", "seg", F.array_join("x", " ").alias("text"), F.transform("x", word).alias("words"))
 
 
 @query("j23_corrected_times")
 def j23(spark, sf_dir):
-    """Every turn corrected: each seventh word is dropped, each fifth gets a letter, each eleventh a word before it."""
-    turns = _timed_turns(spark, sf_dir)
+    """Every line corrected: each seventh word is dropped, each fifth gets a letter, each eleventh a word before it."""
+    lines = _timed_lines(spark, sf_dir)
     edit = lambda w, i: F.when(i % 7 == 6, "").when(i % 5 == 4, F.concat(w["w"], F.lit("s"))).when(i % 11 == 10, F.concat(F.lit("so "), w["w"])).otherwise(w["w"])
     fixed = F.array_join(F.filter(F.transform("words", edit), lambda x: x != ""), " ")
-    rows = alignment.apply_corrections(turns, turns.select("key", "seg", fixed.alias("fixed")), ["key", "seg"])
+    rows = alignment.apply_corrections(lines, lines.select("key", "seg", fixed.alias("fixed")), ["key", "seg"])
     rows = rows.select("key", "seg", "corrected", F.posexplode("words").alias("place", "word"))
     return rows.select("key", "seg", "corrected", F.col("place").cast("long").alias("place"), "word.*")
 
@@ -116,9 +118,9 @@ _DICTIONARY = {"the": "The", "of the": "ofthe", "und": "u n d", "de la": "del",
 
 @query("f6_dictionary_words")
 def f6_words(spark, sf_dir):
-    """Every turn corrected by a dictionary, with its words' times."""
+    """Every line corrected by a dictionary, with its words' times."""
     book = spark.createDataFrame(list(_DICTIONARY.items()), "wrong string, right string")
-    rows = alignment.correct_words(_timed_turns(spark, sf_dir), book)
+    rows = alignment.correct_words(_timed_lines(spark, sf_dir), book)
     return rows.select("key", "seg", "fixes", F.md5("text").alias("text_md5"), F.posexplode("words").alias("place", "word")).select("key", "seg", "fixes", "text_md5", F.col("place").cast("long").alias("place"), "word.*")
 
 
