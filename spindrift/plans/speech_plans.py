@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import alignment, asr, offscript
+from ..operators import alignment, asr, offscript, sounds
 from ..sources.tables import table
 from .registry import query
 
@@ -161,3 +161,11 @@ def p20(spark, sf_dir):
     start = F.col("turn") * 60.0 + F.col("i") * 3.5
     rows = rows.select("key", start.alias("start"), (start + 1 + F.length("text") % 3).alias("end"), "text")
     return offscript.off_script(rows, _SAYS).select("key", F.round("a", 2).alias("a"), F.round("b", 2).alias("b"), "kind", F.md5("text").alias("text_md5"))
+
+
+@query("j22_words_on_sound")
+def j22(spark, sf_dir):
+    """The spoken words on made sound: every two seconds 1.4 seconds of it."""
+    sound = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.explode(F.sequence(F.col("turn") * 60000, F.col("turn") * 60000 + 58000, F.lit(2000).cast("long"))).alias("a"))
+    rows = sounds.align_to_sound(spoken(spark, sf_dir).drop("p"), sound.select("key", (F.col("a") + 300).alias("a"), (F.col("a") + 1700).alias("b")))
+    return rows.select("key", F.col("at").alias("place"), "s", "e", "moved")
