@@ -57,6 +57,35 @@ def write_documents(docs: DataFrame, name: str, folder: str) -> None:
     docs.select("value", name).repartition(name).write.mode("append").partitionBy(name).text(folder)
 
 
+def decoded(content: str | Column) -> Column:
+    """Bytes of a text file as text, whatever wrote it: UTF-16 with a byte-order mark, UTF-8 with or without one, the older Korean
+    code page; what is none of them as UTF-8 with marks for what it cannot be."""
+
+    def one(raw: bytes | None) -> str | None:
+        if raw is None:
+            return None
+        if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            return raw.decode("utf-16", "replace")
+        for name in ("utf-8-sig", "cp949"):
+            try:
+                return raw.decode(name)
+            except UnicodeDecodeError:
+                pass
+        return raw.decode("utf-8", "replace")
+
+    return F.pandas_udf(lambda raws: raws.map(one), "string")(content)
+
+
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """``file, text`` of all files of a folder, decoded."""
+    return spark.read.format("binaryFile").load(folder).select(F.col("path").alias("file"), decoded("content").alias("text"))
+
+
+def repaired(c: str | Column) -> Column:
+    """A text that can be written: bytes that are no characters (halves of a surrogate pair among them) become marks."""
+    return F.make_valid_utf8(c)
+
+
 def slim_ids(docs: DataFrame, keys: list[str], ids: str, most: int = SLIM_IDS) -> DataFrame:
     """Documents with a list of ids, newest first -> one row per id that stays, with the whole number of ids."""
     rows = docs.select(*keys, F.size(ids).cast("long").alias("n_ids"), F.posexplode(F.slice(ids, 1, most)).alias("pos", "id"))

@@ -1,0 +1,65 @@
+"""Rules of text on screen, sounds beside talk, answers and bytes, on cases that the driver's tables do not hold."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from spindrift.operators import answers, captions
+from spindrift.sources import files
+
+
+def test_plausible_lines(spark):
+    cases = [("발등으로", 0.1, 0.1, True), ("발등으로", 0.4, 0.9, False), ("12:30", 0.1, 0.8, True), ("12:30", 0.1, 0.7, False), ("7", 0.1, 0.9, False), ("ab", 0.1, 0.9, True), ("ab", 0.1, 0.84, False), ("a#@!", 0.1, 0.99, False), ("", 0.1, 0.9, False), (None, 0.1, 0.9, False), ("  ", 0.1, 0.9, False), ("ab", None, None, False)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, h double, p double, want boolean")
+    assert rows.where(captions.plausible(F.col("t"), F.col("h"), F.col("p")) != F.col("want")).count() == 0
+
+
+def test_caption_kinds(spark):
+    base = {"t": "그냥 말", "h": 0.05, "c": "white", "p": "bottom", "x0": 0.3, "y0": 0.8, "x1": 0.7, "y1": 0.9, "d": 1.0, "said": None, "tr": True}
+    cases = [
+        ({"t": "최경진 감독"}, "info"), ({"t": "쾅!"}, "sfx"), ({"t": "ㅋㅋㅋ"}, "sfx"), ({"t": "!!!"}, "sfx"), ({"said": 0.9}, "speech"), ({"said": 0.9, "h": 0.1}, "emph"), ({"said": 0.9, "c": "red", "t": "정말?"}, "emph"), ({"said": 0.9, "p": "top"}, "emph"),
+        ({"t": "3골"}, "info"), ({"t": "12:30"}, "info"), ({"h": 0.03, "x0": 0.0, "x1": 0.3, "y0": 0.0, "y1": 0.1, "d": 4.0}, "info"), ({"tr": False, "d": 3.0}, "speech"), ({"t": "(당황)"}, "inner"), ({"t": "이게 뭐…"}, "inner"), ({"t": "드디어 성공"}, "situ"), ({"t": "훈련 중", "p": "top"}, "situ"),
+        ({"h": 0.08}, "emph"), ({"c": "yellow"}, "emph"), ({"t": "좋아!"}, "emph"), ({}, "speech"), ({"p": "middle"}, "situ"),
+    ]
+    rows = spark.createDataFrame([(i, *{**base, **c}.values(), want) for i, (c, want) in enumerate(cases)], "i int, t string, h double, c string, p string, x0 double, y0 double, x1 double, y1 double, d double, said double, tr boolean, want string")
+    kind = captions.caption_kind(*[F.col(c) for c in ("t", "h", "c", "p")], F.struct("x0", "y0", "x1", "y1"), *[F.col(c) for c in ("d", "said", "tr")])
+    assert [(r.t, r.kind, r.want) for r in rows.withColumn("kind", kind).collect() if r.kind != r.want] == []
+
+
+def test_clear_of_talk(spark):
+    rng = random.Random(1)
+    words = [(k, s / 10, s / 10 + rng.choice([0.1, 0.5, 3.0])) for k in range(3) for s in sorted(rng.sample(range(3000), 120))]
+    sounds = [(k, i, a / 10, a / 10 + rng.choice([0.01, 0.2, 1.0])) for k in range(4) for i, a in enumerate(rng.sample(range(3000), 60))]
+    want = set()
+    for k, i, lo, hi in sounds:
+        own, m = [(s, e) for key, s, e in words if key == k], min(0.02, (hi - lo) / 4)
+        if any(s < hi - m and e > lo + m for s, e in own):
+            continue
+        if any(lo - 0.35 <= e <= lo + 0.05 for _, e in own) and any(hi - 0.05 <= s <= hi + 0.35 for s, _ in own):
+            continue
+        want.add((k, i))
+    got = captions.clear_of_talk(spark.createDataFrame(sounds, "key long, id long, lo double, hi double"), spark.createDataFrame(words, "key long, s double, e double"), 7.0)
+    assert {(r.key, r.id) for r in got.collect()} == want and 60 < len(want) < len(sounds)
+
+
+def test_answers(spark):
+    good = '{"summary": " a\\n b ", "diagnosis": ["x", "", 3, null], "actions": [{"text": "late", "priority": 5}, "plain", {"why": "no text"}, {"text": "odd", "priority": "soon"}, {"text": "first", "priority": 1, "why": "w"}], "titles": "one", "risks": []}'
+    cases = {"bare": good, "fence": f"here:\n```json\n{good}\n```\nor {{this}}", "talk": f"well {good} so", "none": "no braces", "null": None, "broken": '{"a": [1, }', "list": "[1, 2]", "long": "{" + "x" * 60_001 + "}", "empty": "{}"}
+    got = {r.k: r for r in answers.parse_answers(spark.createDataFrame(list(cases.items()), "k string, t string"), "t").collect()}
+    assert {k: r.state for k, r in got.items()} == {"bare": "ok", "fence": "ok", "talk": "ok", "none": "none", "null": "none", "broken": "broken", "list": "none", "long": "long", "empty": "ok"}
+    for k in ("bare", "fence", "talk"):
+        r = got[k]
+        assert r.summary == "a b" and r.diagnosis == ["x", "3"] and r.titles == ["one"] and r.risks == []
+        assert [(a.text, a.priority, a.why) for a in r.actions] == [("first", 1, "w"), ("plain", 2, ""), ("odd", 3, ""), ("late", 5, "")]
+    assert got["empty"].summary == "" and got["empty"].actions == [] and got["broken"].summary is None
+
+
+def test_texts_of_any_encoding(spark, tmp_path):
+    text = "발등으로 차요 abc\n"
+    for name, raw in {"utf8": text.encode(), "bom": text.encode("utf-8-sig"), "cp949": text.encode("cp949"), "utf16": text.encode("utf-16"), "be": b"\xfe\xff" + text.encode("utf-16-be"), "bad": b"abc\xff\xfe\x80", "empty": b""}.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {r.file.split("/")[-1]: r.text for r in files.read_texts(spark, f"file://{tmp_path}").collect()}
+    assert all(got[k] == text for k in ("utf8", "bom", "cp949", "utf16", "be")) and got["empty"] == ""
+    assert got["bad"].startswith("abc") and "�" in got["bad"]
+    raw = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"\xed\xa0\xbd!"),)], "b binary").select(files.repaired(F.col("b").cast("string")).alias("t")).collect()
+    assert raw[0].t == "ok" and "�" in raw[1].t and raw[1].t.endswith("!")
