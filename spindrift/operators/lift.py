@@ -101,3 +101,33 @@ def pooled(each: DataFrame, key: str) -> DataFrame:
     """Evidence of many channels in one score: mean of ln(mult), each shrunk by n / (n + 6)."""
     ev = F.log("mult") * F.col("n") / (F.col("n") + 6)
     return each.groupBy(key).agg(F.count(F.lit(1)).alias("channels"), F.sum("n").alias("n"), (F.sum(ev) / F.count(F.lit(1))).alias("score"))
+
+
+TAG = r"(#[0-9A-Za-z가-힣_]+)"
+
+
+def fixed_tags(df: DataFrame, keys: Sequence[str], title: str, generic: Sequence[str] = (), share: float = 0.6, least: int = 5, most: int = 4) -> DataFrame:
+    """keys, tag, n, place: hashtags of at least ``share`` of a key's titles (of keys with ``least``), those of every channel
+    (``generic``) last, then by titles and name; ``most`` of them."""
+    tags = F.array_distinct(F.regexp_extract_all(F.lower(title), F.lit(TAG)))
+    rows = supported(df, keys, tags, share, least).withColumnRenamed("item", "tag")
+    last = F.col("tag").isin(*generic) if generic else F.lit(False)
+    return newest_n(rows, keys, [last, F.desc("n"), "tag"], most).select(*keys, "tag", "n", "place")
+
+
+def bundle(df: DataFrame, key: str, title: str, words: Column, resid: str = "resid", generic: Sequence[str] = ()) -> DataFrame:
+    """One row per channel: ``n`` titles, ``formulas`` (sure ones: formula, n, mult), ``topics`` (the 20 strongest: word, n, mult),
+    ``series`` (the 8 longest: name, n, mult) and ``tags``, each an array in order; empty where there is none."""
+    sorted_ = lambda rows, name, order, *cells: rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.struct(*cells).alias("_c")))), lambda x: x["_c"]).alias(name))
+    formulas = sorted_(formula_lift(df, [key], title).where("ok"), "formulas", ["formula"], "formula", "n", "mult")
+    strength = -F.round(F.col("mult") * F.log1p(F.col("n").cast("double")), 5)
+    topics = newest_n(topic_lift(df, [key], words, resid).withColumn("_s", strength), [key], ["_s", "word"], 20)
+    topics = sorted_(topics, "topics", ["place"], "word", "n", "mult")
+    found = newest_n(series(df, [key], title, resid), [key], [F.desc("n"), F.desc(F.round("mult", 6)), "name"], 8)
+    found = sorted_(found, "series", ["place"], "name", "n", "mult")
+    tags = sorted_(fixed_tags(df, [key], title, generic), "tags", ["place"], "tag", "n")
+    out = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    for part in (formulas, topics, found, tags):
+        name = next(c for c in part.columns if c != key)
+        out = out.join(part, key, "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return out

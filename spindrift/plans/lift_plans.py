@@ -86,6 +86,31 @@ def a14(spark, sf_dir):
     return lift.pooled(each, "formula").withColumn("score", R("score"))
 
 
+#: Titles as channels make them: a show and its number before the line, tags after it.
+_MADE_TITLE = "'[Show ' || (id % 4) || 'x EP. ' || (id % 9) || '] ' || title || CASE WHEN id % 10 < 7 THEN ' #drill' ELSE '' END || CASE WHEN id % 5 > 0 THEN ' #Daily' ELSE '' END"
+_MADE = _RESID.replace("t AS (", "t0 AS (", 1).replace(", r AS (", f", t AS (SELECT channel, id, {_MADE_TITLE} AS title, views, pos FROM t0), r AS (", 1)
+
+
+@query(
+    "a13_pattern_bundles",
+    rf"""WITH {_MADE}, h AS ({_HITS}), f AS (SELECT channel, formula, count(*) FILTER (WHERE hit) AS n FROM h GROUP BY 1, 2 HAVING count(*) FILTER (WHERE hit) >= 3 AND count(*) FILTER (WHERE NOT hit) >= 3),
+    w AS ({_WORDS}), m AS (SELECT channel, median(resid) AS mid FROM r GROUP BY 1), g AS (SELECT w.channel, word, count(*) AS n, exp(median(resid) - any_value(mid)) AS mult FROM w JOIN m ON m.channel = w.channel GROUP BY 1, 2 HAVING count(*) >= 3 AND count(*) < any_value(total)),
+    tp AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY round(mult * ln(1 + n), 5) DESC, word) AS k FROM g),
+    sn AS (SELECT DISTINCT channel, id, views, resid, unnest({_NAMES}) AS name FROM r), se AS (SELECT channel, name, count(*) AS n, exp(median(resid)) AS mult FROM sn WHERE length(regexp_replace(name, '[^A-Za-z가-힣]', '', 'g')) >= 2 GROUP BY 1, 2 HAVING count(*) >= 2),
+    sk AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY n DESC, round(mult, 6) DESC, name) AS k FROM se),
+    tg AS (SELECT DISTINCT channel, id, total, unnest(regexp_extract_all(lower(title), '#[0-9A-Za-z가-힣_]+')) AS tag FROM r WHERE total >= 5), tc AS (SELECT channel, tag, count(*) AS n FROM tg GROUP BY 1, 2 HAVING count(*) >= 0.6 * any_value(total)),
+    tk AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY tag = '#daily', n DESC, tag) AS k FROM tc)
+    SELECT c.channel, c.n, coalesce((SELECT string_agg(formula || ':' || n, ',' ORDER BY formula) FROM f WHERE f.channel = c.channel), '') AS formulas, coalesce((SELECT string_agg(word, ',' ORDER BY k) FROM tp WHERE tp.channel = c.channel AND k <= 20), '') AS topics,
+    coalesce((SELECT string_agg(name || ':' || n, ',' ORDER BY k) FROM sk WHERE sk.channel = c.channel AND k <= 8), '') AS series, coalesce((SELECT string_agg(tag || ':' || n, ',' ORDER BY k) FROM tk WHERE tk.channel = c.channel AND k <= 4), '') AS tags FROM (SELECT channel, count(*) AS n FROM r GROUP BY 1) c""",
+)
+def a13(spark, sf_dir):
+    made = newest_titles(spark, sf_dir).withColumn("title", F.expr(_MADE_TITLE))
+    rows = stats.neighbour_residual(made, keys=["channel"], order=["pos"], value="views")
+    got = lift.bundle(rows, "channel", "title", F.array_distinct(text.tokens("title")), generic=["#daily"])
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    return got.select("channel", "n", joined("formulas", lambda x: F.concat(x["formula"], F.lit(":"), x["n"].cast("string"))), joined("topics", lambda x: x["word"]), joined("series", lambda x: F.concat(x["name"], F.lit(":"), x["n"].cast("string"))), joined("tags", lambda x: F.concat(x["tag"], F.lit(":"), x["n"].cast("string"))))
+
+
 @query("f1_clean_title", rf"WITH {ALL_TITLES} SELECT id, {_CLEAN} AS clean, length({_CLEAN}) AS n FROM t")
 def f1(spark, sf_dir):
     clean = text.clean_title("title")
