@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import answers, captions
+from ..operators import answers, captions, cues
 from ..sources.tables import table
 from .registry import query
 
@@ -85,3 +85,25 @@ def u4(spark, sf_dir):
     got = answers.parse_answers(rows.select(F.col("c_custkey").alias("id"), text.alias("text")), "text")
     size = lambda c: F.when(F.col("state") == "ok", F.size(c)).cast("int")
     return got.select("id", "state", "summary", size("risks").alias("risks"), size("actions").alias("actions"), F.get("actions", F.lit(0))["text"].alias("first_action"))
+
+
+_CREW = cues.Crew(slates=(("once more", True), ("again", True), ("wait", False)), cues=("wrong,? again", "^again again$"), fillers=("so", "well"), sorry=("sorry",), oops="oops|no", strong=("one", "two", "go"), weak=("left", "right"), ending="s")
+_SAID = "CASE l_linenumber % 7 WHEN 0 THEN 'so once more' WHEN 1 THEN 'wait, ' || l_returnflag || l_linestatus || CASE WHEN l_tax > 0.04 THEN ' well' ELSE 'xx' END WHEN 2 THEN 'wrong, again' || CASE WHEN l_tax > 0.04 THEN '!' ELSE '' END WHEN 3 THEN 'left ' || CASE WHEN l_tax > 0.04 THEN 'rights' ELSE 'left' END WHEN 4 THEN 'so one, two' || l_linestatus WHEN 5 THEN 'go goes ' || CAST(floor(l_quantity) AS INT) WHEN 6 THEN 'left!' ELSE 'x' END"
+
+
+@query(
+    "p11_crew_lines",
+    f"""WITH s AS (SELECT l_orderkey AS id, l_linenumber AS n, {_SAID} AS t FROM lineitem),
+    r AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, 'once more', ' ', 'g'), 'again', ' ', 'g'), 'wait', ' ', 'g') AS rest, regexp_replace(regexp_replace(t, 'wrong,? again', ' ', 'g'), '^again again$', ' ', 'g') AS rest2 FROM s),
+    w AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '\\s+'), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: x NOT IN ('', 'so', 'well')) AS ws,
+      length(regexp_replace(array_to_string(list_filter(list_transform(regexp_split_to_array(rest, '\\s+'), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: x NOT IN ('', 'so', 'well', 'sorry')), ''), 'oops|no', '', 'g')) AS k,
+      length(regexp_replace(array_to_string(list_filter(list_transform(regexp_split_to_array(rest2, '\\s+'), lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')), lambda x: x NOT IN ('', 'so', 'well', 'sorry')), ''), 'oops|no', '', 'g')) AS k2 FROM r),
+    p AS (SELECT *, list_distinct(flatten(list_transform(ws, lambda x: regexp_extract_all(x, 'right|left|one|two|go')))) AS parts FROM w)
+    SELECT id, n, regexp_matches(t, 'once more|again|wait') AND k <= CASE WHEN regexp_matches(t, 'once more|again') THEN 3 ELSE 2 END AS slate, NOT contains(t, '!') AND regexp_matches(t, 'wrong,? again|^again again$') AND k2 <= 3 AS cue,
+    len(ws) > 0 AND len(list_filter(ws, lambda x: NOT (regexp_full_match(x, '[0-9]+') OR regexp_full_match(x, '(?:right|left|one|two|go)+s?')))) = 0 AND (len(list_filter(ws, lambda x: regexp_full_match(x, '[0-9]+'))) > 0 OR list_has_any(parts, ['one', 'two', 'go']) OR len(parts) >= 2 OR regexp_matches(t, '!\\s*$')) AS chant FROM p""",
+)
+def p11_lines(spark, sf_dir):
+    """Order lines as what is said on the set."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.expr(_SAID).alias("t"))
+    t = F.col("t")
+    return rows.select("id", "n", cues.is_slate(t, _CREW).alias("slate"), cues.is_cue(t, _CREW).alias("cue"), cues.is_chant(t, _CREW).alias("chant"))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from spindrift.operators import answers, captions
+from spindrift.operators import answers, captions, cues
 from spindrift.sources import files
 
 
@@ -63,3 +63,15 @@ def test_texts_of_any_encoding(spark, tmp_path):
     assert got["bad"].startswith("abc") and "�" in got["bad"]
     raw = spark.createDataFrame([(bytearray(b"ok"),), (bytearray(b"\xed\xa0\xbd!"),)], "b binary").select(files.repaired(F.col("b").cast("string")).alias("t")).collect()
     assert raw[0].t == "ok" and "�" in raw[1].t and raw[1].t.endswith("!")
+
+
+def test_crew_lines(spark):
+    crew = cues.Crew()
+    cases = {
+        "아 다시 할게요": "slate", "다시 한번 갈게요.": "slate", "NG": "slate", "잠깐만요": "slate", "처음부터 다시 하겠습니다": "slate", "죄송합니다 다시 찍을게요": "slate", "다시 한번 말하면 이 동작이 중요해요": "", "엔지니어": "", "잠깐만 기다렸다가 차요": "",
+        "틀렸다, 다시": "cue", "다시, 다시": "cue", "틀렸어, 다시!": "", "하나, 둘, 셋!": "chant", "왼발, 오른발": "chant", "나이스!": "chant", "좋아요.": "chant", "골!": "chant", "1, 2, 3": "chant", "앞으로": "", "패스": "", "패스!": "chant", "자 하나 둘": "chant", "패스할 때는": "", "": "", "...": "",
+    }
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, "")], "t string, want string")
+    t = F.col("t")
+    got = rows.select("t", "want", F.when(cues.is_slate(t, crew), "slate").when(cues.is_cue(t, crew), "cue").when(cues.is_chant(t, crew), "chant").otherwise("").alias("got")).collect()
+    assert [(r.t, r.got, r.want) for r in got if r.got != r.want] == []
