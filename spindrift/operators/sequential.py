@@ -24,10 +24,11 @@ def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema:
 
 
 def pick_peaks(at: Sequence[float], level: Sequence[float], apart: float, above: float, most: int) -> list[int]:
-    """Indices of the highest levels that reach ``above`` and lie more than ``apart`` from every pick; in order of level."""
+    """Indices of the highest levels that reach ``above`` and lie more than ``apart`` from every pick; in order of level, of
+    equal ones the latest first."""
     picked: list[int] = []
     places: list[float] = []
-    for i in sorted(range(len(at)), key=lambda i: (-level[i], i)):
+    for i in sorted(range(len(at)), key=lambda i: (-level[i], -at[i], i)):
         if level[i] < above or len(picked) == most:
             break
         k = bisect_left(places, at[i])

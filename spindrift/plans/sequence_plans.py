@@ -11,40 +11,58 @@ from ..operators import forecast, sequential
 from ..operators.relational import in_blocks, joined, newest_n, numbered
 from ..sources.tables import DAY, VIDEOS, table, videos
 from ..streaming.history import weekly_counts
-from .model_plans import peers
+from .model_plans import _PEERS, peers
 from .registry import query
 
 
-@query("w6_peak_picking")
+@query(
+    "w6_peak_picking",
+    f"""WITH RECURSIVE {VIDEOS}, m AS (SELECT channel, list_sort(list(views))[count(*) // 2 + 1] + 6 AS above FROM v GROUP BY 1),
+    c AS (SELECT v.channel, id, pub, row_number() OVER (PARTITION BY v.channel ORDER BY views DESC, pub DESC, id) AS k FROM v JOIN m ON m.channel = v.channel WHERE views >= above),
+    g AS (SELECT channel, k, [pub] AS pubs, [id] AS ids FROM c WHERE k = 1 UNION ALL SELECT g.channel, c.k, CASE WHEN len(pubs) < 10 AND len(list_filter(pubs, lambda p: abs(p - pub) <= 18000000000)) = 0 THEN list_append(pubs, pub) ELSE pubs END,
+      CASE WHEN len(pubs) < 10 AND len(list_filter(pubs, lambda p: abs(p - pub) <= 18000000000)) = 0 THEN list_append(ids, id) ELSE ids END FROM g JOIN c ON c.channel = g.channel AND c.k = g.k + 1),
+    f AS (SELECT channel, unnest(arg_max(pubs, k)) AS pub, unnest(arg_max(ids, k)) AS id FROM g GROUP BY 1) SELECT channel, id, row_number() OVER (PARTITION BY channel ORDER BY pub) AS place FROM f""",
+)
 def w6(spark, sf_dir):
-    """Peaks of a channel's events: at least 6 above the median, more than 5 hours apart, ten at most.
+    """Peaks of a channel's events: at least 6 above the upper median, more than 5 hours apart, ten at most; the highest first,
+    of equal ones the latest, numbered by time.
 
     A pick keeps others out of three cells of 5 hours at most, so ten picks come before anything lower than the highest
     values of 28 cells; what is lower cannot be picked and stays out of the channel's group."""
     most, apart = 10, 5 * DAY // 24
     rows = videos(spark, sf_dir).where("views is not null and not isnan(views) and pub is not null").select("channel", "id", "pub", "views", F.floor(F.col("pub") / apart).alias("cell"))
-    cells = rows.groupBy("channel", "cell").agg(F.max("views").alias("high"))
+    cells = rows.groupBy("channel", "cell").agg(F.max("views").alias("high"), F.count(F.lit(1)).alias("n"))
     full = 3 * (most - 1) + 1
     bar = newest_n(cells, ["channel"], [F.desc("high")], full).groupBy("channel").agg(F.when(F.count(F.lit(1)) == full, F.min("high")).alias("bar"))
-    above = rows.groupBy("channel").agg((F.percentile("views", F.lit(0.5)) + 6).alias("above"))
+    middle = cells.groupBy("channel").agg((F.floor(F.sum("n") / 2) + 1).alias("number"))
+    above = joined(numbered(rows.select("channel", "views"), ["channel"], "views", ["views"], 5), middle, ["channel", "number"]).select("channel", (F.col("views") + 6).alias("above"))
     cells = joined(joined(cells, bar, ["channel"]), above, ["channel"]).withColumn("bar", F.greatest("above", "bar"))
     rows = joined(rows, cells.where("high >= bar").select("channel", "cell", "bar", "above"), ["channel", "cell"]).where("views >= bar")
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept = sequential.pick_peaks(pdf["pub"].tolist(), pdf["views"].tolist(), apart, pdf["above"][0], most)
+        kept = sorted(sequential.pick_peaks(pdf["pub"].tolist(), pdf["views"].tolist(), apart, pdf["above"][0], most))
         return pdf.loc[kept, ["channel", "id"]].assign(place=range(1, len(kept) + 1))
 
     return sequential.per_group(rows.select("channel", "id", "pub", "views", "above"), ["channel"], ["pub", "id"], "channel long, id long, place long", pick)
 
 
-@query("o6_diverse_top")
+@query("o6_diverse_top", f"WITH {VIDEOS}, c AS (SELECT *, row_number() OVER (PARTITION BY channel, fmt ORDER BY views DESC, id) AS k FROM v), d AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY views DESC, id) AS place FROM c WHERE k <= 2) SELECT channel, id, place FROM d WHERE place <= 5")
 def o6(spark, sf_dir):
     """Best five of a channel, two of a kind at most.  The cap alone ranks within kinds first."""
     capped = newest_n(videos(spark, sf_dir), ["channel", "fmt"], [F.desc("views"), "id"], 2).drop("place")
     return newest_n(capped, ["channel"], [F.desc("views"), "id"], 5).select("channel", "id", "place")
 
 
-@query("j19_box_suppression")
+_IOU = "greatest(0, least(b.x, x) + 20 - greatest(b.x, x)) * greatest(0, least(b.y, y) + 10 - greatest(b.y, y))"
+
+
+@query(
+    "j19_box_suppression",
+    f"""WITH RECURSIVE c AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, 100 * l_discount AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS k FROM lineitem),
+    g AS (SELECT l_orderkey, k, [{{'x': x, 'y': y, 'n': l_linenumber}}] AS kept FROM c WHERE k = 1 UNION ALL SELECT g.l_orderkey, c.k, CASE WHEN len(list_filter(kept, lambda b: {_IOU} / (400 - {_IOU}) > 0.3)) = 0 THEN list_append(kept, {{'x': x, 'y': y, 'n': l_linenumber}}) ELSE kept END
+      FROM g JOIN c ON c.l_orderkey = g.l_orderkey AND c.k = g.k + 1)
+    SELECT l_orderkey, unnest(list_transform(arg_max(kept, k), lambda b: b.n)) AS l_linenumber FROM g GROUP BY 1""",
+)
 def j19(spark, sf_dir):
     """Boxes of an order's lines (a few each), without those that a better one covers."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
@@ -141,7 +159,13 @@ def f9(spark, sf_dir):
     return rows.select("item_id", F.col("line").cast("long").alias("line"), "text")
 
 
-@query("f11_first_fit_tags")
+@query(
+    "f11_first_fit_tags",
+    """WITH RECURSIVE n AS (SELECT p_brand, p_name, min(p_partkey) AS at_ FROM part GROUP BY 1, 2), c AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY at_) AS k FROM n),
+    g AS (SELECT p_brand, 0::BIGINT AS k, 0 AS used, []::VARCHAR[] AS kept FROM (SELECT DISTINCT p_brand FROM c) UNION ALL
+      SELECT g.p_brand, c.k, CASE WHEN used + length(p_name) + (len(kept) > 0)::INT <= 60 THEN used + length(p_name) + (len(kept) > 0)::INT ELSE used END, CASE WHEN used + length(p_name) + (len(kept) > 0)::INT <= 60 THEN list_append(kept, p_name) ELSE kept END FROM g JOIN c ON c.p_brand = g.p_brand AND c.k = g.k + 1)
+    SELECT p_brand, array_to_string(arg_max(kept, k), ',') AS tags FROM g GROUP BY 1""",
+)
 def f11(spark, sf_dir):
     """Names of a brand's parts, first fit into 60 characters.  Once a name does not fit, none of its length fits later, so
     of each length only the first that fill the 60 characters by themselves can be taken."""
@@ -158,13 +182,17 @@ def f11(spark, sf_dir):
     return top.select("p_brand", F.aggregate("t", start, add, lambda s: F.concat_ws(",", s["kept"])).alias("tags"))
 
 
-@query("a22_theil_sen")
+@query(
+    "a22_theil_sen",
+    f"""WITH {_PEERS}, s AS (SELECT a.fmt, median((b.y - a.y) / (b.x - a.x)) AS slope FROM p a JOIN p b ON a.fmt = b.fmt AND a.channel < b.channel AND abs(b.x - a.x) > 1e-12 GROUP BY 1)
+    SELECT p.fmt, count(*) AS n, round(median(y - coalesce(slope, 0) * x), 6) AS intercept, round(any_value(coalesce(slope, 0)), 6) AS slope FROM p LEFT JOIN s ON s.fmt = p.fmt GROUP BY 1""",
+)
 def a22(spark, sf_dir):
     """Per format, over the channels that are compared (one row each)."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = sequential.theil_sen(pdf["x"], pdf["y"])
-        return pd.DataFrame({"fmt": [pdf["fmt"][0]], "n": [len(pdf)], "intercept": [a], "slope": [b]})
+        return pd.DataFrame({"fmt": [pdf["fmt"][0]], "n": [len(pdf)], "intercept": [round(a, 6)], "slope": [round(b, 6)]})
 
     return sequential.per_group(peers(spark, sf_dir).select("fmt", "x", "y"), ["fmt"], ["x", "y"], "fmt string, n long, intercept double, slope double", fit)
 

@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import sequential, transcript
-from ..operators.relational import numbered
+from ..operators import transcript
+from ..operators.relational import numbered, with_previous
 from ..sources import files
 from ..sources.tables import ALL_TITLES, DAY, HOUR, VIDEOS, table, titles, videos
 from .registry import query
@@ -239,18 +239,13 @@ def n12(spark, sf_dir):
     return back.select("vec_id", F.size("x").cast("long").alias("n"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v), 3).alias("total"), "broken")
 
 
-@query("m6_checkup_upsert")
+@query(
+    "m6_checkup_upsert",
+    "WITH e AS (SELECT user_id AS channel, event_id AS id, epoch_us(ts) AS pub FROM events WHERE event_type = 'purchase'), l AS (SELECT *, lead(pub) OVER (PARTITION BY channel ORDER BY pub, id) AS after FROM e) SELECT channel, id FROM l WHERE after IS NULL OR after - pub >= 3 * 86400000000",
+)
 def m6(spark, sf_dir):
-    """Checkups in order of time: one that comes within three days of the last that was kept takes its place."""
-    rows = videos(spark, sf_dir).where("fmt = 'purchase'").select("channel", "id", "pub")
-
-    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[int] = []
-        for i, at in enumerate(pdf["pub"].tolist()):
-            if out and at - pdf["pub"][out[-1]] < 3 * DAY:
-                out[-1] = i
-            else:
-                out.append(i)
-        return pdf.loc[out, ["channel", "id"]]
-
-    return sequential.per_group(rows, ["channel"], ["pub", "id"], "channel long, id long", kept)
+    """Checkups in order of time: one that comes within three days of the last that was kept takes its place, so those stay
+    that none follows within three days."""
+    rows = videos(spark, sf_dir).where("fmt = 'purchase'").groupBy("channel", "pub").agg(F.max("id").alias("id")).withColumn("back", -F.col("pub"))
+    rows = with_previous(rows, ["channel"], "back", 7 * DAY, "after")
+    return rows.where(F.col("after").isNull() | (-F.col("after") - F.col("pub") >= 3 * DAY)).select("channel", "id")
