@@ -181,7 +181,8 @@ def first_fit(items: Sequence[str], budget: int, gap: int = 1) -> list[str]:
 
 
 def theil_sen(x: Sequence[float], y: Sequence[float]) -> tuple[float, float]:
-    """(intercept, slope): median of the pairwise slopes, and of the rest; without two places, the median and 0.
+    """(intercept, slope): median of the slopes of pairs more than 1e-12 apart, and of the rest; without such a pair, the median
+    and 0; 0 and 0 without points.
 
     Slopes come row by row; those around the median are found by halving a range of slopes until few are left in it, so
     memory stays bounded and the result is the same for any number of points."""
@@ -193,14 +194,14 @@ def theil_sen(x: Sequence[float], y: Sequence[float]) -> tuple[float, float]:
 
     def slopes():
         for i in range(len(x) - 1):
-            j = i + 1 + int(np.searchsorted(x[i + 1 :], x[i], side="right"))
+            j = i + 1 + int(np.searchsorted(x[i + 1 :], x[i] + 1e-12, side="right"))
             yield (y[j:] - y[i]) / (x[j:] - x[i])
 
     total, lo, hi = 0, np.inf, -np.inf
     for s in slopes():
         total, lo, hi = total + len(s), min(lo, s.min(initial=np.inf)), max(hi, s.max(initial=-np.inf))
     if not total:
-        return (float(np.median(y)) if len(y) else float("nan")), 0.0
+        return (float(np.median(y)) if len(y) else 0.0), 0.0
     # the range [lo, hi] holds the middle one or two slopes; ``below`` slopes are less than lo
     first, last, below, inside = (total - 1) // 2, total // 2, 0, total
     while inside > 2_000_000 and lo < hi:

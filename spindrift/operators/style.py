@@ -117,3 +117,25 @@ def style_distance(targets: DataFrame, references: DataFrame, candidates: DataFr
     rows = rows.withColumn("shares", capped(F.col("weights"), F.zip_with("parts", free, lambda d, f: d.isNotNull() & f)))
     total = F.aggregate(F.zip_with("shares", "parts", lambda w, d: w * F.coalesce(d, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
     return rows.withColumn("distance", total).select("key", "id", F.bround(100 * (1 - F.col("distance"))).cast("long").alias("score"), "distance", "parts", "shares")
+
+
+def habits(pictures: DataFrame, key: str, least_text: float = 0.0) -> DataFrame:
+    """What a channel's pictures (key, text_h, lines, pos, accent, mode, face) usually look like, one row each.
+
+    ``n`` pictures, ``with_text`` of them (taller than ``least_text``); of those the median height and number of lines, the most
+    frequent place (ties: from the top), accent (black is none; ties: white) and mode (ties: the last letter); of
+    pictures with a face its median size.  Values are counted before they are compared, so a channel's pictures never
+    meet in one row but for the medians' counts."""
+    some = F.col("text_h") > least_text
+    # the counts of each value are what an exact median needs
+    cells = lambda value, test: pictures.where(test & F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")).groupBy(key).agg(F.percentile("v", F.lit(0.5), F.col("c")).alias(value))
+    most = lambda value, test, order: pictures.where(test).groupBy(key, value).agg(F.count(F.lit(1)).alias("c")).groupBy(key).agg(F.max_by(value, F.struct("c", order)).alias(value))
+    out = pictures.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(some).alias("with_text"))
+    top_first = F.when(F.col("pos") == "top", 3).when(F.col("pos") == "middle", 2).otherwise(1)
+    parts = [
+        cells("text_h", some).withColumn("text_h", F.round("text_h", 3)), cells("lines", some & (F.col("lines") > 0)).withColumn("lines", F.round("lines", 1)), cells("face", F.col("face") > 0).withColumn("face", F.round("face", 3)),
+        most("pos", some, top_first), most("accent", some & (F.col("accent") != "black"), F.when(F.col("accent") == "white", 2).otherwise(1)), most("mode", some, F.ascii("mode")),
+    ]
+    for part in parts:
+        out = out.join(part, key, "left")
+    return out

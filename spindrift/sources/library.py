@@ -33,10 +33,10 @@ def videos(files: DataFrame, marks: DataFrame) -> DataFrame:
     return out.orderBy(F.desc("recent"), "name")
 
 
-def folders(files: DataFrame, copying: DataFrame, deepest: int = 6) -> DataFrame:
+def folders(files: DataFrame, copying: DataFrame, deepest: int = 6, endings: list[str] = USABLE) -> DataFrame:
     """Of each top folder: usable files not deeper than ``deepest`` folders, their bytes, and how many are in ``copying`` (path)."""
     depth = F.size(F.split("path", "/")) - 1
-    rows = files.where(F.col("top").isNotNull() & ending("name").isin(USABLE) & (depth <= deepest)).join(copying.select("path").distinct().withColumn("_c", F.lit(1)), "path", "left")
+    rows = files.where(F.col("top").isNotNull() & ending("name").isin(endings) & (depth <= deepest)).join(copying.select("path").distinct().withColumn("_c", F.lit(1)), "path", "left")
     return rows.groupBy("top").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.count("_c").alias("copying"))
 
 
