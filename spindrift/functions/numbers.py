@@ -36,6 +36,27 @@ def shown(c: Column) -> Column:
     return F.when(c >= 1000, F.format_string("%.1fk", F.floor(c / 100) / 10)).otherwise(F.format_string("%d", F.floor(c)))
 
 
+def two_digits(c: Column) -> Column:
+    """A positive number to two significant digits, as a whole number; 0 for what is not."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(c)) - 1)
+    return F.when(c > 0, F.when(unit > 1, F.bround(c / unit) * unit).otherwise(F.bround(c))).otherwise(0).cast("long")
+
+
+def round5(p: Column) -> Column:
+    """A share in per cent, to the nearest five."""
+    return (5 * F.bround(100 * p / 5)).cast("long")
+
+
+def shown_chance(p: Column, lo: Column, hi: Column, doubts: Column) -> Column:
+    """A chance and its range as they are shown: ``p, lo, hi`` in fives, ``text``, ``range``, ``confidence`` (high, middle or low by the
+    range's width; always low with ``doubts``) and ``wide``."""
+    mid = round5(p)
+    low, high = F.greatest(F.lit(0), F.least(round5(lo), mid)), F.least(F.lit(100), F.greatest(round5(hi), mid))
+    text = F.when(p < 0.05, "under 5%").when(p > 0.95, "over 95%").otherwise(F.concat(F.lit("about "), mid.cast("string"), F.lit("%")))
+    sure = F.when(doubts, "low").when(high - low <= 25, "high").when(high - low <= 45, "middle").otherwise("low")
+    return F.struct(mid.alias("p"), low.alias("lo"), high.alias("hi"), text.alias("text"), F.concat(low.cast("string"), F.lit("~"), high.cast("string"), F.lit("%")).alias("range"), sure.alias("confidence"), (high - low > 60).alias("wide"))
+
+
 def step(c: Column) -> Column:
     """The step in which a number is shown."""
     out = F.when(c < 100, 1).when(c < 1000, 10).when(c < 10_000, 100).when(c < 100_000, 1000).otherwise(10_000)

@@ -128,3 +128,16 @@ def overlay(live: DataFrame, seed: DataFrame, keys: Sequence[str]) -> DataFrame:
     for k in keys:
         rest = rest.join(live.select(k).where(F.col(k).isNotNull()).distinct(), k, "left_anti")
     return live.unionByName(rest.select(live.columns))
+
+
+def overridden(df: DataFrame, other: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the values of ``columns`` that ``other`` has for its key (one row each) instead of its own."""
+    given = other.select(key, *[F.col(c).alias(f"_o_{c}") for c in columns])
+    return df.join(given, key, "left").withColumns({c: F.coalesce(f"_o_{c}", c) for c in columns}).drop(*[f"_o_{c}" for c in columns])
+
+
+def inverted(df: DataFrame, word: str, item: str, block: int = 1 << 16) -> DataFrame:
+    """word, block, items: an inverted index in blocks, each item once and in order; a word of very many items has many rows,
+    none of more than ``block`` items."""
+    rows = df.where(F.col(word).isNotNull() & F.col(item).isNotNull()).select(word, item).distinct().withColumn("block", F.floor(F.col(item) / block))
+    return rows.groupBy(word, "block").agg(F.sort_array(F.collect_list(item)).alias("items"))

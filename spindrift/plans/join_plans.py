@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fingerprint
-from ..operators.relational import asof, nearest, newest_n, overlapping, overlay, points_in_intervals, upsert
+from ..operators.relational import asof, inverted, nearest, newest_n, overlapping, overlay, overridden, points_in_intervals, upsert
 from ..sources.stage import staged
 from ..sources.tables import DAY, HOUR, VIDEOS, table, videos
 from .registry import query
@@ -33,13 +33,16 @@ def j4(spark, sf_dir):
 
 @query(
     "j5_overlay",
-    """WITH l AS (SELECT s_suppkey AS key, s_nationkey AS alt FROM supplier), s AS (SELECT c_custkey AS key, c_nationkey AS alt FROM customer)
-    SELECT key, alt FROM l UNION ALL SELECT key, alt FROM s WHERE key NOT IN (SELECT key FROM l) AND alt NOT IN (SELECT alt FROM l)""",
+    """WITH l AS (SELECT s_suppkey AS key, s_nationkey AS alt, s_name AS name, 'live' AS grp FROM supplier), s AS (SELECT c_custkey AS key, c_nationkey AS alt, c_name AS name, c_mktsegment AS grp FROM customer),
+    u AS (SELECT * FROM l UNION ALL SELECT * FROM s WHERE key NOT IN (SELECT key FROM l) AND alt NOT IN (SELECT alt FROM l)), o AS (SELECT p_partkey AS key, CASE WHEN p_size > 25 THEN p_brand END AS grp, CASE WHEN p_size % 2 = 0 THEN p_name END AS name FROM part)
+    SELECT u.key, alt, coalesce(o.name, u.name) AS name, coalesce(o.grp, u.grp) AS grp FROM u LEFT JOIN o ON o.key = u.key""",
 )
 def j5(spark, sf_dir):
-    live = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("alt"))
-    seed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("alt"))
-    return overlay(live, seed, ["key", "alt"])
+    """Suppliers over customers, by key and by nation; names and groups that a list of parts gives win."""
+    live = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("alt"), F.col("s_name").alias("name"), F.lit("live").alias("grp"))
+    seed = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("alt"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("grp"))
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("grp"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("name"))
+    return overridden(overlay(live, seed, ["key", "alt"]), own, "key", ["name", "grp"])
 
 
 @query(
@@ -166,10 +169,12 @@ def j11(spark, sf_dir):
     return later.groupBy("fmt").agg(F.count(F.lit(1)).alias("n"), R(F.avg(F.col("views").between(F.col("lo"), F.col("hi")).cast("int"))).alias("coverage"))
 
 
-@query("j24_inverted_index", "SELECT w AS word, count(DISTINCT p_partkey) AS parts, min(p_partkey) AS first FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1")
+@query("j24_inverted_index", "SELECT w AS word, count(DISTINCT p_partkey) AS parts, string_agg(DISTINCT p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) AS index_ FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY 1")
 def j24(spark, sf_dir):
+    """Word -> the parts whose names have it, in blocks that are joined at the end."""
     words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
-    return words.groupBy("word").agg(F.countDistinct("p_partkey").alias("parts"), F.min("p_partkey").alias("first"))
+    index = inverted(words, "word", "p_partkey").groupBy("word").agg(F.sum(F.size("items")).alias("parts"), F.flatten(F.collect_list("items")).alias("items"))
+    return index.select("word", "parts", F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",").alias("index_"))
 
 
 @query("j25_enrichment", "SELECT s_suppkey AS id, n_name AS nation, r_name AS region, s_acctbal > 0 AS solvent FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")

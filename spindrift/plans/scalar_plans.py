@@ -34,9 +34,26 @@ def n4(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date(F.date_trunc("week", local)).alias("monday"), F.weekday(local).cast("long").alias("weekday"))
 
 
-@query("n6_display_numbers", "SELECT c_custkey AS id, CASE WHEN c_acctbal >= 1000 THEN printf('%.1fk', floor(c_acctbal / 100) / 10) ELSE printf('%d', floor(c_acctbal)::BIGINT) END AS shown FROM customer")
+_CHANCE = "c AS (SELECT c_custkey AS id, c_acctbal AS v, abs(c_acctbal) / 10000 AS p, abs(c_acctbal) / 10000 - c_nationkey / 60.0 AS lo, abs(c_acctbal) / 10000 + c_nationkey / 40.0 AS hi, c_nationkey % 4 = 0 AS doubts FROM customer)"
+
+
+@query(
+    "n6_display_numbers",
+    f"""WITH {_CHANCE}, r AS (SELECT *, (5 * round_even(100 * p / 5, 0))::BIGINT AS m, (5 * round_even(100 * lo / 5, 0))::BIGINT AS l0, (5 * round_even(100 * hi / 5, 0))::BIGINT AS h0 FROM c), s AS (SELECT *, greatest(0, least(l0, m)) AS l, least(100, greatest(h0, m)) AS h FROM r)
+    SELECT id, CASE WHEN v >= 1000 THEN printf('%.1fk', floor(v / 100) / 10) ELSE printf('%d', floor(v)::BIGINT) END AS shown, CASE WHEN v <= 0 THEN 0 WHEN floor(log10(v)) - 1 > 0 THEN (round_even(v / pow(10, floor(log10(v)) - 1), 0) * pow(10, floor(log10(v)) - 1))::BIGINT ELSE round_even(v, 0)::BIGINT END AS two_digits,
+    CASE WHEN p < 0.05 THEN 'under 5%' WHEN p > 0.95 THEN 'over 95%' ELSE 'about ' || m || '%' END AS chance, l || '~' || h || '%' AS range_, CASE WHEN doubts THEN 'low' WHEN h - l <= 25 THEN 'high' WHEN h - l <= 45 THEN 'middle' ELSE 'low' END AS confidence, h - l > 60 AS wide FROM s""",
+)
 def n6(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), numbers.shown(F.col("c_acctbal")).alias("shown"))
+    share = F.abs("c_acctbal") / 10000
+    chance = numbers.shown_chance(share, share - F.col("c_nationkey") / 60.0, share + F.col("c_nationkey") / 40.0, F.col("c_nationkey") % 4 == 0)
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), numbers.shown(F.col("c_acctbal")).alias("shown"), numbers.two_digits(F.col("c_acctbal")).alias("two_digits"), chance.alias("c"))
+    return rows.select("id", "shown", "two_digits", F.col("c.text").alias("chance"), F.col("c.range").alias("range_"), F.col("c.confidence").alias("confidence"), F.col("c.wide").alias("wide"))
+
+
+@query("n8_normal_cdf")
+def n8(spark, sf_dir):
+    """Phi of each customer's balance in thousands."""
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000).alias("z"), numbers.normal_cdf(F.col("c_acctbal") / 1000).alias("p"))
 
 
 @query("n7_display_step", "SELECT c_custkey AS id, (CASE WHEN abs(c_acctbal) < 100 THEN 1 WHEN abs(c_acctbal) < 1000 THEN 10 WHEN abs(c_acctbal) < 10000 THEN 100 WHEN abs(c_acctbal) < 100000 THEN 1000 ELSE 10000 END)::BIGINT AS step FROM customer")

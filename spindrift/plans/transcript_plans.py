@@ -201,13 +201,15 @@ def a34(spark, sf_dir):
 
 @query(
     "m7_due_reminders",
-    f"WITH {VIDEOS}, l AS (SELECT channel, max(pub) AS last FROM v GROUP BY 1) SELECT channel, (((SELECT max(pub) FROM v) - last) // {DAY})::BIGINT AS days FROM l WHERE (SELECT max(pub) FROM v) - last >= {12 * HOUR}",
+    f"""WITH {VIDEOS}, l AS (SELECT channel, min(pub) AS start, max(pub) FILTER (fmt = 'purchase') AS last, (SELECT max(pub) FROM v) AS now FROM v GROUP BY 1)
+    SELECT channel, (now - coalesce(last, start)) // {DAY} AS days, last IS NULL AS never FROM l WHERE channel % 5 > 0 AND now - coalesce(last, start) >= {7 * DAY}""",
 )
 def m7(spark, sf_dir):
-    """Channels whose last row is half a day or more before the newest of all, and whole days since."""
-    last = videos(spark, sf_dir).groupBy("channel").agg(F.max("pub").alias("last"))
-    now = F.broadcast(last.agg(F.max("last").alias("now")))  # one row
-    return last.crossJoin(now).where(F.col("now") - F.col("last") >= 12 * HOUR).select("channel", F.floor((F.col("now") - F.col("last")) / DAY).cast("long").alias("days"))
+    """Channels that ask to be reminded and whose last checkup (a purchase), or whose start, is seven days back or more."""
+    last = videos(spark, sf_dir).groupBy("channel").agg(F.min("pub").alias("start"), F.max(F.when(F.col("fmt") == "purchase", F.col("pub"))).alias("last"), F.max("pub").alias("_newest"))
+    now = F.broadcast(last.agg(F.max("_newest").alias("now")))  # one row
+    since = F.col("now") - F.coalesce("last", "start")
+    return last.where("channel % 5 > 0").crossJoin(now).where(since >= 7 * DAY).select("channel", F.floor(since / DAY).cast("long").alias("days"), F.col("last").isNull().alias("never"))
 
 
 _WORD = "CASE WHEN c_mktsegment = 'BUILDING' THEN c_name ELSE 'ab' || chr((44032 + (c_custkey * 37) % 11172)::INT) END"

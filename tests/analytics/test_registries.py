@@ -1,5 +1,6 @@
 """Channel keys, small stores and habits on odd entries."""
 
+import math
 import random
 import statistics
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from spindrift.functions.urls import channel_key, channel_keys
 from spindrift.operators import style
+from spindrift.plans.catalogue import QUERIES
 from spindrift.sources import registries
 
 UC = "UCabcdefghijklmnopqrstuv"
@@ -67,3 +69,8 @@ def test_habits(spark):
         places = [r[3] for r in text]
         best = max((places.count(p), o, p) for p, o in (("top", 3), ("middle", 2), ("bottom", 1)))
         assert got[k].pos == (best[2] if text and best[0] >= places.count(None) else got[k].pos)
+
+
+def test_normal_cdf(spark):
+    rows = QUERIES["n8_normal_cdf"](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) > 1000 and all(abs(r.p - 0.5 * (1 + math.erf(r.z / math.sqrt(2)))) < 1e-7 for r in rows)
