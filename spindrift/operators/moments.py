@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .intervals import islands
-from .relational import in_blocks, joined, numbered, points_in_intervals
+from .relational import asof, in_blocks, joined, numbered, points_in_intervals
 
 #: Seconds of a recording's head and tail, of a cutaway, of the slack around a gap.
 HEAD, TAIL = 30.0, 20.0
@@ -116,3 +116,41 @@ def best_of_close(events: DataFrame, keys: Sequence[str], time: str, score: str,
     kept = each.select(*keys, F.explode(F.aggregate("x", nothing, step)).alias("e")).select(*keys, F.col("e.t").alias(time), F.col("e.id").alias("id"), F.col("e.s").alias(score))
     top = kept.groupBy(*keys).agg(F.max(score).alias("_top"))
     return joined(kept, top, keys).withColumn("share", F.col(score) / F.col("_top")).drop("_top")
+
+
+def onsets(signal: DataFrame, talk: DataFrame, *, rise: float = 9.0, least: float = -38.0, back: int = 10, peak: int = 4, tail: tuple[int, int] = (12, 20), fall: float = 8.0, apart: int = 25, bucket: int = 4096) -> DataFrame:
+    """key, i: sudden sounds of a signal (key, i, level: one row a step): at least ``rise`` above the least of the ``back`` steps before
+    (the first level, where there are fewer), above ``least``, not going on (the mean of the steps ``tail`` after it is ``fall``
+    below its peak, if there are such steps), not in talk (key, a, b: steps, both within), and ``apart`` steps after the one
+    before at least."""
+    first = signal.groupBy("key").agg(F.min_by("level", "i").alias("_first"), F.min("i").alias("_lo"))
+    rows = in_blocks(signal.select("key", F.col("i").cast("long").alias("i"), "level"), "i", back=back, ahead=tail[1], size=bucket)
+    w = Window.partitionBy("key", "_block").orderBy("i")
+    rows = rows.withColumns({"_base": F.min("level").over(w.rowsBetween(-back, -1)), "_peak": F.max("level").over(w.rowsBetween(0, peak - 1)), "_tail": F.avg("level").over(w.rowsBetween(tail[0], tail[1] - 1))}).where("_mine")
+    rows = joined(rows, first, ["key"])
+    base = F.when(F.col("i") - F.col("_lo") < back, F.least(F.coalesce("_base", "_first"), F.col("_first"))).otherwise(F.col("_base"))
+    rows = rows.where((F.col("level") - base >= rise) & (F.col("level") > least) & (F.col("_tail").isNull() | (F.col("_tail") <= F.col("_peak") - fall))).select("key", "i")
+    said = points_in_intervals(rows, talk.select("key", "a", "b"), key="key", time="i", start="a", stop="b", bucket=bucket, closed=True).select("key", "i").distinct()
+    rows = rows.join(said, ["key", "i"], "left_anti")
+    clusters = islands(rows, keys=["key"], at="i", gap=apart - 1, bucket=bucket).select("key", F.col("start").alias("_start"), F.col("stop").alias("_stop"))
+    each = points_in_intervals(rows, clusters, key="key", time="i", start="_start", stop="_stop", bucket=bucket, closed=True).groupBy("key", "_start").agg(F.array_sort(F.collect_list("i")).alias("x"))
+    step = lambda kept, i: F.when(i - F.coalesce(F.try_element_at(kept, F.lit(-1)), i - apart) < apart, kept).otherwise(F.concat(kept, F.array(i)))
+    return each.select("key", F.explode(F.aggregate("x", F.filter("x", lambda i: F.lit(False)), step)).alias("i"))
+
+
+def smoothed(track: DataFrame, radius: int, bucket: int = 4096) -> DataFrame:
+    """key, i, value of a track (key, i, value; null: missing): missing values between the nearest known ones in proportion, beyond
+    them the nearest; then means over ``radius`` steps on either side, fewer at the ends, the same number on both.  A track without
+    a known value stays null."""
+    known = track.where("value is not null").withColumn("_at", F.col("i"))
+    both = asof(track.select("key", "i", "value"), known.select("key", "i", F.struct("_at", "value").alias("_p")), key="key", time="i", value="_p", bucket=bucket).drop("_p_time")
+    both = asof(both, known.select("key", "i", F.struct("_at", "value").alias("_n")), key="key", time="i", value="_n", bucket=bucket, forward=True).drop("_n_time")
+    p, n = F.col("_p"), F.col("_n")
+    between = p["value"] + (n["value"] - p["value"]) * (F.col("i") - p["_at"]) / F.nullif(n["_at"] - p["_at"], F.lit(0))
+    filled = both.select("key", "i", F.coalesce("value", F.coalesce(between, p["value"], n["value"])).alias("value"))
+    ends = track.groupBy("key").agg(F.min("i").alias("_lo"), F.max("i").alias("_hi"))
+    rows = joined(in_blocks(filled, "i", back=radius, ahead=radius, size=bucket), ends, ["key"])
+    w = Window.partitionBy("key", "_block").orderBy("i")
+    reach = F.least(F.lit(radius), F.col("i") - F.col("_lo"), F.col("_hi") - F.col("i"))
+    means = F.array(*[F.avg("value").over(w.rowsBetween(-r, r)) for r in range(radius + 1)])
+    return rows.withColumn("_m", means).where("_mine").select("key", "i", F.get("_m", reach.cast("int")).alias("value"))

@@ -95,3 +95,39 @@ def w18_close(spark, sf_dir):
     """Of events of a kind less than ten hours apart the best, and its share of the kind's best."""
     got = moments.best_of_close(videos(spark, sf_dir).where("pub is not null"), ["channel", "fmt"], "pub", "views", 10 * HOUR, 7 * DAY)
     return got.select("channel", "fmt", "id", F.round("share", 6).alias("share"))
+
+
+_STEPS = f"{VIDEOS}, o AS (SELECT channel AS key, row_number() OVER (PARTITION BY channel ORDER BY pub, id) AS i, views AS level, fmt FROM v)"
+
+
+def _steps(spark, sf_dir):
+    """key, i, level, fmt: a user's events in order."""
+    rows = moments.numbered(videos(spark, sf_dir).withColumnRenamed("channel", "key"), ["key"], "pub", ["pub", "id"], 7 * DAY, number="i")
+    return rows.select("key", "i", F.col("views").alias("level"), "fmt")
+
+
+@query(
+    "w3_onsets",
+    f"""WITH RECURSIVE {_STEPS}, m AS (SELECT *, min(level) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS b, first_value(level) OVER (PARTITION BY key ORDER BY i) AS f, max(level) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS pk, avg(level) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN 4 FOLLOWING AND 7 FOLLOWING) AS t FROM o),
+    h AS (SELECT key, i FROM m WHERE level - CASE WHEN i <= 10 THEN least(coalesce(b, f), f) ELSE b END >= 9 AND level > 12 AND (t IS NULL OR t <= pk - 8) AND NOT EXISTS (SELECT 1 FROM o x WHERE x.key = m.key AND x.fmt = 'purchase' AND m.i BETWEEN x.i AND x.i + 1)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM h), g AS (SELECT key, k, [i] AS kept FROM c WHERE k = 1 UNION ALL SELECT g.key, c.k, CASE WHEN c.i - kept[len(kept)] >= 5 THEN list_append(kept, c.i) ELSE kept END FROM g JOIN c ON c.key = g.key AND c.k = g.k + 1)
+    SELECT key, unnest(arg_max(kept, k)) AS i FROM g GROUP BY 1""",
+)
+def w3_onsets(spark, sf_dir):
+    """Sudden values of a user's events in order; purchases are talk of two steps."""
+    rows = _steps(spark, sf_dir)
+    talk = rows.where("fmt = 'purchase'").select("key", F.col("i").alias("a"), (F.col("i") + 1).alias("b"))
+    return moments.onsets(rows.select("key", "i", "level"), talk, least=12, tail=(4, 8), apart=5)
+
+
+@query(
+    "w11_smoothed_tracks",
+    f"""WITH {_STEPS}, k AS (SELECT key, i, CASE WHEN fmt <> 'error' THEN level END AS x FROM o), s AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER p AS pi, last_value(x IGNORE NULLS) OVER p AS px, first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER n AS ni, first_value(x IGNORE NULLS) OVER n AS nx FROM k
+      WINDOW p AS (PARTITION BY key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY key ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    f AS (SELECT key, i, coalesce(x, px + (nx - px) * (i - pi) / nullif(ni - pi, 0), px, nx) AS x, least(2, i - 1, count(*) OVER (PARTITION BY key) - i) AS r FROM s)
+    SELECT key, i, round(CASE r WHEN 0 THEN x WHEN 1 THEN avg(x) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) ELSE avg(x) OVER (PARTITION BY key ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END, 6) AS value FROM f""",
+)
+def w11_tracks(spark, sf_dir):
+    """A user's events in order as a track that errors leave open."""
+    rows = _steps(spark, sf_dir).select("key", "i", F.when(F.col("fmt") != "error", F.col("level")).alias("value"))
+    return moments.smoothed(rows, 2).withColumn("value", F.round("value", 6))

@@ -77,3 +77,35 @@ def test_shots_cutaways_and_numbers(spark):
     stored = spark.createDataFrame([(1, 2, 4), (1, 9, 5), (1, 3, 2)], "c int, id int, number int")
     got = {(r.c, r.id): r.number for r in moments.assigned_numbers(asked, stored, ["c"], "t", ["t", "id"], 10).collect()}
     assert got == {(1, 1): 8, (1, 2): 4, (1, 3): 7, (1, 4): 9, (2, 1): 1}
+
+
+def test_onsets_and_smoothing_equal_plain_loops(spark):
+    rng = random.Random(5)
+    rows, talk, want, smooth = [], [], [], {}
+    for k, n in ((0, 600), (1, 1), (2, 60), (3, 5)):
+        level = [rng.choice([-60.0, -58.0, -45.0, -30.0, -10.0]) for _ in range(n)]
+        spans = [(a, a + rng.randrange(3)) for a in rng.sample(range(n), n // 12)]
+        base = [level[0]] * 10 + level
+        last = -99
+        for i, x in enumerate(level):
+            peak, tail = max(level[i : i + 4]), level[i + 12 : i + 20]
+            low = level[0] if i == 0 else min(base[i : i + 10])
+            if x - low >= 9 and x > -38 and i - last >= 25 and not (tail and statistics.mean(tail) > peak - 8) and not any(a <= i <= b for a, b in spans):
+                want.append((k, i))
+                last = i
+        holes = [x if rng.random() < 0.6 and k != 3 else None for x in level]
+        known = [i for i, x in enumerate(holes) if x is not None]
+        for i in range(n):
+            p, q = max((j for j in known if j <= i), default=None), min((j for j in known if j >= i), default=None)
+            fill = None if p is None and q is None else holes[q] if p is None else holes[p] if q is None or p == q else holes[p] + (holes[q] - holes[p]) * (i - p) / (q - p)
+            smooth[k, i] = fill
+        rows += [(k, i, x, h) for i, (x, h) in enumerate(zip(level, holes))]
+        talk += [(k, a, b) for a, b in spans]
+    frame = spark.createDataFrame(rows, "key int, i long, level double, value double")
+    got = moments.onsets(frame.select("key", "i", "level"), spark.createDataFrame(talk, "key int, a long, b long"), bucket=32)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 10
+    sizes = {k: n for k, n in ((0, 600), (1, 1), (2, 60), (3, 5))}
+    for r in moments.smoothed(frame.select("key", "i", "value"), 3, bucket=16).collect():
+        reach = min(3, r.i, sizes[r.key] - 1 - r.i)
+        around = [smooth[r.key, j] for j in range(r.i - reach, r.i + reach + 1)]
+        assert (r.value is None and None in around) or abs(r.value - statistics.mean(around)) < 1e-9
