@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import moments
-from ..sources.tables import DAY, HOUR, VIDEOS, videos
+from ..operators import moments, talk
+from ..sources.tables import DAY, HOUR, VIDEOS, table, videos
 from .registry import query
 
 _HOURS = "(pub - 1704067200000000) / 3600e6"
@@ -131,3 +131,32 @@ def w11_tracks(spark, sf_dir):
     """A user's events in order as a track that errors leave open."""
     rows = _steps(spark, sf_dir).select("key", "i", F.when(F.col("fmt") != "error", F.col("level")).alias("value"))
     return moments.smoothed(rows, 2).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "a34_speaker_seconds",
+    """WITH s AS (SELECT conv_id AS key, role AS label, turn * 60.0::DOUBLE AS a, turn * 60.0::DOUBLE + length(text) / 20.0 AS b FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL AND length(text) / 20.0 >= 0.8),
+    l AS (SELECT *, lag(label) OVER (PARTITION BY key ORDER BY a, b, label) AS before, row_number() OVER (PARTITION BY key ORDER BY a, b, label) AS k FROM s), w AS (SELECT key, sum(b - a) AS whole, count(*) FILTER (before <> label) AS turns, count(DISTINCT label) AS speakers, arg_max(b, k) - min(a) AS span FROM l GROUP BY 1)
+    SELECT l.key, label, round(sum(b - a) / any_value(whole), 6) AS share, round(sum(b - a), 4) AS seconds, any_value(speakers) AS speakers, round(any_value(turns) * 60 / greatest(1.0, any_value(span)), 6) AS turns_per_minute FROM l JOIN w ON w.key = l.key GROUP BY 1, 2""",
+)
+def a34_seconds(spark, sf_dir):
+    """Turns as segments: one begins every minute and takes a second for twenty characters."""
+    start = F.col("turn") * 60.0
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("key"), start.alias("start"), (start + F.length("text") / 20.0).alias("end"), F.col("role").alias("label"))
+    got = talk.speaker_shares(rows)
+    return got.select("key", "label", F.round("share", 6).alias("share"), F.round("seconds", 4).alias("seconds"), "speakers", F.round("turns_per_minute", 6).alias("turns_per_minute"))
+
+
+@query(
+    "a31_chapter_summaries",
+    """WITH s AS (SELECT conv_id AS key, turn * 60.0::DOUBLE + i * 4.0::DOUBLE AS start, x AS text FROM (SELECT conv_id, turn, unnest(range(len(l))) AS i, unnest(l) AS x FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations WHERE text IS NOT NULL))),
+    o AS (SELECT key, text, min(start) AS start FROM s GROUP BY 1, 2), c AS (SELECT *, floor(start / 90) * 90 AS chapter, least(length(text), 120) + CASE WHEN text LIKE '%a.' THEN 50 ELSE 0 END AS score FROM o),
+    t AS (SELECT *, row_number() OVER (PARTITION BY key, chapter ORDER BY score DESC, start, text) AS k FROM c)
+    SELECT key, chapter, row_number() OVER (PARTITION BY key, chapter ORDER BY start, text) AS place, start, md5(text) AS text_md5 FROM t WHERE k <= 3""",
+)
+def a31_chapters(spark, sf_dir):
+    """Lines as sentences, in chapters of 90 seconds; long ones count, and those that end in a certain way."""
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("key"), "turn", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    score = F.least(F.length("text"), F.lit(120)) + F.when(F.col("text").endswith("a."), 50).otherwise(0)
+    got = talk.chapter_summaries(rows.select("key", (F.col("turn") * 60.0 + F.col("i") * 4.0).alias("start"), "text"), score)
+    return got.select("key", "chapter", "place", "start", F.md5("text").alias("text_md5"))

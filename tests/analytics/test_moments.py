@@ -4,7 +4,9 @@ import random
 import statistics
 from functools import partial
 
-from spindrift.operators import moments
+from pyspark.sql import functions as F
+
+from spindrift.operators import moments, talk
 
 
 def events(rng, keys=5):
@@ -109,3 +111,14 @@ def test_onsets_and_smoothing_equal_plain_loops(spark):
         reach = min(3, r.i, sizes[r.key] - 1 - r.i)
         around = [smooth[r.key, j] for j in range(r.i - reach, r.i + reach + 1)]
         assert (r.value is None and None in around) or abs(r.value - statistics.mean(around)) < 1e-9
+
+
+def test_summaries_by_chapters_and_shares(spark):
+    said = [(1, 1.0, "early", 9), (1, 10.0, "one", 1), (1, 11.0, "two", 5), (1, 12.0, "three", 5), (1, 13.0, "four", 2), (1, 14.0, "two", 99), (1, 50.0, "last", 0), (2, 5.0, "none", 1), (1, None, "x", 3), (1, 15.0, None, 3)]
+    rows = spark.createDataFrame(said, "key int, start double, text string, s int")
+    got = talk.chapter_summaries(rows, F.col("s"), spark.createDataFrame([(1, 40.0), (1, 9.0), (1, 9.0)], "key int, t double")).orderBy("chapter", "place").collect()
+    assert [(r.chapter, r.place, r.text) for r in got] == [(9.0, 1, "two"), (9.0, 2, "three"), (9.0, 3, "four"), (40.0, 1, "last")]
+    segs = spark.createDataFrame([(1, 0.0, 10.0, "a"), (1, 10.0, 10.5, "b"), (1, 11.0, 21.0, "b"), (1, 30.0, 60.0, "a"), (1, 70.0, 90.0, None), (2, 0.0, 1.0, "a")], "key int, start double, end double, label string")
+    got = {(r.key, r.label): r for r in talk.speaker_shares(segs).collect()}
+    assert abs(got[1, "a"].share - 0.8) < 1e-9 and got[1, "b"].seconds == 10 and got[1, "a"].speakers == 2 and abs(got[1, "a"].turns_per_minute - 2.0) < 1e-9
+    assert got[2, "a"].share == 1 and got[2, "a"].turns_per_minute == 0
