@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, stage_table
+from .common import drop_tables, released, stage_table
 
 
 class UnionFind:
@@ -79,10 +79,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = stage_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         large = stage_table(large, "large")
+        drop_tables(least)
         least = stage_table(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "least")
         small = large.withColumnRenamed("b", "u").join(least, "u")
         small = small.select(F.col("m"), F.explode(F.array("u", "a")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct()
-        edges = stage_table(small, "links")
+        done, edges = edges, stage_table(small, "links")
+        drop_tables(done, large, least)
         after = _totals(edges)
         if after == before:
             break

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_signed, bounded_batches, mix64, ragged_arange, release_shuffles, released, stage_table
+from .common import U64, as_signed, bounded_batches, drop_tables, mix64, ragged_arange, release_shuffles, released, stage_table
 from .suffix_array import suffix_arrays
 from .textkit import RangeHash
 
@@ -733,10 +733,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     release_shuffles(spark)
     settled = stage_table(match(fetched(places, False).mapInArrow(released(_settle(buckets)), _ROW)), "settled")
     release_shuffles(spark)
-    spans = places.where("kind = 0").unionByName(settled.where("kind = 0"))
+    ends = ["row", "a", "b"]
+    spans = stage_table(places.where("kind = 0").unionByName(settled.where("kind = 0")).select(*ends), "spans")
+    drop_tables(places)
     if not settled.where("kind = 1").isEmpty():
-        spans = spans.unionByName(fetched(settled, True).mapInArrow(released(_settle(buckets)), _ROW).where("kind = 0"))
-    cut = _beside(texts, spans.select("row", "a", "b")).mapInArrow(released(_cut_texts), f"row long, doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, carried {kind}")
+        spans = spans.unionByName(stage_table(fetched(settled, True).mapInArrow(released(_settle(buckets)), _ROW).where("kind = 0").select(*ends), "spans"))
+        release_shuffles(spark)
+    drop_tables(settled)
+    cut = _beside(texts, spans).mapInArrow(released(_cut_texts), f"row long, doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, carried {kind}")
     return cut.select("doc_id", "n_bytes", "n_removed", "spans", "kept", *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)])
 
 
