@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stage import staged
 from .intervals import merge_intervals
 from .relational import in_blocks, numbered, points_in_intervals
 
@@ -85,10 +86,11 @@ def before_opening(rows: DataFrame) -> DataFrame:
 
 def after_closing(rows: DataFrame, upto: DataFrame, lengths: DataFrame | None) -> DataFrame:
     """key, a, b, kind, text and ``since``, the first sentence cut: what is said after the last closing words."""
-    rows = rows.join(upto.select("key", "upto"), "key", "left")
     outro = F.col("closing") | F.col("cta") | F.col("promo") | F.col("on_promo") | F.col("reply") | F.col("strong") | F.col("weak")
-    content = rows.groupBy("key").agg(F.max(F.when(~outro | (F.col("place") < F.col("upto")), F.col("place"))).alias("content"), F.max("end").alias("_most"), F.max_by("end", "place").alias("end_of_all"))
-    block = rows.join(content, "key").where(F.col("content").isNull() | (F.col("place") > F.col("content")))
+    content = rows.groupBy("key").agg(F.max(F.when(~outro, F.col("place"))).alias("content"), F.max_by("end", "place").alias("end_of_all"))
+    ends = rows.join(content, "key").where(F.col("content").isNull() | (F.col("place") > F.col("content")))
+    # what follows the last sentence of the lesson, and is not before the opening: a few sentences a recording
+    block = staged(ends.join(upto.select("key", "upto"), "key", "left").where(F.col("upto").isNull() | (F.col("place") >= F.col("upto"))), "ends")
     post = F.col("strong") | F.col("weak")
     first = block.groupBy("key").agg(F.min(F.when(post, F.col("place"))).alias("first_post"))
     block = block.join(first, "key")
@@ -114,18 +116,21 @@ def after_closing(rows: DataFrame, upto: DataFrame, lengths: DataFrame | None) -
 def notices(rows: DataFrame, upto: DataFrame, since: DataFrame) -> DataFrame:
     """key, a, b, kind (cta or promo), text: requests between the two, the sentence next to one if it goes on with it
     within NEAR seconds, half the gaps around them (PAD at most); those that touch are one."""
-    rows = numbered(rows, ["key"], "start", ["place"], 600, number="num")
-    near = in_blocks(rows, "num", back=1, ahead=1)
-    order = Window.partitionBy("key", "_block").orderBy("num")
     own = F.when(F.col("cta"), "cta").when(F.col("promo"), "promo")
-    near = near.withColumn("own", own).join(upto.select("key", "upto"), "key", "left").join(since.select("key", "since"), "key", "left")
-    inside = (F.col("upto").isNull() | (F.col("place") >= F.col("upto"))) & (F.col("since").isNull() | (F.col("place") < F.col("since")))
-    near = near.withColumn("own", F.when(inside, F.col("own")))
-    near = near.withColumns({"k0": F.lag("own").over(order), "e0": F.lag("end").over(order), "k1": F.lead("own").over(order), "s1": F.lead("start").over(order)})
-    near = near.where("_mine").where(inside)
-    gap0, gap1 = F.col("start") - F.col("e0"), F.col("s1") - F.col("end")
-    from_before = F.when((gap0 <= NEAR) & (((F.col("k0") == "cta") & F.col("on_cta")) | ((F.col("k0") == "promo") & F.col("on_promo"))), F.col("k0"))
-    from_after = F.when((gap1 <= NEAR) & (F.col("k1") == "promo") & F.col("on_promo"), F.col("k1"))
+    rows = rows.select("key", "place", "start", "end", own.alias("own"), "on_cta", "on_promo")
+    near = in_blocks(numbered(rows, ["key"], "start", ["place"], 600, number="num"), "num", back=1, ahead=1)
+    order = Window.partitionBy("key", "_block").orderBy("num")
+    beside = F.struct("own", "start", "end", "place")
+    near = near.withColumns({"before": F.lag(beside).over(order), "after": F.lead(beside).over(order)}).where("_mine")
+    # few sentences are a notice or go on with one: only these are held against the opening and the closing
+    near = near.where("own is not null or (before.own is not null and (on_cta or on_promo)) or (after.own = 'promo' and on_promo)")
+    near = near.join(upto.select("key", "upto"), "key", "left").join(since.select("key", "since"), "key", "left")
+    inside = lambda place: (F.col("upto").isNull() | (place >= F.col("upto"))) & (F.col("since").isNull() | (place < F.col("since")))
+    near = near.where(inside(F.col("place")))
+    kind0, kind1 = (F.when(inside(F.col(f"{c}.place")), F.col(f"{c}.own")) for c in ("before", "after"))
+    gap0, gap1 = F.col("start") - F.col("before.end"), F.col("after.start") - F.col("end")
+    from_before = F.when((gap0 <= NEAR) & (((kind0 == "cta") & F.col("on_cta")) | ((kind0 == "promo") & F.col("on_promo"))), kind0)
+    from_after = F.when((gap1 <= NEAR) & (kind1 == "promo") & F.col("on_promo"), kind1)
     found = near.withColumn("kind", F.coalesce("own", from_before, from_after)).where("kind is not null")
     half = lambda gap: F.when(gap.isNull(), PAD).otherwise(F.least(F.lit(PAD), F.greatest(F.lit(0.0), gap / 2)))
     a, b = F.greatest(F.lit(0.0), F.col("start") - half(gap0)), F.col("end") + half(gap1)
@@ -139,7 +144,8 @@ def notices(rows: DataFrame, upto: DataFrame, since: DataFrame) -> DataFrame:
 def off_script(sentences: DataFrame, script: Script | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """key, a, b, kind (pre, post, cta, promo), text of what is beside the script.  Sentences without a time, or of
     marks alone, are left out; ``lengths`` (key, dur) are the recordings', where known."""
-    rows = flags(sentences.select("key", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text"), script or Script())
-    pre = before_opening(rows)
-    post = after_closing(rows, pre, lengths)
+    rows = staged(flags(sentences.select("key", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "text"), script or Script()), "sentences")
+    # each part is a table of a row a recording at most, so that no task sorts for all of them at once
+    pre = staged(before_opening(rows), "before")
+    post = staged(after_closing(rows, pre, lengths), "after")
     return pre.drop("upto").unionByName(post.drop("since")).unionByName(notices(rows, pre, post))
