@@ -128,17 +128,18 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_embeddings(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row per distinct id: ``vec_id, n_links, component_id, kept``.
+    """One row per row of ``vectors``: ``vec_id, n_links, component_id, kept``.
 
     Vectors that are null, empty or zero, or hold a null or non-finite component, link with nothing; so do vectors of
-    different widths.  Of rows that share an id, the least vector counts; rows without an id are left out.  Components
-    of type double keep their precision.
+    different widths.  Rows are vectors of their own: those that share an id are compared like any others, and a row
+    without an id counts as the largest one (its component's id is null where none of it has one).  ``kept`` says that the
+    row's id is the component's.  Components of type double keep their precision.
     """
     spark = vectors.sparkSession
     single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
     form, kind = ("float", "<f4") if single else ("double", "<f8")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{form}>").alias("embedding")).where("vec_id is not null")
-    rows = stage_table(rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+    rows = vectors.select(F.monotonically_increasing_id().alias("vec_id"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{form}>").alias("embedding"))
+    rows = stage_table(rows, "vectors")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     good = rows.where((F.size("embedding") > 0) & ~F.exists("embedding", bad)).where(F.exists("embedding", lambda x: x != 0)).withColumn("width", F.size("embedding").cast("long"))
     total, parts = good.agg(F.count(F.lit(1)).alias("n"), F.sum("width").alias("w")).first(), int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -172,8 +173,10 @@ def link_embeddings(vectors: DataFrame, *, threshold: float = THRESHOLD, id_col:
     found = stage_table(tiles.repartition("width", "i", "j").sortWithinPartitions("width", "i", "j").mapInArrow(released(run), "a long, b long, n long"), "tiles")
     counts = found.where("n > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
     comps = connected_components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "vec_id")
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(comps, "vec_id", "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    out = rows.select("vec_id", "id").join(counts, "vec_id", "left").join(comps, "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
+    least = out.groupBy("component").agg(F.min("id").alias("component_id"))
+    out = out.join(least, "component")
+    return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id").withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
