@@ -1,4 +1,4 @@
-"""Growth forecast: bootstrap calibration and weekly Monte-Carlo paths, one Spark group per bootstrap sample.
+"""Growth forecast: bootstrap calibration, and weekly Monte-Carlo paths, one Spark group per bootstrap sample.
 
 Random numbers come from seeds of (seed, sample), so a rerun of a lost task gives the same rows, and all plan variants
 see the same draws.
@@ -11,37 +11,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import joined, numbered
+
 WEEKS, SEED = 52, 7
 SLOPE = (0.0, 1.0)
 
 
-def fit_line(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """(intercept, slope within its range, spread of at least 0.2)."""
-    mx, my = x.mean(), y.mean()
-    sxx = ((x - mx) ** 2).sum()
-    slope = float(np.clip(((x - mx) * (y - my)).sum() / sxx, *SLOPE)) if sxx > 1e-12 else 0.0
-    a = my - slope * mx
-    spread = np.sqrt(((y - a - slope * x) ** 2).sum() / max(len(x) - 2, 1))
-    return float(a), slope, float(max(0.2, spread))
-
-
 def bootstrap(peers: DataFrame, samples: int = 100, seed: int = SEED) -> DataFrame:
-    """peers (fmt, x, y; a bounded list of comparison channels) -> fmt, sample, a, b, tau.  Each format is calibrated by
-    itself; sample 0 is its peers themselves."""
-    spark = peers.sparkSession
-    packed = peers.groupBy("fmt").agg(F.sort_array(F.collect_list(F.struct("x", "y"))).alias("p"))
-
-    def run(frames):
-        for pdf in frames:
-            out = []
-            for fmt, b, p in zip(pdf["fmt"], pdf["sample"], pdf["p"]):
-                x, y = np.array([r["x"] for r in p]), np.array([r["y"] for r in p])
-                pick = np.random.default_rng([seed, b]).integers(0, len(x), len(x)) if b else np.arange(len(x))
-                out.append((fmt, b, *fit_line(x[pick], y[pick])))
-            yield pd.DataFrame(out, columns=["fmt", "sample", "a", "b", "tau"])
-
-    table = spark.range(samples).withColumnRenamed("id", "sample")
-    return table.crossJoin(F.broadcast(packed)).mapInPandas(run, "fmt string, sample long, a double, b double, tau double")
+    """peers (fmt, x, y) -> fmt, sample, a, b, tau.  Each format is calibrated by itself; sample 0 is its peers themselves, the
+    others as many draws with replacement.
+
+    The k-th draw of a sample is the peer whose number a hash of (seed, format, sample, k) gives, so draws are counted per peer
+    and sample, joined with the peers and summed up: no format's peers ever meet in one row."""
+    known = peers.where("x is not null and y is not null").select("fmt", "x", "y")
+    middle = known.groupBy("fmt").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    rows = joined(numbered(known, ["fmt"], "x", ["x", "y"], 1, number="k"), middle, ["fmt"])
+    rows = rows.select("fmt", "k", "n", "mx", "my", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
+    drawn = rows.select("fmt", "n", "k", F.explode(F.sequence(F.lit(1), F.lit(samples - 1))).alias("sample")) if samples > 1 else rows.select("fmt", "n", "k", F.lit(1).alias("sample")).limit(0)
+    name = F.concat_ws("/", F.lit(str(seed)), "fmt", F.col("sample").cast("string"), F.col("k").cast("string"))
+    pick = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % F.col("n") + 1
+    counts = drawn.groupBy("fmt", "sample", pick.alias("k")).agg(F.count(F.lit(1)).alias("w"))
+    every = joined(rows, counts, ["fmt", "k"]).unionByName(rows.withColumns({"sample": F.lit(0), "w": F.lit(1).cast("long")}))
+    w, x, y = F.col("w"), F.col("x"), F.col("y")
+    sums = every.groupBy("fmt", "sample", "mx", "my").agg(F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"), F.sum(w * y * y).alias("syy"))
+    n = F.col("n")
+    sums = sums.withColumns({"sxx": F.col("sxx") - F.col("sx") * F.col("sx") / n, "sxy": F.col("sxy") - F.col("sx") * F.col("sy") / n, "syy": F.col("syy") - F.col("sy") * F.col("sy") / n})
+    slope = F.when(F.col("sxx") > 1e-12, F.greatest(F.lit(SLOPE[0]), F.least(F.lit(SLOPE[1]), F.col("sxy") / F.col("sxx")))).otherwise(0.0)
+    sums = sums.withColumn("b", slope)
+    b = F.col("b")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - 2 * b * F.col("sxy") + b * b * F.col("sxx")) / F.greatest(n - 2, F.lit(1)))
+    level = F.col("my") + F.col("sy") / n - b * (F.col("mx") + F.col("sx") / n)
+    return sums.select("fmt", F.col("sample").cast("long").alias("sample"), level.alias("a"), "b", F.greatest(F.lit(0.2), spread).alias("tau"))
 
 
 def paths(a: float, b: float, tau: float, sigma: float, *, subs: float, rate: float, conv: float, keep: float, draws: np.ndarray, shift: float) -> np.ndarray:

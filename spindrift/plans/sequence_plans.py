@@ -219,9 +219,15 @@ def _calibrated(spark, sf_dir):
     return forecast.bootstrap(peers(spark, sf_dir).select("fmt", "x", "y"))
 
 
-@query("t1_bootstrap")
+@query(
+    "t1_bootstrap",
+    f"""WITH {_PEERS}, r AS (SELECT fmt, x, y, row_number() OVER (PARTITION BY fmt ORDER BY x, y) AS k, count(*) OVER (PARTITION BY fmt) AS n FROM p),
+    d AS (SELECT fmt, s AS sample, ('0x' || md5('7/' || fmt || '/' || s || '/' || k)[:8])::BIGINT % n + 1 AS k FROM r, range(1, 100) t(s)), e AS (SELECT r.fmt, sample, x, y FROM d JOIN r ON r.fmt = d.fmt AND r.k = d.k UNION ALL SELECT fmt, 0, x, y FROM r),
+    g AS (SELECT fmt, sample, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM e GROUP BY 1, 2), f AS (SELECT *, CASE WHEN sxx > 1e-12 THEN greatest(0, least(1, sxy / sxx)) ELSE 0 END AS b FROM g)
+    SELECT fmt, sample, round(my - b * mx, 6) AS a, round(b, 6) AS b, round(greatest(0.2, sqrt(greatest(0, syy - 2 * b * sxy + b * b * sxx) / greatest(n - 2, 1))), 6) AS tau FROM f""",
+)
 def t1(spark, sf_dir):
-    return _calibrated(spark, sf_dir)
+    return _calibrated(spark, sf_dir).select("fmt", "sample", *[F.round(c, 6).alias(c) for c in ("a", "b", "tau")])
 
 
 @query("t4_forecast_bands")

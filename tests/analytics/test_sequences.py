@@ -59,11 +59,18 @@ def test_paths_grow_with_the_rate_and_repeat():
     assert (run(2)[-1] >= run(1)[-1]).all() and (np.diff(run(1), axis=0) >= 0).all() and (run(1) == run(1)).all()
 
 
-def test_line_fit_recovers_slope():
+def test_bootstrap_recovers_the_slope_and_its_spread(spark):
     rng = np.random.default_rng(0)
-    x = rng.normal(size=2000)
-    a, b, tau = forecast.fit_line(x, 1 + 0.7 * x + rng.normal(size=2000) * 0.5)
-    assert abs(a - 1) < 0.05 and abs(b - 0.7) < 0.05 and abs(tau - 0.5) < 0.05
+    x = rng.normal(size=2000) + 5
+    y = 1 + 0.7 * x + rng.normal(size=2000) * 0.5
+    rows = [("v", float(p), float(q)) for p, q in zip(x, y)] + [("one", 1.0, 2.0), ("v", None, 1.0)]
+    got = forecast.bootstrap(spark.createDataFrame(rows, "fmt string, x double, y double"), 60).collect()
+    fits = {r["sample"]: r for r in got if r.fmt == "v"}
+    assert set(fits) == set(range(60)) and abs(fits[0].b - np.polyfit(x, y, 1)[0]) < 1e-9 and abs(fits[0].a - np.polyfit(x, y, 1)[1]) < 1e-8 and abs(fits[0].tau - 0.5) < 0.05
+    slopes = np.array([fits[i].b for i in range(1, 60)])
+    expected = 0.5 / np.sqrt(((x - x.mean()) ** 2).sum())
+    assert abs(slopes.mean() - fits[0].b) < 3 * expected and 0.6 * expected < slopes.std() < 1.6 * expected and len(set(slopes.tolist())) == 59
+    assert all((r.a, r.b, r.tau) == (2.0, 0.0, 0.2) for r in got if r.fmt == "one")
 
 
 @settings(max_examples=6, deadline=None)
