@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from .common import bounded_batches, released, stage_table, text_slices
 from .tokens import WORD_FILE, encoder
 
-MAGIC = b"WMX2"
+MAGIC, FILE_MAGIC = b"WMX2", b"WMSHARD1"
 PIECE = 1 << 15  # bytes of a plane that are compressed together; whole blocks
 BLOCK = 512  # bits between two entries of a rank directory
 SHARD_TOKENS = 2_000_000  # a shard is closed once it holds so many ids
@@ -178,14 +178,48 @@ class WaveletMatrix:
         return (x if x is not None else np.zeros(0)).astype(np.uint32)
 
 
-_SHARD = "part long, seq long, n_docs long, n_tokens long, doc_ids binary, counts binary, shard binary"
+_SHARD = "part long, seq long, n_docs long, n_tokens long, shard binary"
+_NO_ID = -(2**63)
+
+
+class ShardFile:
+    """One shard as one run of bytes: its documents' ids and numbers of tokens, compressed, and the wavelet matrix of their ids."""
+
+    def __init__(self, owners: np.ndarray, counts: np.ndarray, matrix: WaveletMatrix):
+        self.owners, self.counts, self.matrix = owners, counts, matrix
+        self.ends = np.cumsum(counts)
+
+    def to_bytes(self) -> bytes:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        heads = [squeeze(x.astype("<i8").tobytes()) for x in (self.owners, self.counts)]
+        return FILE_MAGIC + struct.pack("<QQ", *map(len, heads)) + b"".join(heads) + self.matrix.to_bytes()
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> ShardFile:
+        if blob[: len(FILE_MAGIC)] != FILE_MAGIC:
+            raise ValueError("no shard file")
+        sizes = struct.unpack_from("<QQ", blob, len(FILE_MAGIC))
+        at, heads = len(FILE_MAGIC) + 16, []
+        for size in sizes:
+            heads.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at : at + size]), "<i8"))
+            at += size
+        return cls(*heads, WaveletMatrix.from_bytes(blob[at:]))
+
+    def document(self, i: int) -> list[int]:
+        """The ids of the i-th document, by access alone."""
+        return [self.matrix.access(k) for k in range(int(self.ends[i] - self.counts[i]), int(self.ends[i]))]
+
+    def documents_with(self, symbol: int) -> np.ndarray:
+        """Places of the documents that hold an id, by count and select."""
+        at = np.array([self.matrix.select(symbol, k) for k in range(self.matrix.count(symbol))], np.int64)
+        return np.unique(np.searchsorted(self.ends, at, side="right"))
 
 
 def encode_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", file: str = WORD_FILE, end_id: int = END_ID) -> DataFrame:
     """Shards of token ids in ascending ``id_col`` order (nulls first; rows that share an id by text).
 
     Null text counts as empty; each document gets ``end_id`` appended.  Rows: ``part, seq`` (shards in order),
-    ``n_docs, n_tokens, doc_ids, counts`` (what each document holds) and ``shard`` (a compressed wavelet matrix).
+    ``n_docs, n_tokens`` and ``shard``, the bytes of a :class:`ShardFile`: all that is known of the shard is in them.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +230,10 @@ def encode_shards(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         seq = total = 0
 
         def close() -> pa.RecordBatch:
-            owner = np.array([-(2**63) if i is None else i for i in ids], "<i8")
-            matrix = WaveletMatrix.build(np.concatenate(held))
-            row = [[part], [seq], [len(ids)], [total], [owner.tobytes()], [np.array(counts, "<i8").tobytes()], [matrix.to_bytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if isinstance(v[0], bytes) else pa.int64()) for v in row], names=["part", "seq", "n_docs", "n_tokens", "doc_ids", "counts", "shard"])
+            owners = np.array([_NO_ID if i is None else i for i in ids], np.int64)
+            shard = ShardFile(owners, np.array(counts, np.int64), WaveletMatrix.build(np.concatenate(held)))
+            row = [[part], [seq], [len(ids)], [total], [shard.to_bytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if isinstance(v[0], bytes) else pa.int64()) for v in row], names=["part", "seq", "n_docs", "n_tokens", "shard"])
 
         for piece in text_slices(batches, 4 << 20):
             got, n = enc.encode(piece.column("text").to_pylist())
@@ -244,14 +278,14 @@ def read_token_shards(shards: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                flat = WaveletMatrix.from_bytes(row["shard"]).decode().astype("<u4")
-                owner, counts = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["counts"], "<i8")
-                ends = np.cumsum(counts)
+                shard = ShardFile.from_bytes(row["shard"])
+                flat = shard.matrix.decode().astype("<u4")
+                owner, counts, ends = shard.owners, shard.counts, shard.ends
                 begin = ends - counts
                 raw = flat.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(owner, mask=owner == -(2**63)),
+                        pa.array(owner, mask=owner == _NO_ID),
                         pa.array(begin + row["first"]),
                         pa.array(counts),
                         pa.array([raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), ends.tolist())], pa.binary()),

@@ -13,7 +13,7 @@ from spindrift.llm.packing import best_fit_decreasing, pack_documents
 from spindrift.llm.tokens import BYTE_FILE, WORD_FILE, PieceEncoder
 from spindrift.llm import chat
 from spindrift.llm.packing import op9_packing
-from spindrift.llm.wavelet import WaveletMatrix, crc_of, op7_token_shards, read_token_shards, write_token_shards
+from spindrift.llm.wavelet import ShardFile, WaveletMatrix, crc_of, op7_token_shards, read_token_shards, write_token_shards
 
 TEXTS = ["Plain words, here.", "", None, "  two  spaces\n\n and\ttabs ", "a\nb c", "日本語 tekst ǅ", "É naïve 12 34 don't", "x" * 40000, "Plain words, here.", "<|endoftext|> y"]
 
@@ -92,6 +92,28 @@ def test_shared_and_missing_ids(spark):
     assert sorted(str(r.doc_id) for r in pieces) == ["4", "4", "None", "None"] and len({(r.sequence_id, r.offset) for r in pieces}) == 4
 
 
+def test_a_shard_file_says_all_by_itself(spark):
+    """Documents, their ids and which hold a token, from the bytes of a shard alone."""
+    docs = spark.createDataFrame([(3, "the cat sat"), (1, "a dog"), (None, "the end"), (2, ""), (3, "once more the")], "doc_id long, text string")
+    shards = write_token_shards(docs)
+    assert set(shards.columns) == {"part", "seq", "n_docs", "n_tokens", "shard"}
+    want = {}
+    for r in read_token_shards(shards).collect():
+        want.setdefault(r.doc_id, []).append(np.frombuffer(r.ids, "<u4").tolist())
+    got, with_end = {}, 0
+    for r in shards.collect():
+        file = ShardFile.from_bytes(bytes(r.shard))
+        assert (len(file.owners), int(file.counts.sum())) == (r.n_docs, r.n_tokens)
+        for i, owner in enumerate(file.owners.tolist()):
+            got.setdefault(None if owner == -(2**63) else owner, []).append(file.document(i))
+        with_end += len(file.documents_with(2))
+        token = file.document(0)[0]
+        assert file.documents_with(token).tolist() == [i for i in range(len(file.owners)) if token in file.document(i)]
+    assert got == want and with_end == 5
+    with pytest.raises(ValueError):
+        ShardFile.from_bytes(b"nothing of the kind")
+
+
 def test_token_shards(spark):
     docs = spark.createDataFrame([(len(TEXTS) - i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, start string")
     tok = Tokenizer.from_file(public_tokenizers.path(WORD_FILE))
