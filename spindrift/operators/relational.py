@@ -141,3 +141,13 @@ def inverted(df: DataFrame, word: str, item: str, block: int = 1 << 16) -> DataF
     none of more than ``block`` items."""
     rows = df.where(F.col(word).isNotNull() & F.col(item).isNotNull()).select(word, item).distinct().withColumn("block", F.floor(F.col(item) / block))
     return rows.groupBy(word, "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+
+def first_pairs(left: DataFrame, right: DataFrame, *, key: str, time: str, words: str, within: int) -> DataFrame:
+    """key, id, other: of each ``left`` row (key, id, time, words) the ``right`` row of least id of the same key at most ``within`` away
+    that shares a word.  Rows meet by key, word and stretch of time, and each word brings its least id only."""
+    stretch = F.floor(F.col(time) / within)
+    asked = left.select(key, "id", F.col(time).alias("_t"), F.explode(words).alias("_w")).withColumn("_b", F.explode(F.sequence(F.floor((F.col("_t") - within) / within), F.floor((F.col("_t") + within) / within))))
+    there = right.select(F.col(key).alias("_k"), F.col("id").alias("other"), F.col(time).alias("_u"), F.explode(words).alias("_v"), stretch.alias("_c"))
+    met = asked.join(there, (F.col(key) == F.col("_k")) & (F.col("_w") == F.col("_v")) & (F.col("_b") == F.col("_c"))).where(F.abs(F.col("_t") - F.col("_u")) <= within)
+    return met.groupBy(key, "id").agg(F.min("other").alias("other"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fingerprint
-from ..operators.relational import asof, inverted, nearest, newest_n, overlapping, overlay, overridden, points_in_intervals, upsert
+from ..operators.relational import asof, first_pairs, inverted, nearest, newest_n, overlapping, overlay, overridden, points_in_intervals, upsert
 from ..sources.stage import staged
 from ..sources.tables import DAY, HOUR, VIDEOS, table, videos
 from .registry import query
@@ -69,6 +69,24 @@ def j7(spark, sf_dir):
     return pairs.groupBy("channel", "id").agg(first).select("channel", "id", F.col("first.other").alias("other"))
 
 
+_TITLED = r"""e AS (SELECT event_id AS id, user_id % 20 AS channel, epoch_us(ts) AS pub, event_type IN ('view', 'click') AS long_, list_distinct(list_filter(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]{3,10}'), lambda w: w NOT IN ('the', 'and', 'that', 'que', 'die', 'der', 'les'))) AS words FROM events JOIN documents ON doc_id = event_id WHERE text IS NOT NULL)"""
+
+
+@query(
+    "j7_long_short_pairs",
+    f"""WITH {_TITLED}, p AS (SELECT a.channel, a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY b.id) AS k FROM e a JOIN e b ON a.channel = b.channel AND a.long_ AND NOT b.long_ AND abs(a.pub - b.pub) <= 14 * 86400000000 AND list_has_any(a.words, b.words))
+    SELECT channel, id, other FROM p WHERE k = 1""",
+)
+def j7_titles(spark, sf_dir):
+    """Events with the title of the document of their number: views and clicks are long, the others short; of each long one the
+    first short one (by number) within 14 days with a word of its title."""
+    title = F.lower(F.split("text", "\n")[0])
+    words = F.array_distinct(F.filter(F.regexp_extract_all(title, F.lit("([a-z]{3,10})")), lambda w: ~w.isin("the", "and", "that", "que", "die", "der", "les")))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), words.alias("words"))
+    rows = videos(spark, sf_dir).select("id", (F.col("channel") % 20).alias("channel"), "pub", F.col("fmt").isin("view", "click").alias("long")).join(docs, "id")
+    return first_pairs(rows.where("long"), rows.where("not long"), key="channel", time="pub", words="words", within=14 * DAY)
+
+
 @query(
     "j8_asof_backward",
     f"""WITH {VIDEOS} SELECT p.id, coalesce(h.views, f.views) AS views_then FROM (SELECT * FROM v WHERE fmt = 'purchase') p ASOF LEFT JOIN (SELECT * FROM v WHERE fmt = 'view') h ON p.channel = h.channel AND p.pub >= h.pub
