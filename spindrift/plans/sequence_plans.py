@@ -13,6 +13,7 @@ from ..sources.tables import DAY, VIDEOS, table, videos
 from ..streaming.history import weekly_counts
 from .model_plans import _PEERS, peers
 from .registry import query
+from .scalar_plans import cdf_sql
 
 
 @query(
@@ -202,14 +203,18 @@ def a22(spark, sf_dir):
     return sequential.per_group(peers(spark, sf_dir).select("fmt", "x", "y"), ["fmt"], ["x", "y"], "fmt string, n long, intercept double, slope double", fit)
 
 
-@query("a26_reliability")
+@query(
+    "a26_reliability",
+    f"""WITH {VIDEOS}, o AS (SELECT fmt, avg(ln(views)) AS m, stddev(ln(views)) AS s FROM v WHERE views > 0 GROUP BY 1)
+    SELECT v.fmt, round(avg(1 - ({cdf_sql('((ln(50.0) - m) / s)')})), 6) AS predicted, round(avg((views >= 50)::INT), 6) AS observed FROM v JOIN o ON o.fmt = v.fmt WHERE views > 0 GROUP BY 1""",
+)
 def a26(spark, sf_dir):
     """Mean predicted chance of passing 50 views against the observed share, per format."""
     rows = videos(spark, sf_dir).where("views > 0")
-    own = rows.groupBy("fmt").agg(F.avg(F.log("views")).alias("m"), F.stddev("views").alias("_"), F.stddev(F.log("views")).alias("s"))
+    own = rows.groupBy("fmt").agg(F.avg(F.log("views")).alias("m"), F.stddev(F.log("views")).alias("s"))
     both = rows.join(own, "fmt")
     chance = 1 - normal_cdf((F.log(F.lit(50.0)) - F.col("m")) / F.col("s"))
-    return both.groupBy("fmt").agg(F.avg(chance).alias("predicted"), F.avg((F.col("views") >= 50).cast("double")).alias("observed"))
+    return both.groupBy("fmt").agg(F.round(F.avg(chance), 6).alias("predicted"), F.round(F.avg((F.col("views") >= 50).cast("double")), 6).alias("observed"))
 
 
 _SIMS = 60  # paths of each of the 100 samples, as the reference runs them
