@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .intervals import islands
-from .relational import asof, in_blocks, joined, numbered, points_in_intervals
+from .intervals import islands, merge_intervals
+from .relational import asof, in_blocks, joined, numbered, overlapping, points_in_intervals
 
 #: Seconds of a recording's head and tail, of a cutaway, of the slack around a gap.
 HEAD, TAIL = 30.0, 20.0
@@ -154,3 +154,33 @@ def smoothed(track: DataFrame, radius: int, bucket: int = 4096) -> DataFrame:
     reach = F.least(F.lit(radius), F.col("i") - F.col("_lo"), F.col("_hi") - F.col("i"))
     means = F.array(*[F.avg("value").over(w.rowsBetween(-r, r)) for r in range(radius + 1)])
     return rows.withColumn("_m", means).where("_mine").select("key", "i", F.get("_m", reach.cast("int")).alias("value"))
+
+
+def montages(cuts: DataFrame, music: DataFrame, talk: DataFrame, *, span: int, least: int = 5, level: float = 0.3, quiet: float = 0.3, bucket: int) -> DataFrame:
+    """key, start, stop: rows of quick cuts (key, at): at least ``least`` within ``span`` of one, with music (key, at, level: its mean in
+    the span above ``level``) and talk (key, a, b) over less than ``quiet`` of it, to the last of these cuts.  Quick cuts that begin
+    before a montage's end carry it on, whatever is heard."""
+    marks = cuts.select("key", "at").distinct()
+    spread = marks.withColumn("_b", F.explode(F.sequence(F.floor(F.col("at") / bucket), F.floor((F.col("at") + span) / bucket))))
+    later = marks.select("key", F.col("at").alias("to"), F.floor(F.col("at") / bucket).alias("_b"))
+    met = spread.join(later, ["key", "_b"]).where((F.col("to") >= F.col("at")) & (F.col("to") <= F.col("at") + span))
+    quick = met.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n"), F.max("to").alias("last")).where(F.col("n") >= least).withColumn("_end", F.col("at") + span)
+    heard = points_in_intervals(music.select("key", F.col("at").alias("_m"), "level"), quick.select("key", "at", "_end"), key="key", time="_m", start="at", stop="_end", bucket=bucket, closed=True)
+    loud = heard.groupBy("key", "at").agg(F.avg("level").alias("music"))
+    merged = merge_intervals(talk, keys=["key"], start="a", stop="b", bucket=bucket).select("key", "start", "stop")
+    said = overlapping(quick.select("key", "at", "_end"), merged, key="key", a_span=("at", "_end"), b_span=("start", "stop"), bucket=bucket).groupBy("key", "at").agg(F.sum("shared").alias("said"))
+    rows = quick.join(loud, ["key", "at"], "left").join(said, ["key", "at"], "left")
+    fine = (F.coalesce("music", F.lit(0.0)) > level) & (F.coalesce("said", F.lit(0)) < quiet * span)
+    rows = rows.select("key", "at", "last", fine.alias("fine"))
+    # cuts that overlap one another may carry on a montage: only these meet
+    groups = merge_intervals(rows, keys=["key"], start="at", stop="last", bucket=bucket).select("key", F.col("start").alias("_s"), F.col("stop").alias("_t"))
+    each = points_in_intervals(rows, groups, key="key", time="at", start="_s", stop="_t", bucket=bucket, closed=True).groupBy("key", "_s").agg(F.array_sort(F.collect_list(F.struct("at", "last", "fine"))).alias("x"))
+    nothing = F.transform(F.filter("x", lambda c: F.lit(False)), lambda c: F.struct(c["at"].alias("a"), c["last"].alias("b")))
+
+    def step(found: Column, c: Column) -> Column:
+        end = F.try_element_at(found, F.lit(-1))
+        new = F.struct(c["at"].alias("a"), c["last"].alias("b"))
+        on = F.concat(F.slice(found, F.lit(1), F.size(found) - 1), F.array(F.struct(end["a"].alias("a"), F.greatest(end["b"], c["last"]).alias("b"))))
+        return F.when(end.isNotNull() & (c["at"] < end["b"]), on).when(c["fine"], F.concat(found, F.array(new))).otherwise(found)
+
+    return each.select("key", F.explode(F.aggregate("x", nothing, step)).alias("m")).select("key", F.col("m.a").alias("start"), F.col("m.b").alias("stop"))

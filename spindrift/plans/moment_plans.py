@@ -160,3 +160,21 @@ def a31_chapters(spark, sf_dir):
     score = F.least(F.length("text"), F.lit(120)) + F.when(F.col("text").endswith("a."), 50).otherwise(0)
     got = talk.chapter_summaries(rows.select("key", (F.col("turn") * 60.0 + F.col("i") * 4.0).alias("start"), "text"), score)
     return got.select("key", "chapter", "place", "start", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "w17_montages",
+    f"""WITH RECURSIVE {VIDEOS}, c AS (SELECT DISTINCT channel AS key, pub AS at_ FROM v WHERE fmt = 'view'), q0 AS (SELECT *, count(*) OVER w AS n, last_value(at_) OVER w AS last FROM c WINDOW w AS (PARTITION BY key ORDER BY at_ RANGE BETWEEN CURRENT ROW AND {48 * HOUR} FOLLOWING)),
+    q AS (SELECT * FROM q0 WHERE n >= 3), m AS (SELECT q.key, q.at_, avg(views) AS music FROM q JOIN v ON v.channel = q.key AND v.fmt = 'click' AND v.pub BETWEEN q.at_ AND q.at_ + {48 * HOUR} GROUP BY 1, 2),
+    t0 AS (SELECT channel AS key, pub AS a, pub + {4 * HOUR} AS b, CASE WHEN pub <= max(pub + {4 * HOUR}) OVER (PARTITION BY channel ORDER BY pub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM v WHERE fmt = 'purchase'),
+    t1 AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY a ROWS UNBOUNDED PRECEDING) AS g FROM t0), t AS (SELECT key, min(a) AS a, max(b) AS b FROM t1 GROUP BY key, g),
+    s AS (SELECT q.key, q.at_, sum(least(b, q.at_ + {48 * HOUR}) - greatest(a, q.at_)) AS said FROM q JOIN t ON t.key = q.key AND a < q.at_ + {48 * HOUR} AND b > q.at_ GROUP BY 1, 2),
+    x AS (SELECT q.key, q.at_, q.last, coalesce(music, 0) > 15 AND coalesce(said, 0) < 0.15 * {48 * HOUR} AS fine, row_number() OVER (PARTITION BY q.key ORDER BY q.at_) AS k FROM q LEFT JOIN m ON m.key = q.key AND m.at_ = q.at_ LEFT JOIN s ON s.key = q.key AND s.at_ = q.at_),
+    g AS (SELECT key, k, CASE WHEN fine THEN [{{'a': at_, 'b': last}}] ELSE [] END AS f FROM x WHERE k = 1 UNION ALL SELECT g.key, x.k, CASE WHEN len(f) > 0 AND at_ < f[len(f)].b THEN list_append(f[:len(f) - 1], {{'a': f[len(f)].a, 'b': greatest(f[len(f)].b, last)}}) WHEN fine THEN list_append(f, {{'a': at_, 'b': last}}) ELSE f END FROM g JOIN x ON x.key = g.key AND x.k = g.k + 1)
+    SELECT key, e.a AS start, e.b AS stop FROM (SELECT key, unnest(arg_max(f, k)) AS e FROM g GROUP BY 1)""",
+)
+def w17_montages(spark, sf_dir):
+    """Three views within two days are quick cuts, clicks the music, purchases four hours of talk."""
+    rows = videos(spark, sf_dir).select(F.col("channel").alias("key"), "fmt", F.col("pub").alias("at"), F.col("views").alias("level"))
+    talk_ = rows.where("fmt = 'purchase'").select("key", F.col("at").alias("a"), (F.col("at") + 4 * HOUR).alias("b"))
+    return moments.montages(rows.where("fmt = 'view'"), rows.where("fmt = 'click'"), talk_, span=48 * HOUR, least=3, level=15, quiet=0.15, bucket=7 * DAY)

@@ -122,3 +122,29 @@ def test_summaries_by_chapters_and_shares(spark):
     got = {(r.key, r.label): r for r in talk.speaker_shares(segs).collect()}
     assert abs(got[1, "a"].share - 0.8) < 1e-9 and got[1, "b"].seconds == 10 and got[1, "a"].speakers == 2 and abs(got[1, "a"].turns_per_minute - 2.0) < 1e-9
     assert got[2, "a"].share == 1 and got[2, "a"].turns_per_minute == 0
+
+
+def test_montages_equal_a_plain_walk(spark):
+    rng = random.Random(8)
+    cuts, music, said, want = [], [], [], []
+    for k in range(6):
+        n = 1500 if k == 0 else 200
+        own = sorted(rng.sample(range(n), n // 5))
+        notes = [(t, rng.choice([0.0, 0.5, 1.0])) for t in range(0, n, 4)]
+        talk_ = [(a, a + rng.randrange(1, 12)) for a in rng.sample(range(n), n // 40)]
+        spoken = {t for a, b in talk_ for t in range(a, b)}
+        found = []
+        for c in own:
+            near = [x for x in own if c <= x <= c + 16]
+            if len(near) < 5:
+                continue
+            levels = [x for t, x in notes if c <= t <= c + 16]
+            fine = bool(levels) and statistics.mean(levels) > 0.5 and len(spoken & set(range(c, c + 16))) < 0.3 * 16
+            if found and c < found[-1][1]:
+                found[-1][1] = max(found[-1][1], near[-1])
+            elif fine:
+                found.append([c, near[-1]])
+        want += [(k, a, b) for a, b in found]
+        cuts, music, said = cuts + [(k, c) for c in own], music + [(k, *x) for x in notes], said + [(k, *x) for x in talk_]
+    got = moments.montages(spark.createDataFrame(cuts, "key int, at long"), spark.createDataFrame(music, "key int, at long, level double"), spark.createDataFrame(said, "key int, a long, b long"), span=16, level=0.5, bucket=64)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 10
