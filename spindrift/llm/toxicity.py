@@ -1,6 +1,6 @@
 """Toxicity: a factorization machine over hashed terms.
 
-Terms are the distinct words of a text and their first 4 to 8 bytes (so that inflected forms share a term), hashed
+Terms are the distinct words of a text and their first 4, 6 and 8 bytes (so that inflected forms share a term), hashed
 to 32 bits.  score = sigmoid(b + sum w_i + sum_{i<j} <v_i, v_j>) over the terms that are present; the pairwise part
 learns combinations, such as an insult with a group's name, that no additive weights express.
 
@@ -27,7 +27,7 @@ SAMPLE_ROWS = 8192
 MAX_TERMS = 4096
 FACTORS = 8
 THRESHOLD = 0.7
-PREFIXES = (4, 5, 6, 7, 8)
+PREFIXES = (4, 6, 8)
 
 
 def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,9 +83,11 @@ def fit(rows: list[np.ndarray], label: np.ndarray, *, max_terms: int = MAX_TERMS
     """rows: each labelled document's distinct terms."""
     n, pos = len(rows), int(label.sum())
     prior = np.log((pos + 0.5) / (n - pos + 0.5))
-    doc = np.repeat(np.arange(n), [len(r) for r in rows])
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     flat = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-    ids, inverse, count = np.unique(flat, return_inverse=True, return_counts=True)
+    ids, count = np.unique(flat, return_counts=True)
+    inverse = np.searchsorted(ids, flat).astype(np.int32)
+    del flat
     if not len(ids) or not pos or pos == n:
         return FactorizationMachine(np.zeros(0, np.uint32), float(np.clip(prior, -8, 8)), np.zeros(0), np.zeros((0, FACTORS)))
     g2 = _g2(np.bincount(inverse, label[doc], len(ids)), count, pos, n)
