@@ -184,3 +184,16 @@ def montages(cuts: DataFrame, music: DataFrame, talk: DataFrame, *, span: int, l
         return F.when(end.isNotNull() & (c["at"] < end["b"]), on).when(c["fine"], F.concat(found, F.array(new))).otherwise(found)
 
     return each.select("key", F.explode(F.aggregate("x", nothing, step)).alias("m")).select("key", F.col("m.a").alias("start"), F.col("m.b").alias("stop"))
+
+
+def quiet_drift(history: DataFrame, uploads: DataFrame, *, apart: int, week: int, bucket: int) -> DataFrame:
+    """key, pairs, drift: how much a count (key, at, subs) changes a week by itself: the median over records in a row at least
+    ``apart`` with no upload (key, at) after the one and up to the other; 0 at least, and 0 without such a pair."""
+    rows, w = _around(history.where("subs is not null and at is not null").select("key", "at", "subs"), ["key"], "at", ["at", "subs"], bucket, 1, 0)
+    pairs = rows.withColumns({"_at": F.lag("at").over(w), "_subs": F.lag("subs").over(w)}).where("_mine").where(F.col("at") - F.col("_at") >= apart)
+    # the last upload at or before a record's end tells whether there was one since its start
+    known = uploads.select("key", "at", F.col("at").alias("_up")).where("at is not null")
+    seen = asof(pairs.select("key", "at", "subs", "_at", "_subs"), known, key="key", time="at", value="_up", bucket=bucket)
+    still = seen.where(F.col("_up").isNull() | (F.col("_up") <= F.col("_at")))
+    drift = still.groupBy("key").agg(F.count(F.lit(1)).alias("pairs"), F.percentile((F.col("subs") - F.col("_subs")) / ((F.col("at") - F.col("_at")) / F.lit(week)), F.lit(0.5)).alias("_d"))
+    return history.select("key").distinct().join(drift, "key", "left").select("key", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.greatest(F.lit(0.0), F.coalesce("_d", F.lit(0.0))).alias("drift"))

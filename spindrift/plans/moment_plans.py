@@ -178,3 +178,16 @@ def w17_montages(spark, sf_dir):
     rows = videos(spark, sf_dir).select(F.col("channel").alias("key"), "fmt", F.col("pub").alias("at"), F.col("views").alias("level"))
     talk_ = rows.where("fmt = 'purchase'").select("key", F.col("at").alias("a"), (F.col("at") + 4 * HOUR).alias("b"))
     return moments.montages(rows.where("fmt = 'view'"), rows.where("fmt = 'click'"), talk_, span=48 * HOUR, least=3, level=15, quiet=0.15, bucket=7 * DAY)
+
+
+@query(
+    "w2_quiet_drift",
+    f"""WITH {VIDEOS}, h AS (SELECT channel AS key, pub AS at_, views AS subs FROM v WHERE fmt IN ('view', 'click')), u AS (SELECT channel AS key, pub AS at_ FROM v WHERE fmt = 'purchase'),
+    p AS (SELECT key, at_, subs, lag(at_) OVER w AS at0, lag(subs) OVER w AS subs0 FROM h WINDOW w AS (PARTITION BY key ORDER BY at_, subs)), q AS (SELECT * FROM p WHERE at_ - at0 >= {12 * HOUR} AND NOT EXISTS (SELECT 1 FROM u WHERE u.key = p.key AND u.at_ > at0 AND u.at_ <= p.at_)),
+    d AS (SELECT key, count(*) AS pairs, median((subs - subs0) / ((at_ - at0) / {7 * DAY}.0)) AS d FROM q GROUP BY 1) SELECT k.key, coalesce(pairs, 0) AS pairs, round(greatest(0.0, coalesce(d, 0.0)), 6) AS drift FROM (SELECT DISTINCT key FROM h) k LEFT JOIN d ON d.key = k.key""",
+)
+def w2_drift(spark, sf_dir):
+    """Views and clicks as records of a count, purchases as uploads; records half a day apart or more."""
+    rows = videos(spark, sf_dir).select(F.col("channel").alias("key"), "fmt", F.col("pub").alias("at"), F.col("views").alias("subs"))
+    got = moments.quiet_drift(rows.where("fmt in ('view', 'click')"), rows.where("fmt = 'purchase'"), apart=12 * HOUR, week=7 * DAY, bucket=7 * DAY)
+    return got.withColumn("drift", F.round("drift", 6))

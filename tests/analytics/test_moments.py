@@ -148,3 +148,17 @@ def test_montages_equal_a_plain_walk(spark):
         cuts, music, said = cuts + [(k, c) for c in own], music + [(k, *x) for x in notes], said + [(k, *x) for x in talk_]
     got = moments.montages(spark.createDataFrame(cuts, "key int, at long"), spark.createDataFrame(music, "key int, at long, level double"), spark.createDataFrame(said, "key int, a long, b long"), span=16, level=0.5, bucket=64)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 10
+
+
+def test_quiet_drift(spark):
+    rng = random.Random(9)
+    history, uploads, want = [], [], {}
+    for k in range(5):
+        own = [(t, rng.choice([None, 10.0 * t, 50.0])) for t in sorted(rng.sample(range(900), 300 if k == 0 else 12))]
+        ups = rng.sample(range(900), 60 if k == 0 else 5)
+        known = [x for x in own if x[1] is not None]
+        steps = [(b[1] - a[1]) / ((b[0] - a[0]) / 7) for a, b in zip(known, known[1:]) if b[0] - a[0] >= 6 and not any(a[0] < u <= b[0] for u in ups)]
+        want[k] = (len(steps), max(0.0, statistics.median(steps)) if steps else 0.0)
+        history, uploads = history + [(k, *x) for x in own], uploads + [(k, u) for u in ups]
+    got = moments.quiet_drift(spark.createDataFrame(history, "key int, at long, subs double"), spark.createDataFrame(uploads, "key int, at long"), apart=6, week=7, bucket=40).collect()
+    assert {r.key: (r.pairs, round(r.drift, 6)) for r in got} == {k: (n, round(d, 6)) for k, (n, d) in want.items()} and any(n for n, _ in want.values())
