@@ -40,11 +40,11 @@ def classes(rows: DataFrame, id_col: str, title: str, least: int = LEAST) -> Dat
 
 
 def ranked_words(titles: DataFrame, frequency: DataFrame) -> DataFrame:
-    """``titles`` (class, seq) with ``words``: its distinct words, rare ones first (ties: by letters)."""
-    cells = titles.select("class", "seq", F.explode(F.array_distinct(F.split("seq", " "))).alias("word"))
+    """class, words: the distinct words of each of ``titles`` (class, seq), rare ones first (ties: by letters)."""
+    cells = titles.select("class", F.explode(F.array_distinct(F.split("seq", " "))).alias("word"))
     cells = cells.join(frequency, "word", "left")
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("word"))))
-    return cells.groupBy("class", "seq").agg(order.alias("_w")).select("class", "seq", F.transform("_w", lambda x: x["word"]).alias("words"))
+    return cells.groupBy("class").agg(order.alias("_w")).select("class", F.transform("_w", lambda x: x["word"]).alias("words"))
 
 
 def _side(df: DataFrame, mark: str, columns: Sequence[str]) -> DataFrame:
@@ -66,8 +66,8 @@ def word_bits(words: str) -> list[Column]:
     return [F.aggregate(words, F.lit(0).cast("long"), own(i)) for i in range(BITMAPS)]
 
 
-def alike_pairs(left: DataFrame, right: DataFrame, jaccard: float, ratio: float) -> DataFrame:
-    """a, b, how: classes of ``left`` and ``right`` with enough shared words and letters."""
+def candidates(left: DataFrame, right: DataFrame, jaccard: float) -> DataFrame:
+    """a, b: classes (class, words) that share one of their first words and may share enough of them."""
     parts = ["class", "size", "place", *[f"bits{i}" for i in range(BITMAPS)]]
     met = _side(prefixes(left, jaccard), "a", parts).join(_side(prefixes(right, jaccard), "b", parts), "word")
     sizes = F.least("a_size", "b_size") >= F.lit(jaccard) * F.greatest("a_size", "b_size")
@@ -75,8 +75,12 @@ def alike_pairs(left: DataFrame, right: DataFrame, jaccard: float, ratio: float)
     enough = room >= F.lit(jaccard / (1 + jaccard)) * (F.col("a_size") + F.col("b_size")) - F.least("a_place", "b_place") - 1e-9
     unlike = sum(F.bit_count(F.col(f"a_bits{i}").bitwiseXOR(F.col(f"b_bits{i}"))) for i in range(BITMAPS))
     enough = enough & (unlike <= F.lit((1 - jaccard) / (1 + jaccard)) * (F.col("a_size") + F.col("b_size")) + 1e-9)
-    pairs = met.where(sizes & enough & (F.col("a_class") != F.col("b_class"))).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
-    text = lambda df, k: df.select(F.col("class").alias(k), F.col("seq").alias(f"{k}_seq"), F.col("words").alias(f"{k}_words"))
+    return met.where(sizes & enough & (F.col("a_class") != F.col("b_class"))).select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+
+
+def alike_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame, jaccard: float, ratio: float) -> DataFrame:
+    """a, b, how: those of ``pairs`` whose titles (class, seq) share enough words and letters."""
+    text = lambda df, k: df.select(F.col("class").alias(k), F.col("seq").alias(f"{k}_seq"), F.array_distinct(F.split("seq", " ")).alias(f"{k}_words"))
     full = pairs.join(text(left, "a"), "a").join(text(right, "b"), "b").where("a_seq <> b_seq")
     shared = F.size(F.array_intersect("a_words", "b_words"))
     full = full.where(shared >= F.lit(jaccard) * (F.size("a_words") + F.size("b_words") - shared) - 1e-9)
@@ -95,7 +99,7 @@ def fuzzy_links(left: DataFrame, right: DataFrame, *, jaccard: float = JACCARD,
     holds).  A class of the same title is no link."""
     frequency = right.select(F.explode(F.array_distinct(F.split("seq", " "))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     a, b = (staged(ranked_words(s, frequency), "titles") for s in (left, right))
-    return alike_pairs(a, b, jaccard, ratio)
+    return alike_pairs(candidates(a, b, jaccard), left, right, jaccard, ratio)
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, *, id_col: str = "id", title: str = "title", least: int = LEAST, jaccard: float = JACCARD, ratio: float = RATIO) -> DataFrame:
