@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import answers, captions, cues
+from ..operators import answers, captions, cues, scores
 from ..sources.tables import table
 from .registry import query
 
@@ -107,3 +107,14 @@ def p11_lines(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.expr(_SAID).alias("t"))
     t = F.col("t")
     return rows.select("id", "n", cues.is_slate(t, _CREW).alias("slate"), cues.is_cue(t, _CREW).alias("cue"), cues.is_chant(t, _CREW).alias("chant"))
+
+
+@query("p18_action_scores")
+def p18_action(spark, sf_dir):
+    """An order as a frame: its lines are people, a seventh line the ball; each third order was not looked at."""
+    box = F.struct((F.col("l_discount") * 8).alias("x"), (F.col("l_tax") * 4).alias("y"), (F.col("l_quantity") / 400).alias("w"), (F.col("l_quantity") / 70).alias("h"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), box.alias("box"))
+    frames = rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") < 7, F.struct("n", "box")))), lambda p: p["box"]).alias("people"), F.max(F.when(F.col("n") == 7, F.col("box"))).alias("ball"))
+    frames = frames.withColumn("people", F.when(F.col("id") % 3 > 0, F.col("people")))
+    main = scores.main_person(F.col("people"), F.col("ball"))
+    return frames.withColumn("main", main).select("id", "main", scores.action(F.col("people"), F.col("ball")).alias("action"), scores.protagonist(F.col("people"), F.col("main")).alias("protagonist"))
