@@ -120,3 +120,19 @@ def a32(spark, sf_dir):
         F.when(flag == "A", "yellow").when(flag == "N", "white").otherwise("black").alias("accent"), F.col("l_linestatus").alias("mode"), F.col("l_tax").alias("face"),
     )
     return style.habits(rows, "channel", least_text=0.05)
+
+
+@query(
+    "s7_seed_channels",
+    "SELECT c_nationkey AS book, 'c' || c_custkey AS key, (c_nationkey * 1.5)::DOUBLE AS at_, (c_custkey % 3)::BIGINT AS videos FROM customer WHERE c_custkey % 5 > 0 AND c_custkey % 7 > 0 AND c_nationkey <> 3",
+)
+def s7(spark, sf_dir):
+    """A nation's customers as shipped channels; some have no key that is a text, some no videos, one set is cut short."""
+    rows = table(spark, sf_dir, "customer")
+    key = F.when(F.col("c_custkey") % 5 == 0, F.col("c_custkey").cast("string")).otherwise(F.concat(F.lit('"c'), F.col("c_custkey").cast("string"), F.lit('"')))
+    some = F.array_join(F.slice(F.array(F.lit('"a": {}'), F.lit('"b": {}')), F.lit(1), (F.col("c_custkey") % 3).cast("int")), ", ")
+    videos = F.when(F.col("c_custkey") % 7 == 0, F.lit("[]")).otherwise(F.concat(F.lit("{"), some, F.lit("}")))
+    cell = F.concat(F.lit('{"key": '), key, F.lit(', "videos": '), videos, F.lit("}"))
+    docs = rows.groupBy(F.col("c_nationkey").alias("book")).agg(F.concat(F.lit('{"at": '), (F.first("c_nationkey") * 1.5).cast("string"), F.lit(', "channels": [5, '), F.array_join(F.collect_list(cell), ", "), F.lit("]}")).alias("text"))
+    text = F.when(F.col("book") == 3, F.expr("substring(text, 1, length(text) - 2)")).otherwise(F.col("text"))
+    return registries.seed_channels(docs.select("book", text.alias("text")), "text").select("book", "key", F.col("at").alias("at_"), "videos")

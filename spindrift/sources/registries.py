@@ -63,3 +63,15 @@ def put_uploads(history: DataFrame, fresh: DataFrame, keys: list[str], most: int
     rest = [c for c in history.columns if c not in (*keys, "video")]
     latest = history.unionByName(fresh).groupBy(*keys, "video").agg(F.max(F.struct("at", *[c for c in rest if c != "at"])).alias("_u")).select(*keys, "video", "_u.*")
     return newest_n(latest, keys, [F.desc("at"), "video"], most).select(*history.columns, "place")
+
+
+def seed_channels(docs: DataFrame, text: str) -> DataFrame:
+    """A shipped set of channels (JSON: at, channels, each with key and videos, an object) -> the other columns, ``at, key, channel``
+    (JSON) and ``videos``, how many.  Entries without a key or videos are passed over; of a key's the last stays; a document that
+    is none gives no rows."""
+    others = [c for c in docs.columns if c != text]
+    good, _ = split_documents(docs, text, "at double, channels array<variant>")
+    rows = good.select(*others, "at", F.posexplode(F.coalesce("channels", F.array().cast("array<variant>"))).alias("_i", "_v")).where(F.schema_of_variant("_v").startswith("OBJECT"))
+    key, videos = F.try_variant_get("_v", "$.key", "variant"), F.try_variant_get("_v", "$.videos", "map<string, variant>")
+    rows = rows.where(F.schema_of_variant(key) == "STRING").select(*others, "at", "_i", F.try_variant_get("_v", "$.key", "string").alias("key"), F.to_json("_v").alias("channel"), F.size(videos).cast("long").alias("videos"), videos.isNotNull().alias("_ok")).where("_ok")
+    return rows.groupBy(*others, "key").agg(F.max_by(F.struct("at", "channel", "videos"), "_i").alias("_c")).select(*others, "key", "_c.*")

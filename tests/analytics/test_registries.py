@@ -74,3 +74,9 @@ def test_habits(spark):
 def test_normal_cdf(spark):
     rows = QUERIES["n8_normal_cdf"](spark, "/root/testdata/sf0.01").collect()
     assert len(rows) > 1000 and all(abs(r.p - 0.5 * (1 + math.erf(r.z / math.sqrt(2)))) < 1e-7 for r in rows)
+
+
+def test_seed_channels(spark):
+    texts = [(1, '{"at": 2.5, "channels": [{"key": "a", "videos": {"x": {}}}, {"key": 3, "videos": {}}, {"key": "b", "videos": []}, "c", null, {"key": "a", "videos": {}}]}'), (2, "{}"), (3, "[]"), (4, None)]
+    got = registries.seed_channels(spark.createDataFrame(texts, "id int, t string"), "t").collect()
+    assert [(r.id, r.key, r["at"], r.videos) for r in got] == [(1, "a", 2.5, 0)]
