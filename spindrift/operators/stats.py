@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .relational import joined
+
 
 def median(col: str | Column) -> Column:
     """Mean of the two middle values."""
@@ -32,13 +34,34 @@ def valid(col: str) -> Column:
     return c.isNotNull() & (c > 0) & ~F.isnan(c) & (c < float("inf"))
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], bins: int = 1024) -> DataFrame:
+    """keys, share, quantile: linearly interpolated quantiles, as ``percentile`` gives, for keys that hold very many rows.
+
+    A first pass counts each key's values in ``bins`` cells between its least and greatest one; running sums of these counts
+    tell in which cells the wanted ranks lie, and a second pass sorts only the rows of these cells, cell by cell.  Null and
+    NaN values do not count."""
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*keys, F.col(value).cast("double").alias("_v"))
+    ends = rows.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0).cast("long")
+    rows = joined(rows, ends, keys).select(*keys, "_v", cell.alias("_cell"))
+    upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+    asked = ends.select(*keys, F.explode(F.array(*[F.lit(float(p)) for p in shares])).alias("share"), "_n").withColumn("_at", F.col("share") * (F.col("_n") - 1))
+    asked = asked.select(*keys, "share", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_rank"))
+    placed = joined(asked, counts, keys).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+    few = placed.select(*keys, "_cell", "_before").distinct()
+    near = joined(rows, few, [*keys, "_cell"]).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy(*keys, "_cell").orderBy("_v")) - 1)
+    found = joined(placed.select(*keys, "share", "_at", "_rank"), near.select(*keys, "_rank", "_v"), [*keys, "_rank"])
+    low, high = F.min("_v"), F.max("_v")
+    return found.groupBy(*keys, "share", "_at").agg((low + (high - low) * (F.col("_at") - F.floor("_at"))).alias("quantile")).drop("_at")
+
+
 def robust_z(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """``z`` = (value - median) / (1.4826 MAD + 0.001) within each key; medians come by aggregation and join."""
-    med = df.groupBy(*keys).agg(median(value).alias("_med"))
-    near = df.join(med, list(keys)).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
-    mad = med.join(near.groupBy(*keys).agg(median("_off").alias("_mad")), list(keys))
-    out = df.join(mad, list(keys)).withColumn("z", (F.col(value) - F.col("_med")) / (1.4826 * F.col("_mad") + 1e-3))
-    return out.drop("_med", "_mad")
+    """``z`` = (value - median) / (1.4826 MAD + 0.001) within each key; medians by counts of cells, then joined."""
+    middle = lambda rows, c, name: exact_quantiles(rows, keys, c, [0.5]).select(*keys, F.col("quantile").alias(name))
+    near = joined(df, middle(df, value, "_med"), keys).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
+    out = joined(near, middle(near, "_off", "_mad"), keys).withColumn("z", (F.col(value) - F.col("_med")) / (1.4826 * F.col("_mad") + 1e-3))
+    return out.drop("_med", "_mad", "_off")
 
 
 def neighbour_residual(df: DataFrame, *, keys: Sequence[str], order: Sequence, value: str, reach: int = 5) -> DataFrame:

@@ -56,9 +56,8 @@ def a7(spark, sf_dir):
     "WITH d AS (SELECT event_type AS fmt, quantile_cont(value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS q FROM events GROUP BY 1) SELECT fmt, k::BIGINT AS decile, round(q[k], 6) AS value FROM d, range(1, 10) r(k)",
 )
 def a2(spark, sf_dir):
-    q = F.percentile("views", F.array(*[F.lit(k / 10) for k in range(1, 10)]))
-    rows = videos(spark, sf_dir).groupBy("fmt").agg(q.alias("q"))
-    return rows.select("fmt", F.posexplode("q").alias("k", "value")).select("fmt", (F.col("k") + 1).cast("long").alias("decile"), R("value").alias("value"))
+    got = stats.exact_quantiles(videos(spark, sf_dir), ["fmt"], "views", [k / 10 for k in range(1, 10)])
+    return got.select("fmt", F.round(F.col("share") * 10).cast("long").alias("decile"), R("quantile").alias("value"))
 
 
 @query("a3_index_quantile", f"WITH {VIDEOS} SELECT channel, fmt, list_sort(list(views))[(floor(count(*) * 0.5) + 1)::INT] AS upper_median, list_sort(list(views))[(floor(count(*) * 0.75) + 1)::INT] AS p75 FROM v WHERE pos < 30 GROUP BY channel, fmt")

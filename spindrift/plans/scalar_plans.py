@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.text import tokens
+from ..operators import stats
 from ..operators.relational import numbered
 from ..sources.tables import ALL_TITLES, table, titles
 from .registry import query
@@ -80,11 +81,14 @@ def n9(spark, sf_dir):
     "WITH d AS (SELECT user_id AS channel, list_transform(quantile_cont(value, [0.25, 0.5, 0.75]), lambda x: greatest(x, 0.05)) AS q FROM events GROUP BY 1), b AS (SELECT list_transform(quantile_cont(value, [0.25, 0.5, 0.75]), lambda x: greatest(x, 0.05)) AS q FROM events) SELECT channel, round((abs(ln(d.q[1] / b.q[1])) + abs(ln(d.q[2] / b.q[2])) + abs(ln(d.q[3] / b.q[3]))) / 3, 6) AS w FROM d, b",
 )
 def n10(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    whole = [float(x) for x in rows.agg(q).first()[0] or [1, 1, 1]]
-    each = rows.groupBy(F.col("user_id").alias("channel")).agg(q.alias("q"))
-    return each.select("channel", R(numbers.decile_distance(F.col("q"), F.array(*map(F.lit, whole)), 0.05)).alias("w"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), "value", F.lit("all").alias("every"))
+
+    def quarters(key):
+        found = stats.exact_quantiles(rows, [key], "value", [0.25, 0.5, 0.75])
+        return found.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("share", "quantile"))), lambda x: x["quantile"]).alias("q"))
+
+    whole = F.broadcast(quarters("every").select(F.col("q").alias("whole")))  # one row
+    return quarters("channel").crossJoin(whole).select("channel", R(numbers.decile_distance(F.col("q"), F.col("whole"), 0.05)).alias("w"))
 
 
 @query("f13_url_key", r"SELECT page_id AS id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL")

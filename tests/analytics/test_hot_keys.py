@@ -2,7 +2,10 @@
 
 import random
 
+import numpy as np
+
 from spindrift.operators.relational import with_previous
+from spindrift.operators.stats import exact_quantiles
 from spindrift.plans.catalogue import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +38,15 @@ def test_previous_times_over_buckets(spark):
         own = sorted(t for key, t in rows if key == k)
         want += [(str(k), t, own[i - 1] if i else -1) for i, t in enumerate(own)]
     assert got == sorted(want)
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = random.Random(7)
+    rows = [("a", rng.gauss(0, 1) ** 3) for _ in range(3000)] + [("b", float(rng.randrange(3))) for _ in range(500)] + [("c", 5.0)] * 4 + [("d", 1.0), ("e", None), ("f", float("nan")), (None, 2.0), (None, 4.0)]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {(r.k, r.share): r.quantile for r in exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", shares, bins=64).collect()}
+    want = {}
+    for k in ("a", "b", "c", "d", None):
+        own = [v for key, v in rows if key == k]
+        want |= {(k, p): float(q) for p, q in zip(shares, np.quantile(own, shares))}
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
