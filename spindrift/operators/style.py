@@ -6,8 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numbers import decile_distance, log_ratio, relative
+from .intervals import merge_intervals
+from .relational import in_blocks, joined, numbered
+from .stats import exact_quantiles
 
 #: The parts, their weights with a single reference, the least spread, the greatest share of a part.
 PARTS = ["rhythm", "zoom", "pauses", "captions", "sound"]
@@ -139,3 +143,47 @@ def habits(pictures: DataFrame, key: str, least_text: float = 0.0) -> DataFrame:
     for part in parts:
         out = out.join(part, key, "left")
     return out
+
+
+#: The shares at which lengths are compared, what stands in where a profile has none of its kind.
+TENTHS = [round(0.05 + 0.1 * k, 2) for k in range(QUANTILES)]
+NO_PAUSE, NO_ZOOM = 0.4, 1.2
+
+
+def _lengths(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key, <name>_deciles of ``length``, and how many."""
+    found = exact_quantiles(rows, [key], "length", TENTHS)
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("share", F.round("quantile", 2).alias("q")))), lambda x: x["q"])
+    return found.groupBy(key).agg(cells.alias(f"{name}_deciles"))
+
+
+def timeline_profiles(lengths: DataFrame, cuts: DataFrame, zooms: DataFrame, silences: DataFrame, captions: DataFrame, *, key: str = "video", bucket: float = 600.0) -> DataFrame:
+    """key, profile (as ``PROFILE``): a style profile of each recording's timeline.
+
+    ``lengths``: key, dur, lufs.  ``cuts``: key, at.  ``zooms``: key, at, scale.  ``silences``: key, a, b.  ``captions``: key, a, b, color, pos.
+    Shots lie between 0, the cuts and the end; captions cover what their spans do together; colour and place are those that
+    stand longest (ties: by name).  Lengths' quantiles come by counts of cells, so long recordings are dealt out."""
+    base = lengths.where("dur > 0").select(key, F.col("dur").cast("double").alias("duration"), "lufs")
+    marks = joined(cuts.select(key, F.col("at").cast("double").alias("at")).distinct(), base, [key]).where((F.col("at") > 0) & (F.col("at") < F.col("duration"))).select(key, "at")
+    every = marks.unionByName(base.select(key, F.explode(F.array(F.lit(0.0), F.col("duration"))).alias("at")))
+    rows = in_blocks(numbered(every, [key], "at", ["at"], bucket, number="num"), "num", back=0, ahead=1)
+    shots = rows.withColumn("length", F.lead("at").over(Window.partitionBy(key, "_block").orderBy("num")) - F.col("at")).where("_mine and length is not null").select(key, "length")
+    pauses = silences.select(key, F.greatest(F.lit(0.0), (F.col("b") - F.col("a")).cast("double")).alias("length"))
+    shot = shots.groupBy(key).agg(F.avg("length").alias("avg_shot"), (F.count(F.lit(1)) - 1).alias("_cuts"))
+    middle = exact_quantiles(shots, [key], "length", [0.5]).select(key, F.col("quantile").alias("median_shot"))
+    zoom = zooms.groupBy(key).agg(F.count(F.lit(1)).alias("_zooms"), F.avg(F.when(F.col("scale") > 1, F.col("scale"))).alias("avg_zoom"))
+    many = pauses.groupBy(key).agg(F.count(F.lit(1)).alias("pauses"), F.sum("length").alias("_silent"))
+    ranked = joined(numbered(pauses, [key], "length", ["length"], 0.5, number="_k"), many, [key])
+    upper = ranked.where(F.col("_k") == F.floor(F.col("pauses") * 0.75) + 1).select(key, F.col("length").alias("pause_p75"))
+    shown = merge_intervals(captions, keys=[key], start="a", stop="b", bucket=bucket).groupBy(key).agg(F.sum(F.col("stop") - F.col("start")).alias("_shown"))
+    stands = lambda c: captions.where(F.col(c).isNotNull()).groupBy(key, c).agg(F.sum(F.col("b") - F.col("a")).alias("_t")).groupBy(key).agg(F.max_by(c, F.struct("_t", c)).alias(f"caption_{c}"))
+    out = base
+    for part in (shot, middle, _lengths(shots, key, "shot"), zoom, many, upper, _lengths(pauses, key, "pause"), shown, stands("color"), stands("pos")):
+        out = out.join(part, key, "left")
+    rate = lambda c: F.round(F.coalesce(c, F.lit(0)) * 60 / F.col("duration"), 2)
+    cells = {
+        "duration": F.round("duration", 1), "cuts_per_min": rate("_cuts"), "shot_deciles": F.col("shot_deciles"), "avg_shot": F.round("avg_shot", 2), "median_shot": F.round("median_shot", 2), "zooms_per_min": rate("_zooms"), "avg_zoom": F.round(F.coalesce("avg_zoom", F.lit(NO_ZOOM)), 2),
+        "pauses": F.coalesce("pauses", F.lit(0)).cast("double"), "pause_deciles": F.coalesce("pause_deciles", F.array().cast("array<double>")), "pause_p75": F.round(F.coalesce("pause_p75", F.lit(NO_PAUSE)), 2), "silence": F.round(F.coalesce("_silent", F.lit(0.0)) / F.col("duration"), 3),
+        "captions": F.round(F.coalesce("_shown", F.lit(0.0)) / F.col("duration"), 2), "caption_color": F.col("caption_color"), "caption_pos": F.col("caption_pos"), "lufs": F.col("lufs").cast("double"),
+    }
+    return out.select(key, F.struct(*[cells[f.split()[0]].alias(f.split()[0]) for f in PROFILE.split(", ")]).alias("profile"))

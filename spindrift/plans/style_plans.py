@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import style
-from ..sources.tables import table
+from ..sources.tables import VIDEOS, table, videos
 from .registry import query
 
 #: Eight vectors in a row are a style: the first is the target, three are its references, the others candidates.
@@ -82,3 +82,29 @@ def n11(spark, sf_dir):
     got = style.style_distance(rows.where("role = 0"), rows.where("role between 1 and 3"), rows.where("role >= 4"))
     cell = lambda c, i: F.round(F.get(c, F.lit(i)), 5)
     return got.select("key", "id", F.round("distance", 5).alias("distance"), cell("shares", 0).alias("rhythm_share"), cell("shares", 4).alias("sound_share"), cell("parts", 0).alias("rhythm"), cell("parts", 3).alias("captions"))
+
+
+_HOURS = "(pub - 1704067200000000) / 3600e6"
+
+
+@query(
+    "g5_timeline_profiles",
+    f"""WITH {VIDEOS}, e AS (SELECT channel AS video, fmt, views, {_HOURS} AS at_ FROM v), l AS (SELECT video, max(at_) + 1 AS dur FROM e GROUP BY 1), m AS (SELECT DISTINCT e.video, at_ FROM e JOIN l ON l.video = e.video WHERE fmt = 'view' AND at_ > 0 AND at_ < dur UNION ALL SELECT video, 0.0 FROM l UNION ALL SELECT video, dur FROM l),
+    s AS (SELECT video, lead(at_) OVER (PARTITION BY video ORDER BY at_) - at_ AS n FROM m QUALIFY n IS NOT NULL), p AS (SELECT video, views / 50 AS n FROM e WHERE fmt = 'click'), c AS (SELECT video, at_ AS a, at_ + 5 AS b, CASE WHEN views > 40 THEN 'red' ELSE 'white' END AS color FROM e WHERE fmt = 'purchase'),
+    c0 AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY video ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM c), c1 AS (SELECT *, sum(new) OVER (PARTITION BY video ORDER BY a ROWS UNBOUNDED PRECEDING) AS g FROM c0), c2 AS (SELECT video, sum(t) AS shown FROM (SELECT video, max(b) - min(a) AS t FROM c1 GROUP BY video, g) GROUP BY 1),
+    cc AS (SELECT video, arg_max(color, [t, CASE color WHEN 'white' THEN 1 ELSE 0 END]) AS color FROM (SELECT video, color, sum(b - a) AS t FROM c GROUP BY 1, 2) GROUP BY 1),
+    sa AS (SELECT video, avg(n) AS avg_shot, median(n) AS med, count(*) - 1 AS cuts FROM s GROUP BY 1), pa AS (SELECT video, count(*) AS pauses, sum(n) AS silent, list_sort(list(n))[(floor(count(*) * 0.75) + 1)::INT] AS p75 FROM p GROUP BY 1),
+    z AS (SELECT video, count(*) AS zooms, avg(CASE WHEN views / 40 > 1 THEN views / 40 END) AS scale FROM e WHERE fmt = 'signup' GROUP BY 1)
+    SELECT l.video, round(cuts * 60 / dur, 2) AS cuts_per_min, round(avg_shot, 2) AS avg_shot, round(med, 2) AS median_shot, 10 AS shot_deciles, round(coalesce(zooms, 0) * 60 / dur, 2) AS zooms_per_min, round(coalesce(scale, 1.2), 2) AS avg_zoom, coalesce(pauses, 0)::DOUBLE AS pauses, round(coalesce(p75, 0.4), 2) AS pause_p75,
+    round(coalesce(silent, 0) / dur, 3) AS silence, round(coalesce(shown, 0) / dur, 2) AS captions, color AS caption_color FROM l LEFT JOIN sa ON sa.video = l.video LEFT JOIN pa ON pa.video = l.video LEFT JOIN z ON z.video = l.video LEFT JOIN c2 ON c2.video = l.video LEFT JOIN cc ON cc.video = l.video""",
+)
+def g5(spark, sf_dir):
+    """A user's events as a timeline in hours: views are cuts, clicks pauses, purchases captions of five hours, signups zooms."""
+    at = (F.col("pub") - 1704067200000000) / 3600e6
+    rows = videos(spark, sf_dir).select(F.col("channel").alias("video"), "fmt", "views", at.alias("at"))
+    lengths = rows.groupBy("video").agg((F.max("at") + 1).alias("dur")).withColumn("lufs", F.lit(None).cast("double"))
+    pauses = rows.where("fmt = 'click'").select("video", F.lit(0.0).alias("a"), (F.col("views") / 50).alias("b"))
+    captions = rows.where("fmt = 'purchase'").select("video", F.col("at").alias("a"), (F.col("at") + 5).alias("b"), F.when(F.col("views") > 40, "red").otherwise("white").alias("color"), F.lit("bottom").alias("pos"))
+    zooms = rows.where("fmt = 'signup'").select("video", "at", (F.col("views") / 40).alias("scale"))
+    got = style.timeline_profiles(lengths, rows.where("fmt = 'view'").select("video", "at"), zooms, pauses, captions).select("video", "profile.*")
+    return got.select("video", "cuts_per_min", "avg_shot", "median_shot", F.size("shot_deciles").alias("shot_deciles"), "zooms_per_min", "avg_zoom", "pauses", "pause_p75", "silence", "captions", "caption_color")

@@ -124,3 +124,20 @@ def test_distances_equal_plain(spark):
             assert all((d is None and e is None) or math.isclose(d, e, abs_tol=1e-9) for d, e in zip(x.parts, parts)), (x.parts, parts)
             assert all(math.isclose(s, e, abs_tol=1e-9) for s, e in zip(x.shares, shares)) and math.isclose(x.distance, distance, abs_tol=1e-9)
             assert abs(x.score - 100 * (1 - distance)) <= 0.5 + 1e-6
+
+
+def test_profiles_from_a_timeline(spark):
+    make = lambda rows, schema: spark.createDataFrame(rows, schema)
+    lengths = make([(1, 60.0, -14.5), (2, 30.0, None), (3, 0.0, None)], "video int, dur double, lufs double")
+    cuts = make([(1, 10.0), (1, 30.0), (1, 30.0), (1, 70.0), (1, -2.0)], "video int, at double")
+    zooms = make([(1, 5.0, 1.5), (1, 6.0, 0.9)], "video int, at double, scale double")
+    silences = make([(1, 1.0, 2.0), (1, 4.0, 4.5), (1, 8.0, 11.0), (1, 20.0, 20.25)], "video int, a double, b double")
+    captions = make([(1, 0.0, 10.0, "#fff", "top"), (1, 5.0, 20.0, "#f00", "bottom"), (1, 40.0, 46.0, "#fff", None)], "video int, a double, b double, color string, pos string")
+    got = {r.video: r.profile for r in style.timeline_profiles(lengths, cuts, zooms, silences, captions).collect()}
+    assert set(got) == {1, 2}
+    p = got[1]
+    assert (p.duration, p.cuts_per_min, p.avg_shot, p.median_shot, p.zooms_per_min, p.avg_zoom) == (60.0, 2.0, 20.0, 20.0, 2.0, 1.5)
+    assert (p.pauses, p.pause_p75, p.silence, p.captions, p.caption_color, p.caption_pos, p.lufs) == (4.0, 3.0, 0.079, 0.43, "#fff", "bottom", -14.5)
+    assert p.shot_deciles == [11.0, 13.0, 15.0, 17.0, 19.0, 21.0, 23.0, 25.0, 27.0, 29.0] and len(p.pause_deciles) == 10
+    q = got[2]
+    assert (q.cuts_per_min, q.avg_shot, q.avg_zoom, q.pauses, q.pause_p75, q.pause_deciles, q.captions, q.caption_color) == (0.0, 30.0, 1.2, 0.0, 0.4, [], 0.0, None)
