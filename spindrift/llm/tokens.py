@@ -26,8 +26,9 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r !-~{_LETTER}]*")
 _WORD_RX = re.compile(rf"[{_LETTER}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTER}0-9]+")
 _BYTE_RX = re.compile(rf" ?[{_LETTER}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
-#: Entries that a worker keeps (some 200 bytes each); beyond that, it starts again.
-_CACHE_LIMIT = 200_000
+#: Entries that a worker keeps (some 200 bytes each); beyond that, it starts again.  Shards hold nothing but ids, which
+#: leaves room for more words there.
+_CACHE_LIMIT = {WORD_FILE: 600_000, BYTE_FILE: 200_000}
 _CACHED_CHARS = 64  # longer pieces are not kept
 
 
@@ -79,14 +80,14 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(public_tokenizers.path(file))
         self.lower = file == WORD_FILE
         self.rx = _WORD_RX if self.lower else _BYTE_RX
-        self.chunks = _Pieces(self.tok.model, self.rx)
+        self.chunks, self.most = _Pieces(self.tok.model, self.rx), _CACHE_LIMIT[file]
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``None`` counts as the empty text."""
-        if len(self.chunks) > _CACHE_LIMIT:
+        if len(self.chunks) > self.most:
             self.chunks.clear()
         parts: list[list[str]] = []
         odd: dict[int, np.ndarray] = {}
