@@ -79,9 +79,9 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             one = (x >> x.dtype.type(level)) & x.dtype.type(1) != 0
             planes.append(Plane.of(one))
-            low = x[~one]
+            low = np.flatnonzero(~one)  # places are quicker than a mask of bits in no order
             zeros.append(len(low))
-            x = np.concatenate([low, x[one]])
+            x = np.concatenate([x[low], x[np.flatnonzero(one)]])
         return cls(len(ids), planes, zeros)
 
     def to_bytes(self) -> bytes:
@@ -171,9 +171,9 @@ class WaveletMatrix:
             one = np.unpackbits(self.planes[level].whole(), count=self.n, bitorder="little").view(bool)
             weight = 1 << (len(self.planes) - 1 - level)
             y = np.empty(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
-            z = self.zeros[level]
-            y[~one] = 0 if x is None else x[:z]
-            y[one] = (0 if x is None else x[z:]) + y.dtype.type(weight)
+            z, low, high = self.zeros[level], np.flatnonzero(~one), np.flatnonzero(one)
+            y[low] = 0 if x is None else x[:z]
+            y[high] = (0 if x is None else x[z:]) + y.dtype.type(weight)
             x = y
         return (x if x is not None else np.zeros(0)).astype(np.uint32)
 
