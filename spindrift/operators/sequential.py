@@ -11,7 +11,8 @@ from collections.abc import Callable, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
@@ -72,6 +73,17 @@ def suppress(boxes: Sequence[tuple[float, float, float, float]], score: Sequence
     return kept
 
 
+def suppressed(boxes: str, w: float, h: float, most: float) -> Column:
+    """As ``suppress``, of an array of structs (x, y, ...) in order, best first, all boxes ``w`` by ``h``: those kept."""
+
+    def covers(a: Column, b: Column) -> Column:
+        side = lambda c, n: F.greatest(F.lit(0), F.least(a[c], b[c]) + n - F.greatest(a[c], b[c]))
+        shared = side("x", w) * side("y", h)
+        return shared / (2 * w * h - shared) > most
+
+    return F.aggregate(boxes, F.slice(boxes, 1, 0), lambda kept, b: F.when(F.exists(kept, lambda a: covers(a, b)), kept).otherwise(F.array_append(kept, b)))
+
+
 def iou(a: tuple[float, float, float, float], b: tuple[float, float, float, float]) -> float:
     w = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
     h = max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))

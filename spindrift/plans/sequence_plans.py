@@ -65,15 +65,18 @@ _IOU = "greatest(0, least(b.x, x) + 20 - greatest(b.x, x)) * greatest(0, least(b
     SELECT l_orderkey, unnest(list_transform(arg_max(kept, k), lambda b: b.n)) AS l_linenumber FROM g GROUP BY 1""",
 )
 def j19(spark, sf_dir):
-    """Boxes of an order's lines (a few each), without those that a better one covers."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = [(q, 100 * d, 20.0, 10.0) for q, d in zip(pdf["l_quantity"], pdf["l_discount"])]
-        kept = sequential.suppress(boxes, pdf["l_extendedprice"].tolist(), 0.3)
-        return pdf.loc[kept, ["l_orderkey", "l_linenumber"]]
-
-    return sequential.per_group(rows, ["l_orderkey"], ["l_linenumber"], "l_orderkey long, l_linenumber int", keep)
+    """Boxes of an order's lines, without those that a better one covers.
+
+    Of lines with the same box only the best can stay, so an order's array has each box once, however many lines it has
+    (boxes with a null stay apart: they share nothing with their like)."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), (100 * F.col("l_discount")).alias("y"), F.col("l_extendedprice").cast("double").alias("score"))
+    last = F.struct(F.col("score").isNull(), ~F.isnan("score"), -F.col("score"), F.col("l_linenumber").isNull(), "l_linenumber").alias("place")
+    apart = F.when(F.col("x").isNull() | F.col("y").isNull(), F.col("l_linenumber")).alias("apart")
+    boxes = rows.groupBy("l_orderkey", "x", "y", apart).agg(F.min(last).alias("place"))
+    ranked = boxes.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("place", "x", "y"))).alias("lines"))
+    kept = sequential.suppressed("lines", 20, 10, 0.3)
+    kept = F.when(F.col("l_orderkey").isNull(), F.slice(kept, 1, 1)).otherwise(kept)
+    return ranked.select("l_orderkey", F.explode(kept).alias("kept")).select("l_orderkey", F.col("kept.place.l_linenumber").alias("l_linenumber"))
 
 
 def _turns(spark, sf_dir, by, back):
