@@ -14,6 +14,14 @@ def keep_valid(df: DataFrame, c: str) -> DataFrame:
     return df.where((F.col(c) > 0) & ~F.isnan(c) & (F.col(c) < float("inf")))
 
 
+def rounded(c: str | Column, places: int) -> Column:
+    """To so many places by the double's own value, as SQL databases and the reference do: 1.025, which lies below it, gives
+    1.02, where ``F.round`` goes by the shortest decimals that name it."""
+    c = F.col(c) if isinstance(c, str) else c
+    got = F.round(c * 10.0**places) / 10.0**places
+    return F.when(F.isnan(got) | (F.abs(got) == float("inf")), c).otherwise(got)
+
+
 def safe_int(c: Column) -> Column:
     """A whole number from 0 up, else null."""
     n = c.try_cast("bigint")

@@ -11,10 +11,13 @@ from .relational import in_blocks, newest_n, numbered
 SHORTEST = 0.8  # seconds of a segment below which a voice cannot be told
 
 
-def speaker_shares(segments: DataFrame, bucket: float = 600.0) -> DataFrame:
+def speaker_shares(segments: DataFrame, bucket: float = 600.0, seconds: Column | None = None) -> DataFrame:
     """key, label, share, seconds, speakers, turns_per_minute: of the segments (key, start, end, label) long enough, how much of
-    the time each speaker has, and how often the word goes to another in a minute between the first and the last."""
-    rows = segments.where(F.col("label").isNotNull() & (F.col("end") - F.col("start") >= SHORTEST)).select("key", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "label")
+    the time each speaker has, and how often the word goes to another in a minute between the first and the last.
+
+    ``seconds``: a segment's length where it is known; end - start falls a little short of it far from 0."""
+    length = F.round(F.col("end") - F.col("start"), 6) if seconds is None else seconds
+    rows = segments.where(F.col("label").isNotNull() & F.col("start").isNotNull() & (length >= SHORTEST)).select("key", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "label")
     near = in_blocks(numbered(rows, ["key"], "start", ["start", "end", "label"], bucket, number="num"), "num", back=1, ahead=0)
     before = F.lag("label").over(Window.partitionBy("key", "_block").orderBy("num"))
     near = near.withColumn("_turn", F.coalesce(before != F.col("label"), F.lit(False))).where("_mine")

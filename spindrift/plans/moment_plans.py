@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..operators import moments, talk
 from ..sources.tables import DAY, HOUR, VIDEOS, table, videos
 from .registry import query
@@ -141,10 +142,10 @@ def w11_tracks(spark, sf_dir):
 )
 def a34_seconds(spark, sf_dir):
     """Turns as segments: one begins every minute and takes a second for twenty characters."""
-    start = F.col("turn") * 60.0
-    rows = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("key"), start.alias("start"), (start + F.length("text") / 20.0).alias("end"), F.col("role").alias("label"))
-    got = talk.speaker_shares(rows)
-    return got.select("key", "label", F.round("share", 6).alias("share"), F.round("seconds", 4).alias("seconds"), "speakers", F.round("turns_per_minute", 6).alias("turns_per_minute"))
+    start, said = F.col("turn") * 60.0, F.length("text") / 20.0
+    rows = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("key"), start.alias("start"), (start + said).alias("end"), said.alias("said"), F.col("role").alias("label"))
+    got = talk.speaker_shares(rows, seconds=F.col("said"))
+    return got.select("key", "label", rounded("share", 6).alias("share"), rounded("seconds", 4).alias("seconds"), "speakers", rounded("turns_per_minute", 6).alias("turns_per_minute"))
 
 
 @query(

@@ -25,3 +25,9 @@ def test_boxes_of_a_long_order_and_of_nulls(spark, tmp_path):
     tables = {"lineitem": ("l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_extendedprice double", rows)}
     got, want = both(spark, tmp_path, "j19_box_suppression", tables)
     assert got == want and len(want) > 100
+
+
+def test_a_segment_just_long_enough_counts_late_as_well(spark, tmp_path):
+    rows = [(c, t, "user" if t % 2 else "assistant", "x" * n) for c in range(40) for t, n in enumerate((40, 16, 15, 16 + c))]
+    got, want = both(spark, tmp_path, "a34_speaker_seconds", {"conversations": ("conv_id long, turn int, role string, text string", rows)})
+    assert got == want and {r[1] for r in want} == {"user", "assistant"}
