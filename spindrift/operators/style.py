@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numbers import decile_distance, log_ratio, relative
+from ..functions.numbers import decile_distance, log_ratio, relative, rounded
 from .intervals import merge_intervals
 from .relational import in_blocks, joined, numbered
 from .stats import exact_quantiles
@@ -153,7 +153,7 @@ NO_PAUSE, NO_ZOOM = 0.4, 1.2
 def _lengths(rows: DataFrame, key: str, name: str) -> DataFrame:
     """key, <name>_deciles of ``length``, and how many."""
     found = exact_quantiles(rows, [key], "length", TENTHS)
-    cells = F.transform(F.array_sort(F.collect_list(F.struct("share", F.round("quantile", 2).alias("q")))), lambda x: x["q"])
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("share", rounded("quantile", 2).alias("q")))), lambda x: x["q"])
     return found.groupBy(key).agg(cells.alias(f"{name}_deciles"))
 
 
@@ -180,10 +180,10 @@ def timeline_profiles(lengths: DataFrame, cuts: DataFrame, zooms: DataFrame, sil
     out = base
     for part in (shot, middle, _lengths(shots, key, "shot"), zoom, many, upper, _lengths(pauses, key, "pause"), shown, stands("color"), stands("pos")):
         out = out.join(part, key, "left")
-    rate = lambda c: F.round(F.coalesce(c, F.lit(0)) * 60 / F.col("duration"), 2)
+    rate = lambda c: rounded(F.coalesce(c, F.lit(0)) * 60 / F.col("duration"), 2)
     cells = {
-        "duration": F.round("duration", 1), "cuts_per_min": rate("_cuts"), "shot_deciles": F.col("shot_deciles"), "avg_shot": F.round("avg_shot", 2), "median_shot": F.round("median_shot", 2), "zooms_per_min": rate("_zooms"), "avg_zoom": F.round(F.coalesce("avg_zoom", F.lit(NO_ZOOM)), 2),
-        "pauses": F.coalesce("pauses", F.lit(0)).cast("double"), "pause_deciles": F.coalesce("pause_deciles", F.array().cast("array<double>")), "pause_p75": F.round(F.coalesce("pause_p75", F.lit(NO_PAUSE)), 2), "silence": F.round(F.coalesce("_silent", F.lit(0.0)) / F.col("duration"), 3),
-        "captions": F.round(F.coalesce("_shown", F.lit(0.0)) / F.col("duration"), 2), "caption_color": F.col("caption_color"), "caption_pos": F.col("caption_pos"), "lufs": F.col("lufs").cast("double"),
+        "duration": rounded("duration", 1), "cuts_per_min": rate("_cuts"), "shot_deciles": F.col("shot_deciles"), "avg_shot": rounded("avg_shot", 2), "median_shot": rounded("median_shot", 2), "zooms_per_min": rate("_zooms"), "avg_zoom": rounded(F.coalesce("avg_zoom", F.lit(NO_ZOOM)), 2),
+        "pauses": F.coalesce("pauses", F.lit(0)).cast("double"), "pause_deciles": F.coalesce("pause_deciles", F.array().cast("array<double>")), "pause_p75": rounded(F.coalesce("pause_p75", F.lit(NO_PAUSE)), 2), "silence": rounded(F.coalesce("_silent", F.lit(0.0)) / F.col("duration"), 3),
+        "captions": rounded(F.coalesce("_shown", F.lit(0.0)) / F.col("duration"), 2), "caption_color": F.col("caption_color"), "caption_pos": F.col("caption_pos"), "lufs": F.col("lufs").cast("double"),
     }
     return out.select(key, F.struct(*[cells[f.split()[0]].alias(f.split()[0]) for f in PROFILE.split(", ")]).alias("profile"))

@@ -1,5 +1,6 @@
 """Queries against their SQL on tables made for a case that the driver's small tables do not hold."""
 
+import datetime
 import random
 
 import duckdb
@@ -31,3 +32,11 @@ def test_a_segment_just_long_enough_counts_late_as_well(spark, tmp_path):
     rows = [(c, t, "user" if t % 2 else "assistant", "x" * n) for c in range(40) for t, n in enumerate((40, 16, 15, 16 + c))]
     got, want = both(spark, tmp_path, "a34_speaker_seconds", {"conversations": ("conv_id long, turn int, role string, text string", rows)})
     assert got == want and {r[1] for r in want} == {"user", "assistant"}
+
+
+def test_profiles_round_by_the_value_itself(spark, tmp_path):
+    start = datetime.datetime(2024, 1, 1)
+    at = lambda h: start + datetime.timedelta(hours=h)
+    rows = [(8 * u + i, at(3 * i + u % 5), u, kind, v) for u in range(60) for i, (kind, v) in enumerate([("view", 9.0), ("click", 50 + u / 4), ("click", 50 + u / 4), ("purchase", 45.0), ("signup", 44.0 + u / 5), ("view", 2.0), ("purchase", 1.0)])]
+    got, want = both(spark, tmp_path, "g5_timeline_profiles", {"events": ("event_id long, ts timestamp_ntz, user_id long, event_type string, value double", rows)})
+    assert got == want and {r[8] for r in want} >= {1.02, 1.06}  # of 1.025 and 1.065
