@@ -50,7 +50,8 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     """a, b, distance of ``prints`` (id, hash; each hash once) at most ``APART`` bits apart, a < b.
 
     Of four bands of 16 bits one differs in a bit at most, so one side is sent by its bands, the other by its bands and
-    all that differ in one bit; the pair is taken in the first band that brings it together."""
+    all that differ in one bit; the pair is taken in the first band that brings it together.  Both sides are shuffled: by the
+    size of the table that they are read from, Spark would take one for small and build it on the driver."""
     bands = F.array(*[F.shiftrightunsigned("hash", BITS * i).bitwiseAND(F.lit((1 << BITS) - 1)) for i in range(BANDS)])
     rows = prints.withColumn("f", bands)
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(BITS)])
@@ -63,5 +64,5 @@ def near_pairs(prints: DataFrame) -> DataFrame:
     for i in reversed(range(BANDS)):
         part = F.bit_count(F.shiftrightunsigned(differ, BITS * i).bitwiseAND(F.lit((1 << BITS) - 1)))
         first = F.when(part <= 1, i).otherwise(first)
-    pairs = left.join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (distance <= APART) & (first == F.col("band")))
+    pairs = left.hint("merge").join(right, ["band", "key"]).where((F.col("a") < F.col("b")) & (distance <= APART) & (first == F.col("band")))
     return pairs.select("a", "b", distance.alias("distance"))

@@ -51,3 +51,11 @@ def test_edited_copies_are_near_and_no_band_is_hot(spark):
     edited = words[:10] + ["other"] + words[11:]
     a, b = (plain([w.encode() for w in x]) for x in (words, edited))
     assert ((a ^ b) & (2**64 - 1)).bit_count() <= 7
+
+
+def test_the_join_builds_nothing_on_the_driver(spark, tmp_path):
+    spark.createDataFrame([(1, 2), (2, 3)], "id long, hash long").write.parquet(str(tmp_path / "prints"))
+    pairs = fp.near_pairs(spark.read.parquet(str(tmp_path / "prints")))
+    assert len(pairs.collect()) == 1
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
