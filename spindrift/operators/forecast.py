@@ -15,23 +15,28 @@ from .relational import joined, numbered
 
 WEEKS, SEED = 52, 7
 SLOPE = (0.0, 1.0)
+DRAWS = 2_000_000  # that one task joins with their peers, about
 
 
 def bootstrap(peers: DataFrame, samples: int = 100, seed: int = SEED) -> DataFrame:
     """peers (fmt, x, y) -> fmt, sample, a, b, tau.  Each format is calibrated by itself; sample 0 is its peers themselves, the
     others as many draws with replacement.
 
-    The k-th draw of a sample is the peer whose number a hash of (seed, format, sample, k) gives, so draws are counted per peer
-    and sample, joined with the peers and summed up: no format's peers ever meet in one row."""
+    The k-th draw of a sample is the peer whose number a hash of (seed, format, sample, k) gives, so draws are joined with the
+    peers in parts of bounded size and summed up: no format's peers ever meet in one row, and no task counts draws by peer."""
     known = peers.where("x is not null and y is not null").select("fmt", "x", "y")
     middle = known.groupBy("fmt").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
     rows = joined(numbered(known, ["fmt"], "x", ["x", "y"], 1, number="k"), middle, ["fmt"])
     rows = rows.select("fmt", "k", "n", "mx", "my", (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
-    drawn = rows.select("fmt", "n", "k", F.explode(F.sequence(F.lit(1), F.lit(samples - 1))).alias("sample")) if samples > 1 else rows.select("fmt", "n", "k", F.lit(1).alias("sample")).limit(0)
+    # draws of a part meet its peers: as many parts as hold DRAWS each, whatever the size of the formats
+    parts = max(1, -(-known.count() * max(samples - 1, 1) // DRAWS))
+    spread = rows.withColumn("_f", F.coalesce(F.concat(F.lit("="), "fmt"), F.lit(""))).repartition(parts, "_f", "k")  # null is a format as well
+    drawn = spread.select("fmt", "_f", "n", "k", F.explode(F.sequence(F.lit(1), F.lit(samples - 1))).alias("sample")) if samples > 1 else spread.select("fmt", "_f", "n", "k", F.lit(1).alias("sample")).limit(0)
     name = F.concat_ws("/", F.lit(str(seed)), "fmt", F.col("sample").cast("string"), F.col("k").cast("string"))
     pick = F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("long") % F.col("n") + 1
-    counts = drawn.groupBy("fmt", "sample", pick.alias("k")).agg(F.count(F.lit(1)).alias("w"))
-    every = joined(rows, counts, ["fmt", "k"]).unionByName(rows.withColumns({"sample": F.lit(0), "w": F.lit(1).cast("long")}))
+    drawn = drawn.select("_f", "sample", pick.alias("k")).repartition(parts, "_f", "k")
+    met = drawn.hint("merge").join(spread, ["_f", "k"]).drop("_f").withColumn("w", F.lit(1).cast("long"))
+    every = met.unionByName(rows.withColumns({"sample": F.lit(0), "w": F.lit(1).cast("long")}))
     w, x, y = F.col("w"), F.col("x"), F.col("y")
     sums = every.groupBy("fmt", "sample", "mx", "my").agg(F.sum(w).alias("n"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * y).alias("sxy"), F.sum(w * y * y).alias("syy"))
     n = F.col("n")

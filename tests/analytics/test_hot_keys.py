@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from spindrift.operators import forecast
 from spindrift.operators.relational import with_previous
 from spindrift.operators.stats import exact_quantiles
 from spindrift.plans.catalogue import QUERIES
@@ -50,3 +51,12 @@ def test_quantiles_equal_numpy(spark):
         own = [v for key, v in rows if key == k]
         want |= {(k, p): float(q) for p, q in zip(shares, np.quantile(own, shares))}
     assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_draws_of_the_bootstrap_meet_their_peers_in_parts(spark, monkeypatch):
+    """No step keeps a count for each peer and sample, and a task's share of the draws does not grow with the peers."""
+    monkeypatch.setattr(forecast, "DRAWS", 1000)
+    rows = [(fmt, float(i % 9), float(i % 7)) for fmt in ("a", None) for i in range(100)]
+    fits = forecast.bootstrap(spark.createDataFrame(rows, "fmt string, x double, y double"), samples=11)
+    assert {(r.fmt, r.sample) for r in fits.collect()} == {(f, s) for f in ("a", None) for s in range(11)}
+    assert "RepartitionByExpression [_f" in plan(fits)
