@@ -4,14 +4,19 @@ A text's 5-word shingles are labelled with their occurrence number, so repeats d
 2 labelled shingles of least hash and keeps them in text order; texts that share a sketch are candidates.  Two edited
 copies share one even if some passages differ, while texts with the same words in another order rarely do.  Of copies
 with a share e of their words replaced, (1-e)^5 of the shingles stay, and sketches of two still find 0.9 of those at
-e = 0.2.  A sketch that more than ``HOT_TEXTS`` texts have (of a passage that they share) gives way to the same with a
-third shingle: copies still meet by that, and by their other sketches.
+e = 0.2.  A sketch that more than ``HOT_TEXTS`` texts have (of a passage that they share) is compared by the same with a
+third shingle first; what these leave unconnected among its texts is then joined exactly (``_rest``).
 
 A candidate pair is verified on its words: edit distance within a band, similarity = 1 - distance / words of the longer
 text, at least 0.8.  The band is as wide as that distance, so it loses no pair.  Exact copies are one text from the
 start.  Each text is first aligned with one pivot: of the least texts of its sketches the one that most of them have;
 most are linked by that.  Only sketches whose texts are not connected then are worked through pair by pair, in tiles of
 bounded blocks, where pairs that are connected already, or that another sketch takes, are passed over.
+
+Texts of frequent sketches that are not connected by then are joined by their rarest pairs of words: so many edits as a
+link allows leave a known number of a text's word pairs in its partner, so two linked texts share one of the rarest, of
+which each has that many too few to miss it (prefix filter).  The passage itself is frequent, and so in no prefix of a
+text that is not nearly all passage.  This finds every link among these texts, whatever sketches they share.
 """
 
 from __future__ import annotations
@@ -24,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import U64, as_signed, bounded_batches, drop_tables, mix64, released, stage_table, text_slices
+from .common import U64, as_signed, bounded_batches, drop_tables, mix64, ragged_arange, released, stage_table, text_slices
 from .components import UnionFind, connected_components
 from .textkit import Words, shingles
 
@@ -36,6 +42,7 @@ PICKED = 2
 HOT_TEXTS = 256
 BLOCK_TEXTS = 512
 BLOCK_WORDS = 1 << 20
+CELLS = 512
 NO_ID = (1 << 63) - 1
 _ODD = np.random.default_rng(31).integers(1, 2**63, SKETCHES, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -221,6 +228,135 @@ def _tiles(similarity: float):
     return run
 
 
+def least_common(n: int, q: int, similarity: float) -> int:
+    """Least number of ``q``-word grams (a repeat counts again) that a text of ``n`` words shares with any similar text that is
+    no shorter than it, or, of itself, with any shorter one."""
+    longest = int(n / similarity + 1e-9)
+    return max(1, min(size - q + 1 - q * int((1 - similarity) * size + 1e-9) for size in range(n, longest + 1)))
+
+
+def _grams(similarity: float):
+    """rep, words -> one row per labelled gram: rep, gram and how many of the text's rarest grams it takes to meet its links."""
+    q = 2 if similarity >= 0.75 else 1
+    known: dict[int, int] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, grams, takes = [], [], []
+            for rep, raw in zip(batch.column("rep").to_pylist(), batch.column("words").to_pylist()):
+                w = np.frombuffer(raw, "<u4").astype(U64)
+                n = len(w)
+                if n not in known:
+                    known[n] = least_common(n, q, similarity) if n >= q else 1
+                g = np.sort(mix64(w[:-1] << U64(32) | w[1:]) if q == 2 and n > 1 else mix64(w + U64(1)))
+                new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+                nth = np.arange(len(g)) - np.repeat(new, np.diff(np.append(new, len(g))))
+                g = np.where(nth > 0, mix64(g + nth.astype(U64) * U64(0xC2B2AE3D27D4EB4F)), g)
+                reps.append(np.full(len(g), rep))
+                grams.append(as_signed(g))
+                takes.append(np.full(len(g), len(g) - known[n] + 1, np.int32))
+            if reps:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (reps, grams, takes)], names=["rep", "gram", "takes"])
+
+    return run
+
+
+def cells(words: np.ndarray, many: int = CELLS) -> np.ndarray:
+    """How many of a text's words fall in each of ``many`` cells of hashes (255: that or more)."""
+    return np.minimum(np.bincount((words >> np.uint32(8)) % np.uint32(many), minlength=many), 255).astype(np.uint8)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        flat = pa.array([cells(np.frombuffer(w, "<u4")).tobytes() for w in batch.column("words").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("part"), batch.column("n"), flat], names=["rep", "part", "n", "cells"])
+
+
+def _near(similarity: float):
+    """Rows by (key, i, j): pairs of a tile in two parts whose lengths and cells allow a link (an edit takes one word from each at most)."""
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, i, j, rep, part, n, block = (rows.column(k).to_numpy() for k in ("key", "i", "j", "rep", "part", "n", "block"))
+        at = np.frombuffer(b"".join(rows.column("cells").to_pylist()), np.uint8).reshape(len(rep), CELLS)
+        new = np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+        ahead = np.arange(len(rep)) - begin
+        upto = np.cumsum(ahead)
+        first = 0
+        while first < len(rep):  # rows whose pairs with those before them in the tile are some hundred thousand
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + 300_000, "right")))
+            y = np.repeat(np.arange(first, last), ahead[first:last])
+            x = ragged_arange(ahead[first:last]) + begin[y]
+            most = ((1 - similarity) * np.maximum(n[x], n[y]) + 1e-9).astype(np.int64)
+            fit = (part[x] != part[y]) & (np.abs(n[x] - n[y]) <= most) & ((i[y] == j[y]) | (block[x] != block[y]))
+            x, y, most = x[fit], y[fit], most[fit]
+            room = 2 * most - np.abs(n[x] - n[y])  # words that one text has too many, and the other: ``most`` each
+            near = [x[:0]]
+            for c in range(0, len(x), 4096):
+                apart = np.abs(at[x[c : c + 4096]].astype(np.int16) - at[y[c : c + 4096]]).sum(axis=1)
+                near.append(c + np.flatnonzero(apart <= room[c : c + 4096]))
+            near = np.concatenate(near)
+            both = np.sort(np.stack([rep[x[near]], rep[y[near]]], axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            first = last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            key, i, j = (batch.column(k).to_numpy() for k in ("key", "i", "j"))
+            ended = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+            first = held[0].slice(0, 1).to_pylist()[0]
+            if len(ended) or (first["key"], first["i"], first["j"]) != (key[0], i[0], j[0]):
+                cut = int(ended[-1]) + 1 if len(ended) else 0  # the last tile may go on in the next batch
+                yield from pairs(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _verified(similarity: float):
+    def close(x: bytes, y: bytes) -> bool:
+        most = int((1 - similarity) * (max(len(x), len(y)) // 4) + 1e-9)
+        a, b = (cells(np.frombuffer(w, "<u4"), 4 * CELLS).astype(np.int16) for w in (x, y))
+        return int(np.abs(a - b).sum()) + abs(len(x) - len(y)) // 4 <= 2 * most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in ("a", "b", "x", "y")))
+            yield _links([(a, b) for a, b, x, y in rows if close(x, y) and similar(Text(x), Text(y), similarity)])
+
+    return run
+
+
+def _rest(open_: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """All links between texts of different parts.  open_: rep, part.  words: rep, words, n.  -> staged a, b."""
+    own = stage_table(open_.join(words, "rep").select("rep", "part", "words", "n"), "open")
+    grams = stage_table(own.select("rep", "words").mapInArrow(released(_grams(similarity)), "rep long, gram long, takes int"), "grams")
+    many = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
+    rarest = F.row_number().over(Window.partitionBy("rep").orderBy("many", "gram"))
+    picked = grams.join(many, "gram", "left").withColumn("many", F.coalesce("many", F.lit(1))).withColumn("place", rarest)
+    picked = stage_table(picked.where("place <= takes and many > 1").select(F.col("gram").alias("key"), "rep"), "prefixes")
+    drop_tables(grams)
+    placed = picked.join(own.select("rep", "part"), "rep")
+    keys = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).alias("blocks")).where("x < y").select("key", "blocks")
+    form = own.mapInArrow(released(_cells), "rep long, part long, n long, cells binary")
+    rows = picked.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep").join(form, "rep")
+    pairs = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(released(_near(similarity)), "a long, b long")
+    pairs = stage_table(pairs.distinct(), "pairs")
+    drop_tables(picked)
+    both = pairs.join(own.select(F.col("rep").alias("a"), F.col("words").alias("x")), "a").join(own.select(F.col("rep").alias("b"), F.col("words").alias("y")), "b")
+    found = stage_table(both.select("a", "b", "x", "y").mapInArrow(released(_verified(similarity)), "a long, b long"), "rest")
+    drop_tables(own, pairs)
+    return found
+
+
 def keyed_texts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` in the shared folder with a key per row: ``row, id, text`` and the columns named in ``carry``."""
     named = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c) for c in carry]]
@@ -244,11 +380,12 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     held = stage_table(met(bands), "held")
     drop_tables(texts)
-    # a sketch of very many texts (of a passage that they share) gives way to the one with a shingle more
+    # a sketch of very many texts (of a passage that they share) gives way to the one with a shingle more, for a start
+    hot = stage_table(held.where(F.col("many") > HOT_TEXTS).select("rep", "key"), "hot")
     finer = met(held.where(F.col("many") > HOT_TEXTS).select("rep", F.col("finer").alias("key")).distinct())
     shared = stage_table(held.where(F.col("many") <= HOT_TEXTS).select("rep", "key", "pivot").unionByName(finer.select("rep", "key", "pivot")), "shared")
     drop_tables(held)
-    words = rows.select("row", "text").join(shared.select("rep").distinct(), F.col("row") == F.col("rep"), "left_semi").mapInArrow(released(_words), "rep long, words binary, n long")
+    words = rows.select("row", "text").join(shared.select("rep").union(hot.select("rep")).distinct(), F.col("row") == F.col("rep"), "left_semi").mapInArrow(released(_words), "rep long, words binary, n long")
     words = stage_table(words, "words")
 
     stars = shared.where("pivot < rep").groupBy("rep").agg(F.mode("pivot", True).alias("pivot"))
@@ -261,9 +398,14 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     drop_tables(salts)
 
     parts = stage_table(connected_components(found), "parts")
-    placed = shared.select("rep", "key").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-    open_ = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("texts")).where("x < y").select("key", "texts")
-    left = stage_table(placed.join(open_, "key"), "left")
+
+    def unconnected(keyed: DataFrame) -> DataFrame:
+        placed = keyed.select("rep", "key").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
+        open_ = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("texts")).where("x < y").select("key", "texts")
+        return placed.join(open_, "key")
+
+    # what more texts share than a sketch compares is all of frequent sketches: left to the join of the rest
+    left = stage_table(unconnected(shared).where(F.col("texts") <= HOT_TEXTS), "left")
     drop_tables(shared)
     if not left.isEmpty():
         blocks = left.join(words.select("rep", "n"), "rep").groupBy("key").agg(F.greatest(F.ceil(F.max("texts") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_WORDS)).alias("blocks"))
@@ -272,8 +414,12 @@ def classes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         rows_ = rows_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         rows_ = rows_.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "part", "keys").join(words.select("rep", "words"), "rep")
         more = rows_.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(released(_tiles(similarity)), "a long, b long")
-        parts = stage_table(connected_components(found.unionByName(stage_table(more, "tiles"))), "parts")
-    drop_tables(words, left)
+        found = found.unionByName(stage_table(more, "tiles"))
+        parts = stage_table(connected_components(found), "parts")
+    rest = stage_table(unconnected(hot).select("rep", "part").distinct(), "open")
+    if not rest.isEmpty():
+        parts = stage_table(connected_components(found.unionByName(_rest(rest, words, similarity))), "parts")
+    drop_tables(words, left, hot, rest)
     copies = signed.join(reps, "exact", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     copies = copies.select("row", "id", F.coalesce("component", "rep", "row").alias("part"))
     least = copies.groupBy("part").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row")).alias("least"))

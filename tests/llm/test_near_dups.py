@@ -98,6 +98,43 @@ def test_open_sketches_are_worked_through(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == _brute_class(texts)
 
 
+def test_frequent_sketches_lose_no_link(spark, monkeypatch):
+    """Copies whose only common shingles are the two of a passage that all texts have: a third shingle is never common."""
+    monkeypatch.setattr(nd, "HOT_TEXTS", 8)
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 4)
+    passage = [f"p{i}" for i in range(6)]
+    texts = [" ".join([f"a{k}", f"b{k}x{m}", *passage, f"c{k}x{m}", f"d{k}"]) for k in range(60) for m in range(2)]
+    texts += ["one", "two", "one!", "a b", "a b c"]
+    _, first, finer = nd.sketches(*nd.labelled_shingles(texts))
+    shared = [k for k in range(0, 120, 2) if set(first[k].tolist()) & set(first[k + 1].tolist())]
+    assert len(shared) > 30 and not any(set(finer[k].tolist()) & set(finer[k + 1].tolist()) for k in shared)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(docs).collect()}
+    truth = _brute_class(texts)
+    assert all(got[k] == got[k + 1] == truth[k + 1] for k in shared)
+    assert all(truth[got[i]] == truth[i] for i in got)
+
+
+def test_every_link_between_open_texts_is_found(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 5)
+    rng = np.random.default_rng(8)
+    seqs = []
+    for _ in range(160):
+        if seqs and rng.random() < 0.6:
+            own = list(seqs[int(rng.integers(len(seqs)))])
+            for _ in range(int(rng.integers(0, 1 + len(own) // 4))):
+                at = int(rng.integers(0, len(own)))
+                own[at : at + int(rng.integers(0, 2))] = [int(x) for x in rng.integers(0, 30, int(rng.integers(0, 2)))]
+        else:
+            own = rng.integers(0, 30, int(rng.choice([1, 2, 3, 4, 5, 9, 30]))).tolist()
+        seqs.append(own or [7])
+    words = spark.createDataFrame([(k, bytearray(np.array(w, "<u4").tobytes()), len(w)) for k, w in enumerate(seqs)], "rep long, words binary, n long")
+    for s in (0.8, 0.6):
+        truth = {(b, a) for a in range(160) for b in range(a) if 1 - _distance(seqs[a], seqs[b]) / max(len(seqs[a]), len(seqs[b])) >= s - 1e-12}
+        got = nd._rest(words.select("rep", words.rep.alias("part")), words, s).collect()
+        assert len(truth) > 50 and {(r.a, r.b) for r in got} == truth
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)]
