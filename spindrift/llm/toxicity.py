@@ -124,6 +124,12 @@ def held_out(column: str, folds: int = 3, fold: int = 1):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def labels_by_id(labels: DataFrame, label: str) -> DataFrame:
+    """All ids (id, y) with a 0/1 label outside the held-out fold; one with several labels has the greatest."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    return known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label).cast("int").alias("y"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample_rows: int) -> DataFrame:
     """At most ``sample_rows`` rows (id, text, y) with a 0/1 label outside the held-out fold, least hash first.
 

@@ -242,3 +242,27 @@ def test_runs_odd_rows(spark):
     assert [tuple(r) for r in by[16].runs] == [(0, 9, 2), (8, 8, 2)] and by[16].collapsed == "a b c"
     assert runs.collapse_runs(docs.limit(0)).count() == 0
     assert runs.planted(None, [b"a"] * 9) == [b"a"] * 9
+
+
+def test_forest_and_threshold_see_all_labelled_rows(spark):
+    """More labelled rows than any sample of 8192: draws and threshold equal those of all of them."""
+    rng = np.random.default_rng(3)
+    shares = rng.random((20_000, rules.N_SHARES))
+    y = (rng.random(20_000) < 0.9).astype(int)
+    rows = spark.createDataFrame([(k, int(y[k]), bytearray(shares[k].tobytes())) for k in range(20_000)], "id long, y int, x binary").repartition(5)
+    drawn = rows.mapInArrow(rules._draws(9, 2, 7), "tree int, y int, h long, x binary").toPandas()
+    place = {shares[k].tobytes(): k for k in range(20_000)}
+    salt = rules.mix64(np.arange(1, 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for t in range(7):
+        h = rules.mix64(rules.mix64(np.arange(20_000, dtype=np.uint64) + np.uint64(1)) ^ salt[t])
+        for kind, most in ((1, 9), (0, 2)):
+            own = drawn[(drawn.tree == t) & (drawn.y == kind)].sort_values("h")[:most]
+            at = np.flatnonzero(y == kind)
+            assert [place[bytes(x)] for x in own.x] == at[np.argsort(h[at])][:most].tolist()
+    score = np.round(rng.random(20_000), 4)
+    scores = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, score)], "y int, score double")
+    assert rules.threshold(scores) == rules.calibrate(score[y == 1], score[y == 0])
+    from spindrift.llm import toxicity
+
+    labels = spark.range(15_000).selectExpr("id AS doc_id", "1 AS quality")
+    assert toxicity.labels_by_id(labels, "quality").count() == labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").count() > 8192
