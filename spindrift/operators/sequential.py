@@ -192,44 +192,117 @@ def first_fit(items: Sequence[str], budget: int, gap: int = 1) -> list[str]:
     return out
 
 
-def theil_sen(x: Sequence[float], y: Sequence[float]) -> tuple[float, float]:
+def _falls(ranks):
+    """The pairs of entries of which the first is the greater one, each once, by steps of a radix partition: (places of entries,
+    how many greater ones of the step stand before each, where these begin in the last array, places of the greater ones)."""
+    import numpy as np
+
+    at = np.arange(len(ranks))
+    for bit in reversed(range(int(ranks.max(initial=0)).bit_length())):
+        group, one = ranks >> (bit + 1), (ranks >> bit) & 1
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        sizes = np.diff(np.append(starts, len(ranks)))
+        ahead = np.cumsum(one) - one
+        first = np.repeat(ahead[starts], sizes)
+        before, zero = ahead - first, one == 0
+        yield at[zero], before[zero], first[zero], at[~zero]
+        zeros = np.repeat(sizes - np.add.reduceat(one, starts), sizes)
+        to = np.where(zero, np.arange(len(ranks)) - before, np.repeat(starts, sizes) + zeros + before)
+        moved = np.empty_like(at)
+        moved[to] = np.arange(len(at))
+        ranks, at = ranks[moved], at[moved]
+
+
+def _lift_ranks(x, y, slope: float):
+    """Ranks by y - slope * x, to twice a double's digits; equal ones share a rank.  At an infinite slope by x, then y."""
+    import numpy as np
+
+    if np.isinf(slope):
+        high, low = -np.sign(slope) * x, y
+    else:
+
+        def halves(v):
+            c = 134217729.0 * v
+            return c - (c - v), v - (c - (c - v))
+
+        p = slope * x
+        (a, b), (c, d) = halves(np.float64(slope)), halves(x)
+        off = ((a * c - p) + a * d + b * c) + b * d  # slope * x = p + off
+        s = y - p
+        back = s - y
+        rest = (y - (s - back)) - (p + back) - off
+        high = s + rest
+        low = rest - (high - s)
+    order = np.lexsort((low, high))
+    ranks = np.empty(len(x), np.int64)
+    ranks[order] = np.cumsum(np.append(False, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])))
+    return ranks
+
+
+def theil_sen(x: Sequence[float], y: Sequence[float], held: int = 2_000_000) -> tuple[float, float]:
     """(intercept, slope): median of the slopes of pairs more than 1e-12 apart, and of the rest; without such a pair, the median
     and 0; 0 and 0 without points.
 
-    Slopes come row by row; those around the median are found by halving a range of slopes until few are left in it, so
-    memory stays bounded and the result is the same for any number of points."""
+    Where there are more than ``held`` slopes they are not worked out one by one: those less than a given slope are pairs of
+    points whose order by y - slope * x is not that by x, and are counted in n log n steps.  Such counts at slopes of drawn
+    pairs narrow a range down to ``held`` slopes or to one slope that many pairs share; which are drawn says only how many
+    counts that takes."""
     import numpy as np
 
     x, y = np.asarray(x, float), np.asarray(y, float)
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
-
-    def slopes():
-        for i in range(len(x) - 1):
-            j = i + 1 + int(np.searchsorted(x[i + 1 :], x[i] + 1e-12, side="right"))
-            yield (y[j:] - y[i]) / (x[j:] - x[i])
-
-    total, lo, hi = 0, np.inf, -np.inf
-    for s in slopes():
-        total, lo, hi = total + len(s), min(lo, s.min(initial=np.inf)), max(hi, s.max(initial=-np.inf))
+    n = len(x)
+    far = np.searchsorted(x, x + 1e-12, side="right")
+    total = int((n - far).sum())
     if not total:
-        return (float(np.median(y)) if len(y) else 0.0), 0.0
-    # the range [lo, hi] holds the middle one or two slopes; ``below`` slopes are less than lo
-    first, last, below, inside = (total - 1) // 2, total // 2, 0, total
-    while inside > 2_000_000 and lo < hi:
-        mid = (lo + hi) / 2
-        upto = below + sum(int(((s >= lo) & (s <= mid)).sum()) for s in slopes())
-        if last < upto:
-            if mid == hi:
-                break
-            hi, inside = mid, upto - below
-        elif first >= upto:
-            lo, inside, below = np.nextafter(mid, np.inf), inside - (upto - below), upto
-        else:
-            break
-    if lo == hi:
-        slope = float(lo)
-    else:
-        near = np.sort(np.concatenate([s[(s >= lo) & (s <= hi)] for s in slopes()]))
-        slope = float((near[first - below] + near[last - below]) / 2)
+        return (float(np.median(y)) if n else 0.0), 0.0
+    xs, starts = np.unique(x, return_index=True)
+    ends = np.append(starts[1:], n)
+    upto = np.searchsorted(xs, xs + 1e-12, side="right")
+    close = [(a, b) for a in np.flatnonzero(upto > np.arange(len(xs)) + 1).tolist() for b in range(a + 1, int(upto[a]))]
+
+    def falls(ranks) -> int:
+        ranks = ranks[np.lexsort((ranks, x))]
+        count = sum(int(before.sum()) for _, before, _, _ in _falls(ranks))
+        for a, b in close:  # pairs that are too near to count
+            count -= int(np.searchsorted(ranks[starts[b] : ends[b]], ranks[starts[a] : ends[a]], side="left").sum())
+        return count
+
+    def listed(lo: float, hi: float):
+        """Slopes between two."""
+        order = np.lexsort((_lift_ranks(x, y, hi), _lift_ranks(x, y, lo)))
+        found = [x[:0]]
+        for later, many, first, greater in _falls(_lift_ranks(x, y, hi)[order]):
+            nth = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            i, j = order[greater[np.repeat(first, many) + nth]], order[np.repeat(later, many)]
+            i, j = (k[x[j] - x[i] > 1e-12] for k in (i, j))
+            found.append((y[j] - y[i]) / (x[j] - x[i]))
+        return np.sort(np.concatenate(found))
+
+    def middle(first: int, last: int, lo: float, hi: float, before: int, inside: int, drawn) -> tuple[float, float]:
+        """Slopes number ``first`` and ``last``; both are in the range, of which ``before`` are lower."""
+        while inside > held and len(drawn):
+            at = len(drawn) // 2
+            near = 2.0**-50 * abs(drawn[at])  # more than the rounding of a slope
+            less = falls(_lift_ranks(x, y, drawn[at] - near))
+            if last < less:
+                hi, inside, drawn = drawn[at] - near, less - before, drawn[:at]
+                continue
+            upto = total - falls(_lift_ranks(x, -y, -drawn[at] - near))
+            if first >= upto:
+                lo, before, inside, drawn = drawn[at] + near, upto, inside - (upto - before), drawn[at + 1 :]
+            elif less <= first and last < upto:
+                return drawn[at], drawn[at]
+            else:
+                return tuple(middle(k, k, lo, hi, before, inside, drawn)[0] for k in (first, last))
+        found = listed(lo, hi)
+        return found[first - before], found[last - before]
+
+    rng = np.random.default_rng(7)
+    i = rng.integers(0, n, 500_000)
+    i = i[far[i] < n]
+    j = rng.integers(far[i], n)
+    first, last = middle((total - 1) // 2, total // 2, -np.inf, np.inf, 0, total, np.unique((y[j] - y[i]) / (x[j] - x[i])))
+    slope = float((first + last) / 2)
     return float(np.median(y - slope * x)), slope

@@ -1,5 +1,7 @@
 """File sources on texts that the driver's tables do not hold: broken, rejected, empty and odd ones."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +149,25 @@ def test_series_are_named_in_three_ways(spark):
     rows = spark.createDataFrame([("c", i, t, float(i), 0.0) for i, t in enumerate(titles)], "channel string, id long, title string, views double, resid double")
     got = {r["name"]: (r.n, r.top) for r in lift.series(rows, ["channel"], "title").collect()}
     assert got == {"[Big Show]": (2, 1), "Long Run N탄": (2, 3), "Talk |": (2, 5)}
+
+
+@pytest.mark.parametrize("held", [0, 20, 10**6])
+def test_theil_sen_counts_as_it_lists(held):
+    rng = np.random.default_rng(held)
+    for t in range(60):
+        n = int(rng.integers(2, 50))
+        x, y = np.log(rng.integers(1, 20, n)), np.log(rng.integers(1, 9, n))
+        x = x + rng.integers(0, 3, n) * 4e-13 * (t % 2)  # some no more than 1e-12 apart
+        i, j = np.triu_indices(n, 1)
+        far = np.abs(x[i] - x[j]) > 1e-12
+        slope = float(np.median((y[j] - y[i])[far] / (x[j] - x[i])[far])) if far.any() else 0.0
+        assert np.allclose(sequential.theil_sen(x, y, held), (np.median(y - slope * x), slope), atol=1e-11)
+
+
+def test_theil_sen_of_many_points_takes_no_pass_over_pairs():
+    """Copies of points leave the median slope (an odd number of slopes, or the middle two alike) as it is."""
+    rng = np.random.default_rng(3)
+    x, y = np.log(rng.integers(1, 10**6, 403)), np.log(rng.integers(2000, 7000, 403))
+    began = time.monotonic()
+    assert np.allclose(sequential.theil_sen(np.tile(x, 200), np.tile(y, 200)), sequential.theil_sen(x, y), atol=1e-12)
+    assert time.monotonic() - began < 30
