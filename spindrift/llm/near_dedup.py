@@ -16,7 +16,8 @@ bounded blocks, where pairs that are connected already, or that another sketch t
 Texts of frequent sketches that are not connected by then are joined by their rarest pairs of words: so many edits as a
 link allows leave a known number of a text's word pairs in its partner, so two linked texts share one of the rarest, of
 which each has that many too few to miss it (prefix filter).  The passage itself is frequent, and so in no prefix of a
-text that is not nearly all passage.  This finds every link among these texts, whatever sketches they share.
+text that is not nearly all passage.  This finds every link among these texts, whatever sketches they share.  How rare a
+pair is comes from counts in cells of a fixed number, and the many pairs of one passage count as one key.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ HOT_TEXTS = 256
 BLOCK_TEXTS = 512
 BLOCK_WORDS = 1 << 20
 CELLS = 512
+GRAM_CELLS = 1 << 20
 NO_ID = (1 << 63) - 1
 _ODD = np.random.default_rng(31).integers(1, 2**63, SKETCHES, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -235,28 +237,55 @@ def least_common(n: int, q: int, similarity: float) -> int:
     return max(1, min(size - q + 1 - q * int((1 - similarity) * size + 1e-9) for size in range(n, longest + 1)))
 
 
-def _grams(similarity: float):
-    """rep, words -> one row per labelled gram: rep, gram and how many of the text's rarest grams it takes to meet its links."""
-    q = 2 if similarity >= 0.75 else 1
+def labelled_grams(words: bytes, q: int) -> np.ndarray:
+    """Hashes of a text's ``q``-word grams, sorted, each with its number among equal ones."""
+    w = np.frombuffer(words, "<u4").astype(U64)
+    g = np.sort(mix64(w[:-1] << U64(32) | w[1:]) if q == 2 and len(w) > 1 else mix64(w + U64(1)))
+    new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    nth = np.arange(len(g)) - np.repeat(new, np.diff(np.append(new, len(g))))
+    return np.where(nth > 0, mix64(g + nth.astype(U64) * U64(0xC2B2AE3D27D4EB4F)), g)
+
+
+def _gram_cell(grams: np.ndarray) -> np.ndarray:
+    return (grams >> U64(44)).astype(np.int64)
+
+
+def _counted(q: int):
+    """words -> cell, many: how many grams fall in each of ``GRAM_CELLS`` cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(GRAM_CELLS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                grams = np.concatenate([labelled_grams(raw, q) for raw in batch.column("words").to_pylist()])
+                counts += np.bincount(_gram_cell(grams), minlength=GRAM_CELLS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["cell", "many"])
+
+    return run
+
+
+def _prefixes(similarity: float, q: int, counts):
+    """rep, part, n, words -> key, rep, part, n: as many of a text's grams as it takes to meet its links, those of the least full
+    cells first; any order of grams that is the same for all texts finds every link.  A gram alone in its cell is met nowhere."""
     known: dict[int, int] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = counts.value
         for batch in batches:
-            reps, grams, takes = [], [], []
-            for rep, raw in zip(batch.column("rep").to_pylist(), batch.column("words").to_pylist()):
-                w = np.frombuffer(raw, "<u4").astype(U64)
-                n = len(w)
+            keys, at = [], []
+            for row, (raw, n) in enumerate(zip(batch.column("words").to_pylist(), batch.column("n").to_pylist())):
                 if n not in known:
                     known[n] = least_common(n, q, similarity) if n >= q else 1
-                g = np.sort(mix64(w[:-1] << U64(32) | w[1:]) if q == 2 and n > 1 else mix64(w + U64(1)))
-                new = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-                nth = np.arange(len(g)) - np.repeat(new, np.diff(np.append(new, len(g))))
-                g = np.where(nth > 0, mix64(g + nth.astype(U64) * U64(0xC2B2AE3D27D4EB4F)), g)
-                reps.append(np.full(len(g), rep))
-                grams.append(as_signed(g))
-                takes.append(np.full(len(g), len(g) - known[n] + 1, np.int32))
-            if reps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (reps, grams, takes)], names=["rep", "gram", "takes"])
+                g = labelled_grams(raw, q)
+                full = many[_gram_cell(g)]
+                first = np.lexsort((g, full))[: len(g) - known[n] + 1]
+                first = first[full[first] > 1]
+                keys.append(as_signed(g[first]))
+                at.append(np.full(len(first), row))
+            if keys:
+                rows = batch.select(["rep", "part", "n"]).take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *rows.columns], names=["key", "rep", "part", "n"])
 
     return run
 
@@ -335,22 +364,33 @@ def _verified(similarity: float):
 
 def _rest(open_: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """All links between texts of different parts.  open_: rep, part.  words: rep, words, n.  -> staged a, b."""
+    q = 2 if similarity >= 0.75 else 1
     own = stage_table(open_.join(words, "rep").select("rep", "part", "words", "n"), "open")
-    grams = stage_table(own.select("rep", "words").mapInArrow(released(_grams(similarity)), "rep long, gram long, takes int"), "grams")
-    many = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where("many > 1")
-    rarest = F.row_number().over(Window.partitionBy("rep").orderBy("many", "gram"))
-    picked = grams.join(many, "gram", "left").withColumn("many", F.coalesce("many", F.lit(1))).withColumn("place", rarest)
-    picked = stage_table(picked.where("place <= takes and many > 1").select(F.col("gram").alias("key"), "rep"), "prefixes")
-    drop_tables(grams)
-    placed = picked.join(own.select("rep", "part"), "rep")
-    keys = placed.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).alias("blocks")).where("x < y").select("key", "blocks")
+    filled = own.select("words").mapInArrow(released(_counted(q)), "cell long, many long").groupBy("cell").agg(F.sum("many").alias("many")).toArrow()
+    counts = np.zeros(GRAM_CELLS, np.int64)
+    counts[filled.column("cell").to_numpy()] = filled.column("many").to_numpy()
+    counts = own.sparkSession.sparkContext.broadcast(counts)
+    picked = stage_table(own.mapInArrow(released(_prefixes(similarity, q, counts)), "key long, rep long, part long, n long"), "prefixes")
+    counts.unpersist()
+    met = picked.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("texts")).where("x < y").select("key", "texts")
+    met = stage_table(picked.join(met, "key").select("key", "rep", "texts"), "met")
+    drop_tables(picked)
+    # nearly the same texts have all word pairs of a passage: such keys get one name, the least of those beside them in a text,
+    # so that two texts meet once and not once a key (texts that share a key share its name)
+    hot = met.where(F.col("texts") > HOT_TEXTS)
+    least = F.min("key").over(Window.partitionBy("rep"))
+    named = stage_table(hot.withColumn("least", least).groupBy("key").agg(F.min("least").alias("name")), "names")
+    hot = stage_table(hot.join(named, "key").select(F.col("name").alias("key"), "rep").distinct(), "named")
+    blocks = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS).alias("blocks"))
+    hot_ = hot.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    hot_ = hot_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    hot_ = hot_.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep")
+    zero = F.lit(0).cast("long")
+    rows = met.where(F.col("texts") <= HOT_TEXTS).select("key", zero.alias("i"), zero.alias("j"), zero.alias("block"), "rep").unionByName(hot_)
     form = own.mapInArrow(released(_cells), "rep long, part long, n long, cells binary")
-    rows = picked.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep").join(form, "rep")
-    pairs = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(released(_near(similarity)), "a long, b long")
+    pairs = rows.join(form, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(released(_near(similarity)), "a long, b long")
     pairs = stage_table(pairs.distinct(), "pairs")
-    drop_tables(picked)
+    drop_tables(met, named, hot)
     both = pairs.join(own.select(F.col("rep").alias("a"), F.col("words").alias("x")), "a").join(own.select(F.col("rep").alias("b"), F.col("words").alias("y")), "b")
     found = stage_table(both.select("a", "b", "x", "y").mapInArrow(released(_verified(similarity)), "a long, b long"), "rest")
     drop_tables(own, pairs)

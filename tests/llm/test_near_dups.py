@@ -135,6 +135,29 @@ def test_every_link_between_open_texts_is_found(spark, monkeypatch):
         assert len(truth) > 50 and {(r.a, r.b) for r in got} == truth
 
 
+def test_a_passage_in_the_prefixes_meets_its_texts_once(spark, monkeypatch):
+    """Texts that are mostly one passage share many of its word pairs: they meet by one key of it, and every link is found."""
+    monkeypatch.setattr(nd, "HOT_TEXTS", 8)
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 16)
+    rows, stage = {}, nd.stage_table
+
+    def counted(df, name):
+        table = stage(df, name)
+        rows[name] = table.count()
+        return table
+
+    monkeypatch.setattr(nd, "stage_table", counted)
+    rng = np.random.default_rng(4)
+    passage = list(range(1000, 1070))
+    seqs = [[*passage, *rng.integers(0, 900, int(rng.integers(20, 30))).tolist()] for _ in range(60)]
+    seqs += [[*w[:60], *w[62:]] for w in seqs[:10]] + [rng.integers(0, 60, 12).tolist() for _ in range(30)]
+    words = spark.createDataFrame([(k, bytearray(np.array(w, "<u4").tobytes()), len(w)) for k, w in enumerate(seqs)], "rep long, words binary, n long")
+    truth = {(b, a) for a in range(100) for b in range(a) if 1 - _distance(seqs[a], seqs[b]) / max(len(seqs[a]), len(seqs[b])) >= 0.8 - 1e-12}
+    got = nd._rest(words.select("rep", words.rep.alias("part")), words, 0.8).collect()
+    assert len(truth) > 9 and {(r.a, r.b) for r in got} == truth
+    assert rows["met"] > 1000 and rows["named"] <= 100
+
+
 def test_near_duplicates_equal_brute_force(spark):
     rng = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)]
