@@ -19,6 +19,7 @@ TITLE_MOST, FEED_TITLE_MOST = 300, 200
 LISTED_MOST = 400
 #: What a video id and a time of a subtitle line look like.
 ID = r"^[\w-]{11}$"
+SEPARATOR = "\x1e"
 CHANNEL = r"UC[\w-]{22}"
 ATOM = "http://www.w3.org/2005/Atom"
 SRT_TIME = r"(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})\s*-->\s*(\d{1,2}):(\d{2}):(\d{2})[,.](\d{1,3})"
@@ -36,6 +37,13 @@ def read_documents(spark: SparkSession, folder: str, schema: str) -> tuple[DataF
     return split_documents(files, "value", schema)
 
 
+def read_sequence(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """A folder of JSON text sequences (RFC 7464: many documents a file, laid out as one likes, a record separator between two),
+    read as ``read_documents`` reads files."""
+    docs = spark.read.text(folder, lineSep=SEPARATOR).select(F.col("_metadata.file_path").alias("file"), "value")
+    return split_documents(docs.where("value <> ''"), "value", schema)
+
+
 def split_documents(rows: DataFrame, text: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``text`` is a JSON object -> its fields beside the other columns; and the rows whose text is none."""
     doc = F.from_json(text, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -57,6 +65,13 @@ def write_documents(docs: DataFrame, name: str, folder: str) -> None:
     docs.select("value", name).repartition(name).write.mode("append").partitionBy(name).text(folder)
 
 
+def write_sequence(docs: DataFrame, folder: str) -> None:
+    """Documents in ``value`` as JSON text sequences: as many files as there are partitions, however many documents there are.  A
+    separator within a document can only stand in a broken one (JSON escapes it): there it is escaped too."""
+    value = F.replace(F.col("value"), F.lit(SEPARATOR), F.lit("\\u001e"))
+    docs.select(value.alias("value")).write.mode("append").text(folder, lineSep=SEPARATOR)
+
+
 def decoded(content: str | Column) -> Column:
     """Bytes of a text file as text, whatever wrote it: UTF-16 with a byte-order mark, UTF-8 with or without one, the older Korean
     code page; what is none of them as UTF-8 with marks for what it cannot be."""

@@ -171,3 +171,22 @@ def test_theil_sen_of_many_points_takes_no_pass_over_pairs():
     began = time.monotonic()
     assert np.allclose(sequential.theil_sen(np.tile(x, 200), np.tile(y, 200)), sequential.theil_sen(x, y), atol=1e-12)
     assert time.monotonic() - began < 30
+
+
+def test_documents_of_a_sequence_share_files(spark, tmp_path):
+    """Documents over many lines, a broken one with a separator in it and one that is no object, in one file of one partition."""
+    values = ['{\n  "key" : 1,\n\n  "name" : "a\\u001eb"\n}', '{"key": 2', "[3]", '{"key": 4, "na\x1e', '{"key": 5, "name": "\u00e9"}']
+    rows = spark.createDataFrame([(v,) for v in values], "value string").coalesce(1)
+    files.write_sequence(rows, f"file://{tmp_path}/d")
+    assert len(list((tmp_path / "d").glob("part-*"))) == 1
+    good, bad = files.read_sequence(spark, f"file://{tmp_path}/d", "key long, name string")
+    assert sorted((r.key, r.name) for r in good.collect()) == [(1, "a\x1eb"), (5, "\u00e9")]
+    assert sorted(r.value for r in bad.collect()) == ["[3]", '{"key": 2', '{"key": 4, "na\\u001e']
+
+
+def test_files_do_not_grow_with_channels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "fresh_folder", lambda spark, name: f"{tmp_path}/{name}")
+    assert QUERIES["s2_s3_slim_channels"](spark, SF).count() > 0
+    written = len([f for f in (tmp_path / "channels").rglob("part-*")])
+    assert written <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count() > written
