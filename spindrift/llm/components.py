@@ -3,7 +3,8 @@
 Large-star and small-star steps: each node's neighbours are hung on the least node that it knows of, first the
 greater ones, then the lesser ones.  A step is one pre-aggregated minimum per node and one join back, whose inputs
 are tables in the shared folder, so that Spark may split a node with very many links.  First, each task contracts
-the links that it holds to a spanning forest.  No links or components come to the driver, only two totals a round.
+the links that it holds to a spanning forest.  No links or components come to the driver, only two totals a round.  A
+round's tables are written by as many tasks as its links need, so that few links in very many partitions cost little.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_tables, released, stage_table
 
+LINKS_A_TASK = 20_000
+
 
 class UnionFind:
     """Least member as root, over keys of any kind that can be compared."""
@@ -75,15 +78,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = stage_table(rows.mapInArrow(released(_forest), "a long, b long"), "links")  # a < b: a is the lesser node
     before = _totals(edges)
     while before[0]:
+        tasks = -(-before[0] // LINKS_A_TASK)
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = stage_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = stage_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks), "least")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        large = stage_table(large, "large")
+        large = stage_table(large.coalesce(tasks), "large")
         drop_tables(least)
-        least = stage_table(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")), "least")
+        least = stage_table(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m")).coalesce(tasks), "least")
         small = large.withColumnRenamed("b", "u").join(least, "u")
         small = small.select(F.col("m"), F.explode(F.array("u", "a")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct()
-        done, edges = edges, stage_table(small, "links")
+        done, edges = edges, stage_table(small.coalesce(tasks), "links")
         drop_tables(done, large, least)
         after = _totals(edges)
         if after == before:

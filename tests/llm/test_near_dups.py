@@ -279,3 +279,18 @@ def test_double_vectors_are_not_rounded(spark):
     rows = [(1, [1.0, 0.0]), (2, [float(np.cos(t)), float(np.sin(t))]), (2, [9.0, 9.0]), (None, [1.0, 0.0]), (3, [1e-200, 0.0]), (4, [1e300, 0.0])]
     got = sorted((r.vec_id or 99, r.n_links, r.component_id, r.kept) for r in link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
     assert got == [(1, 4, 1, True), (2, 1, 1, False), (2, 5, 1, False), (3, 4, 1, False), (4, 4, 1, False), (99, 4, 1, False)]
+
+
+def test_few_links_are_few_files(spark):
+    """However many partitions a shuffle has, a round of components writes as many files as its links need."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "31")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = connected_components(spark.createDataFrame([(i, i + 1000) for i in range(300)] + [(i, i + 1) for i in range(0, 200, 2)], "a long, b long"))
+        assert len(got.inputFiles()) <= 2
+        parts = {r.node: r.component for r in got.collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert parts == {i + far: i - (i % 2 if i < 200 else 0) for i in range(300) for far in (0, 1000)}
