@@ -7,10 +7,13 @@ lists, which Spark applies group by group.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,49 @@ def per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema:
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
+def over_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str, f: Callable[[dict], tuple]) -> DataFrame:
+    """``f`` on each group's columns (arrays, sorted by ``order``), for very many small groups: partitions come in order, and no
+    frame is made for a group.  ``f`` gives the places of the rows that stay, and columns of theirs that are new."""
+    types = {"boolean": pa.bool_(), "double": pa.float64(), "long": pa.int64(), "string": pa.string()}
+    named = [x.split() for x in schema.split(", ")]
+
+    def worked(table: pa.Table, new: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cols = {c: (table.column(c) if c in keys or not pa.types.is_integer(table.schema.field(c).type) else table.column(c).fill_null(0)).to_numpy() for c in table.column_names}
+        rows, fresh = [], []
+        for a, b in zip(new.tolist(), np.append(new[1:], table.num_rows).tolist()):
+            at, made = f({c: x[a:b] for c, x in cols.items()})
+            if len(at):
+                rows.append(a + np.asarray(at))
+                fresh.append(made)
+        if rows:
+            kept = table.take(pa.array(np.concatenate(rows)))
+            out = [pa.array(np.concatenate([x[c] for x in fresh]), types[kind]) if c in fresh[0] else kept.column(c).combine_chunks() for c, kind in named]
+            yield pa.RecordBatch.from_arrays(out, names=[c for c, _ in named])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*held[-1:], batch])
+            new = np.zeros(table.num_rows, bool)
+            for c in keys:
+                x = table.column(c).combine_chunks()
+                x, before = x[1:], x[:-1]
+                new[1:] |= pc.coalesce(pc.not_equal(x, before), pc.not_equal(pc.is_null(x), pc.is_null(before))).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            if not len(starts):  # the last group goes on
+                held = [table.combine_chunks().to_batches()[0]]
+                continue
+            last = int(starts[-1])
+            yield from worked(table.slice(0, last), np.append(0, starts[:-1]))
+            held = table.slice(last).combine_chunks().to_batches()
+        if held:
+            yield from worked(pa.Table.from_batches(held), np.zeros(1, np.int64))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def pick_peaks(at: Sequence[float], level: Sequence[float], apart: float, above: float, most: int) -> list[int]:
     """Indices of the highest levels that reach ``above`` and lie more than ``apart`` from every pick; in order of level, of
     equal ones the latest first."""

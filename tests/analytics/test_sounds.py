@@ -99,3 +99,39 @@ def test_query_equals_recordings(spark):
         want |= {(key, w[3]): t for w, t in zip(own, sounds.aligned([w[:3] for w in own], blobs))}
     got = {(r.key, r.place): (r.s, r.e) for r in QUERIES["j22_words_on_sound"](spark, home).collect()}
     assert got == want
+
+
+def test_free_words_are_not_gone_through(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(400):
+        words, blobs = made(rng, rng.randrange(1, 80), rng.choice([(0, 5, 20), (20, 400, 1500), (300, 600, 2500)]))
+        blobs = blobs if rng.random() < 0.9 else blobs[:1]
+        starts = sounds.best_starts(sounds._options(words, blobs))
+        assert [s for s, _ in sounds.aligned(words, blobs)] == starts
+    calls, plain = [], sounds.choices
+    monkeypatch.setattr(sounds, "choices", lambda *x: calls.append(1) or plain(*x))
+    words = [(600 * i, 600 * i + 550, "word") for i in range(1000)]
+    sounds.aligned(words, [(2000 * i + 300, 2000 * i + 1700) for i in range(300)])
+    assert len(calls) < 500
+
+
+def test_small_groups_make_no_frames(spark):
+    """Groups over batch borders, a null key among them, give what whole groups do; the query makes no frame a group."""
+    from spindrift.operators.sequential import over_groups
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.randrange(2), i, rng.choice([None, "x"])) for i in range(200)] + [(7, 0, 500 + i, "y") for i in range(40)]
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        frame = over_groups(spark.createDataFrame(rows, "key long, part long, at long, w string").repartition(3), ["key", "part"], ["at"], "key long, at long, w string, n long", lambda g: ([*range(0, len(g["at"]), 2)], {"n": [len(g["at"])] * -(-len(g["at"]) // 2)}))
+        got = sorted(map(str, frame.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    want, groups = [], {}
+    for r in sorted(rows, key=lambda r: r[2]):
+        groups.setdefault(r[:2], []).append(r)
+    for (key, _), g in groups.items():
+        want += [f"Row(key={key}, at={r[2]}, w={r[3]!r}, n={len(g)})" for r in g[::2]]
+    assert got == sorted(want)
+    assert "FlatMapGroups" not in QUERIES["j22_words_on_sound"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
