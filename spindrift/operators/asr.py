@@ -7,13 +7,15 @@ Words come as rows: ``key`` (the recording), ``at`` (place, long), ``s`` and ``e
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sequential import over_groups
+
 #: What counts as a word's characters, foreign scraps, and the limits of the rules.
 NOT_PLAIN = "[^0-9A-Za-z가-힣]"
 COLLAPSED_MS = 50  # a character
@@ -73,14 +75,14 @@ def in_silence(s: np.ndarray, e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np
     return np.where(e > s, inside >= SILENT_SHARE * (e - s), touched)
 
 
-def stretch_rules(words: pd.DataFrame, silences: pd.DataFrame) -> np.ndarray:
+def stretch_rules(words: Mapping, silences: Mapping) -> np.ndarray:
     """The rule of each word (s, e, p, t, in order) of a stretch, null where none holds."""
-    s, e, p, t = words["s"].to_numpy(), words["e"].to_numpy(), words["p"].to_numpy(float), words["t"].to_numpy(object)
+    s, e, p, t = np.asarray(words["s"]), np.asarray(words["e"]), np.asarray(words["p"], float), np.asarray(words["t"], object)
     size = np.array([len(x) for x in t], np.int64)
     some, collapsed = size > 0, (size > 0) & (e - s < COLLAPSED_MS * size)
     sure = np.where(np.isnan(p), 1.0, p)
     rule = np.full(len(t), None, object)
-    quiet = in_silence(s, e, silences["s"].to_numpy(), silences["e"].to_numpy()) & some & (sure < SILENT_P)
+    quiet = in_silence(s, e, np.asarray(silences["s"]), np.asarray(silences["e"])) & some & (sure < SILENT_P)
     rule[quiet & ~collapsed] = "soft"
     rule[repeated(t)] = "repeated"
     said = "".join(x for x, c in zip(t, collapsed) if not c)
@@ -112,13 +114,17 @@ def hallucinations(words: DataFrame, silences: DataFrame) -> DataFrame:
     spoken = words.where("s is not null and e is not null").select("key", spread(s, s), "at", "s", "e", "p", "w", _letters("w").alias("t"))
     quiet = silences.where("a <= b").select("key", spread(F.col("a"), F.col("b")), F.lit(None).cast("long").alias("at"), F.col("a").cast("long").alias("s"), F.col("b").cast("long").alias("e"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("string").alias("w"), F.lit(None).cast("string").alias("t"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["t"].notna()].sort_values(["s", "at"], ignore_index=True)
-        own["rule"] = stretch_rules(own, rows[rows["t"].isna()])
-        return own.loc[own["s"] // STRETCH_MS == own["part"], ["key", "at", "s", "e", "p", "w", "rule"]]
+    def run(rows: dict) -> tuple:
+        word = np.array([t is not None for t in rows["t"]])
+        own, mine = np.flatnonzero(word), (rows["s"] // STRETCH_MS == rows["part"]) & word
+        if not mine.any():
+            return own[:0], {}
+        rule = stretch_rules({c: x[own] for c, x in rows.items()}, {c: rows[c][~word] for c in "se"})
+        stay = mine[own]
+        return own[stay], {"rule": rule[stay]}
 
     kind = words.schema["key"].dataType.simpleString()
-    return spoken.unionByName(quiet).groupBy("key", "part").applyInPandas(run, f"key {kind}, at long, s long, e long, p double, w string, rule string")
+    return over_groups(spoken.unionByName(quiet), ["key", "part"], ["s", "at", "e"], f"key {kind}, at long, s long, e long, p double, w string, rule string", run)
 
 
 def echoes(words: DataFrame, hint: DataFrame) -> DataFrame:
