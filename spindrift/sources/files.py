@@ -200,30 +200,38 @@ def merge_feed(base: DataFrame, feed: DataFrame, keys: list[str], keep: int = LI
     return out.withColumn("place", F.when(place < keep, place)).select(*keys, "id", "shorts", "title", "views", "likes", "pub", "original", "fresh", "place")
 
 
-def _srt_seconds(m: Column, at: int) -> Column:
-    part = lambda k: F.regexp_extract(m, SRT_TIME, at + k).cast("int")
-    return F.round(part(0) * 3600 + part(1) * 60 + part(2) + F.regexp_extract(m, SRT_TIME, at + 3).cast("int") / 1000, 3)
-
-
 def parse_srt(files: DataFrame, text: str) -> DataFrame:
     """Subtitle files -> ``start, end, text`` beside the other columns: blocks end at an empty line, tags and overrides go,
-    an end before its start is the start, blocks without a time or words are passed over."""
+    an end before its start is the start, blocks without a time or words are passed over.  A block's times are looked for
+    once, then cut apart."""
     whole = F.regexp_replace(F.regexp_replace(F.ltrim(F.col(text), F.lit("﻿")), r"\r\n?", "\n"), r"\n[ \t]*(?=\n)", "\n")
-    rows = files.withColumn("_block", F.explode(F.split(whole, r"\n\n+"))).drop(text).where(F.col("_block").rlike(SRT_TIME))
+    rows = files.withColumn("_block", F.explode(F.split(whole, r"\n\n+"))).drop(text)
     after = F.regexp_extract("_block", r"(?s)-->[^\n]*\n(.*)$", 1)
     line = F.btrim(F.regexp_replace(F.regexp_replace(after, r"\s*\n\s*", " "), r"<[^>]*>|\{\\[^}]*\}", ""))
-    rows = rows.withColumns({"start": _srt_seconds(F.col("_block"), 1), "_end": _srt_seconds(F.col("_block"), 5), "text": line}).where("text <> ''")
-    return rows.withColumn("end", F.greatest("start", "_end")).drop("_block", "_end")
+    times = F.split(F.regexp_extract("_block", SRT_TIME, 0), r"\s*-->\s*|[:,.]")
+    # a row of its own: else the filter would work both out a second time
+    rows = rows.select(*[c for c in rows.columns if c != "_block"], F.inline(F.array(F.struct(times.alias("_times"), line.alias("text")))))
+    rows = rows.where("size(_times) = 8 and text <> ''")
+    part = lambda k: F.get("_times", F.lit(k)).cast("int")
+    seconds = lambda k: (part(k) * 3_600_000 + part(k + 1) * 60_000 + part(k + 2) * 1000 + part(k + 3)) / 1000
+    rows = rows.withColumns({"start": seconds(0), "_end": seconds(4)})
+    return rows.withColumn("end", F.greatest("start", "_end")).drop("_times", "_end")
 
 
-def _srt_time(c: Column) -> Column:
-    ms = F.round(c * 1000).cast("long")
-    return F.format_string("%02d:%02d:%02d,%03d", (ms / 3_600_000).cast("long"), (ms / 60_000).cast("long") % 60, (ms / 1000).cast("long") % 60, ms % 1000)
+def _srt_time(ms: Column) -> Column:
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    hours, minutes, seconds = ((ms / n).cast("long") for n in (3_600_000, 60_000, 1000))
+    plain = F.concat(two(hours), F.lit(":"), two(minutes % 60), F.lit(":"), two(seconds % 60), F.lit(","), F.lpad((ms % 1000).cast("string"), 3, "0"))
+    return F.when((ms >= 0) & (ms < 360_000_000), plain).otherwise(F.format_string("%02d:%02d:%02d,%03d", hours, minutes % 60, seconds % 60, ms % 1000))
 
 
 def to_srt(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``start, end, text`` rows -> one subtitle text per key, with a byte-order mark; blocks are numbered in order of start."""
-    block = F.transform(F.array_sort(F.collect_list(F.struct("start", "end", "text"))), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), _srt_time(x["start"]), F.lit(" --> "), _srt_time(x["end"]), F.lit("\n"), x["text"], F.lit("\n")))
+    """``start, end, text`` rows -> one subtitle text per key, with a byte-order mark; blocks are numbered in order of start.
+    A block is made before the rows of its key meet, all but its number."""
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    rows = rows.withColumns({"_from": ms("start"), "_to": ms("end")})
+    body = F.concat(F.lit("\n"), _srt_time(F.col("_from")), F.lit(" --> "), _srt_time(F.col("_to")), F.lit("\n"), F.col("text"), F.lit("\n"))
+    block = F.transform(F.sort_array(F.collect_list(F.struct("start", "end", "text", body.alias("body")))), lambda x, i: F.concat((i + 1).cast("string"), x["body"]))
     return rows.groupBy(*keys).agg(F.concat(F.lit("﻿"), F.array_join(block, "\n")).alias("srt"))
 
 

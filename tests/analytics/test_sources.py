@@ -190,3 +190,14 @@ def test_files_do_not_grow_with_channels(spark, tmp_path, monkeypatch):
     written = len([f for f in (tmp_path / "channels").rglob("part-*")])
     assert written <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().count() > written
+
+
+def test_subtitle_times_are_looked_for_once(spark):
+    rows = [(1, 0.0, 0.0005, "a"), (1, 59.9996, 3599.9994, "b"), (1, 360000.5, 360001.25, "far"), (2, 7.1, 6.0, "back")]
+    frame = spark.createDataFrame(rows, "file long, start double, end double, text string")
+    made = {r.file: r.srt for r in files.to_srt(frame, ["file"]).collect()}
+    assert made[1] == "﻿1\n00:00:00,000 --> 00:00:00,001\na\n\n2\n00:01:00,000 --> 00:59:59,999\nb\n\n3\n100:00:00,500 --> 100:00:01,250\nfar\n"
+    text = "1\n1:02:03.5 --> 99:59:59,999\nx\n\n2\n00:00:01,20  -->  00:00:00,1\ny\n\nno time\nz\n\n3\n00:00:01,000 --> 00:00:02,000\n"
+    read = files.parse_srt(spark.createDataFrame([(1, text)], "file long, srt string"), "srt")
+    assert sorted((r.start, r.end, r.text) for r in read.collect()) == [(1.02, 1.02, "y"), (3723.005, 359999.999, "x")]
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 2
