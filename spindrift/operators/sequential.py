@@ -155,8 +155,10 @@ def alike(a: str, b: str, share: float) -> bool:
     the longest common subsequence, as matching blocks are one."""
     if a == b:
         return True
+    if 2.0 * min(len(a), len(b)) / (len(a) + len(b)) < share:
+        return False
     m = SequenceMatcher(None, a, b, autojunk=False)
-    if m.real_quick_ratio() < share or m.quick_ratio() < share or 2 * common(a, b) / (len(a) + len(b)) < share:
+    if m.quick_ratio() < share or 2 * common(a, b) / (len(a) + len(b)) < share:
         return False
     return m.ratio() >= share
 

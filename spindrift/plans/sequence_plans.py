@@ -119,11 +119,12 @@ def j21(spark, sf_dir):
 
     rows = near.select("conv_id", "turn", "number", those_alike("number", "line", "near").alias("alike"))
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        alike = [set(x) for x in pdf["alike"]]
-        return pdf[["conv_id", "turn"]].assign(event=sequential.coalesce_lines(pdf["turn"].tolist(), lambda i, j: j + 1 in alike[i], 2.5))
+    def group(turns: dict) -> tuple:
+        alike = [set(x) for x in turns["alike"]]
+        events = sequential.coalesce_lines(turns["turn"].tolist(), lambda i, j: j + 1 in alike[i], 2.5)
+        return range(len(alike)), {"event": events}
 
-    return sequential.per_group(rows, ["conv_id"], ["number"], "conv_id long, turn long, event long", group)
+    return sequential.over_groups(rows, ["conv_id"], ["number"], "conv_id long, turn long, event long", group)
 
 
 @query("w15_pause_chapters")

@@ -140,3 +140,7 @@ def test_forecast_calibrates_every_format_with_100_samples_of_60_paths(spark, mo
     assert len(QUERIES["t4_milestones"](spark, home).columns) == 6
     assert {(r.fmt, r.plan) for r in QUERIES["t5_plan_variants"](spark, home).collect()} == {(f, p) for f in formats for p in ("less", "same", "more")}
     assert paths == [60] * 5
+
+
+def test_coalescing_makes_no_frame_a_conversation(spark):
+    assert "FlatMapGroups" not in QUERIES["j21_line_coalescing"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
